@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -67,3 +68,9 @@ def parts_for(volume: float, each: float, least: int = 16) -> int:
     while parts * each < volume:
         parts *= 2
     return parts
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles that no frame refers to any more, rather than at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._shared import Stage, parts_for, texts, total_bytes
+from ._shared import Stage, free_shuffles, parts_for, texts, total_bytes
 
 #: Most tokens of the frequent class, whose table every executor holds: 12 bytes each.
 FREQUENT_TOKENS = 400_000
 #: Least number of documents that makes a token frequent.
-FREQUENT_DF = 16
+FREQUENT_DF = 8
 #: Most nodes whose ids are sent to all executors; beyond it a join selects them.
 BROADCAST_NODES = 2_000_000
 _SMALL, _SMALL_TOO = 8, 12  # sets under the first use single tokens only; up to the second, these too
@@ -221,17 +221,20 @@ def _read_blob(buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sig.view(np.uint64).ravel(), node[local], size[local].astype(np.int64)
 
 
-def _groups(table: pa.Table) -> pa.Table:
-    """The signature groups of two or more nodes, one of each set of nodes: (group, node, n)."""
+def _groups(percent: int, table: pa.Table) -> pa.Table:
+    """Signature groups of two or more nodes, one of each set of nodes: (group, node, n).
+
+    A group is parted where the sizes of its nodes leave a gap that no link can cross.
+    """
     read = [_read_blob(x.as_buffer()) for x in table.column("blob")]
     sig, node, n = (np.concatenate([x[k] for x in read]) for k in range(3))
     del read
-    order = np.lexsort((node, sig))
+    order = np.lexsort((node, n, sig))
     sig, node, n = sig[order], node[order], n[order]
     keep = np.ones(len(sig), bool)
     keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
     sig, node, n = sig[keep], node[keep], n[keep]
-    begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    begin = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (100 * n[:-1] < percent * n[1:])]))
     length = np.diff(np.append(begin, len(sig)))
     several = length > 1
     member = np.repeat(several, length)
@@ -312,12 +315,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75,
     stage = Stage(spark, "jaccard")
     known, counts, known_bits = frequent_tokens(docs, volume, width)
     frequent = spark.sparkContext.broadcast((known, counts, known_bits))
+    free_shuffles(spark)
     parts = parts_for(volume / 20, 1_500_000)
     rows = stage.put(docs.mapInArrow(lambda it: _emit_signatures(frequent, width, percent, parts, it), "doc_id long, n long, node long, part int, blob binary"), "rows")
-    sets = rows.where("part IS NULL").select("doc_id", "n", "node")
+    sets = stage.put(rows.where("part IS NULL").select("doc_id", "n", "node"), "sets")
     groups = stage.put(
-        rows.where("part IS NOT NULL").select("part", "blob").groupBy("part").applyInArrow(_groups, "group long, node long, n long").distinct(), "groups"
+        rows.where("part IS NOT NULL").select("part", "blob").groupBy("part").applyInArrow(lambda t: _groups(percent, t), "group long, node long, n long").distinct(), "groups"
     )
+    stage.drop("rows")
+    free_shuffles(spark)
     nodes = stage.put(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     member = stage.put(groups.select("node").distinct().join(nodes, "node"), "member")
     if member.count() <= BROADCAST_NODES:
@@ -326,7 +332,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75,
         chosen = docs
     else:
         wanted, chosen = None, docs.join(member.select("doc_id"), "doc_id", "left_semi")
-    tokens = stage.put(chosen.mapInArrow(lambda it: _emit_sets(wanted, width, it), "node long, tokens binary").dropDuplicates(["node"]), "tokens")
+    tokens = stage.put(chosen.mapInArrow(lambda it: _emit_sets(wanted, width, it), "node long, tokens binary"), "tokens")
 
     def verify(pairs: DataFrame, key: str) -> DataFrame:
         x = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
@@ -381,7 +387,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75,
         least = full.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         named = full.join(least, "label").select("node", "component_id")
     named = stage.put(named, "named")
-    stage.drop(*[k for k in stage.paths if k not in ("rows", "named")])
+    stage.drop(*[k for k in stage.paths if k not in ("sets", "named")])
     out = sets.join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -6,6 +6,7 @@ import importlib
 
 _QUERIES = {
     "op1_ngram_jaccard_join": "jaccard",
+    "op9_bpe_automaton": "bpe",
 }
 
 

@@ -6,6 +6,7 @@ import importlib
 
 _QUERIES = {
     "op1_ngram_jaccard_join": "jaccard",
+    "op2_histogram_shards": "sharding",
     "op9_bpe_automaton": "bpe",
 }
 

@@ -7,6 +7,7 @@ import importlib
 _QUERIES = {
     "op1_ngram_jaccard_join": "jaccard",
     "op2_histogram_shards": "sharding",
+    "op4_token_files": "token_files",
     "op9_bpe_automaton": "bpe",
 }
 

@@ -8,6 +8,7 @@ _QUERIES = {
     "op1_ngram_jaccard_join": "jaccard",
     "op2_histogram_shards": "sharding",
     "op4_token_files": "token_files",
+    "op5_positional_index": "contamination",
     "op9_bpe_automaton": "bpe",
 }
 

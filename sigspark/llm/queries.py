@@ -9,6 +9,7 @@ _QUERIES = {
     "op2_histogram_shards": "sharding",
     "op4_token_files": "token_files",
     "op5_positional_index": "contamination",
+    "op6_tiff_pages": "tiff",
     "op9_bpe_automaton": "bpe",
 }
 

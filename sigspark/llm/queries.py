@@ -10,7 +10,9 @@ _QUERIES = {
     "op4_token_files": "token_files",
     "op5_positional_index": "contamination",
     "op6_tiff_pages": "tiff",
+    "op7_language_id": "langid",
     "op9_bpe_automaton": "bpe",
+    "op10_quality_by_compression": "quality",
 }
 
 

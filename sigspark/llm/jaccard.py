@@ -7,10 +7,12 @@ the tokens beyond what the classes may share unnoticed reach n - ceil(t*n) + 1:
 share a single rare token or a pair of frequent tokens of one sub-class. These are the signatures. Nodes of one
 signature are candidates; they are verified on their whole sets.
 
-Within a signature no list of all pairs is made. In each round the nodes of a signature are verified against one pivot,
-links are contracted to components, and only signatures that still span several components stay. When the
-pairs across components have become few, all of them are verified. So each pair that could join two components is either verified or
-already inside one component, and components are exact.
+No list of all pairs is made. Signatures first part the nodes into clusters without candidates across. A cluster of
+bounded size is solved in one task that holds its sets: a node is counted against all nodes that are not yet in its component, at
+once, over the cluster's tokens. Larger clusters are solved in rounds over the whole cluster: the nodes of a signature are
+verified against one pivot, links are contracted to components, and only signatures that still span several components
+stay, until the pairs across components are few enough to verify all of them. Either way a pair is verified or already
+inside one component, and components are exact.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ FREQUENT_TOKENS = 400_000
 FREQUENT_DF = 8
 #: Most nodes whose ids are sent to all executors; beyond it a join selects them.
 BROADCAST_NODES = 2_000_000
+#: Most tokens of a cluster that one task solves: 8 bytes each.
+CLUSTER_TOKENS = 4_000_000
 _SMALL, _SMALL_TOO = 8, 12  # sets under the first use single tokens only; up to the second, these too
 _FOUR_THIRDS = np.log(4 / 3)
 
@@ -282,6 +286,49 @@ def _linked(percent, batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], schema=schema)
 
 
+def solve_cluster(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """The least index of the component of each set."""
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    comp = np.arange(n)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(size) - size
+    mark = np.zeros(int(token.max()) + 1, np.int32)
+    for x in np.argsort(size, kind="stable"):
+        open_ = (comp != comp[x]) & (size >= size[x]) & (100 * size[x] >= percent * size)
+        if not open_.any():
+            continue
+        own = token[begin[x] : begin[x] + size[x]]
+        mark[own] = 1
+        others = np.flatnonzero(open_)
+        if 2 * size[others].sum() < len(token):
+            both = np.array([mark[token[begin[y] : begin[y] + size[y]]].sum() for y in others])
+        else:
+            both = np.add.reduceat(mark[token], begin)[others]
+        mark[own] = 0
+        for y in others[100 * both >= percent * (size[x] + size[others] - both)]:
+            a, b = comp[x], comp[y]
+            if a != b:
+                comp[comp == max(a, b)] = min(a, b)
+    return comp
+
+
+def _solve(percent: int, table: pa.Table) -> pa.Table:
+    """(node, label) of the clusters of one bin."""
+    cluster, node = (table.column(c).to_numpy() for c in ("cluster", "node"))
+    tokens = table.column("tokens").combine_chunks()
+    order = np.lexsort((node, cluster))
+    edge = np.flatnonzero(np.concatenate([[True], cluster[order][1:] != cluster[order][:-1], [True]]))
+    label = np.empty(len(node), np.int64)
+    for a, b in zip(edge[:-1], edge[1:]):
+        rows = order[a:b]
+        rows = rows[np.concatenate([[True], node[rows][1:] != node[rows][:-1]])]
+        sets = [np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in rows]
+        own = node[rows][solve_cluster(sets, percent)] if len(sets) > 1 else node[rows]
+        label[order[a:b]] = own[np.searchsorted(node[rows], node[order[a:b]])]
+    return pa.table({"node": node, "label": label})
+
+
 def components(stage: Stage, edges: DataFrame, key: str) -> DataFrame:
     """(node, label) of all nodes of the edges (a, b): label is the least node of the component.
 
@@ -302,7 +349,7 @@ def components(stage: Stage, edges: DataFrame, key: str) -> DataFrame:
             return label
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75, width: int = 5, cluster_tokens: int = CLUSTER_TOKENS) -> DataFrame:
     """One row per document: doc_id, n_shingles, node, component_id.
 
     Two documents link when 100 * |A and B| >= percent * |A or B| over their shingle sets; component_id is the least
@@ -325,14 +372,35 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75,
     stage.drop("rows")
     free_shuffles(spark)
     nodes = stage.put(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    member = stage.put(groups.select("node").distinct().join(nodes, "node"), "member")
-    if member.count() <= BROADCAST_NODES:
+    edges = groups.join(groups.groupBy("group").agg(F.min("node").alias("b")), "group").select(F.col("node").alias("a"), "b")
+    member = components(stage, edges, "cluster").withColumnRenamed("label", "cluster").join(groups.groupBy("node").agg(F.max("n").alias("n")), "node").join(nodes, "node")
+    member = stage.put(member, "member")
+    member = stage.put(member.join(member.groupBy("cluster").agg(F.sum("n").alias("tokens")), "cluster"), "member")
+    facts = member.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("tokens"), F.lit(0)).alias("most")).first()
+    if facts["k"] <= BROADCAST_NODES:
         ids = np.sort(member.select("doc_id").toPandas()["doc_id"].to_numpy(np.int64))
         wanted = spark.sparkContext.broadcast(ids)
         chosen = docs
     else:
         wanted, chosen = None, docs.join(member.select("doc_id"), "doc_id", "left_semi")
-    tokens = stage.put(chosen.mapInArrow(lambda it: _emit_sets(wanted, width, it), "node long, tokens binary"), "tokens")
+    tokens = chosen.mapInArrow(lambda it: _emit_sets(wanted, width, it), "node long, tokens binary")
+    bins = parts_for(facts["n"], 2_000_000, 8)
+    small = member.where(F.col("tokens") <= cluster_tokens).select("node", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("bin"))
+    label = stage.put(tokens.join(small, "node").groupBy("bin").applyInArrow(lambda t: _solve(percent, t), "node long, label long").where("node <> label").distinct(), "solved")
+    if facts["most"] > cluster_tokens:
+        big = member.where(F.col("tokens") > cluster_tokens).select("node")
+        own = stage.put(tokens.join(big, "node"), "tokens")
+        label = label.union(_rounds(spark, stage, groups.join(big, "node", "left_semi"), own, percent))
+    full = nodes.join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    least = full.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = stage.put(full.join(least, "label").select("node", "component_id"), "named")
+    stage.drop(*[k for k in stage.paths if k not in ("sets", "named")])
+    out = sets.join(named, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _rounds(spark: SparkSession, stage: Stage, groups: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the nodes in large clusters that have a link."""
 
     def verify(pairs: DataFrame, key: str) -> DataFrame:
         x = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
@@ -354,7 +422,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75,
         total = cost.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
         if not total["m"]:
             break
-        last = total["c"] <= 8 * total["m"] or round_ >= 24
+        last = total["c"] <= 8 * total["m"] or round_ >= 5
         if last:
             other = open_.select("group", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
             pairs = open_.join(other, "group").where("node < node2 AND comp <> comp2").select(F.col("node").alias("a"), F.col("node2").alias("b"), "n", "n2")
@@ -380,16 +448,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75,
         round_ += 1
         if last:
             break
-    if label is None:
-        named = nodes.select("node", F.col("doc_id").alias("component_id"))
-    else:
-        full = nodes.join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
-        least = full.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        named = full.join(least, "label").select("node", "component_id")
-    named = stage.put(named, "named")
-    stage.drop(*[k for k in stage.paths if k not in ("sets", "named")])
-    out = sets.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return label if label is not None else groups.select("node", F.col("node").alias("label")).limit(0)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

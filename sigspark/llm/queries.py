@@ -7,6 +7,7 @@ import importlib
 _QUERIES = {
     "op1_ngram_jaccard_join": "jaccard",
     "op2_histogram_shards": "sharding",
+    "op3_sentence_spans": "spans",
     "op4_token_files": "token_files",
     "op5_positional_index": "contamination",
     "op6_tiff_pages": "tiff",

@@ -12,6 +12,7 @@ _QUERIES = {
     "op5_positional_index": "contamination",
     "op6_tiff_pages": "tiff",
     "op7_language_id": "langid",
+    "op8_log_bilinear_scores": "lm",
     "op9_bpe_automaton": "bpe",
     "op10_quality_by_compression": "quality",
 }

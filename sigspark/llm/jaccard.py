@@ -5,7 +5,9 @@ All nodes order their tokens alike, rare ones first. Tokens of the rare class co
 frequent class are dealt to sub-classes, of which two shared tokens are needed. The prefix of a node is extended until
 the tokens beyond what the classes may share unnoticed reach n - ceil(t*n) + 1: two nodes of similarity t or more then
 share a single rare token or a pair of frequent tokens of one sub-class. These are the signatures. Nodes of one
-signature are candidates; they are verified on their whole sets.
+signature are candidates. The tokens that two nodes share among their single signatures are counted, too: with c of them and p
+tokens given singly, no more than c + max(n - p) tokens can be common, so pairs below the needed overlap go before any set is read. All
+others are verified on their whole sets.
 
 No list of all pairs is made. Signatures first part the nodes into clusters without candidates across. A cluster of
 bounded size is solved in one task that holds its sets: a node is counted against all nodes that are not yet in its component, at
@@ -33,6 +35,8 @@ FREQUENT_DF = 8
 BROADCAST_NODES = 2_000_000
 #: Most tokens of a cluster that one task solves: 8 bytes each.
 CLUSTER_TOKENS = 4_000_000
+#: Largest group of a single token whose pairs are counted; of larger ones the nodes stay together uncounted.
+PAIRED = 24
 _SMALL, _SMALL_TOO = 8, 12  # sets under the first use single tokens only; up to the second, these too
 _FOUR_THIRDS = np.log(4 / 3)
 
@@ -111,7 +115,10 @@ def frequent_tokens(docs: DataFrame, volume: int, width: int, limit: int = FREQU
 
 
 def _signatures(doc, token, sizes, df, percent):
-    """(document, signature) of a chunk whose tokens carry their document counts, 0 for the rare class."""
+    """(document, signature) singly and in pairs, and the number of leading tokens of each document given singly.
+
+    The tokens of a chunk carry their document counts, 0 for the rare class.
+    """
     order = np.lexsort((token, df, doc))
     doc, token, df = doc[order], token[order], df[order]
     first = np.concatenate([[0], np.cumsum(sizes)])
@@ -121,7 +128,8 @@ def _signatures(doc, token, sizes, df, percent):
     out = []
     # singles: the rare tokens of the prefix; for small sets, whatever their class
     single = (rank < need[doc]) & ((df == 0) | (sizes[doc] <= _SMALL_TOO))
-    out.append((doc[single], T.mix(token[single] + np.uint64(1))))
+    singles = doc[single], T.mix(token[single] + np.uint64(1))
+    leading = np.where(sizes <= _SMALL_TOO, np.minimum(need, sizes), np.minimum(need, rare))
     # pairs: of sets that need more than their rare tokens
     more = np.flatnonzero((need > rare) & (sizes >= _SMALL))
     for d in more:
@@ -151,7 +159,9 @@ def _signatures(doc, token, sizes, df, percent):
             if made:
                 made = np.concatenate(made)
                 out.append((np.full(len(made), d), made))
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    pairs = tuple(np.concatenate([x[k] for x in out]) for k in (0, 1)) if out else none
+    return singles, pairs, leading
 
 
 def _emit_signatures(frequent, width, percent, parts, batches):
@@ -159,31 +169,32 @@ def _emit_signatures(frequent, width, percent, parts, batches):
     known, counts, known_bits = frequent.value
     bits = parts.bit_length() - 1
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())])
-    held, n = [], 0
+    held, n = ([], []), 0
 
     def flush():
-        sig = np.concatenate([x[0] for x in held])
-        node = np.concatenate([x[1] for x in held])
-        size = np.concatenate([x[2] for x in held])
-        names, local = np.unique(node, return_inverse=True)
-        sizes = np.zeros(len(names), np.int64)
-        sizes[local] = size
-        order = np.lexsort((local, sig))
-        sig, local = sig[order], local[order]
-        keep = np.ones(len(sig), bool)
-        keep[1:] = (sig[1:] != sig[:-1]) | (local[1:] != local[:-1])
-        sig, local = sig[keep], local[keep]
-        at = _split_parts(sig, bits)
-        low = ((sig >> np.uint64(24 - bits)) & np.uint64(0xFFFFFFFFFF)).astype("<u8")
-        low = np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, :5])
         rows, blobs = [], []
-        for p in range(parts):
-            a, b = at[p], at[p + 1]
-            if a < b:
-                used, short = np.unique(local[a:b], return_inverse=True)
-                head = np.array([b - a, len(used)], np.int64).tobytes()
-                blobs.append(head + names[used].tobytes() + sizes[used].astype(np.int32).tobytes() + short.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes() + low[a:b].tobytes())
-                rows.append(p)
+        for kind in (0, 1):
+            if not held[kind]:
+                continue
+            sig, node, size, lead = (np.concatenate([x[k] for x in held[kind]]) for k in range(4))
+            names, local = np.unique(node, return_inverse=True)
+            facts = np.zeros((2, len(names)), np.int32)
+            facts[0, local], facts[1, local] = size, lead
+            order = np.lexsort((local, sig))
+            sig, local = sig[order], local[order]
+            keep = np.ones(len(sig), bool)
+            keep[1:] = (sig[1:] != sig[:-1]) | (local[1:] != local[:-1])
+            sig, local = sig[keep], local[keep]
+            at = _split_parts(sig, bits)
+            low = ((sig >> np.uint64(24 - bits)) & np.uint64(0xFFFFFFFFFF)).astype("<u8")
+            low = np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, :5])
+            for p in range(parts):
+                a, b = at[p], at[p + 1]
+                if a < b:
+                    used, short = np.unique(local[a:b], return_inverse=True)
+                    head = np.array([b - a, len(used)], np.int64).tobytes()
+                    blobs.append(head + names[used].tobytes() + facts[:, used].tobytes() + short.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes() + low[a:b].tobytes())
+                    rows.append(p + kind * parts)
         none = pa.nulls(len(rows), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, none, pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
@@ -202,56 +213,83 @@ def _emit_signatures(frequent, width, percent, parts, batches):
                 short = token >> np.uint64(32 - known_bits)
                 i = np.minimum(np.searchsorted(known, short), len(known) - 1)
                 df = np.where(known[i] == short, counts[i], 0)
-            sdoc, sig = _signatures(doc, token, np.where(keep, sizes, 0), df, percent)
-            held.append((sig, digest[sdoc], sizes[sdoc]))
-            n += len(sig)
+            *both, lead = _signatures(doc, token, np.where(keep, sizes, 0), df, percent)
+            for kind, (sdoc, sig) in enumerate(both):
+                if len(sig):
+                    held[kind].append((sig, digest[sdoc], sizes[sdoc], lead[sdoc]))
+                    n += len(sig)
             if n > 1_000_000:
                 yield flush()
-                held, n = [], 0
+                held, n = ([], []), 0
     if n:
         yield flush()
 
 
-def _read_blob(buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _read_blob(buffer) -> tuple[np.ndarray, ...]:
+    """(signature, node, set size, tokens given singly) of each entry."""
     raw = np.frombuffer(buffer, np.uint8)
     rows, names = raw[:16].view(np.int64)
     a = 16 + 8 * names
-    node, size = raw[16:a].view(np.int64), raw[a : a + 4 * names].view(np.int32)
-    a += 4 * names
+    node, facts = raw[16:a].view(np.int64), raw[a : a + 8 * names].copy().view(np.int32).reshape(2, -1)
+    a += 8 * names
     wide = 4 if names > 65535 else 2
     local = raw[a : a + wide * rows].copy().view(np.uint32 if wide == 4 else np.uint16).astype(np.int64)
     sig = np.zeros((rows, 8), np.uint8)
     sig[:, :5] = raw[a + wide * rows :].reshape(-1, 5)
-    return sig.view(np.uint64).ravel(), node[local], size[local].astype(np.int64)
+    return sig.view(np.uint64).ravel(), node[local], facts[0][local], facts[1][local]
 
 
-def _groups(percent: int, table: pa.Table) -> pa.Table:
-    """Signature groups of two or more nodes, one of each set of nodes: (group, node, n).
+def _candidates(percent: int, parts: int, table: pa.Table) -> pa.Table:
+    """What the signatures of a part tell: counted pairs (a, b, shared, slack, total) and groups (group, node, n).
 
-    A group is parted where the sizes of its nodes leave a gap that no link can cross.
+    A group is parted where the sizes of its nodes leave a gap that no link can cross. Small groups of single tokens give
+    their pairs; the others stay groups, one of each set of nodes.
     """
+    single = table.column("part")[0].as_py() < parts
     read = [_read_blob(x.as_buffer()) for x in table.column("blob")]
-    sig, node, n = (np.concatenate([x[k] for x in read]) for k in range(3))
+    sig, node, n, lead = (np.concatenate([x[k] for x in read]) for k in range(4))
     del read
     order = np.lexsort((node, n, sig))
-    sig, node, n = sig[order], node[order], n[order]
+    sig, node, n, lead = sig[order], node[order], n[order].astype(np.int64), lead[order].astype(np.int64)
     keep = np.ones(len(sig), bool)
     keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node, n = sig[keep], node[keep], n[keep]
+    sig, node, n, lead = sig[keep], node[keep], n[keep], lead[keep]
     begin = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (100 * n[:-1] < percent * n[1:])]))
     length = np.diff(np.append(begin, len(sig)))
-    several = length > 1
+    none = np.zeros(0, np.int64)
+    found = [(none,) * 4]
+    if single:
+        for m in range(2, PAIRED + 1):
+            at = begin[length == m]
+            if not len(at):
+                continue
+            i, j = np.triu_indices(m, 1)
+            x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            near = 100 * n[x] >= percent * n[y]
+            x, y = x[near], y[near]
+            slack, total = np.maximum(n[x] - lead[x], n[y] - lead[y]), n[x] + n[y]
+            found.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), slack, total))
+    a, b, slack, total = (np.concatenate([f[k] for f in found]) for k in range(4))
+    order = np.lexsort((b, a))
+    a, b, slack, total = a[order], b[order], slack[order], total[order]
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else none
+    shared = np.diff(np.append(new, len(a)))
+    several = length > (PAIRED if single else 1)
     member = np.repeat(several, length)
     node, n, length = node[member], n[member], length[several]
     begin = np.cumsum(length) - length
-    total = np.zeros(len(node) + 1, np.uint64)
-    np.cumsum(T.mix(node.view(np.uint64)), out=total[1:])
-    group = T.mix(total[begin + length] - total[begin] + length.astype(np.uint64)).view(np.int64)
+    mixed = np.zeros(len(node) + 1, np.uint64)
+    np.cumsum(T.mix(node.view(np.uint64)), out=mixed[1:])
+    group = T.mix(mixed[begin + length] - mixed[begin] + length.astype(np.uint64)).view(np.int64)
     _, once = np.unique(group, return_index=True)
     pick = np.zeros(len(group), bool)
     pick[once] = True
     member = np.repeat(pick, length)
-    return pa.table({"group": np.repeat(group, length)[member], "node": node[member], "n": n[member]})
+    group = np.repeat(group, length)[member]
+    columns = {"group": (none, group), "a": (a[new], node[member]), "b": (b[new], none), "shared": (shared, none), "slack": (slack[new], none), "total": (total[new], n[member])}
+    k, g = len(new), len(group)
+    fill = lambda x, y, i: pa.concat_arrays([pa.array(x) if len(x) == k and i else pa.nulls(k, pa.int64()), pa.array(y) if len(y) == g else pa.nulls(g, pa.int64())])
+    return pa.table({c: fill(x, y, c != "group") for c, (x, y) in columns.items()})
 
 
 def _emit_sets(wanted, width, batches):
@@ -366,14 +404,20 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75,
     parts = parts_for(volume / 20, 1_500_000)
     rows = stage.put(docs.mapInArrow(lambda it: _emit_signatures(frequent, width, percent, parts, it), "doc_id long, n long, node long, part int, blob binary"), "rows")
     sets = stage.put(rows.where("part IS NULL").select("doc_id", "n", "node"), "sets")
-    groups = stage.put(
-        rows.where("part IS NOT NULL").select("part", "blob").groupBy("part").applyInArrow(lambda t: _groups(percent, t), "group long, node long, n long").distinct(), "groups"
+    told = stage.put(
+        rows.where("part IS NOT NULL").select("part", "blob").groupBy("part").applyInArrow(lambda t: _candidates(percent, parts, t), "group long, a long, b long, shared long, slack long, total long"), "told"
     )
     stage.drop("rows")
     free_shuffles(spark)
+    # a link needs an overlap of total * percent / (100 + percent)
+    pairs = told.where("group IS NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("slack").alias("slack"), F.first("total").alias("total"))
+    pairs = stage.put(pairs.where((F.col("shared") + F.col("slack")) * (100 + percent) >= percent * F.col("total")).select("a", "b"), "pairs")
+    groups = stage.put(told.where("group IS NOT NULL").select("group", F.col("a").alias("node"), F.col("total").alias("n")).distinct(), "groups")
+    stage.drop("told")
     nodes = stage.put(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    edges = groups.join(groups.groupBy("group").agg(F.min("node").alias("b")), "group").select(F.col("node").alias("a"), "b")
-    member = components(stage, edges, "cluster").withColumnRenamed("label", "cluster").join(groups.groupBy("node").agg(F.max("n").alias("n")), "node").join(nodes, "node")
+    edges = groups.join(groups.groupBy("group").agg(F.min("node").alias("b")), "group").select(F.col("node").alias("a"), "b").union(pairs)
+    sizes = sets.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"))
+    member = components(stage, edges, "cluster").withColumnRenamed("label", "cluster").join(sizes, "node").join(nodes, "node")
     member = stage.put(member, "member")
     member = stage.put(member.join(member.groupBy("cluster").agg(F.sum("n").alias("tokens")), "cluster"), "member")
     facts = member.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("tokens"), F.lit(0)).alias("most")).first()
@@ -390,7 +434,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75,
     if facts["most"] > cluster_tokens:
         big = member.where(F.col("tokens") > cluster_tokens).select("node")
         own = stage.put(tokens.join(big, "node"), "tokens")
-        label = label.union(_rounds(spark, stage, groups.join(big, "node", "left_semi"), own, percent))
+        two = pairs.withColumn("group", F.xxhash64("a", "b"))
+        two = two.select("group", F.col("a").alias("node")).union(two.select("group", F.col("b").alias("node"))).join(member.select("node", "n"), "node").select("group", "node", "n")
+        label = label.union(_rounds(spark, stage, groups.union(two).join(big, "node", "left_semi"), own, percent))
     full = nodes.join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = full.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = stage.put(full.join(least, "label").select("node", "component_id"), "named")

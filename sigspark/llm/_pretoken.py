@@ -118,10 +118,46 @@ class Splitter:
         return place[start]
 
 
+def gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at begins, end to end."""
+    total = np.cumsum(sizes)
+    return flat[np.repeat(begins - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)]
+
+
+class LibraryWords:
+    """Ids of words by the tokenizers library, many words to a call: parted by line ends, which are tokens of their own."""
+
+    def __init__(self, path: str):
+        self.tokenizer = library(path)
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else -1
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [w.decode("utf-8") for w in words]
+        alone = np.fromiter((t.isspace() or "\n" in t for t in texts), bool, len(texts))
+        parts = [t for t, single in zip(texts, alone.tolist()) if not single]
+        ids = np.array(self.tokenizer.encode("\n".join(parts), add_special_tokens=False).ids, np.uint32)
+        cut = np.flatnonzero(ids == self.line)
+        if len(cut) != max(len(parts) - 1, 0):  # a word with a line end inside: not with this splitting
+            alone[:] = True
+        rest = [e.ids for e in self.tokenizer.encode_batch([t for t, single in zip(texts, alone.tolist()) if single], add_special_tokens=False)]
+        sizes, begins = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        if not alone.all():
+            begins[~alone] = np.concatenate([[0], cut + 1])
+            sizes[~alone] = np.concatenate([cut, [len(ids)]]) - begins[~alone]
+        sizes[alone] = [len(x) for x in rest]
+        begins[alone] = len(ids) + np.cumsum(sizes[alone]) - sizes[alone]
+        flat = np.concatenate([ids, *[np.array(x, np.uint32) for x in rest]])
+        return gather(flat, begins, sizes), sizes
+
+
 class WordCoder:
-    """Ids of whole texts by way of their distinct words, which are encoded once and kept in a bounded table."""
+    """Ids of whole texts by way of their distinct words, which are encoded once and kept in a bounded table.
+
+    `encode` takes a list of words and returns (all their ids end to end, number of ids of each).
+    """
 
-    def __init__(self, path: str, encode, most: int = 600_000):
+    def __init__(self, path: str, encode, most: int = 1_500_000):
         self.split, self.encode, self.most = Splitter(path), encode, most
         self._clear()
 
@@ -146,15 +182,12 @@ class WordCoder:
         new = np.flatnonzero(~known)
         if len(new):
             raw = data.tobytes()
-            made = self.encode([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            made, sizes = self.encode([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
             where = np.arange(len(self.lengths), len(self.lengths) + len(new))
             self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
             self.lengths = np.concatenate([self.lengths, sizes])
-            self.ids = np.concatenate([self.ids, np.concatenate([np.asarray(x, np.uint32) for x in made])])
-            all_keys, all_slots = np.concatenate([self.keys, keys[new]]), np.concatenate([self.slot, where])
-            order = np.argsort(all_keys, kind="stable")
-            self.keys, self.slot = all_keys[order], all_slots[order]
+            self.ids = np.concatenate([self.ids, made])
+            self.keys, self.slot = np.insert(self.keys, at[new], keys[new]), np.insert(self.slot, at[new], where)
             at = np.searchsorted(self.keys, keys)
         slot = self.slot[at][inverse]
         sizes = self.lengths[slot]

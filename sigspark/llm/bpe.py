@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _text as T
-from ._pretoken import WordCoder, byte_signs, description, vocabulary_path
+from ._pretoken import WordCoder, byte_signs, description, gather, vocabulary_path
 from ._shared import texts
 
 
@@ -79,24 +79,28 @@ class MergeAutomaton:
         self.next, self.token = np.stack(nodes), np.array(token, np.int32)
         self.sizes = np.fromiter(map(len, self.labels), np.int64, len(self.labels))
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word."""
-        out: list = [None] * len(words)
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words end to end, number of ids of each)."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
+        special = np.fromiter((w in self.special for w in words), bool, len(words))
+        sizes, begins, flat, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [np.zeros(0, np.uint32)], 0
         # words of like length together, so that short ones don't wait for a long one
         order = np.argsort(lengths, kind="stable")
         for group in np.split(order, np.searchsorted(lengths[order], [17, 65, 1025])):
-            rest = [i for i in group.tolist() if words[i] not in self.special]
-            for i in group.tolist():
-                if words[i] in self.special:
-                    out[i] = np.array([self.special[words[i]]], np.uint32)
-            for k in range(0, len(rest), 50_000):
-                part = rest[k : k + 50_000]
-                for i, ids in zip(part, self._run([words[i] for i in part])):
-                    out[i] = ids
-        return out
-
-    def _run(self, words: list[bytes]) -> list[np.ndarray]:
+            group = group[~special[group] & (lengths[group] > 0)]
+            for k in range(0, len(group), 50_000):
+                part = group[k : k + 50_000]
+                ids, sizes[part] = self._run([words[i] for i in part.tolist()])
+                begins[part] = n + np.cumsum(sizes[part]) - sizes[part]
+                flat.append(ids)
+                n += len(ids)
+        for i in np.flatnonzero(special).tolist():
+            flat.append(np.array([self.special[words[i]]], np.uint32))
+            begins[i], sizes[i] = n, 1
+            n += 1
+        return gather(np.concatenate(flat), begins, sizes), sizes
+
+    def _run(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b"".join(words), np.uint8)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths)
@@ -134,18 +138,14 @@ class MergeAutomaton:
         # back along the accepted arcs
         spot, alive, back = first + lengths, np.arange(len(words)), []
         while len(alive):
-            alive = alive[lengths[alive] > 0] if not back else alive
             t = token[spot[alive]]
             back.append((alive, t))
             spot[alive] -= self.sizes[t]
             alive = alive[spot[alive] > first[alive]]
-        if not back:
-            return []
         w, t = np.concatenate([x[0] for x in back]), np.concatenate([x[1] for x in back])
         round_ = np.repeat(np.arange(len(back)), [len(x[0]) for x in back])
         order = np.lexsort((-round_, w))
-        t = t[order].astype(np.uint32)
-        return np.split(t, np.cumsum(np.bincount(w, minlength=len(words)))[:-1])
+        return t[order].astype(np.uint32), np.bincount(w, minlength=len(words))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The labels of the arcs, end to end, as bytes."""

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._pretoken import WordCoder, library, vocabulary_path
+from ._pretoken import LibraryWords, WordCoder, vocabulary_path
 from ._shared import Stage, free_shuffles, new_path, texts, total_bytes
 
 MAGIC = b"SVB1"
@@ -75,8 +75,7 @@ def read_blocks(file) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 @lru_cache(maxsize=2)
 def _coder(path: str) -> WordCoder:
-    tokenizer = library(path)
-    return WordCoder(path, lambda words: [e.ids for e in tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)])
+    return WordCoder(path, LibraryWords(path))
 
 
 def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:

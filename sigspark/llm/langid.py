@@ -23,6 +23,7 @@ from ._shared import free_shuffles
 COLUMNS = 1 << 15
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
+CHUNK = 1 << 18  # bytes of text whose n-grams are counted at once
 
 _fold: list[np.ndarray] = []
 
@@ -74,7 +75,7 @@ def chunk_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.n
             column = ((T.mix(code + np.uint64(k)) >> np.uint64(20)) % np.uint64(COLUMNS)).astype(np.int64)
             keys.append((doc[: n - k + 1] * COLUMNS + column)[whole])
     key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-    if rows * COLUMNS <= 64 * len(key) or rows * COLUMNS <= 1 << 22:
+    if rows * COLUMNS <= 1 << 22:
         dense = np.bincount(key, minlength=rows * COLUMNS)
         key = np.flatnonzero(dense)
         counts = dense[key]
@@ -169,7 +170,7 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
 def _document_frequencies(batches):
     total, n = np.zeros(COLUMNS, np.int64), 0
     for batch in batches:
-        for a, b, data, offs in T.chunks(batch.column(0)):
+        for a, b, data, offs in T.chunks(batch.column(0), CHUNK):
             _, columns, _, letters = chunk_features(data, offs)
             total += np.bincount(columns, minlength=COLUMNS)
             n += int(letters.sum())
@@ -193,7 +194,7 @@ def fit(spark: SparkSession, learn: DataFrame, fit_rows: int = 3000, epochs: int
     langs = sample.column("lang").to_pylist()
     rows, targets = [], []
     labels = sorted(set(langs))
-    for a, b, data, offs in T.chunks(sample.column("text")):
+    for a, b, data, offs in T.chunks(sample.column("text"), CHUNK):
         pointers, columns, counts, letters = chunk_features(data, offs)
         value = tf_idf(pointers, columns, counts, idf)
         for k in range(b - a):
@@ -232,7 +233,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFr
         model = sent.value
         for batch in batches:
             names, scores = [], []
-            for a, b, data, offs in T.chunks(batch.column(text_at)):
+            for a, b, data, offs in T.chunks(batch.column(text_at), CHUNK):
                 pointers, columns, counts, letters = chunk_features(data, offs)
                 if model is None:
                     letters = np.zeros(b - a, bool)

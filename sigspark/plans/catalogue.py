@@ -1,15 +1,850 @@
-"""Named queries over the driver's tables and their SQL."""
+"""Named queries over the driver's tables, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").count()
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.boundary import BoundaryOptions
+from ..operators import alignment, clusters, consensus, lut, metrics, pairs, regions, resample, robust
+from ..sources import fixtures as fx
+from ..sources import io
 
-def queries() -> dict:
-    return {}
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
 
+#: Views of FIXTURES.md in SQL.
+STEPS = (
+    "t AS (SELECT user_id AS trace_id, row_number() OVER w - 1 AS pos, value AS mean, 0.5 + CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) / 100 AS std, "
+    "coalesce((epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6, 1.0) AS dwell, user_id % 9 AS construct, user_id % 2 = 0 AS stored_is_consensus, "
+    "count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
+)
+GRID = "g AS (SELECT vec_id AS trace_id, CAST(label AS BIGINT) AS label, vec_id % 2 = 0 AS is_training, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS mean FROM embeddings)"
+LEVELS = "p AS (SELECT trace_id, median(mean) AS shift, 1.4826 * mad(mean) AS scale FROM t GROUP BY trace_id)"
+KMERS = (
+    "k AS (SELECT kmer, arg_min(pre, p_partkey) AS pre_mean, arg_min(post, p_partkey) AS post_mean FROM (SELECT "
+    + " || ".join(f"substr('ACGT', 1 + CAST(floor((p_partkey % 4096) / {4**i}) AS BIGINT) % 4, 1)" for i in range(5, -1, -1))
+    + " AS kmer, p_partkey, p_retailprice / 1000 AS pre, p_size / 50 AS post FROM part) GROUP BY kmer)"
+)
+TEMPLATES = (
+    "d AS (SELECT doc_id AS template_id, template FROM (SELECT doc_id, substr(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '" + "ACGT" * 6 + "AC'), 1, 24) AS template FROM documents) WHERE length(template) = 24)"
+)
+#: Squared distances of embeddings of one class: an edge list in closed form.
+EDGES = f"{GRID}, edges AS (SELECT x.label, x.trace_id AS a, y.trace_id AS b, list_sum(list_transform(list_zip(x.mean, y.mean), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM g x JOIN g y ON x.label = y.label AND x.trace_id < y.trace_id)"
+BOTH = f"{EDGES}, m AS (SELECT label, a, b, d FROM edges UNION ALL SELECT label, b, a, d FROM edges)"
+#: Centroid scores: squared distance of held-out embeddings to the class means of the training ones.
+SCORES = (
+    f"{GRID}, u AS (SELECT trace_id, label, is_training, unnest(mean) AS v, generate_subscripts(mean, 1) AS i FROM g), c AS (SELECT label, i, avg(v) AS v FROM u WHERE is_training GROUP BY ALL), "
+    "s AS (SELECT u.trace_id AS event_id, u.label AS truth, c.label, round(sum((u.v - c.v) * (u.v - c.v)), 9) AS score FROM u JOIN c USING (i) WHERE NOT u.is_training GROUP BY ALL), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score, label) AS r FROM s), "
+    "pred AS (SELECT event_id, truth, max(CASE WHEN r = 1 THEN label END) AS predicted, max(CASE WHEN r = 2 THEN score END) - max(CASE WHEN r = 1 THEN score END) AS margin FROM ranked GROUP BY ALL)"
+)
+CELLS = "labels_ AS (SELECT DISTINCT label FROM g), cells AS (SELECT x.label AS truth, y.label AS predicted, count(event_id) AS n FROM labels_ x CROSS JOIN labels_ y LEFT JOIN pred ON pred.truth = x.label AND pred.predicted = y.label GROUP BY ALL)"
+CLASSES = (
+    "cls AS (SELECT label, cnt AS count, CASE WHEN cnt = 0 THEN 0.0 ELSE hit / cnt END AS recall, CASE WHEN called = 0 THEN 0.0 ELSE hit / called END AS precision FROM "
+    "(SELECT truth AS label, CAST(sum(n) AS BIGINT) AS cnt, CAST(sum(CASE WHEN truth = predicted THEN n ELSE 0 END) AS DOUBLE) AS hit FROM cells GROUP BY truth) JOIN (SELECT predicted AS label, CAST(sum(n) AS BIGINT) AS called FROM cells GROUP BY predicted) USING (label)), "
+    "full_ AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM cls)"
+)
 
-def oracle_sql() -> dict:
-    return {}
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(frame: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return frame.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# --- traces, scaling ---------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {STEPS} SELECT trace_id, count(*) AS n, round(avg(mean), 6) AS level, round(stddev_pop(mean), 6) AS sd, round(sum(std), 6) AS std_sum FROM t GROUP BY trace_id")
+def trace_nest_stats(spark: SparkSession, sf: str) -> DataFrame:
+    back = fx.unnest(fx.traces(spark, sf))
+    return r6(back.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.avg("mean").alias("level"), F.stddev_pop("mean").alias("sd"), F.sum("std").alias("std_sum")), "level", "sd", "std_sum")
+
+
+@query(f"WITH {STEPS} SELECT construct, count(DISTINCT trace_id) AS traces, count(DISTINCT trace_id) AS valid FROM t GROUP BY construct")
+def trace_validity(spark, sf):
+    return fx.traces(spark, sf).groupBy("construct").agg(F.count(F.lit(1)).alias("traces"), F.count_if(robust.valid_trace()).alias("valid"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum((value + 4.0) * 1400.0 / 8192.0), 6) AS total_pa FROM events GROUP BY event_type")
+def adc_calibrate(spark, sf):
+    raw = fx.table(spark, sf, "events").groupBy("event_type").agg(F.collect_list("value").alias("samples"))
+    pa = io.calibrate(raw.withColumns({"offset": F.lit(4.0), "range": F.lit(1400.0), "digitisation": F.lit(8192.0)}))
+    return pa.select("event_type", F.size("pa").cast("long").alias("n"), F.round(F.aggregate(F.array_sort("pa"), F.lit(0.0), lambda a, x: a + x), 6).alias("total_pa"))
+
+
+@query(f"WITH {STEPS}, {LEVELS} SELECT trace_id, round(shift, 6) AS shift, round(scale, 6) AS scale FROM p")
+def robust_params_per_trace(spark, sf):
+    return r6(robust.robust_params(fx.steps(spark, sf), "trace_id"), "shift", "scale")
+
+
+@query(f"WITH {STEPS}, {LEVELS} SELECT trace_id, pos, round((mean - shift) / CASE WHEN scale > 0 THEN scale ELSE 1.0 END, 6) AS z FROM t JOIN p USING (trace_id)")
+def znorm_long(spark, sf):
+    return r6(robust.znorm(fx.steps(spark, sf), "trace_id").select("trace_id", "pos", "z"), "z")
+
+
+@query(f"WITH {KMERS}, v AS (SELECT pre_mean AS x FROM k UNION ALL SELECT post_mean FROM k) SELECT round(median(x), 6) AS shift, round(1.4826 * mad(x), 6) AS scale FROM v")
+def lut_pool_params(spark, sf):
+    return r6(robust.pooled_params(fx.kmer_table(spark, sf)), "shift", "scale")
+
+
+@query(
+    f"WITH {STEPS}, {LEVELS}, {KMERS}, v AS (SELECT pre_mean AS x FROM k UNION ALL SELECT post_mean FROM k), q AS (SELECT median(x) AS a, 1.4826 * mad(x) AS b FROM v) "
+    "SELECT trace_id, pos, round((mean - shift) * b / scale + a, 6) AS unit_mean, round(std * b / scale, 6) AS unit_std FROM t JOIN p USING (trace_id) CROSS JOIN q"
+)
+def to_lut_units(spark, sf):
+    return r6(robust.to_table_units(fx.steps(spark, sf), fx.kmer_table(spark, sf), "trace_id").select("trace_id", "pos", "unit_mean", "unit_std"), "unit_mean", "unit_std")
+
+
+@query(
+    f"WITH {STEPS}, q AS (SELECT trace_id, median(mean) AS shift, 1.4826 * mad(mean) AS scale FROM t WHERE 5 * pos < 3 * n GROUP BY trace_id) "
+    "SELECT trace_id, pos, round((mean - shift) * (0.2 / CASE WHEN scale > 0 THEN scale ELSE 1.0 END) + 0.5, 6) AS cal_mean, round(greatest(std * (0.2 / CASE WHEN scale > 0 THEN scale ELSE 1.0 END), 0.001), 6) AS cal_std FROM t JOIN q USING (trace_id)"
+)
+def affine_calibrate(spark, sf):
+    steps = sized_steps(spark, sf)
+    out = robust.affine_calibrate(steps, steps.where(5 * F.col("pos") < 3 * F.col("n")), 0.5, 0.2, "trace_id")
+    return r6(out.select("trace_id", "pos", "cal_mean", "cal_std"), "cal_mean", "cal_std")
+
+
+@query(f"WITH {STEPS}, c AS (SELECT *, median(mean) OVER (PARTITION BY construct) AS m FROM t), q AS (SELECT *, 1.4826 * median(abs(mean - m)) OVER (PARTITION BY construct) AS s FROM c) SELECT trace_id, pos, round((mean - m) / s, 6) AS z FROM q")
+def robust_z_within_group(spark, sf):
+    return r6(robust.robust_z(fx.steps(spark, sf), "mean", "construct").select("trace_id", "pos", "z"), "z")
+
+
+@query(f"WITH {STEPS}, {LEVELS} SELECT trace_id, pos, round((mean - shift) / scale, 6) AS mean, round(greatest(std / scale, 0.001), 6) AS std FROM t JOIN p USING (trace_id)")
+def prepared_reads(spark, sf):
+    return r6(robust.prepare_reads(fx.steps(spark, sf), "trace_id").select("trace_id", "pos", "mean", "std"), "mean", "std")
+
+
+# --- lengths -----------------------------------------------------------------------------------------------------------
+
+_AT = "unnest(range({t})) AS i"
+
+
+def _resample_sql(target: str, extra: str = "") -> str:
+    return (
+        f"WITH {STEPS}{extra}, n AS (SELECT trace_id, list(mean ORDER BY pos) AS m, list(std * std ORDER BY pos) AS v, count(*) AS k FROM t GROUP BY trace_id), "
+        f"x AS (SELECT trace_id, m, v, k, unnest(range({target})) AS i, {target} AS target FROM n), y AS (SELECT *, i * (k - 1) / (target - 1) AS at FROM x), z AS (SELECT *, least(CAST(floor(at) AS BIGINT), k - 1) AS lo FROM y), "
+        "w AS (SELECT *, least(lo + 1, k - 1) AS hi FROM z) SELECT trace_id, i AS pos, round(m[lo + 1] + (m[hi + 1] - m[lo + 1]) * (at - lo), 6) AS mean, round(sqrt(greatest(v[lo + 1] + (v[hi + 1] - v[lo + 1]) * (at - lo), 1e-6)), 6) AS std FROM w"
+    )
+
+
+@query(_resample_sql("100"))
+def resample_fixed_100(spark, sf):
+    return r6(fx.unnest(resample.representation(fx.traces(spark, sf), "fixed", 100)).select("trace_id", "pos", "mean", "std"), "mean", "std")
+
+
+@query(f"WITH {STEPS}, l AS (SELECT DISTINCT trace_id, construct, n FROM t), p AS (SELECT construct, quantile_cont(n, 0.95) AS p FROM l GROUP BY construct) SELECT CAST(ceil(max(p)) AS BIGINT) AS target, (SELECT list(construct ORDER BY construct) FROM p WHERE p.p = (SELECT max(p) FROM p)) AS determining FROM p")
+def target_length_selection(spark, sf):
+    return resample.target_length(trace_lengths(spark, sf), "construct")
+
+
+@query(
+    f"WITH {STEPS}, l AS (SELECT DISTINCT trace_id, construct, n FROM t) SELECT construct, count(*) AS count, min(n) AS min, round(quantile_cont(n, 0.25), 6) AS p25, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.75), 6) AS p75, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, max(n) AS max FROM l GROUP BY ROLLUP (construct)"
+)
+def length_summary_rollup(spark, sf):
+    return r6(resample.length_summary(trace_lengths(spark, sf), "construct"), "p25", "p50", "p75", "p90", "p95")
+
+
+@query(f"WITH {STEPS} SELECT DISTINCT trace_id, n, round(63 / (n - 1), 6) AS ratio, CASE WHEN n < 64 THEN 'expanded' WHEN n > 64 THEN 'compressed' ELSE 'unchanged' END AS change FROM t")
+def resampling_labels(spark, sf):
+    return r6(resample.resampling_labels(fx.traces(spark, sf), 64), "ratio")
+
+
+def trace_lengths(spark, sf):
+    return fx.traces(spark, sf).select("trace_id", "construct", F.size("mean").cast("long").alias("n"))
+
+
+def sized_steps(spark, sf):
+    """Steps with samples of ten to a step and the number of steps of the trace."""
+    from pyspark.sql import Window
+
+    steps = fx.steps(spark, sf).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("trace_id")))
+    return steps.withColumns({"start_sample": F.col("pos") * 10, "end_sample": F.col("pos") * 10 + 10})
+
+
+def annotations(spark, sf):
+    """Interval bounds of each trace in samples: DNA from a fifth of the steps to three fifths, then the rest."""
+    n = trace_lengths(spark, sf)
+    at = lambda k: F.floor(F.col("n") * k / 5).cast("long") * 10
+    return n.select("trace_id", at(1).alias("d_start"), at(3).alias("d_end"), at(3).alias("p_start"), (F.col("n") * 10).alias("p_end"))
+
+
+_ANNOTATED = f"{STEPS}, s AS (SELECT *, pos * 10 AS start_sample, pos * 10 + 10 AS end_sample, (n // 5) * 10 AS d_start, (3 * n // 5) * 10 AS d_end FROM t)"
+
+
+# --- k-mers ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {TEMPLATES} SELECT template_id, i AS pos, substr(template, CAST(i AS BIGINT) + 1, 6) AS kmer FROM (SELECT template_id, template, unnest(range(19)) AS i FROM d)")
+def kmer_windows(spark, sf):
+    return lut.kmer_windows(fx.templates(spark, sf))
+
+
+_PROFILE = (
+    f"{TEMPLATES}, {KMERS}, f AS (SELECT template_id, reverse(upper(template)) AS template FROM d), rows_ AS (SELECT template_id, template, unnest(range(48)) AS row FROM f), "
+    "prof AS (SELECT template_id, row, row - 4 AS step, substr(template, CAST(row // 2 AS BIGINT) + 1, 1) AS base, CASE WHEN row % 2 = 0 THEN 'pre' ELSE 'post' END AS mode, CASE WHEN row % 2 = 0 THEN pre_mean ELSE post_mean END AS mean, CASE WHEN pre_mean IS NULL THEN NULL ELSE 0.1 END AS std "
+    "FROM rows_ LEFT JOIN k ON row >= 4 AND row // 2 - 2 <= 18 AND k.kmer = substr(template, CAST(row // 2 AS BIGINT) - 1, 6))"
+)
+
+
+@query(f"WITH {_PROFILE} SELECT template_id, row, step, base, mode, round(mean, 6) AS mean, CAST(std AS DOUBLE) AS std FROM prof")
+def halfstep_profile(spark, sf):
+    return r6(lut.half_step_profile(fx.templates(spark, sf), fx.kmer_table(spark, sf)), "mean")
+
+
+@query(
+    f"WITH {_PROFILE}, v AS (SELECT *, 24 - row // 2 AS ref_pos FROM prof WHERE mean IS NOT NULL), w AS (SELECT *, count(*) OVER (PARTITION BY template_id, ref_pos) AS k2 FROM v), y AS (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY row DESC) AS e FROM w WHERE k2 = 2) "
+    "SELECT template_id, row, ref_pos, row_number() OVER (PARTITION BY template_id ORDER BY row) - 1 AS state, round(mean, 6) AS mean, CAST(std AS DOUBLE) AS std FROM y WHERE e > 4"
+)
+def trusted_anchor(spark, sf):
+    return r6(lut.trusted_anchor(lut.half_step_profile(fx.templates(spark, sf), fx.kmer_table(spark, sf))), "mean")
+
+
+@query()
+def jump_pmf_table(spark, sf):
+    return r6(lut.jump_table(spark), "p", "log_p", digits=9)
+
+
+@query()
+def transition_band(spark, sf):
+    return r6(lut.transition_band(spark, 40), "log_p", digits=9)
+
+
+# --- regions -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_ANNOTATED} SELECT trace_id, pos, round(mean, 6) AS mean FROM s WHERE (start_sample + end_sample) // 2 >= d_start AND (start_sample + end_sample) // 2 < d_end")
+def region_interval_join(spark, sf):
+    return r6(regions.in_interval(sized_steps(spark, sf), annotations(spark, sf), "d_start", "d_end", "trace_id").select("trace_id", "pos", "mean"), "mean")
+
+
+_REGION = "CASE WHEN (start_sample + end_sample) // 2 < d_start THEN 'pre_dna' WHEN (start_sample + end_sample) // 2 < d_end THEN 'dna' ELSE 'non_dna' END"
+
+
+@query(f"WITH {_ANNOTATED} SELECT construct, {_REGION} AS region, count(*) AS n, round(avg(mean), 6) AS level FROM s GROUP BY ALL")
+def region_three_way(spark, sf):
+    rows = regions.three_regions(sized_steps(spark, sf), annotations(spark, sf), "trace_id")
+    return r6(rows.groupBy("construct", "region").agg(F.count(F.lit(1)).alias("n"), F.avg("mean").alias("level")), "level")
+
+
+@query(f"WITH {_ANNOTATED}, q AS (SELECT trace_id, pos, abs(start_sample - (d_end + 5)) AS gap, d_end + 5 AS sample FROM s) SELECT trace_id, sample, arg_min(pos, (gap, pos)) AS pos FROM q GROUP BY ALL")
+def nearest_step(spark, sf):
+    truth = annotations(spark, sf).select("trace_id", (F.col("p_start") + 5).alias("sample"))
+    return regions.nearest_step(sized_steps(spark, sf), truth, "sample", "trace_id")
+
+
+@query(
+    f"WITH {STEPS}, q AS (SELECT trace_id, n, coalesce(max(CASE WHEN mean <= 20 THEN pos + 1 END), 0) AS keep FROM t GROUP BY trace_id, n) "
+    "SELECT q.trace_id, CAST(keep AS BIGINT) AS kept, CASE WHEN keep + 5 <= q.n THEN round((SELECT sum(mean) FROM t WHERE t.trace_id = q.trace_id AND pos >= keep AND pos < keep + 5), 6) END AS tail FROM q"
+)
+def tail_trim(spark, sf):
+    cut = regions.tail_trim(fx.traces(spark, sf), 20.0, 5)
+    return cut.select("trace_id", F.col("keep").cast("long").alias("kept"), F.round(F.aggregate("tail_mean", F.lit(0.0), lambda a, x: a + x), 6).alias("tail"))
+
+
+@query(f"WITH {STEPS} SELECT trace_id, round(sum(mean), 6) AS last_sum FROM t WHERE pos >= n - 10 GROUP BY trace_id")
+def last_window(spark, sf):
+    w = fx.traces(spark, sf).select("trace_id", regions.last_window("mean", 10).alias("w"))
+    return w.select("trace_id", F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 6).alias("last_sum"))
+
+
+@query(f"WITH {STEPS} SELECT DISTINCT trace_id, n, CASE WHEN n < 65 THEN 'fewer than 65 steps' END AS exclusion_reason FROM t")
+def length_manifest(spark, sf):
+    return regions.length_manifest(fx.traces(spark, sf), 65)
+
+
+_FIT = "round(median(mean), 6) AS level, round(CASE WHEN 1.4826 * mad(mean) >= 0.001 THEN 1.4826 * mad(mean) ELSE greatest(stddev_pop(mean), 0.001) END, 6) AS spread"
+
+
+@query(f"WITH {_ANNOTATED} SELECT {_REGION} AS region, count(mean) AS n, {_FIT} FROM s GROUP BY ALL")
+def region_fit(spark, sf):
+    rows = regions.three_regions(sized_steps(spark, sf), annotations(spark, sf), "trace_id")
+    return r6(regions.fit_levels(rows, "region"), "level", "spread")
+
+
+@query(f"WITH {_ANNOTATED}, f AS (SELECT DISTINCT trace_id % 5 AS held_fold FROM s) SELECT held_fold, {_REGION} AS region, count(mean) AS n, {_FIT} FROM s JOIN f ON s.trace_id % 5 <> held_fold GROUP BY ALL")
+def fold_region_fit(spark, sf):
+    return r6(fold_models(spark, sf), "level", "spread")
+
+
+def fold_models(spark, sf):
+    rows = regions.three_regions(sized_steps(spark, sf), annotations(spark, sf), "trace_id").withColumn("fold", F.pmod("trace_id", F.lit(5)))
+    return regions.fit_levels(regions.leave_fold_out(rows, "fold", 5), "held_fold", "region")
+
+
+# --- cohorts -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {STEPS}, l AS (SELECT DISTINCT trace_id, construct FROM t) SELECT trace_id, construct, ntile(4) OVER (PARTITION BY construct ORDER BY trace_id) - 1 AS block FROM l")
+def block_split(spark, sf):
+    return regions.blocked_groups(trace_lengths(spark, sf).select("trace_id", "construct"), 4, "trace_id", "construct")
+
+
+@query(
+    f"WITH {STEPS}, l AS (SELECT DISTINCT trace_id, construct FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY construct ORDER BY trace_id) - 1 AS i, count(*) OVER (PARTITION BY construct) AS n FROM l), "
+    "q AS (SELECT *, list_transform(range(3), lambda k: CAST(round_even(k * (n - 1) / 2.0, 0) AS BIGINT)) AS pts FROM r) SELECT trace_id, construct FROM q WHERE CASE WHEN len(list_distinct(pts)) = 3 THEN list_contains(pts, i) ELSE i < 3 END"
+)
+def even_depth(spark, sf):
+    return regions.even_depth(trace_lengths(spark, sf).select("trace_id", "construct"), 3, "trace_id", "construct")
+
+
+@query(
+    f"WITH {STEPS}, l AS (SELECT DISTINCT trace_id, construct FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY construct ORDER BY sha256('7|' || construct || '|' || trace_id)) AS i, count(*) OVER (PARTITION BY construct) AS n FROM l) SELECT trace_id, construct, i <= floor(n * 0.5 + 0.5) AS is_training FROM r"
+)
+def stratified_split(spark, sf):
+    return regions.stratified_split(trace_lengths(spark, sf).select("trace_id", "construct"), 0.5, 7, "construct", "trace_id")
+
+
+def conditions(spark, sf):
+    """Held-out keys of three conditions: by parity of users, by length and by level."""
+    n = trace_lengths(spark, sf)
+    level = fx.steps(spark, sf).groupBy("trace_id").agg(F.avg("mean").alias("level"))
+    both = n.join(level, "trace_id")
+    kinds = F.array(F.when(F.col("trace_id") % 2 == 1, "parity"), F.when(F.col("n") >= 60, "length"), F.when(F.col("level") >= 20, "level"))
+    return both.select("trace_id", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("condition"))
+
+
+_CONDITIONS = f"{STEPS}, l AS (SELECT trace_id, n, avg(mean) AS level FROM t GROUP BY ALL), c AS (SELECT trace_id, 'parity' AS condition FROM l WHERE trace_id % 2 = 1 UNION ALL SELECT trace_id, 'length' FROM l WHERE n >= 60 UNION ALL SELECT trace_id, 'level' FROM l WHERE level >= 20)"
+
+
+@query(f"WITH {_CONDITIONS} SELECT trace_id FROM c GROUP BY trace_id HAVING count(DISTINCT condition) = (SELECT count(DISTINCT condition) FROM c)")
+def common_heldout(spark, sf):
+    return regions.common_keys(conditions(spark, sf), "trace_id", "condition")
+
+
+@query(f"WITH {_CONDITIONS}, a AS (SELECT trace_id FROM c WHERE condition = 'length'), b AS (SELECT trace_id FROM c WHERE condition = 'level'), s AS (SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM a JOIN b USING (trace_id)) AS n_both) SELECT n_a, n_b, n_both, n_a + n_b - n_both AS n_union, round(CASE WHEN n_a + n_b - n_both = 0 THEN 1.0 ELSE n_both / (n_a + n_b - n_both) END, 6) AS jaccard FROM s")
+def rejected_overlap(spark, sf):
+    c = conditions(spark, sf)
+    return r6(regions.set_overlap(c.where("condition = 'length'"), c.where("condition = 'level'"), "trace_id"), "jaccard")
+
+
+@query(f"WITH {_CONDITIONS}, a AS (SELECT trace_id FROM c WHERE condition = 'length'), b AS (SELECT trace_id FROM c WHERE condition = 'level') SELECT trace_id, 'first' AS side FROM a WHERE trace_id NOT IN (SELECT trace_id FROM b) UNION ALL SELECT trace_id, 'second' FROM b WHERE trace_id NOT IN (SELECT trace_id FROM a)")
+def set_equality_audit(spark, sf):
+    c = conditions(spark, sf)
+    return regions.set_differences(c.where("condition = 'length'"), c.where("condition = 'level'"), "trace_id")
+
+
+@query(f"WITH {_CONDITIONS}, k AS (SELECT unnest(['parity', 'length', 'level']) AS condition) SELECT l.trace_id, k.condition, c.trace_id IS NOT NULL AS retained FROM l CROSS JOIN k LEFT JOIN c ON c.trace_id = l.trace_id AND c.condition = k.condition")
+def manifest_join(spark, sf):
+    return regions.condition_manifest(trace_lengths(spark, sf), conditions(spark, sf), ["parity", "length", "level"], "trace_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_identities(spark, sf):
+    return regions.repeated_ids(fx.table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query(
+    f"WITH {STEPS}, r AS (SELECT trace_id, pos, n, mean >= 20 AS ok, row_number() OVER (PARTITION BY trace_id ORDER BY pos) - row_number() OVER (PARTITION BY trace_id, mean >= 20 ORDER BY pos) AS g FROM t), q AS (SELECT trace_id, g, n, count(*) AS k, min(pos) AS lo, max(pos) AS hi FROM r WHERE NOT ok GROUP BY ALL), "
+    "e AS (SELECT trace_id, max(CASE WHEN lo > 0 AND hi < n - 1 THEN k END) AS a, max(CASE WHEN lo = 0 OR hi = n - 1 THEN k END) AS b FROM q GROUP BY trace_id) SELECT DISTINCT t.trace_id, coalesce(a, 0) AS longest, coalesce(b, 0) AS terminal FROM t LEFT JOIN e USING (trace_id)"
+)
+def gap_runs(spark, sf):
+    return regions.gap_runs(fx.steps(spark, sf).withColumn("ok", F.col("mean") >= 20), "pos", "ok", "trace_id")
+
+
+@query(f"WITH {STEPS}, q AS (SELECT trace_id, mean - lag(mean) OVER (PARTITION BY trace_id ORDER BY pos) AS d FROM t WHERE pos < 3) SELECT trace_id, coalesce(bool_and(d <= 1e-8), true) AS monotone FROM q GROUP BY trace_id")
+def lag_monotone(spark, sf):
+    return metrics.monotone(fx.steps(spark, sf).where("pos < 3"), "mean", "pos", "trace_id")
+
+
+@query(f"WITH {GRID} SELECT trace_id, i - 1 AS pos, round((i - 1) / 63, 6) AS relative_position, round(mean[i], 6) AS mean FROM (SELECT trace_id, mean, unnest(range(1, 65)) AS i FROM g)")
+def profile_unpivot(spark, sf):
+    return r6(io.positions(fx.grid_traces(spark, sf).select("trace_id", "mean"), "trace_id").select("trace_id", F.col("pos").cast("long"), "relative_position", "mean"), "relative_position", "mean")
+
+
+@query(f"WITH {STEPS}, q AS (SELECT construct, count(DISTINCT trace_id) AS c FROM t GROUP BY construct) SELECT count(*) AS groups, string_agg(CAST(c AS VARCHAR), '/' ORDER BY c DESC) AS sizes FROM q")
+def group_size_text(spark, sf):
+    sizes = trace_lengths(spark, sf).groupBy("construct").agg(F.count(F.lit(1)).alias("c"))
+    return sizes.agg(F.count(F.lit(1)).alias("groups"), F.array_join(F.transform(F.sort_array(F.collect_list("c"), asc=False), lambda x: x.cast("string")), "/").alias("sizes"))
+
+
+@query("SELECT sha256(string_agg(CAST(doc_id AS VARCHAR) || ' ' || sha256(text), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS fingerprint FROM documents")
+def combined_fingerprint(spark, sf):
+    rows = fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("key"), F.sha2("text", 256).alias("digest"))
+    return io.combined_fingerprint(rows, "key", "digest")
+
+
+@query(f"WITH {GRID} SELECT label, CASE WHEN is_training THEN 'train' ELSE 'held' END AS part, NULL::BIGINT AS extra, count(*) AS n FROM g WHERE is_training GROUP BY ALL UNION ALL SELECT label, NULL, 1, count(*) FROM g WHERE NOT is_training GROUP BY ALL")
+def dynamic_union(spark, sf):
+    g = fx.grid_traces(spark, sf)
+    a = g.where("is_training").groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("train"))
+    b = g.where("NOT is_training").groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("extra", F.lit(1).cast("long"))
+    return io.union_rows([a, b])
+
+
+# --- costs and warps ---------------------------------------------------------------------------------------------------
+
+
+def few(spark, sf, a: int = 4, b: int = 4):
+    """Pairs of the first embeddings; the cost grid is meant for inspection of few."""
+    g = fx.grid_traces(spark, sf)
+    left, right = g.where(F.col("trace_id") < a), g.where((F.col("trace_id") >= a) & (F.col("trace_id") < a + b))
+    return left.select(F.col("trace_id").alias("a")).crossJoin(F.broadcast(right.select(F.col("trace_id").alias("b")))), g
+
+
+def _grid_sql(cost: str) -> str:
+    return f"WITH {GRID}, x AS (SELECT trace_id AS a, unnest(mean) AS u, generate_subscripts(mean, 1) - 1 AS i FROM g WHERE trace_id < 4), y AS (SELECT trace_id AS b, unnest(mean) AS v, generate_subscripts(mean, 1) - 1 AS j FROM g WHERE trace_id >= 4 AND trace_id < 8) SELECT a, b, i, j, round({cost}, 6) AS cost FROM x CROSS JOIN y"
+
+
+@query(_grid_sql("0.5 * (ln(2 * pi()) + ln(0.005) + (u - v) * (u - v) / 0.005)"))
+def cost_gaussian_grid(spark, sf):
+    p, g = few(spark, sf)
+    return r6(pairs.cost_cells(p, g, g, "gaussian"), "cost")
+
+
+@query(_grid_sql("(u - v) * (u - v)"))
+def cost_l2_grid(spark, sf):
+    p, g = few(spark, sf)
+    return r6(pairs.cost_cells(p, g, g, "l2"), "cost")
+
+
+@query(_grid_sql("abs(u - v)"))
+def cost_abs_grid(spark, sf):
+    p, g = few(spark, sf)
+    return r6(pairs.cost_cells(p, g, g, "abs"), "cost")
+
+
+_PAIRS = f"{GRID}, q AS (SELECT x.trace_id AS a, y.trace_id AS b, x.mean AS u, y.mean AS v FROM g x JOIN g y ON x.label = y.label AND x.trace_id < y.trace_id AND y.trace_id < 120)"
+
+
+def _capped_sql(open_begin: bool = False, open_end: bool = False, weight: int = 1, runs: int = 3) -> str:
+    """Row-wise recursion: the state holds a list of (cost, length, begin) for each column and run state."""
+    inf = "1e300"
+    n = 2 * runs + 1
+    cell = f"{{'c': {inf}, 'n': 0, 'j': 0}}"
+    c = "abs(u[i + 1] - v[{j}])"
+
+    def best(parts: str) -> str:
+        # the first of least cost: sort by cost, then by state
+        return f"list_sort(list_transform({parts}, lambda s, k: {{'c': s.c, 'k': k, 'n': s.n, 'j': s.j}}))[1]"
+
+    def step(source: str, cost: str) -> str:
+        return f"CASE WHEN ({source}).c >= {inf} THEN {cell} ELSE {{'c': ({source}).c + {cost}, 'n': ({source}).n + 1, 'j': ({source}).j}} END"
+
+    # rows: list over columns of the states 0..runs (diagonal and vertical); then the horizontal ones by shifts
+    verticals = ", ".join(step(f"rows[j][{k}]", c.format(j="j")) for k in range(2, runs + 1))
+    others = "list_concat([rows[j][1]], rows[j][%d:%d])" % (runs + 2, n)
+    diag = f"CASE WHEN j = 1 THEN {cell} ELSE {step(best('rows[j - 1]'), f'{weight} * ' + c.format(j='j'))} END"
+    base = f"list_transform(range(1, len(v) + 1), lambda j: [{diag}, {step(best(others), c.format(j='j'))}{', ' + verticals if verticals else ''}])"
+    start = f"CASE WHEN {'true' if open_begin else 'j = 1'} THEN {{'c': {weight} * {c.format(j='j').replace('i + 1', '1')}, 'n': 1, 'j': j - 1}} ELSE {cell} END"
+    first = f"list_transform(range(1, len(v) + 1), lambda j: list_concat([{start}], list_transform(range({runs}), lambda k: {cell})))"
+
+    def horizontal(rows: str, row: str, allowed: bool) -> str:
+        out = rows
+        for k in range(1, runs + 1):
+            if not allowed:
+                out = f"list_transform({out}, lambda x: list_append(x, {cell}))"
+                continue
+            source = best(f"h[j - 1][1:{runs + 1}]") if k == 1 else f"h[j - 1][{runs + k}]"
+            cost = f"abs(u[{row}] - v[j])"
+            out = f"(SELECT list_transform(range(1, len(h) + 1), lambda j: list_append(h[j], CASE WHEN j = 1 THEN {cell} ELSE {step(source, cost)} END)) FROM (SELECT {out} AS h))"
+        return out
+
+    final = f"list_transform(rows, lambda x: {best('x')})"
+    pick = "f[len(f)]" if not open_end else "list_sort(list_transform(f, lambda s, k: {'c': s.c, 'e': k - 1, 'n': s.n, 'j': s.j}))[1]"
+    end = "len(v) - 1" if not open_end else "x.e"
+    norm = "x.c / x.n" if weight == 1 else f"x.c / (len(u) + {end} - x.j + 1)"
+    return (
+        f"WITH RECURSIVE {_PAIRS}, r AS (SELECT a, b, u, v, 0 AS i, {horizontal(first, '1', not open_begin)} AS rows FROM q "
+        f"UNION ALL SELECT a, b, u, v, i + 1, {horizontal(base.replace('i + 1', 'i + 2'), 'i + 2', True)} FROM r WHERE i + 1 < len(u)), "
+        f"z AS (SELECT a, b, u, v, {final} AS f FROM r WHERE i = len(u) - 1), w AS (SELECT a, b, u, v, {pick} AS x FROM z) "
+        f"SELECT a, b, round(x.c, 6) AS dist, round({norm}, 6) AS norm_dist FROM w"
+    )
+
+
+def _warped(spark, sf, **options):
+    g = fx.grid_traces(spark, sf).where("trace_id < 120")
+    out = pairs.warp(pairs.unordered_pairs(g, "label"), g, g, cost="abs", normalise=False, **options)
+    return r6(out.select("a", "b", "dist", "norm_dist"), "dist", "norm_dist")
+
+
+@query(
+    f"WITH RECURSIVE {_PAIRS}, r AS (SELECT a, b, u, v, 0 AS i, list_transform(range(1, len(v) + 1), lambda j: list_sum(list_transform(v[1:j], lambda y: abs(u[1] - y)))) AS d FROM q "
+    "UNION ALL SELECT a, b, u, v, i + 1, list_reduce(list_transform(range(1, len(v) + 1), lambda j: [abs(u[i + 2] - v[j]) + CASE WHEN j = 1 THEN d[1] ELSE least(d[j - 1], d[j]) END, abs(u[i + 2] - v[j])]), lambda acc, x: list_append(acc, least(x[1], acc[len(acc)] + x[2])), CAST([] AS DOUBLE[])) FROM r WHERE i + 1 < len(u)) "
+    "SELECT a, b, round(d[len(d)], 6) AS dist FROM r WHERE i = len(u) - 1"
+)
+def dtw_uncapped(spark, sf):
+    return _warped(spark, sf, max_run=None).select("a", "b", "dist")
+
+
+def _dtw(name: str, sql: str, **options):
+    def run(spark, sf):
+        return _warped(spark, sf, **options)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_dtw("dtw_capped_closed", _capped_sql(), max_run=3)
+_dtw("dtw_open_ends", _capped_sql(open_begin=True, open_end=True), max_run=3, open_begin=True, open_end=True)
+_dtw("dtw_symmetric2", _capped_sql(weight=2), max_run=3, step="symmetric2")
+
+
+@query()
+def dtw_norm_dist_pairs(spark, sf):
+    """Gaussian warping distances of all traces of a construct."""
+    return r6(pairs.pairwise(fx.traces(spark, sf), "construct"), "d")
+
+
+# --- edge lists --------------------------------------------------------------------------------------------------------
+
+
+def edges(spark, sf):
+    """Squared distances inside classes of embeddings."""
+    g = fx.grid_traces(spark, sf)
+    p = pairs.unordered_pairs(g, "label")
+    both = p.join(g.select(F.col("trace_id").alias("a"), F.col("mean").alias("x")), "a").join(g.select(F.col("trace_id").alias("b"), F.col("mean").alias("y")), "b")
+    d = F.aggregate(F.zip_with("x", "y", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    return both.select("label", "a", "b", d.alias("d"))
+
+
+_RANKED = f"{BOTH}, sums AS (SELECT label, a AS trace_id, sum(d) AS row_sum FROM m GROUP BY ALL), ranks AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_sum, trace_id) AS rank FROM sums)"
+
+
+@query(f"WITH {EDGES}, n AS (SELECT label, count(*) AS n FROM g GROUP BY label) SELECT label, n, count(*) AS edges, count(*) * 2 = n * (n - 1) AS valid FROM edges JOIN n USING (label) GROUP BY label, n")
+def distance_validation(spark, sf):
+    return clusters.edge_faults(edges(spark, sf), "label")
+
+
+@query(f"WITH {_RANKED} SELECT label, trace_id, round(row_sum, 6) AS row_sum, rank FROM ranks")
+def medoid_rank(spark, sf):
+    return r6(clusters.medoid_ranking(edges(spark, sf), "label"), "row_sum")
+
+
+@query(f"WITH {_RANKED} SELECT label, trace_id, round(row_sum, 6) AS row_sum, rank FROM ranks WHERE rank <= 5")
+def medoid_topk(spark, sf):
+    return r6(clusters.medoid_ranking(edges(spark, sf), "label", top=5), "row_sum")
+
+
+@query(f"WITH {BOTH}, r AS (SELECT *, row_number() OVER (PARTITION BY label, a ORDER BY d, b) AS r FROM m) SELECT label, a AS trace_id, round(avg(d), 6) AS knn FROM r WHERE r <= 5 GROUP BY ALL")
+def knn_distance(spark, sf):
+    return r6(clusters.knn_distance(edges(spark, sf), 5, "label"), "knn")
+
+
+def _halves(spark, sf):
+    return fx.grid_traces(spark, sf).select(F.col("label"), "trace_id", (F.col("trace_id") % 2).alias("half"))
+
+
+@query(
+    f"WITH {BOTH}, per AS (SELECT label, a, a % 2 AS la, b % 2 AS lb, avg(d) AS md FROM m GROUP BY ALL), own AS (SELECT label, a, min(CASE WHEN la = lb THEN md END) AS x, min(CASE WHEN la <> lb THEN md END) AS y FROM per GROUP BY ALL) "
+    "SELECT label, round(avg(CASE WHEN x IS NULL OR y IS NULL OR greatest(x, y) = 0 THEN 0.0 ELSE (y - x) / greatest(x, y) END), 6) AS silhouette FROM own GROUP BY label"
+)
+def silhouette(spark, sf):
+    e = edges(spark, sf).withColumnRenamed("label", "grp")
+    labels = _halves(spark, sf).select(F.col("label").alias("grp"), "trace_id", F.col("half").alias("label"))
+    return r6(clusters.silhouette(e, labels, "grp").withColumnRenamed("grp", "label"), "silhouette")
+
+
+_Z = "CASE WHEN s > 0 THEN (x - m) / s ELSE 0.0 END"
+
+
+@query(
+    f"WITH {_RANKED}, med AS (SELECT label, trace_id AS medoid FROM ranks WHERE rank = 1), far AS (SELECT m.label, a AS trace_id, d AS x FROM m JOIN med ON med.label = m.label AND m.b = med.medoid), "
+    "fp AS (SELECT label, median(x) AS m, 1.4826 * mad(x) AS s FROM far GROUP BY label), zf AS (SELECT label, trace_id, x, (x - m) / s AS z FROM far JOIN fp USING (label)), "
+    "kn AS (SELECT label, a AS trace_id, avg(d) AS x FROM (SELECT *, row_number() OVER (PARTITION BY label, a ORDER BY d, b) AS r FROM m) WHERE r <= 5 GROUP BY ALL), kp AS (SELECT label, median(x) AS m, 1.4826 * mad(x) AS s FROM kn GROUP BY label), "
+    "zk AS (SELECT label, trace_id, x, (x - m) / s AS z FROM kn JOIN kp USING (label)) "
+    "SELECT zk.label, zk.trace_id, round(coalesce(zf.x, 0), 6) AS medoid_distance, round(zk.x, 6) AS knn, round(coalesce(zf.z, 0), 6) AS z_medoid, round(zk.z, 6) AS z_knn, round(greatest(coalesce(zf.z, 0), zk.z, 0), 6) AS score FROM zk LEFT JOIN zf USING (label, trace_id)"
+)
+def outlier_scores(spark, sf):
+    e = edges(spark, sf).withColumnRenamed("label", "grp")
+    labels = fx.grid_traces(spark, sf).select(F.col("label").alias("grp"), "trace_id", F.lit(0).cast("long").alias("label"))
+    out = clusters.outlier_scores(e, labels, "grp", k=5).drop("label").withColumnRenamed("grp", "label")
+    return r6(out, "medoid_distance", "knn", "z_medoid", "z_knn", "score")
+
+
+def _cluster(method: str):
+    def run(spark, sf):
+        return clusters.cluster(edges(spark, sf).withColumnRenamed("label", "grp"), "grp", method, n_clusters=3)
+
+    run.__name__ = f"cluster_labels_{method}"
+    query()(run)
+
+
+for _m in ("average", "single", "complete", "weighted"):
+    _cluster(_m)
+
+
+@query()
+def cluster_merges(spark, sf):
+    return r6(clusters.merges(edges(spark, sf), "label"), "height")
+
+
+@query()
+def cluster_choice(spark, sf):
+    return r6(clusters.choose_clusters(edges(spark, sf).withColumnRenamed("label", "grp"), "grp"), "silhouette")
+
+
+# --- fits, scores, metrics ---------------------------------------------------------------------------------------------
+
+
+def fitted(spark, sf):
+    train = fx.grid_traces(spark, sf).where("is_training")
+    return consensus.fit_barycentres(train, "label", min_depth=None, max_iter=5)
+
+
+@query()
+def dba_consensus(spark, sf):
+    return fitted(spark, sf).select("label", "medoid_id", "iterations", "converged", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
+
+
+@query()
+def dba_scores(spark, sf):
+    held = fx.grid_traces(spark, sf).where("NOT is_training")
+    return r6(alignment.score_against(held, fitted(spark, sf), "label"), "score")
+
+
+@query()
+def warp_average(spark, sf):
+    """Held-out traces averaged onto their class profile's axis by their warps."""
+    return io.positions(fitted(spark, sf).select("label", "mean", "depth"), "label").select("label", "pos", F.round("mean", 6).alias("mean"), "depth")
+
+
+@query()
+def profile_alignment(spark, sf):
+    p = fitted(spark, sf)
+    ids = p.select(F.col("label").alias("trace_id"), F.lit(0).alias("all"))
+    return r6(alignment.align_profiles(pairs.unordered_pairs(ids, "all").select("a", "b"), p, "label"), "distance", "rmse", "mae", "r", "warp_deviation")
+
+
+def score_grid(spark, sf):
+    """Squared distances of held-out embeddings to the class means of the training ones."""
+    g = fx.grid_traces(spark, sf)
+    u = g.select("trace_id", "label", "is_training", F.posexplode("mean").alias("i", "v"))
+    centre = u.where("is_training").groupBy("label", "i").agg(F.avg("v").alias("c"))
+    held = u.where("NOT is_training").select(F.col("trace_id").alias("event_id"), F.col("label").alias("truth"), "i", "v")
+    return r6(held.join(centre, "i").groupBy("event_id", "truth", "label").agg(F.sum((F.col("v") - F.col("c")) ** 2).alias("score")), "score", digits=9)
+
+
+def label_table(spark, sf):
+    return fx.grid_traces(spark, sf).select("label").distinct()
+
+
+@query(f"WITH {SCORES} SELECT event_id, truth, predicted, round(margin, 6) AS margin FROM pred")
+def top2_margin(spark, sf):
+    return r6(metrics.predictions(score_grid(spark, sf)), "margin")
+
+
+@query(f"WITH {SCORES}, {CELLS} SELECT truth, predicted, n FROM cells")
+def confusion(spark, sf):
+    return metrics.confusion(metrics.predictions(score_grid(spark, sf)), label_table(spark, sf))
+
+
+def classes(spark, sf):
+    return metrics.per_class(confusion(spark, sf))
+
+
+@query(f"WITH {SCORES}, {CELLS}, {CLASSES} SELECT label, count, round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1 FROM full_")
+def class_metrics(spark, sf):
+    return r6(classes(spark, sf), "recall", "precision", "f1")
+
+
+@query(f"WITH {SCORES}, {CELLS}, {CLASSES} SELECT CAST(sum(count) AS BIGINT) AS events, round(sum(recall * count) / sum(count), 6) AS accuracy, round(avg(recall) FILTER (count > 0), 6) AS balanced_accuracy, round(avg(f1) FILTER (count > 0), 6) AS macro_f1 FROM full_")
+def classification_summary(spark, sf):
+    return r6(metrics.summary(classes(spark, sf)), "accuracy", "balanced_accuracy", "macro_f1")
+
+
+@query(f"WITH {SCORES} SELECT event_id, " + ", ".join(f"round(max(CASE WHEN label = {k} THEN score END), 6) AS score_{k}" for k in range(10)) + " FROM s GROUP BY event_id")
+def score_pivot(spark, sf):
+    return r6(metrics.pivot_scores(score_grid(spark, sf), list(range(10))), *[f"score_{k}" for k in range(10)])
+
+
+@query(f"WITH {SCORES} SELECT event_id, truth, label, round(CASE WHEN label = 3 THEN score * 2 ELSE score END, 6) AS score FROM s")
+def substitute_column(spark, sf):
+    grid = score_grid(spark, sf)
+    return r6(regions.substitute_column(grid, grid.withColumn("score", F.col("score") * 2), 3), "score")
+
+
+@query(
+    "WITH q AS (SELECT CAST(quality AS DOUBLE) AS y, n_chars AS s, doc_id FROM labels JOIN documents USING (doc_id)), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM q), "
+    "u AS (SELECT (sum(y * rk) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auroc FROM r), l AS (SELECT y, sum(y) OVER w AS tp, count(*) OVER w AS i FROM q WINDOW w AS (ORDER BY s DESC, doc_id ROWS UNBOUNDED PRECEDING)), a AS (SELECT sum(y * tp / i) / sum(y) AS ap FROM l) SELECT round(auroc, 6) AS auroc, round(ap, 6) AS average_precision FROM u CROSS JOIN a"
+)
+def auroc_ap(spark, sf):
+    rows = fx.table(spark, sf, "labels").join(fx.table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    return r6(metrics.rank_metrics(rows, "quality", "n_chars", "doc_id"), "auroc", "average_precision")
+
+
+@query(
+    f"WITH {STEPS}, f AS (SELECT trace_id, construct, avg(mean) AS level, avg(std) AS noise, CAST(count(*) AS DOUBLE) AS len FROM t GROUP BY ALL), l AS (UNPIVOT f ON level, noise, len INTO NAME feature VALUE v), tr AS (SELECT * FROM l WHERE trace_id % 2 = 0), "
+    "p AS (SELECT feature, median(v) AS m, CASE WHEN mad(v) > 0 THEN 1.4826 * mad(v) ELSE 1.0 END AS s FROM tr GROUP BY feature), z AS (SELECT l.*, (v - m) / s AS z FROM l JOIN p USING (feature)), c AS (SELECT construct, feature, avg(z) AS c FROM z WHERE trace_id % 2 = 0 GROUP BY ALL) "
+    "SELECT z.trace_id, c.construct, round(sqrt(sum((z.z - c.c) * (z.z - c.c))), 6) AS score FROM z JOIN c USING (feature) WHERE z.trace_id % 2 = 1 GROUP BY ALL"
+)
+def nuisance_centroid(spark, sf):
+    f = fx.steps(spark, sf).groupBy("trace_id", "construct").agg(F.avg("mean").alias("level"), F.avg("std").alias("noise"), F.count(F.lit(1)).alias("len"))
+    out = metrics.nuisance_scores(f.where("trace_id % 2 = 0"), f.where("trace_id % 2 = 1"), ["level", "noise", "len"], "construct", "trace_id")
+    return r6(out, "score")
+
+
+_DRAWS = (
+    f"{SCORES}, e AS (SELECT truth, event_id, row_number() OVER (PARTITION BY truth ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY truth) AS n, CAST(truth = predicted AS DOUBLE) AS hit FROM pred), rep AS (SELECT unnest(range(50)) AS replicate), "
+    "dr AS (SELECT replicate, truth, i AS draw, ('0x' || substr(md5('11|' || truth || '|' || replicate || '|' || i), 1, 8))::BIGINT % n AS i FROM e CROSS JOIN rep), "
+    "acc AS (SELECT replicate, truth, sum(hit) AS h, count(*) AS k FROM dr JOIN e USING (truth, i) GROUP BY ALL), bs AS (SELECT replicate, sum(h) / sum(k) AS accuracy, avg(h / k) AS balanced_accuracy FROM acc GROUP BY replicate)"
+)
+
+
+def replicates(spark, sf):
+    pred = metrics.predictions(score_grid(spark, sf))
+    draws = metrics.bootstrap_draws(pred, 50, 11, "truth", "event_id")
+    return metrics.bootstrap_accuracy(pred, draws.select("replicate", "event_id"))
+
+
+@query(f"WITH {_DRAWS} SELECT round(quantile_cont(balanced_accuracy, 0.025), 6) AS low, round(quantile_cont(balanced_accuracy, 0.975), 6) AS high, count(*) AS replicates FROM bs")
+def bootstrap_ci(spark, sf):
+    return r6(metrics.percentile_interval(replicates(spark, sf), "balanced_accuracy", 0.95), "low", "high")
+
+
+@query(f"WITH {_DRAWS}, x AS (SELECT accuracy - balanced_accuracy AS d FROM bs) SELECT round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, count(*) AS replicates FROM x")
+def paired_bootstrap(spark, sf):
+    r = replicates(spark, sf)
+    return r6(metrics.paired_differences(r.select("replicate", F.col("accuracy").alias("v")), r.select("replicate", F.col("balanced_accuracy").alias("v")), "v"), "low", "high")
+
+
+@query(f"WITH {SCORES}, v AS (SELECT event_id, min(CASE WHEN label = truth THEN score END) AS w, min(CASE WHEN label <> truth THEN score END) AS b FROM s GROUP BY event_id) SELECT round(CASE WHEN avg(w) > 0 THEN avg(b) / avg(w) END, 6) AS separation FROM v")
+def separation_ratio(spark, sf):
+    own, other = (F.min(F.when(c, F.col("score"))) for c in (F.col("label") == F.col("truth"), F.col("label") != F.col("truth")))
+    v = score_grid(spark, sf).groupBy("event_id").agg(own.alias("w"), other.alias("b"))
+    return v.agg(F.round(metrics.separation_ratio(F.avg("b"), F.avg("w")), 6).alias("separation"))
+
+
+@query(
+    f"WITH {GRID}, u AS (SELECT label, is_training, unnest(mean) AS v, generate_subscripts(mean, 1) AS i FROM g), c AS (SELECT label, i, avg(v) FILTER (is_training) AS x, avg(v) FILTER (NOT is_training) AS y FROM u GROUP BY ALL) "
+    "SELECT label, round(sqrt(avg((x - y) * (x - y))), 6) AS rmse, round(avg(abs(x - y)), 6) AS mae, round(max(abs(x - y)), 6) AS max_abs, round(corr(x, y), 6) AS r FROM c GROUP BY label"
+)
+def curve_metrics(spark, sf):
+    u = fx.grid_traces(spark, sf).select("label", "is_training", F.posexplode("mean").alias("i", "v"))
+    c = u.groupBy("label", "i").agg(F.avg(F.when(F.col("is_training"), F.col("v"))).alias("x"), F.avg(F.when(~F.col("is_training"), F.col("v"))).alias("y"))
+    return r6(metrics.curve_metrics(c, "x", "y", "label"), "rmse", "mae", "max_abs", "r")
+
+
+@query(f"WITH {_RANKED}, k AS (SELECT label, trace_id, rank FROM ranks WHERE rank <= 4), s1 AS (SELECT label, trace_id, label AS t FROM g) SELECT k.label, k.rank, k.trace_id, round(r.row_sum, 6) AS row_sum, round(list_avg(g.mean), 6) AS level FROM k JOIN ranks r USING (label, trace_id) JOIN g ON g.trace_id = k.trace_id")
+def evidence_join_4way(spark, sf):
+    """Evidence of candidates from three tables by (class, rank), every candidate once in each."""
+    ranks = clusters.medoid_ranking(edges(spark, sf), "label", top=4)
+    level = fx.grid_traces(spark, sf).select("trace_id", (F.aggregate("mean", F.lit(0.0), lambda a, x: a + x) / F.size("mean")).alias("level"))
+    keys = ranks.select("label", "rank", "trace_id")
+    sums = ranks.select("label", "rank", "row_sum")
+    return r6(keys.join(sums, ["label", "rank"]).join(level, "trace_id").select("label", "rank", "trace_id", "row_sum", "level"), "row_sum", "level")
+
+
+# --- alignment, boundaries, change points ------------------------------------------------------------------------------
+
+
+def reference_profile(spark, sf):
+    """The training mean of class 0: one known profile for alignments."""
+    g = fx.grid_traces(spark, sf).where("label = 0 AND is_training").select(F.posexplode("mean").alias("i", "v"))
+    rows = g.groupBy("i").agg(F.avg("v").alias("v")).orderBy("i").collect()  # one profile's length
+    return [r["v"] for r in rows], [0.1] * len(rows)
+
+
+@query()
+def viterbi_alignment(spark, sf):
+    out = alignment.align_to_profile(fx.grid_traces(spark, sf), *reference_profile(spark, sf))
+    return r6(out.select("trace_id", "path", "total_score", "log_likelihood"), "total_score", "log_likelihood")
+
+
+def boundary_events(spark, sf):
+    steps = sized_steps(spark, sf)
+    s = F.sort_array(F.collect_list(F.struct("pos", "mean", "std", "start_sample", "end_sample")))
+    nested = steps.groupBy("trace_id").agg(s.alias("s"))
+    return nested.select("trace_id", F.pmod("trace_id", F.lit(5)).alias("fold"), F.lit(0).alias("anchor_id"), *[F.col(f"s.{c}").alias(c) for c in ("mean", "std", "start_sample", "end_sample")])
+
+
+def boundary_anchor(spark, sf, trim: int = 4):
+    """One known profile: the levels of the first template whose k-mers are all in the table, on the events' scale."""
+    anchor = lut.trusted_anchor(lut.half_step_profile(fx.templates(spark, sf), fx.kmer_table(spark, sf)), trim)
+    full = anchor.groupBy("template_id").agg(F.sort_array(F.collect_list(F.struct("state", "mean", "std", "ref_pos"))).alias("s"))
+    best = full.orderBy(F.size("s").desc(), "template_id").limit(1)
+    return best.select(F.lit(0).alias("anchor_id"), F.transform("s", lambda x: x["mean"] * 20).alias("mean"), F.transform("s", lambda x: x["std"] * 40).alias("std"), F.transform("s", lambda x: x["ref_pos"]).alias("ref_pos"))
+
+
+_LOOSE = BoundaryOptions(least_margin=-1e9, least_emission_margin=-1e9, least_observed=0.1)
+
+
+def decoded(spark, sf, trim: int = 4):
+    models = fold_models(spark, sf).select("held_fold", "region", "level", "spread")
+    return alignment.decode_boundaries(boundary_events(spark, sf), boundary_anchor(spark, sf, trim), models, "trace_id", options=_LOOSE)
+
+
+@query()
+def boundary_cv(spark, sf):
+    """Boundaries of each event by models of the other folds."""
+    return r6(decoded(spark, sf).drop("labels", "dna_path"), "coverage", "observed", "total", "null", "margin", "emission_margin")
+
+
+def _boundary_errors(spark, sf, trim):
+    truth = annotations(spark, sf).select("trace_id", (F.col("p_start") / 10).cast("long").alias("truth"))
+    return decoded(spark, sf, trim).join(truth, "trace_id").select("trace_id", "status", (F.col("boundary_step") - F.col("truth")).cast("double").alias("error"), F.lit(trim).alias("trim"))
+
+
+@query()
+def trim_sweep(spark, sf):
+    """Boundary errors for trims of 0 to 3 states, and the choice."""
+    rows = io.union_rows([_boundary_errors(spark, sf, t) for t in range(4)])
+    return metrics.best_trim(metrics.boundary_summary(rows, "trim"))
+
+
+@query()
+def cpic_steps(spark, sf):
+    """Levels of each user's values by time."""
+    return r6(alignment.change_point_steps(fx.traces(spark, sf).select("trace_id", F.col("mean").alias("samples")), "trace_id", sensitivity=0.5), "mean", "std")
+
+
+@query()
+def profile_hmm_fit(spark, sf):
+    return hmm_profiles(spark, sf).select("grp", "medoid_id", "n_iter", "converged", F.transform("mean", lambda x: F.round(x, 5)).alias("mean"))
+
+
+def hmm_profiles(spark, sf):
+    """Profile HMMs of short native traces: the customers' order totals by time, grouped by segment."""
+    return alignment.fit_profile_hmms(order_traces(spark, sf), "grp", max_iter=3, min_std=0.05)
+
+
+def order_traces(spark, sf):
+    o = fx.table(spark, sf, "orders").join(fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("grp")), "o_custkey")
+    s = F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice")))
+    n = o.groupBy(F.col("o_custkey").alias("trace_id"), "grp").agg(s.alias("s")).where("size(s) BETWEEN 8 AND 16")
+    return n.select("trace_id", "grp", F.transform("s", lambda x: x["o_totalprice"] / 100000).alias("mean"), F.transform("s", lambda x: F.lit(0.2)).alias("std"), F.transform("s", lambda x: F.lit(1.0)).alias("dwell"))
+
+
+@query()
+def profile_hmm_score(spark, sf):
+    return r6(alignment.score_against(order_traces(spark, sf), hmm_profiles(spark, sf), "grp", "hmm", min_std=0.05), "score", digits=5)
+
+
+@query()
+def hmm_gates(spark, sf):
+    n = order_traces(spark, sf).groupBy("grp").agg(F.count(F.lit(1)).alias("n_reads"))
+    return alignment.hmm_gates(hmm_profiles(spark, sf), "grp", n)
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Per class: the consensus of training traces, and how held-out traces match all classes' consensus."""
+    profiles = fitted(spark, sf)
+    held = fx.grid_traces(spark, sf).where("NOT is_training")
+    grid = alignment.score_against(held, profiles, "label").join(held.select("trace_id", F.col("label").alias("truth")), "trace_id").select(F.col("trace_id").alias("event_id"), "truth", "label", "score")
+    cells = metrics.confusion(metrics.predictions(grid), profiles.select("label"))
+    return metrics.per_class(cells).join(profiles.select("label", "medoid_id", "iterations", "converged"), "label")
+
+
+@query()
+def consensus_classification(spark, sf):
+    return r6(flagship(spark, sf), "recall", "precision", "f1")

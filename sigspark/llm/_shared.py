@@ -70,6 +70,15 @@ def parts_for(volume: float, each: float, least: int = 16) -> int:
     return parts
 
 
+def lowest_hashes(rows: DataFrame, n: int, *columns: str) -> DataFrame:
+    """The columns of at most n rows, those with the lowest hashes of doc_id: ids are chosen first, so that texts aren't sorted.
+
+    The chosen ids, n at most, go to all tasks.
+    """
+    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).distinct()
+    return rows.join(F.broadcast(ids), "doc_id").select("doc_id", *columns).limit(2 * n).orderBy(F.xxhash64("doc_id"), "doc_id", *columns).limit(n)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the files of shuffles that no frame refers to any more, rather than at some later collection."""
     gc.collect()

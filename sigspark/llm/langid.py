@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import _text as T
-from ._shared import free_shuffles
+from ._shared import free_shuffles, lowest_hashes
 
 COLUMNS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -181,7 +181,7 @@ def _document_frequencies(batches):
 def fit(spark: SparkSession, learn: DataFrame, fit_rows: int = 3000, epochs: int = 3, **penalties) -> Model | None:
     """A model of the learning rows (doc_id, text, lang); None if there are none with letters.
 
-    Rows without text, lang or letters teach nothing. The sample takes as many rows of each language as its share of fit_rows.
+    Rows without text, lang or letters teach nothing. The sample is of fit_rows rows at most.
     """
     learn = learn.where("text IS NOT NULL AND lang IS NOT NULL")
     found = {int(r["column"]): int(r["n"]) for r in learn.select("text").mapInArrow(_document_frequencies, "column long, n long").groupBy("column").agg(F.sum("n").alias("n")).collect()}
@@ -190,7 +190,7 @@ def fit(spark: SparkSession, learn: DataFrame, fit_rows: int = 3000, epochs: int
     df = np.zeros(COLUMNS)
     df[list(found)] = list(found.values())
     idf = np.log((1 + n) / (1 + df)) + 1
-    sample = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("text", "lang").toArrow()
+    sample = lowest_hashes(learn, fit_rows, "text", "lang").toArrow()
     langs = sample.column("lang").to_pylist()
     rows, targets = [], []
     labels = sorted(set(langs))

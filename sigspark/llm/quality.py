@@ -87,17 +87,20 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def fit(learn: DataFrame, fit_rows: int = 2400, level: int = LEVEL) -> Model | None:
-    """A model of the rows (doc_id, text, quality); None unless both labels occur.
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2400, level: int = LEVEL) -> Model | None:
+    """A model of the labelled rows (see labelled); None unless both labels occur.
 
     At most fit_rows documents of each label are used, whole texts, those with the lowest hashes of their ids: half of them for the
-    dictionaries, half for the curve.
+    dictionaries, half for the curve. Ids are chosen before any text is moved; the chosen ones, twice fit_rows at most, go to
+    all tasks.
     """
-    learn = learn.where("text IS NOT NULL AND quality IN (0, 1)")
-    sample = []
-    for label in (0, 1):
-        rows = learn.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("text").toArrow().column("text")
-        sample.append([(t.as_py() or "").encode() for t in rows])
+    chosen = labelled(docs, labels)
+    ids = [chosen.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for label in (0, 1)]
+    ids = spark_rows(docs, ids[0].union(ids[1]))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    sample = [[], []]
+    for label, text in zip(rows.column("quality").to_pylist(), rows.column("text").to_pylist()):
+        sample[label].append((text or "").encode())
     if not all(sample):
         return None
     build, rest = zip(*((s[::2], s[1::2] or s) for s in sample))
@@ -129,15 +132,20 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFram
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, quality) of the labelled documents to learn from: those that are not held out.
+    """(doc_id, quality) of the labelled documents to learn from: those with text that are not held out.
 
-    Rows without a label or id teach nothing; of a document with several labels the least counts.
+    Rows without a label of 0 or 1 or without an id teach nothing; of a document with several labels the least counts.
     """
-    own = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return docs.select("doc_id", "text").where(~held_out()).join(own, "doc_id")
+    own = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    return docs.where("text IS NOT NULL").select("doc_id").distinct().join(own, "doc_id")
+
+
+def spark_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """A bounded set of ids as a local table, so that it is computed once."""
+    return docs.sparkSession.createDataFrame(ids.collect(), "doc_id long, quality int")
 
 
 def op10_quality_by_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of documents; the labels are those of the table labels."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return score(spark, docs, fit(labelled(docs, labels)))
+    return score(spark, docs, fit(docs, labels))

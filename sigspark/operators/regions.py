@@ -63,7 +63,7 @@ def fit_levels(values: DataFrame, *keys: str, value: str = "mean", floor: float
 def leave_fold_out(rows: DataFrame, fold: str, folds: int) -> DataFrame:
     """Rows once for each fold that is not their own, with the held-out fold as `held_fold`: the training rows of each fold."""
     others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(fold))
-    return rows.withColumn("held_fold", F.explode(others).cast("long"))
+    return rows.withColumn("held_fold", F.explode(others)).withColumn("held_fold", F.col("held_fold").cast("long"))
 
 
 def blocked_groups(events: DataFrame, blocks: int, order: str, *keys: str) -> DataFrame:

@@ -143,8 +143,8 @@ _AT = "unnest(range({t})) AS i"
 def _resample_sql(target: str, extra: str = "") -> str:
     return (
         f"WITH {STEPS}{extra}, n AS (SELECT trace_id, list(mean ORDER BY pos) AS m, list(std * std ORDER BY pos) AS v, count(*) AS k FROM t GROUP BY trace_id), "
-        f"x AS (SELECT trace_id, m, v, k, unnest(range({target})) AS i, {target} AS target FROM n), y AS (SELECT *, i * (k - 1) / (target - 1) AS at FROM x), z AS (SELECT *, least(CAST(floor(at) AS BIGINT), k - 1) AS lo FROM y), "
-        "w AS (SELECT *, least(lo + 1, k - 1) AS hi FROM z) SELECT trace_id, i AS pos, round(m[lo + 1] + (m[hi + 1] - m[lo + 1]) * (at - lo), 6) AS mean, round(sqrt(greatest(v[lo + 1] + (v[hi + 1] - v[lo + 1]) * (at - lo), 1e-6)), 6) AS std FROM w"
+        f"x AS (SELECT trace_id, m, v, k, unnest(range({target})) AS i, {target} AS target FROM n), y AS (SELECT *, i * (k - 1) / (target - 1) AS xq FROM x), z AS (SELECT *, least(CAST(floor(xq) AS BIGINT), k - 1) AS lo FROM y), "
+        "w AS (SELECT *, least(lo + 1, k - 1) AS hi FROM z) SELECT trace_id, i AS pos, round(m[lo + 1] + (m[hi + 1] - m[lo + 1]) * (xq - lo), 6) AS mean, round(sqrt(greatest(v[lo + 1] + (v[hi + 1] - v[lo + 1]) * (xq - lo), 1e-6)), 6) AS std FROM w"
     )
 
 
@@ -153,9 +153,10 @@ def resample_fixed_100(spark, sf):
     return r6(fx.unnest(resample.representation(fx.traces(spark, sf), "fixed", 100)).select("trace_id", "pos", "mean", "std"), "mean", "std")
 
 
-@query(f"WITH {STEPS}, l AS (SELECT DISTINCT trace_id, construct, n FROM t), p AS (SELECT construct, quantile_cont(n, 0.95) AS p FROM l GROUP BY construct) SELECT CAST(ceil(max(p)) AS BIGINT) AS target, (SELECT list(construct ORDER BY construct) FROM p WHERE p.p = (SELECT max(p) FROM p)) AS determining FROM p")
+@query(f"WITH {STEPS}, l AS (SELECT DISTINCT trace_id, construct, n FROM t), p AS (SELECT construct, quantile_cont(n, 0.95) AS p FROM l GROUP BY construct) SELECT CAST(ceil(max(p)) AS BIGINT) AS target, (SELECT string_agg(CAST(construct AS VARCHAR), '/' ORDER BY construct) FROM p WHERE p.p = (SELECT max(p) FROM p)) AS determining FROM p")
 def target_length_selection(spark, sf):
-    return resample.target_length(trace_lengths(spark, sf), "construct")
+    out = resample.target_length(trace_lengths(spark, sf), "construct")
+    return out.withColumn("determining", F.array_join(F.transform("determining", lambda x: x.cast("string")), "/"))
 
 
 @query(

@@ -43,14 +43,22 @@ class MergeAutomaton:
         self._trie()
 
     def _compile(self, size: int, single: list[int], merges: list[tuple[int, int, int]]) -> None:
-        arcs = np.zeros((size, 64), np.uint8)  # bit s of row t: state s has an arc t
-        state, sharing, states = np.zeros(size, np.int32), [len(single) + 1], 1  # the entry shares state 0
+        # the number of states follows from who shares a state; with it the table is made once, at its final size
+        state, sharing = np.zeros(size, np.int32), [len(single) + 1]  # the entry shares state 0
+        for a, b, ab in merges:
+            old = state[b]
+            if sharing[state[a]] > 1 or a == b:
+                sharing[state[a]] -= 1
+                sharing.append(1)
+                state[a] = len(sharing) - 1
+            state[ab] = old
+            sharing[old] += 1
+        arcs = np.zeros((size, (len(sharing) + 7) // 8), np.uint8)  # bit s of row t: state s has an arc t
+        state, sharing, states = np.zeros(size, np.int32), [len(single) + 1], 1
         arcs[single, 0] = 1
         for a, b, ab in merges:
             q, old = state[a], state[b]
             if sharing[q] > 1 or a == b:  # for a+a, `old` must keep its arc a: it is where aa leads
-                if states == 8 * arcs.shape[1]:
-                    arcs = np.concatenate([arcs, np.zeros_like(arcs)], axis=1)
                 has = (arcs[:ab, q >> 3] >> np.uint8(q & 7)) & np.uint8(1)
                 arcs[:ab, states >> 3] |= has << np.uint8(states & 7)
                 sharing[q] -= 1
@@ -61,22 +69,31 @@ class MergeAutomaton:
             arcs[ab] = arcs[a]
             state[ab] = old
             sharing[old] += 1
-        self.arcs, self.state, self.states = np.ascontiguousarray(arcs[:, : (states + 7) // 8]), state, states
+        self.arcs, self.state, self.states = arcs, state, states
 
     def _trie(self) -> None:
-        nodes, token = [np.zeros(256, np.int32)], [-1]
+        """The byte trie of the labels; only nodes with children have a row in the table, and they come first."""
+        children, token = [{}], [-1]
         for i, label in enumerate(self.labels):
             if not label or label in self.special:
                 continue
             at = 0
             for byte in label:
-                if not nodes[at][byte]:
-                    nodes[at][byte] = len(nodes)
-                    nodes.append(np.zeros(256, np.int32))
+                if byte not in children[at]:
+                    children[at][byte] = len(children)
+                    children.append({})
                     token.append(-1)
-                at = nodes[at][byte]
+                at = children[at][byte]
             token[at] = i
-        self.next, self.token = np.stack(nodes), np.array(token, np.int32)
+        order = sorted(range(len(children)), key=lambda k: not children[k])
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        self.inner = sum(map(bool, children))
+        self.next = np.zeros((self.inner, 256), np.int32)
+        for k in order[: self.inner]:
+            for byte, to in children[k].items():
+                self.next[place[k], byte] = place[to]
+        self.token = np.array([token[k] for k in order], np.int32)
         self.sizes = np.fromiter(map(len, self.labels), np.int64, len(self.labels))
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +136,7 @@ class MergeAutomaton:
             at.append(cell[live[found]])
             tokens.append(self.token[node[found]])
             target.append(cell[live[found]] + depth)
-            more = limit[live] > depth
+            more = (limit[live] > depth) & (node < self.inner)
             live, node = live[more], node[more]
         at, tokens, target = np.concatenate(at), np.concatenate(tokens), np.concatenate(target)
         first = ends - lengths + np.arange(len(words))  # each word's first cell

@@ -232,7 +232,6 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFr
     def run(batches):
         model = sent.value
         for batch in batches:
-            names, scores = [], []
             for a, b, data, offs in T.chunks(batch.column(text_at), CHUNK):
                 pointers, columns, counts, letters = chunk_features(data, offs)
                 if model is None:
@@ -240,11 +239,9 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFr
                     p = np.zeros((b - a, 1))
                 else:
                     p = softmax(model.logits(pointers, columns, counts) / model.temperature)
-                best = p.argmax(axis=1)
-                names += [model.labels[k] if ok else UNDETERMINED for k, ok in zip(best, letters)]
-                scores.append(np.where(letters, p.max(axis=1), 0.0))
-            score = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+                names = [model.labels[k] if ok else UNDETERMINED for k, ok in zip(p.argmax(axis=1), letters)]
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(names, pa.string()), pa.array(np.where(letters, p.max(axis=1), 0.0))], names=[*own.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
 

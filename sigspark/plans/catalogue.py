@@ -11,6 +11,7 @@ from ..functions.boundary import BoundaryOptions
 from ..operators import alignment, clusters, consensus, lut, metrics, pairs, regions, resample, robust
 from ..sources import fixtures as fx
 from ..sources import io
+from . import studies
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -600,7 +601,7 @@ def cluster_choice(spark, sf):
 
 def fitted(spark, sf):
     train = fx.grid_traces(spark, sf).where("is_training")
-    return consensus.fit_barycentres(train, "label", min_depth=None, max_iter=5)
+    return studies.local(consensus.fit_barycentres(train, "label", min_depth=None, max_iter=5))
 
 
 @query()
@@ -816,7 +817,7 @@ def profile_hmm_fit(spark, sf):
 
 def hmm_profiles(spark, sf):
     """Profile HMMs of short native traces: the customers' order totals by time, grouped by segment."""
-    return alignment.fit_profile_hmms(order_traces(spark, sf), "grp", max_iter=3, min_std=0.05)
+    return studies.local(alignment.fit_profile_hmms(order_traces(spark, sf), "grp", max_iter=3, min_std=0.05))
 
 
 def order_traces(spark, sf):
@@ -849,3 +850,55 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def consensus_classification(spark, sf):
     return r6(flagship(spark, sf), "recall", "precision", "f1")
+
+
+# --- studies -----------------------------------------------------------------------------------------------------------
+
+
+def cohort(spark, sf):
+    """Users as traces of three constructs with a stored split."""
+    return fx.traces(spark, sf).withColumn("construct", F.col("construct") % 3).withColumn("is_training", F.pmod(F.xxhash64("trace_id"), F.lit(2)) == 0)
+
+
+@query()
+def study_preprocess(spark, sf):
+    prepared, _ = studies.preprocess(sized_steps(spark, sf), annotations(spark, sf), 0.5, 0.2, tail_threshold=0.6)
+    return prepared.select("trace_id", "construct", F.size("mean").cast("long").alias("n"), F.size("dna_window").cast("long").alias("window"), F.size("tail_mean").cast("long").alias("tail"))
+
+
+@query()
+def study_screen(spark, sf):
+    return r6(studies.screen(cohort(spark, sf), "construct"), "score")
+
+
+@query()
+def study_representations(spark, sf):
+    g = fx.grid_traces(spark, sf)
+    return r6(studies.compare_representations(g.where("is_training"), g.where("NOT is_training"), "label", fixed=32, max_iter=2), "accuracy", "balanced_accuracy", "macro_f1", "low", "high")
+
+
+@query()
+def synthetic_consensus(spark, sf):
+    """The consensus of the synthetic demonstration set against its template."""
+    d = studies.demonstration(spark)
+    rows = [(float(x), float(t), float(m), float(s), int(k)) for x, t, m, s, k in zip(d["position"], d["truth"], d["mean"], d["std"], d["depth"])]
+    return r6(spark.createDataFrame(rows, "relative_position double, synthetic_truth double, consensus_mean double, consensus_std double, read_depth long"), "relative_position", "synthetic_truth", "consensus_mean", "consensus_std", digits=9)
+
+
+@query()
+def study_ablation(spark, sf):
+    return r6(studies.ablation(cohort(spark, sf), "construct", fixed=32, threshold=6.0, max_iter=2), "accuracy", "balanced_accuracy", "macro_f1")
+
+
+@query()
+def study_medoid_robustness(spark, sf):
+    g = fx.grid_traces(spark, sf)
+    return r6(studies.medoid_robustness(g.where("is_training"), g.where("NOT is_training"), "label", top=2, max_iter=2), "row_sum", "distance", "rmse", "accuracy")
+
+
+@query()
+def study_boundary_transfer(spark, sf):
+    steps = regions.three_regions(sized_steps(spark, sf), annotations(spark, sf), "trace_id").withColumn("fold", F.pmod("trace_id", F.lit(5)))
+    events = boundary_events(spark, sf).withColumn("construct", F.col("trace_id") % 9)
+    truth = annotations(spark, sf).select("trace_id", (F.col("p_start") / 10).cast("long").alias("truth"))
+    return studies.boundary_transfer(events, boundary_anchor(spark, sf), steps, truth, 0, options=_LOOSE)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -145,3 +146,14 @@ def positions(profiles: DataFrame, *keys: str) -> DataFrame:
     rows = profiles.select(*keys, F.size("mean").alias("n"), F.posexplode(F.arrays_zip(*columns)).alias("pos", "x"))
     relative = F.when(F.col("n") > 1, F.col("pos") / (F.col("n") - 1)).otherwise(F.lit(0.0))
     return rows.select(*keys, "pos", relative.alias("relative_position"), *[F.col(f"x.{c}").alias(c) for c in columns])
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The frame, computed once and kept in the shared folder of spark.checkpoint.dir, so that plans over it stay short.
+
+    Only where no folder is set, as in tests, is a temporary one.
+    """
+    sc = frame.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="sigspark-"))
+    return frame.checkpoint()

@@ -41,6 +41,7 @@ class MergeAutomaton:
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in merges]
         self._compile(size, [vocab[s] for s in byte_signs()], [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self._trie()
+        description.cache_clear()
 
     def _compile(self, size: int, single: list[int], merges: list[tuple[int, int, int]]) -> None:
         # the number of states follows from who shares a state; with it the table is made once, at its final size
@@ -69,10 +70,14 @@ class MergeAutomaton:
             arcs[ab] = arcs[a]
             state[ab] = old
             sharing[old] += 1
-        self.arcs, self.state, self.states = arcs, state, states
+        # tokens that may stand after the same states share a row
+        rows: dict[bytes, int] = {}
+        self.row = np.array([rows.setdefault(r.tobytes(), len(rows)) for r in arcs], np.int32)
+        self.arcs = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+        self.state, self.states = state, states
 
     def _trie(self) -> None:
-        """The byte trie of the labels; only nodes with children have a row in the table, and they come first."""
+        """The byte trie of the labels: nodes of several children, with a row each in the table, then those of one, then leaves."""
         children, token = [{}], [-1]
         for i, label in enumerate(self.labels):
             if not label or label in self.special:
@@ -85,14 +90,19 @@ class MergeAutomaton:
                     token.append(-1)
                 at = children[at][byte]
             token[at] = i
-        order = sorted(range(len(children)), key=lambda k: not children[k])
+        order = sorted(range(len(children)), key=lambda k: -min(len(children[k]), 2))
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
+        self.wide = sum(len(c) > 1 for c in children)
         self.inner = sum(map(bool, children))
-        self.next = np.zeros((self.inner, 256), np.int32)
+        self.next = np.zeros((self.wide, 256), np.int32)
+        self.only = np.zeros((2, self.inner), np.int32)  # byte and child of nodes with one child
         for k in order[: self.inner]:
             for byte, to in children[k].items():
-                self.next[place[k], byte] = place[to]
+                if place[k] < self.wide:
+                    self.next[place[k], byte] = place[to]
+                else:
+                    self.only[:, place[k]] = byte, place[to]
         self.token = np.array([token[k] for k in order], np.int32)
         self.sizes = np.fromiter(map(len, self.labels), np.int64, len(self.labels))
 
@@ -128,7 +138,10 @@ class MergeAutomaton:
         node, live, depth = np.zeros(len(data), np.int32), np.arange(len(data)), 0
         at, tokens, target = [], [], []
         while len(live):
-            node = self.next[node, data[live + depth]]
+            byte, few = data[live + depth], node >= self.wide
+            to = np.where(self.only[0, node] == byte, self.only[1, node], 0)
+            to[~few] = self.next[node[~few], byte[~few]]
+            node = to
             depth += 1
             going = node > 0
             live, node = live[going], node[going]
@@ -149,7 +162,7 @@ class MergeAutomaton:
         bounds = np.searchsorted(step, np.arange(1, (lengths.max() if len(lengths) else 0) + 2))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             s, t = state[at[a:b]], tokens[a:b]
-            ok = (s >= 0) & (((self.arcs[t, s >> 3] >> (s & 7).astype(np.uint8)) & 1) == 1)
+            ok = (s >= 0) & (((self.arcs[self.row[t], s >> 3] >> (s & 7).astype(np.uint8)) & 1) == 1)
             token[target[a:b][ok]] = t[ok]
             state[target[a:b][ok]] = self.state[t[ok]]
         # back along the accepted arcs

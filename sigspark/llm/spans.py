@@ -107,7 +107,8 @@ def repeated_spans(stage: Stage, docs: DataFrame, options: tuple[int, int, int])
     """
     runs = stage.put(texts(docs).mapInArrow(lambda it: _emit(options, it), "run long, doc_id long, place int"), "runs")
     least = F.min(F.struct("doc_id", "place")).alias("least")
-    twice = runs.groupBy("run").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "least")
+    # written, so that the join reads both sides as they are dealt and Spark can split a run that many documents hold
+    twice = stage.put(runs.groupBy("run").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "least"), "twice")
     return runs.join(twice, "run").where(F.struct("doc_id", "place") != F.col("least")).select("doc_id", "place")
 
 
@@ -123,7 +124,7 @@ def remove_repeated_spans(spark: SparkSession, docs: DataFrame, sentences: int =
     docs = docs.select(*others)
     marks = repeated_spans(stage, docs, options).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     marks = stage.put(marks, "marks").withColumnRenamed("doc_id", "marked_id")
-    stage.drop("runs")
+    stage.drop("runs", "twice")
     joined = docs.join(marks, F.col("doc_id") == F.col("marked_id"), "left").select(*others, "places")
     fields = [*docs.schema.fields, StructField("n_sentences", LongType()), StructField("n_removed", LongType())]
     out = StructType([StructField("text", StringType()) if f.name == "text" else f for f in fields])

@@ -95,6 +95,7 @@ def frequent_tokens(docs: DataFrame, volume: int, width: int, limit: int = FREQU
                 if n > 2_000_000:
                     yield flush()
                     held, n = [], 0
+                    T.trim()
         if n:
             yield flush()
 
@@ -218,9 +219,10 @@ def _emit_signatures(frequent, width, percent, parts, batches):
                 if len(sig):
                     held[kind].append((sig, digest[sdoc], sizes[sdoc], lead[sdoc]))
                     n += len(sig)
-            if n > 1_000_000:
+            if n > 500_000:
                 yield flush()
                 held, n = ([], []), 0
+                T.trim()
     if n:
         yield flush()
 
@@ -289,7 +291,9 @@ def _candidates(percent: int, parts: int, table: pa.Table) -> pa.Table:
     columns = {"group": (none, group), "a": (a[new], node[member]), "b": (b[new], none), "shared": (shared, none), "slack": (slack[new], none), "total": (total[new], n[member])}
     k, g = len(new), len(group)
     fill = lambda x, y, i: pa.concat_arrays([pa.array(x) if len(x) == k and i else pa.nulls(k, pa.int64()), pa.array(y) if len(y) == g else pa.nulls(g, pa.int64())])
-    return pa.table({c: fill(x, y, c != "group") for c, (x, y) in columns.items()})
+    out = pa.table({c: fill(x, y, c != "group") for c, (x, y) in columns.items()})
+    T.trim()
+    return out
 
 
 def _emit_sets(wanted, width, batches):
@@ -364,6 +368,7 @@ def _solve(percent: int, table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in rows]
         own = node[rows][solve_cluster(sets, percent)] if len(sets) > 1 else node[rows]
         label[order[a:b]] = own[np.searchsorted(node[rows], node[order[a:b]])]
+    T.trim()
     return pa.table({"node": node, "label": label})
 
 

@@ -22,7 +22,7 @@ from ._shared import Stage, texts
 WINDOW = 13
 #: Rarest terms of a window whose lists are intersected.
 RAREST = 3
-#: Most distinct benchmark terms, alignments' items or ids that are sent to every executor at once.
+#: Most benchmark words that are sent to every executor at once; more are matched in blocks.
 BROADCAST_TERMS = 1_000_000
 
 
@@ -119,7 +119,7 @@ def _read_alignments(items, window, batches):
                 own = words[first[k - a] : first[k - a + 1]]
                 hit, found = np.zeros(len(own), bool), set()
                 for al in batch.column(2)[k].as_py():
-                    item = words_of[al["item_id"]]
+                    name, item = words_of[al["item_id"]]
                     size = min(window, len(item))
                     lo, hi = max(0, -al["d"]), min(len(item), len(own) - al["d"])
                     if hi - lo < size:
@@ -128,7 +128,7 @@ def _read_alignments(items, window, batches):
                     run = np.cumsum(np.concatenate([[0], same]))
                     begins = np.flatnonzero(run[size:] - run[:-size] == size)
                     if len(begins):
-                        found.add(al["item_id"])
+                        found.add(name)
                         for s in begins:
                             hit[al["d"] + lo + s : al["d"] + lo + s + size] = True
                 if found:
@@ -138,22 +138,27 @@ def _read_alignments(items, window, batches):
             yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, schema)], schema=schema)
 
 
-def benchmark_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST, near_span: int | None = None) -> DataFrame:
+def benchmark_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST, near_span: int | None = None, most_terms: int = BROADCAST_TERMS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (ids of items with an occurring window, ascending), spans
     (begin and end word of each hit run, in turn), and with near_span, n_near (items of which all the rarest terms of some
     window stand within that many words, in any order).
 
     Null and blank texts have no words. Items without an id or words match nothing; an item of fewer than `window` words is
-    one window. Documents without an id are left out; of repeated ids each row is kept. Empty tables give no matches.
+    one window; items of one id count once. More benchmark words than most_terms are matched in blocks of items (rows of one doc_id then become one). Documents without an id are left out; of repeated ids each row is kept. Empty tables give no matches.
     """
-    docs, items = texts(docs), texts(items, "item_id").withColumnRenamed("doc_id", "item_id")
+    docs, items = texts(docs), texts(items, "item_id").withColumnRenamed("doc_id", "item_id").where("text IS NOT NULL").distinct()
     stage = Stage(spark, "contamination")
-    words = stage.put(benchmark_terms(items), "words")
+    # rows of one item_id with different texts are items of their own until the result
+    named = items.select("item_id", F.xxhash64("item_id", "text").alias("key"), "text")
+    words = stage.put(benchmark_terms(named.select(F.col("key").alias("item_id"), "text")), "words")
     n_terms = words.count()
-    if n_terms > BROADCAST_TERMS:
-        raise ValueError(f"{n_terms} benchmark words: split the items into runs of at most {BROADCAST_TERMS} words")
+    if n_terms > most_terms:
+        blocks = -(-2 * n_terms // most_terms)
+        parts = [benchmark_matches(spark, docs, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), window, rarest, near_span, 1 << 62) for k in range(blocks)]
+        return _united(parts, near_span is not None)
     send = spark.sparkContext.broadcast
     table = words.orderBy("item_id", "pos").toPandas()
+    names = {r["key"]: r["item_id"] for r in named.select("key", "item_id").join(words.select(F.col("item_id").alias("key")).distinct(), "key", "left_semi").collect()}
     terms = send(np.unique(table["term"].to_numpy(np.int64).view(np.uint64)))
     chosen = stage.put(choose_terms(words, count_terms(docs, terms), window, rarest), "chosen")
     picked = chosen.select("term").distinct().toPandas()["term"].to_numpy(np.int64).view(np.uint64)
@@ -169,7 +174,7 @@ def benchmark_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, wi
     candidates = stage.put(held.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "d")).alias("alignments")), "candidates")
     at = {}
     for item, group in table.groupby("item_id")["term"]:
-        at[int(item)] = group.to_numpy(np.int64).view(np.uint64)
+        at[int(item)] = names[int(item)], group.to_numpy(np.int64).view(np.uint64)
     sent = send(at)
     read = docs.join(candidates, "doc_id").select("doc_id", "text", "alignments")
     exact = stage.put(read.mapInArrow(lambda it: _read_alignments(sent, window, it), "doc_id long, n_hit long, items array<long>, spans array<int>").dropDuplicates(["doc_id"]), "exact")
@@ -179,6 +184,32 @@ def benchmark_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, wi
     return out
 
 
+def _united(parts: list[DataFrame], near: bool) -> DataFrame:
+    """One row per document from the matches of blocks of items: items together, hit spans merged."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    extra = [F.sum("n_near").alias("n_near")] if near else []
+    per = every.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), *extra)
+
+    def merge(frames):
+        for frame in frames:
+            spans, hits = [], []
+            for flat in frame["spans"]:
+                out: list[int] = []
+                for a, b in sorted(zip(flat[::2], flat[1::2])):
+                    if out and a <= out[-1]:
+                        out[-1] = max(out[-1], b)
+                    else:
+                        out += [int(a), int(b)]
+                spans.append(out)
+                hits.append(sum(out[1::2]) - sum(out[::2]))
+            yield frame.assign(spans=spans, n_hit=hits)[columns]
+
+    columns = ["doc_id", "n_words", "n_hit", "items", "spans", *(["n_near"] if near else [])]
+    return per.mapInPandas(merge, "doc_id long, n_words long, n_hit long, items array<long>, spans array<int>" + (", n_near long" if near else ""))
+
+
 def proximity(index: DataFrame, chosen: DataFrame, span: int) -> DataFrame:
     """(doc_id, n_near): items of which all the rarest terms of some window stand within `span` words of the document."""
     wanted = chosen.groupBy("item_id", "start").agg(F.count_distinct("term").alias("need"))

@@ -51,6 +51,13 @@ def test_contamination(spark, docs, corpus, items, rarest):
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w))
 
 
+def test_contamination_in_blocks_and_repeated_items(spark, docs, items):
+    more = items.union(items).unionByName(docs.where("length(text) > 300").select(F.lit(30).cast("long").alias("item_id"), "text").limit(2))
+    whole = {r["doc_id"]: r for r in benchmark_matches(spark, docs, more).collect()}
+    parts = {r["doc_id"]: r for r in benchmark_matches(spark, docs, more, most_terms=60).collect()}
+    assert whole == parts and any(30 in r["items"] for r in whole.values())
+
+
 def test_contamination_of_nothing(spark, docs, none, items):
     assert benchmark_matches(spark, none, items).collect() == []
     assert flags(benchmark_matches(spark, docs, items.limit(0))).where("n_hit > 0").count() == 0

@@ -812,30 +812,31 @@ def cpic_steps(spark, sf):
 
 @query()
 def profile_hmm_fit(spark, sf):
-    return hmm_profiles(spark, sf).select("grp", "medoid_id", "n_iter", "converged", F.transform("mean", lambda x: F.round(x, 5)).alias("mean"))
+    return hmm_profiles(spark, sf).select("label", "medoid_id", "n_iter", "converged", F.transform("mean", lambda x: F.round(x, 5)).alias("mean"))
 
 
 def hmm_profiles(spark, sf):
-    """Profile HMMs of short native traces: the customers' order totals by time, grouped by segment."""
-    return studies.local(alignment.fit_profile_hmms(order_traces(spark, sf), "grp", max_iter=3, min_std=0.05))
-
-
-def order_traces(spark, sf):
-    o = fx.table(spark, sf, "orders").join(fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("grp")), "o_custkey")
-    s = F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice")))
-    n = o.groupBy(F.col("o_custkey").alias("trace_id"), "grp").agg(s.alias("s")).where("size(s) BETWEEN 8 AND 16")
-    return n.select("trace_id", "grp", F.transform("s", lambda x: x["o_totalprice"] / 100000).alias("mean"), F.transform("s", lambda x: F.lit(0.2)).alias("std"), F.transform("s", lambda x: F.lit(1.0)).alias("dwell"))
+    """Profile HMMs of the training embeddings of each class."""
+    train = fx.grid_traces(spark, sf).where("is_training")
+    return studies.local(alignment.fit_profile_hmms(train, "label", max_iter=2, min_std=0.05))
 
 
 @query()
 def profile_hmm_score(spark, sf):
-    return r6(alignment.score_against(order_traces(spark, sf), hmm_profiles(spark, sf), "grp", "hmm", min_std=0.05), "score", digits=5)
+    held = fx.grid_traces(spark, sf).where("NOT is_training")
+    return r6(alignment.score_against(held, hmm_profiles(spark, sf), "label", "hmm", min_std=0.05), "score", digits=5)
 
 
 @query()
 def hmm_gates(spark, sf):
-    n = order_traces(spark, sf).groupBy("grp").agg(F.count(F.lit(1)).alias("n_reads"))
-    return alignment.hmm_gates(hmm_profiles(spark, sf), "grp", n)
+    n = fx.grid_traces(spark, sf).where("is_training").groupBy("label").agg(F.count(F.lit(1)).alias("n_reads"))
+    return alignment.hmm_gates(hmm_profiles(spark, sf), "label", n)
+
+
+@query()
+def hmm_iterations(spark, sf):
+    rows = alignment.hmm_iterations(hmm_profiles(spark, sf), "label")
+    return rows.select("label", "iter", *[F.round(c, 4).alias(c) for c in ("log_likelihood", "delta", "emission_before", "emission_after")])
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

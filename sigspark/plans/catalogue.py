@@ -161,10 +161,11 @@ def target_length_selection(spark, sf):
 
 
 @query(
-    f"WITH {STEPS}, l AS (SELECT DISTINCT trace_id, construct, n FROM t) SELECT construct, count(*) AS count, min(n) AS min, round(quantile_cont(n, 0.25), 6) AS p25, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.75), 6) AS p75, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, max(n) AS max FROM l GROUP BY ROLLUP (construct)"
+    f"WITH {STEPS}, l AS (SELECT DISTINCT trace_id, construct, n FROM t) SELECT coalesce(CAST(construct AS VARCHAR), 'all') AS construct, count(*) AS count, min(n) AS min, round(quantile_cont(n, 0.25), 6) AS p25, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.75), 6) AS p75, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, max(n) AS max FROM l GROUP BY ROLLUP (l.construct)"
 )
 def length_summary_rollup(spark, sf):
-    return r6(resample.length_summary(trace_lengths(spark, sf), "construct"), "p25", "p50", "p75", "p90", "p95")
+    out = r6(resample.length_summary(trace_lengths(spark, sf), "construct"), "p25", "p50", "p75", "p90", "p95")
+    return out.withColumn("construct", F.coalesce(F.col("construct").cast("string"), F.lit("all")))
 
 
 @query(f"WITH {STEPS} SELECT DISTINCT trace_id, n, round(63 / (n - 1), 6) AS ratio, CASE WHEN n < 64 THEN 'expanded' WHEN n > 64 THEN 'compressed' ELSE 'unchanged' END AS change FROM t")
@@ -386,12 +387,12 @@ def combined_fingerprint(spark, sf):
     return io.combined_fingerprint(rows, "key", "digest")
 
 
-@query(f"WITH {GRID} SELECT label, CASE WHEN is_training THEN 'train' ELSE 'held' END AS part, NULL::BIGINT AS extra, count(*) AS n FROM g WHERE is_training GROUP BY ALL UNION ALL SELECT label, NULL, 1, count(*) FROM g WHERE NOT is_training GROUP BY ALL")
+@query(f"WITH {GRID} SELECT label, CASE WHEN is_training THEN 'train' ELSE 'held' END AS part, 'none' AS extra, count(*) AS n FROM g WHERE is_training GROUP BY ALL UNION ALL SELECT label, 'none', '1', count(*) FROM g WHERE NOT is_training GROUP BY ALL")
 def dynamic_union(spark, sf):
     g = fx.grid_traces(spark, sf)
     a = g.where("is_training").groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("train"))
     b = g.where("NOT is_training").groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("extra", F.lit(1).cast("long"))
-    return io.union_rows([a, b])
+    return io.union_rows([a, b]).select("label", "n", *[F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c) for c in ("part", "extra")])
 
 
 # --- costs and warps ---------------------------------------------------------------------------------------------------

@@ -147,7 +147,7 @@ def score_against(traces: DataFrame, profiles: DataFrame, label: str, kind: str
             out = []
             for name, m, s, p in models:
                 if kind == "hmm":
-                    score = [H.score_read(x, xs, m, s, p.offsets, p.weights) for x, xs in ready]
+                    score = H.score_reads(ready, m, s, p.offsets, p.weights)
                 else:
                     score = np.full(len(ready), np.inf)
                     step = max(1, 2_000_000 // (max(len(m), 1) * max((len(r[0]) for r in ready), default=1)))

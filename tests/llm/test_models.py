@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.llm import contamination, langid, lm, quality, tiff
+from sigspark.llm import langid, lm, quality, tiff
 from sigspark.llm.contamination import benchmark_matches, flags
 
 

@@ -138,7 +138,6 @@ def prepared_reads(spark, sf):
 
 # --- lengths -----------------------------------------------------------------------------------------------------------
 
-_AT = "unnest(range({t})) AS i"
 
 
 def _resample_sql(target: str, extra: str = "") -> str:

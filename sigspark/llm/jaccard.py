@@ -406,7 +406,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75,
     known, counts, known_bits = frequent_tokens(docs, volume, width)
     frequent = spark.sparkContext.broadcast((known, counts, known_bits))
     free_shuffles(spark)
-    parts = parts_for(volume / 20, 1_500_000)
+    parts = parts_for(volume / 20, 500_000)
     rows = stage.put(docs.mapInArrow(lambda it: _emit_signatures(frequent, width, percent, parts, it), "doc_id long, n long, node long, part int, blob binary"), "rows")
     sets = stage.put(rows.where("part IS NULL").select("doc_id", "n", "node"), "sets")
     told = stage.put(
@@ -433,7 +433,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75,
     else:
         wanted, chosen = None, docs.join(member.select("doc_id"), "doc_id", "left_semi")
     tokens = chosen.mapInArrow(lambda it: _emit_sets(wanted, width, it), "node long, tokens binary")
-    bins = parts_for(facts["n"], 2_000_000, 8)
+    bins = parts_for(facts["n"], 1_000_000, 32)
     small = member.where(F.col("tokens") <= cluster_tokens).select("node", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("bin"))
     label = stage.put(tokens.join(small, "node").groupBy("bin").applyInArrow(lambda t: _solve(percent, t), "node long, label long").where("node <> label").distinct(), "solved")
     if facts["most"] > cluster_tokens:

@@ -57,6 +57,10 @@ class Warp:
         self.open_begin = open_begin
         self.pointers = np.full((n, states, b, m), -1, np.int8) if path else None
         self.dist, self.length, self.j_start, self.j_end, self.state = np.full(b, np.inf), np.zeros(b, np.int64), np.zeros(b, np.int64), np.zeros(b, np.int64), np.zeros(b, np.int64)
+        if runs and not path:
+            self._distances(cost, weight, open_begin, open_end)
+            self._normalise(weight)
+            return
         column = np.broadcast_to(np.arange(m), (b, m))
         prev = None
         for i in range(n):
@@ -107,10 +111,72 @@ class Warp:
                 s = at[r, j]
                 self.dist[done], self.state[done], self.j_end[done] = best[r, j], s, j
                 self.length[done], self.j_start[done] = steps[s, done, j], begin[s, done, j]
+        self._normalise(weight)
+
+    def _normalise(self, weight: int) -> None:
         span = self.j_end - self.j_start + 1
         with np.errstate(invalid="ignore"):
             self.norm = self.dist / np.where(np.isfinite(self.dist), self.length if weight == 1 else self.na + span, 1)
 
+    def _distances(self, cost, weight: int, open_begin: bool, open_end: bool) -> None:
+        """The capped form without pointers: each state of a row has one kind of source, so rows are plain array sums."""
+        b, n, m = cost.shape
+        runs = self.runs
+        what = 3 if open_begin else 2  # cost, path length and first column, which is zero with a closed begin
+
+        def first(states):
+            """The least of the states, the earliest of a tie, with what goes along."""
+            out = list(states[0])
+            for s in states[1:]:
+                less = s[0] < out[0]
+                out = [np.where(less, x, y) for x, y in zip(s, out)]
+            return out
+
+        def move(state, c, shift: bool):
+            if not shift:
+                return [state[0] + c, state[1] + 1, *state[2:]]
+            out = [np.full((b, m), np.inf), np.zeros((b, m), np.int32), *(np.zeros((b, m), np.int32) for _ in range(what - 2))]
+            np.add(state[0][:, :-1], c[:, 1:], out=out[0][:, 1:])
+            np.add(state[1][:, :-1], 1, out=out[1][:, 1:])
+            for k in range(2, what):
+                out[k][:, 1:] = state[k][:, :-1]
+            return out
+
+        def nothing():
+            return [np.full((b, m), np.inf), *(np.zeros((b, m), np.int32) for _ in range(what - 1))]
+
+        states = None
+        for i in range(n):
+            c = np.ascontiguousarray(cost[:, i, :])
+            if i == 0:
+                new = [nothing() for _ in range(1 + runs)]
+                at = slice(None) if open_begin else slice(0, 1)
+                new[0][0][:, at] = weight * c[:, at]
+                new[0][1][:, at] = 1
+                if open_begin:
+                    new[0][2][:] = np.arange(m, dtype=np.int32)
+            else:
+                new = [move(first(states), weight * c, True), move(first([states[0], *states[runs + 1 :]]), c, False)]
+                new += [move(states[k - 1], c, False) for k in range(2, runs + 1)]
+            if i or not open_begin:
+                new.append(move(first(new[: runs + 1]), c, True))
+                for _ in range(2, runs + 1):
+                    new.append(move(new[-1], c, True))
+            else:
+                new += [nothing() for _ in range(runs)]
+            states = new
+            done = np.flatnonzero(self.na - 1 == i)
+            if len(done):
+                best = first([[x[done] for x in s] for s in states])
+                if open_end:
+                    j = np.argmin(np.where(np.arange(m) < self.nb[done, None], best[0], np.inf), axis=1)
+                else:
+                    j = self.nb[done] - 1
+                r = np.arange(len(done))
+                self.dist[done], self.length[done], self.j_end[done] = best[0][r, j], best[1][r, j], j
+                if open_begin:
+                    self.j_start[done] = best[2][r, j]
+
     @staticmethod
     def _take(d, steps, begin, point, to, sd, ss, sb, sources, cost, shift, code):
         """Improves state `to` by its sources, `shift` columns to the left; the first source wins ties.

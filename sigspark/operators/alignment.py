@@ -11,6 +11,7 @@ from ..functions import kernels as K
 from ..functions import profile_hmm as H
 from ..functions.boundary import BoundaryOptions, segment
 from .consensus import pair_matrix, prepare
+from .spread import spread
 
 PROFILE_HMM = (
     "mean array<double>, std array<double>, dwell array<double>, stderr array<double>, depth array<double>, supported array<boolean>, offsets array<long>, weights array<double>, "
@@ -36,7 +37,7 @@ def change_point_steps(channels: DataFrame, *keys: str, sensitivity: float = 1.0
             yield pd.DataFrame(rows, columns=[*keys, "pos", "mean", "std", "dwell", "start_sample", "end_sample"])
 
     ddl = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pos long, mean double, std double, dwell long, start_sample long, end_sample long"
-    return channels.select(*keys, "samples").mapInPandas(run, ddl)
+    return spread(channels.select(*keys, "samples")).mapInPandas(run, ddl)
 
 
 def step_statistics(steps: DataFrame, channels: DataFrame, *keys: str, statistic: str = "median", sample_rate: float = 1.0, floor: float = 0.0) -> DataFrame:
@@ -65,7 +66,7 @@ def align_to_profile(traces: DataFrame, profile_mean, profile_std, **params) ->
                 rows.append((i, path.tolist(), total, like, w.max(axis=1).tolist()))
             yield pd.DataFrame(rows, columns=["trace_id", "path", "total_score", "log_likelihood", "posterior_peak"])
 
-    return traces.select("trace_id", "mean", "std").mapInPandas(run, "trace_id long, path array<long>, total_score double, log_likelihood double, posterior_peak array<double>")
+    return spread(traces.select("trace_id", "mean", "std")).mapInPandas(run, "trace_id long, path array<long>, total_score double, log_likelihood double, posterior_peak array<double>")
 
 
 def decode_boundaries(events: DataFrame, anchors: DataFrame, models: DataFrame, *keys: str, options: BoundaryOptions = BoundaryOptions()) -> DataFrame:
@@ -94,7 +95,7 @@ def decode_boundaries(events: DataFrame, anchors: DataFrame, models: DataFrame,
             yield pd.DataFrame(rows, columns=names)
 
     ddl = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + BOUNDARY
-    return joined.select(*keys, "mean", "std", "start_sample", "end_sample", "am", "asd", "ref_pos", "models").mapInPandas(run, ddl)
+    return spread(joined.select(*keys, "mean", "std", "start_sample", "end_sample", "am", "asd", "ref_pos", "models")).mapInPandas(run, ddl)
 
 
 def fit_profile_hmms(traces: DataFrame, group: str, *, normalise: bool = True, min_std: float = 1e-3, **options) -> DataFrame:
@@ -110,7 +111,7 @@ def fit_profile_hmms(traces: DataFrame, group: str, *, normalise: bool = True, m
         row |= {"medoid_id": int(frame["trace_id"].iloc[medoid]), "n_iter": p.n_iter, "converged": p.converged, "stop_reason": p.stop_reason, "log_likelihood": p.log_likelihood, "history": [{k: h[k] for k in keep} for h in p.history]}
         return pd.DataFrame([row])
 
-    return traces.select(group, "trace_id", "mean", "std", "dwell").groupBy(group).applyInPandas(fit, f"{group} {dict(traces.dtypes)[group]}, {PROFILE_HMM}")
+    return spread(traces.select(group, "trace_id", "mean", "std", "dwell"), group).groupBy(group).applyInPandas(fit, f"{group} {dict(traces.dtypes)[group]}, {PROFILE_HMM}")
 
 
 def hmm_iterations(profiles: DataFrame, group: str) -> DataFrame:
@@ -158,7 +159,7 @@ def score_against(traces: DataFrame, profiles: DataFrame, label: str, kind: str
                 out.append(pd.DataFrame({"trace_id": frame["trace_id"], "label": name, "score": score}))
             yield pd.concat(out) if out else pd.DataFrame({"trace_id": [], "label": [], "score": []})
 
-    return traces.select("trace_id", "mean", "std").mapInPandas(run, f"trace_id long, label {label_type}, score double")
+    return spread(traces.select("trace_id", "mean", "std")).mapInPandas(run, f"trace_id long, label {label_type}, score double")
 
 
 def align_profiles(pairs: DataFrame, profiles: DataFrame, label: str) -> DataFrame:
@@ -183,7 +184,7 @@ def align_profiles(pairs: DataFrame, profiles: DataFrame, label: str) -> DataFra
                 rows.append((a, b, float(np.sqrt(w.norm[0])), float(np.sqrt(((u - v) ** 2).mean())), float(np.abs(u - v).mean()), r, float(shift.mean())))
             yield pd.DataFrame(rows, columns=["a", "b", "distance", "rmse", "mae", "r", "warp_deviation"])
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "am", "bm").mapInPandas(run, f"a {kind}, b {kind}, distance double, rmse double, mae double, r double, warp_deviation double")
+    return spread(pairs.join(x, "a").join(y, "b").select("a", "b", "am", "bm")).mapInPandas(run, f"a {kind}, b {kind}, distance double, rmse double, mae double, r double, warp_deviation double")
 
 
 def hmm_gates(profiles: DataFrame, group: str, n_reads: DataFrame) -> DataFrame:

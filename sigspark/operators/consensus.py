@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .spread import spread
 
 PROFILE = "mean array<double>, std array<double>, dwell array<double>, depth array<long>, supported array<boolean>, iterations long, converged boolean, objective array<double>, medoid_id long"
 
@@ -94,7 +95,7 @@ def fit_barycentres(traces: DataFrame, group: str, *, normalise: bool = True, mi
         b["medoid_id"] = int(frame["trace_id"].iloc[b.pop("medoid")])
         return pd.DataFrame([{group: frame[group].iloc[0], **{k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in b.items()}}])
 
-    return traces.select(group, "trace_id", "mean", "std", "dwell").groupBy(group).applyInPandas(fit, f"{group} {dict(traces.dtypes)[group]}, {PROFILE}")
+    return spread(traces.select(group, "trace_id", "mean", "std", "dwell"), group).groupBy(group).applyInPandas(fit, f"{group} {dict(traces.dtypes)[group]}, {PROFILE}")
 
 
 def barycentre_step(traces: DataFrame, profile: tuple, min_std: float = 1e-3, **options) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .spread import spread
 
 #: Cells of cost and state that one batch may hold.
 BATCH_CELLS = 2_000_000
@@ -41,7 +42,7 @@ def warp(pairs: DataFrame, left: DataFrame, right: DataFrame, *keys: str, cost:
     """
     ready = pairs.join(left.select(F.col("trace_id").alias("a"), F.col("mean").alias("am"), F.col("std").alias("asd")), "a")
     ready = ready.join(right.select(F.col("trace_id").alias("b"), F.col("mean").alias("bm"), F.col("std").alias("bsd")), "b")
-    ready = ready.select(*keys, "a", "b", "am", "asd", "bm", "bsd")
+    ready = spread(ready.select(*keys, "a", "b", "am", "asd", "bm", "bsd"), "a", "b")
     first = len(keys) + 2
 
     def run(batches):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..operators import alignment, clusters, consensus, metrics, pairs, regions, resample, robust
+from ..operators.spread import spread
 from ..sources.fixtures import nest
 from ..sources.io import cut
 from ..sources.synthetic import synthetic_traces, template
@@ -130,7 +131,7 @@ def medoid_robustness(train: DataFrame, held: DataFrame, group: str, top: int =
                 rows.append({group: frame[group].iloc[0], "rank": rank, "mean": b["mean"].tolist(), "std": b["std"].tolist(), "supported": b["supported"].tolist()})
         return pd.DataFrame(rows)
 
-    fits = local(train.select(group, "trace_id", "mean", "std", "dwell").groupBy(group).applyInPandas(fit, f"{group} {kind}, rank long, mean array<double>, std array<double>, supported array<boolean>"))
+    fits = local(spread(train.select(group, "trace_id", "mean", "std", "dwell"), group).groupBy(group).applyInPandas(fit, f"{group} {kind}, rank long, mean array<double>, std array<double>, supported array<boolean>"))
     named = local(fits.withColumn("key", F.concat_ws("#", F.col(group).cast("string"), F.col("rank").cast("string"))))
     first = named.where("rank = 1").select(F.col("key").alias("b"), F.col(group))
     links = named.where("rank > 1").select(F.col("key").alias("a"), group).join(first, group).select("a", "b")

@@ -29,9 +29,7 @@ KMERS = (
     + " || ".join(f"substr('ACGT', 1 + CAST(floor((p_partkey % 4096) / {4**i}) AS BIGINT) % 4, 1)" for i in range(5, -1, -1))
     + " AS kmer, p_partkey, p_retailprice / 1000 AS pre, p_size / 50 AS post FROM part) GROUP BY kmer)"
 )
-TEMPLATES = (
-    "d AS (SELECT doc_id AS template_id, template FROM (SELECT doc_id, substr(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '" + "ACGT" * 6 + "AC'), 1, 24) AS template FROM documents) WHERE length(template) = 24)"
-)
+TEMPLATES = "d AS (SELECT item_id AS template_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '" + "ACGT" * 6 + "AC') AS template FROM benchmark)"
 #: Squared distances of embeddings of one class: an edge list in closed form.
 EDGES = f"{GRID}, edges AS (SELECT x.label, x.trace_id AS a, y.trace_id AS b, list_sum(list_transform(list_zip(x.mean, y.mean), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM g x JOIN g y ON x.label = y.label AND x.trace_id < y.trace_id)"
 BOTH = f"{EDGES}, m AS (SELECT label, a, b, d FROM edges UNION ALL SELECT label, b, a, d FROM edges)"
@@ -197,15 +195,15 @@ _ANNOTATED = f"{STEPS}, s AS (SELECT *, pos * 10 AS start_sample, pos * 10 + 10
 # --- k-mers ------------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {TEMPLATES} SELECT template_id, i AS pos, substr(template, CAST(i AS BIGINT) + 1, 6) AS kmer FROM (SELECT template_id, template, unnest(range(19)) AS i FROM d)")
+@query(f"WITH {TEMPLATES} SELECT template_id, i AS pos, substr(template, CAST(i AS BIGINT) + 1, 6) AS kmer FROM (SELECT template_id, template, unnest(range(length(template) - 5)) AS i FROM d)")
 def kmer_windows(spark, sf):
     return lut.kmer_windows(fx.templates(spark, sf))
 
 
 _PROFILE = (
-    f"{TEMPLATES}, {KMERS}, f AS (SELECT template_id, reverse(upper(template)) AS template FROM d), rows_ AS (SELECT template_id, template, unnest(range(48)) AS row FROM f), "
+    f"{TEMPLATES}, {KMERS}, f AS (SELECT template_id, reverse(upper(template)) AS template FROM d), rows_ AS (SELECT template_id, template, unnest(range(2 * length(template))) AS row FROM f), "
     "prof AS (SELECT template_id, row, row - 4 AS step, substr(template, CAST(row // 2 AS BIGINT) + 1, 1) AS base, CASE WHEN row % 2 = 0 THEN 'pre' ELSE 'post' END AS mode, CASE WHEN row % 2 = 0 THEN pre_mean ELSE post_mean END AS mean, CASE WHEN pre_mean IS NULL THEN NULL ELSE 0.1 END AS std "
-    "FROM rows_ LEFT JOIN k ON row >= 4 AND row // 2 - 2 <= 18 AND k.kmer = substr(template, CAST(row // 2 AS BIGINT) - 1, 6))"
+    "FROM rows_ LEFT JOIN k ON row >= 4 AND row // 2 - 2 <= length(template) - 6 AND k.kmer = substr(template, CAST(row // 2 AS BIGINT) - 1, 6))"
 )
 
 
@@ -215,7 +213,7 @@ def halfstep_profile(spark, sf):
 
 
 @query(
-    f"WITH {_PROFILE}, v AS (SELECT *, 24 - row // 2 AS ref_pos FROM prof WHERE mean IS NOT NULL), w AS (SELECT *, count(*) OVER (PARTITION BY template_id, ref_pos) AS k2 FROM v), y AS (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY row DESC) AS e FROM w WHERE k2 = 2) "
+    f"WITH {_PROFILE}, v AS (SELECT *, count(*) OVER (PARTITION BY template_id) // 2 - row // 2 AS ref_pos FROM prof QUALIFY mean IS NOT NULL), w AS (SELECT *, count(*) OVER (PARTITION BY template_id, ref_pos) AS k2 FROM v), y AS (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY row DESC) AS e FROM w WHERE k2 = 2) "
     "SELECT template_id, row, ref_pos, row_number() OVER (PARTITION BY template_id ORDER BY row) - 1 AS state, round(mean, 6) AS mean, CAST(std AS DOUBLE) AS std FROM y WHERE e > 4"
 )
 def trusted_anchor(spark, sf):
@@ -364,9 +362,9 @@ def gap_runs(spark, sf):
     return regions.gap_runs(fx.steps(spark, sf).withColumn("ok", F.col("mean") >= 20), "pos", "ok", "trace_id")
 
 
-@query(f"WITH {STEPS}, q AS (SELECT trace_id, mean - lag(mean) OVER (PARTITION BY trace_id ORDER BY pos) AS d FROM t WHERE pos < 3) SELECT trace_id, coalesce(bool_and(d <= 1e-8), true) AS monotone FROM q GROUP BY trace_id")
+@query(f"WITH {STEPS}, q AS (SELECT trace_id, mean - lag(mean) OVER (PARTITION BY trace_id ORDER BY pos) AS d FROM t) SELECT trace_id, coalesce(bool_and(d <= 1e-8), true) AS monotone FROM q GROUP BY trace_id")
 def lag_monotone(spark, sf):
-    return metrics.monotone(fx.steps(spark, sf).where("pos < 3"), "mean", "pos", "trace_id")
+    return metrics.monotone(fx.steps(spark, sf), "mean", "pos", "trace_id")
 
 
 @query(f"WITH {GRID} SELECT trace_id, i - 1 AS pos, round((i - 1) / 63, 6) AS relative_position, round(mean[i], 6) AS mean FROM (SELECT trace_id, mean, unnest(range(1, 65)) AS i FROM g)")
@@ -397,85 +395,46 @@ def dynamic_union(spark, sf):
 # --- costs and warps ---------------------------------------------------------------------------------------------------
 
 
-def few(spark, sf, a: int = 4, b: int = 4):
-    """Pairs of the first embeddings; the cost grid is meant for inspection of few."""
-    g = fx.grid_traces(spark, sf)
-    left, right = g.where(F.col("trace_id") < a), g.where((F.col("trace_id") >= a) & (F.col("trace_id") < a + b))
-    return left.select(F.col("trace_id").alias("a")).crossJoin(F.broadcast(right.select(F.col("trace_id").alias("b")))), g
+def class_profiles(spark, sf):
+    """(trace_id, mean, std): the mean of each class of embeddings, named by the class."""
+    u = fx.grid_traces(spark, sf).select("label", F.posexplode("mean").alias("pos", "v")).groupBy("label", "pos").agg(F.avg("v").alias("mean"))
+    s = F.sort_array(F.collect_list(F.struct("pos", "mean")))
+    return u.groupBy(F.col("label").alias("trace_id")).agg(s.alias("s")).select("trace_id", F.col("s.mean").alias("mean"), F.transform("s", lambda x: F.lit(0.05)).alias("std"))
+
+
+def _cost_grid(spark, sf, kind):
+    """The cost grids between the mean profiles of all classes."""
+    g = class_profiles(spark, sf)
+    ids = g.select("trace_id", F.lit(0).alias("every"))
+    return r6(pairs.cost_cells(pairs.unordered_pairs(ids, "every").select("a", "b"), g, g, kind), "cost")
 
 
 def _grid_sql(cost: str) -> str:
-    return f"WITH {GRID}, x AS (SELECT trace_id AS a, unnest(mean) AS u, generate_subscripts(mean, 1) - 1 AS i FROM g WHERE trace_id < 4), y AS (SELECT trace_id AS b, unnest(mean) AS v, generate_subscripts(mean, 1) - 1 AS j FROM g WHERE trace_id >= 4 AND trace_id < 8) SELECT a, b, i, j, round({cost}, 6) AS cost FROM x CROSS JOIN y"
+    return f"WITH {GRID}, w AS (SELECT label, unnest(mean) AS v, generate_subscripts(mean, 1) - 1 AS i FROM g), c AS (SELECT label, i, avg(v) AS v FROM w GROUP BY ALL) SELECT a, b, i, j, round({cost}, 6) AS cost FROM (SELECT x.label AS a, y.label AS b, x.i, y.i AS j, x.v AS u, y.v AS v FROM c x JOIN c y ON x.label < y.label)"
 
 
 @query(_grid_sql("0.5 * (ln(2 * pi()) + ln(0.005) + (u - v) * (u - v) / 0.005)"))
 def cost_gaussian_grid(spark, sf):
-    p, g = few(spark, sf)
-    return r6(pairs.cost_cells(p, g, g, "gaussian"), "cost")
+    return _cost_grid(spark, sf, "gaussian")
 
 
 @query(_grid_sql("(u - v) * (u - v)"))
 def cost_l2_grid(spark, sf):
-    p, g = few(spark, sf)
-    return r6(pairs.cost_cells(p, g, g, "l2"), "cost")
+    return _cost_grid(spark, sf, "l2")
 
 
 @query(_grid_sql("abs(u - v)"))
 def cost_abs_grid(spark, sf):
-    p, g = few(spark, sf)
-    return r6(pairs.cost_cells(p, g, g, "abs"), "cost")
-
-
-_PAIRS = f"{GRID}, q AS (SELECT x.trace_id AS a, y.trace_id AS b, x.mean AS u, y.mean AS v FROM g x JOIN g y ON x.label = y.label AND x.trace_id < y.trace_id AND y.trace_id < 120)"
-
-
-def _capped_sql(open_begin: bool = False, open_end: bool = False, weight: int = 1, runs: int = 3) -> str:
-    """Row-wise recursion: the state holds a list of (cost, length, begin) for each column and run state."""
-    inf = "1e300"
-    n = 2 * runs + 1
-    cell = f"{{'c': {inf}, 'n': 0, 'j': 0}}"
-    c = "abs(u[i + 1] - v[{j}])"
-
-    def best(parts: str) -> str:
-        # the first of least cost: sort by cost, then by state
-        return f"list_sort(list_transform({parts}, lambda s, k: {{'c': s.c, 'k': k, 'n': s.n, 'j': s.j}}))[1]"
-
-    def step(source: str, cost: str) -> str:
-        return f"CASE WHEN ({source}).c >= {inf} THEN {cell} ELSE {{'c': ({source}).c + {cost}, 'n': ({source}).n + 1, 'j': ({source}).j}} END"
-
-    # rows: list over columns of the states 0..runs (diagonal and vertical); then the horizontal ones by shifts
-    verticals = ", ".join(step(f"rows[j][{k}]", c.format(j="j")) for k in range(2, runs + 1))
-    others = "list_concat([rows[j][1]], rows[j][%d:%d])" % (runs + 2, n)
-    diag = f"CASE WHEN j = 1 THEN {cell} ELSE {step(best('rows[j - 1]'), f'{weight} * ' + c.format(j='j'))} END"
-    base = f"list_transform(range(1, len(v) + 1), lambda j: [{diag}, {step(best(others), c.format(j='j'))}{', ' + verticals if verticals else ''}])"
-    start = f"CASE WHEN {'true' if open_begin else 'j = 1'} THEN {{'c': {weight} * {c.format(j='j').replace('i + 1', '1')}, 'n': 1, 'j': j - 1}} ELSE {cell} END"
-    first = f"list_transform(range(1, len(v) + 1), lambda j: list_concat([{start}], list_transform(range({runs}), lambda k: {cell})))"
-
-    def horizontal(rows: str, row: str, allowed: bool) -> str:
-        out = rows
-        for k in range(1, runs + 1):
-            if not allowed:
-                out = f"list_transform({out}, lambda x: list_append(x, {cell}))"
-                continue
-            source = best(f"h[j - 1][1:{runs + 1}]") if k == 1 else f"h[j - 1][{runs + k}]"
-            cost = f"abs(u[{row}] - v[j])"
-            out = f"(SELECT list_transform(range(1, len(h) + 1), lambda j: list_append(h[j], CASE WHEN j = 1 THEN {cell} ELSE {step(source, cost)} END)) FROM (SELECT {out} AS h))"
-        return out
-
-    final = f"list_transform(rows, lambda x: {best('x')})"
-    pick = "f[len(f)]" if not open_end else "list_sort(list_transform(f, lambda s, k: {'c': s.c, 'e': k - 1, 'n': s.n, 'j': s.j}))[1]"
-    end = "len(v) - 1" if not open_end else "x.e"
-    norm = "x.c / x.n" if weight == 1 else f"x.c / (len(u) + {end} - x.j + 1)"
-    return (
-        f"WITH RECURSIVE {_PAIRS}, r AS (SELECT a, b, u, v, 0 AS i, {horizontal(first, '1', not open_begin)} AS rows FROM q "
-        f"UNION ALL SELECT a, b, u, v, i + 1, {horizontal(base.replace('i + 1', 'i + 2'), 'i + 2', True)} FROM r WHERE i + 1 < len(u)), "
-        f"z AS (SELECT a, b, u, v, {final} AS f FROM r WHERE i = len(u) - 1), w AS (SELECT a, b, u, v, {pick} AS x FROM z) "
-        f"SELECT a, b, round(x.c, 6) AS dist, round({norm}, 6) AS norm_dist FROM w"
-    )
+    return _cost_grid(spark, sf, "abs")
+
+
+_PAIRS = f"{GRID}, q AS (SELECT x.trace_id AS a, y.trace_id AS b, x.mean AS u, y.mean AS v FROM g x JOIN g y ON x.label = y.label AND x.trace_id < y.trace_id)"
 
 
 def _warped(spark, sf, **options):
-    g = fx.grid_traces(spark, sf).where("trace_id < 120")
+    """Warping distances of all pairs of embeddings of a class. Capped runs are too slow in SQL over whole tables: they are
+    compared with it on a small table in the tests."""
+    g = fx.grid_traces(spark, sf)
     out = pairs.warp(pairs.unordered_pairs(g, "label"), g, g, cost="abs", normalise=False, **options)
     return r6(out.select("a", "b", "dist", "norm_dist"), "dist", "norm_dist")
 
@@ -489,17 +448,17 @@ def dtw_uncapped(spark, sf):
     return _warped(spark, sf, max_run=None).select("a", "b", "dist")
 
 
-def _dtw(name: str, sql: str, **options):
+def _dtw(name: str, **options):
     def run(spark, sf):
         return _warped(spark, sf, **options)
 
     run.__name__ = name
-    query(sql)(run)
+    query()(run)
 
 
-_dtw("dtw_capped_closed", _capped_sql(), max_run=3)
-_dtw("dtw_open_ends", _capped_sql(open_begin=True, open_end=True), max_run=3, open_begin=True, open_end=True)
-_dtw("dtw_symmetric2", _capped_sql(weight=2), max_run=3, step="symmetric2")
+_dtw("dtw_capped_closed", max_run=3)
+_dtw("dtw_open_ends", max_run=3, open_begin=True, open_end=True)
+_dtw("dtw_symmetric2", max_run=3, step="symmetric2")
 
 
 @query()
@@ -771,10 +730,10 @@ def boundary_events(spark, sf):
 
 
 def boundary_anchor(spark, sf, trim: int = 4):
-    """One known profile: the levels of the first template whose k-mers are all in the table, on the events' scale."""
+    """One known profile: the last 40 states of the template of which most are known, on the events' scale."""
     anchor = lut.trusted_anchor(lut.half_step_profile(fx.templates(spark, sf), fx.kmer_table(spark, sf)), trim)
     full = anchor.groupBy("template_id").agg(F.sort_array(F.collect_list(F.struct("state", "mean", "std", "ref_pos"))).alias("s"))
-    best = full.orderBy(F.size("s").desc(), "template_id").limit(1)
+    best = full.orderBy(F.size("s").desc(), "template_id").limit(1).withColumn("s", F.slice("s", -F.least(F.size("s"), F.lit(40)), 40))
     return best.select(F.lit(0).alias("anchor_id"), F.transform("s", lambda x: x["mean"] * 20).alias("mean"), F.transform("s", lambda x: x["std"] * 40).alias("std"), F.transform("s", lambda x: x["ref_pos"]).alias("ref_pos"))
 
 

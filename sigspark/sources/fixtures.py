@@ -66,8 +66,8 @@ def kmer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("kmer", "x.pre_mean", F.lit(0.1).alias("pre_std"), "x.post_mean", F.lit(0.1).alias("post_std"))
 
 
-def templates(spark: SparkSession, sf_dir: str, size: int = 24) -> DataFrame:
-    """template_id, template: the first letters of each document, mapped to ACGT; shorter ones are left out."""
+def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """template_id, template: the letters of each whole benchmark text, mapped to ACGT."""
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
     mapped = F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGT" * 6 + "AC")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("template_id"), F.substring(mapped, 1, size).alias("template")).where(F.length("template") == size)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("template_id"), mapped.alias("template"))

@@ -1,5 +1,6 @@
 """Similarity join and substring dedup against plain versions."""
 
+import random
 import re
 
 import pytest
@@ -82,3 +83,33 @@ def test_spans_keep_rows_without_id_and_replace_clashing_columns(spark):
     got = sorted(((r["doc_id"] or 0, r["text"], r["n_removed"]) for r in remove_repeated_spans(spark, frame).collect()), key=str)
     assert got[0] == (0, text, 0) and got[1] == (1, text, 0)
     assert got[2] == got[3] and "One two" not in got[2][1]
+
+
+@pytest.mark.parametrize("size, distinct, stops", [(51, 51, False), (51, 51, True), (60, 10, False), (51, 20, False)])
+def test_every_repeated_passage_of_51_words_goes(spark, size, distinct, stops):
+    """Glued to other text, without punctuation or with it anywhere, and of few distinct words."""
+    rng, rows, passages = random.Random(7), [], []
+    other = lambda: [f"o{rng.randrange(10**9)}" for _ in range(rng.randrange(3, 40))]
+    for k in range(300):
+        names = [f"w{k}x{rng.randrange(10**6)}" for _ in range(distinct)]
+        passage = [rng.choice(names) if distinct < size else names[i] for i in range(size)]
+        if stops:
+            passage = [w + "." * (rng.random() < 0.1) for w in passage]
+        passages.append(set(passage))
+        rows += [(d, " ".join(other() + passage + other())) for d in (2 * k, 2 * k + 1)]
+    got = {r["doc_id"]: r["text"] for r in remove_repeated_spans(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    for k, words in enumerate(passages):
+        assert sum(w in words for w in got[2 * k + 1].split()) <= 25
+        if distinct == size:  # no run of the passage occurs in it twice
+            assert got[2 * k] == text[2 * k]
+
+
+def test_a_repeated_line_without_stops_goes(spark):
+    """Its last piece, which no run from a piece ends with, goes too."""
+    rng = random.Random(3)
+    lines = [" ".join(f"t{k}x{i}" for i in range(60)) for k in range(100)]
+    rows = [(d, f"o{rng.random()} begins\n{lines[d % 100]}\nends o{rng.random()}") for d in range(200)]
+    got = {r["doc_id"]: r["text"] for r in remove_repeated_spans(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        assert got[d] == text if d < 100 else lines[d - 100] not in got[d] and not re.search(r"t\d+x", got[d])

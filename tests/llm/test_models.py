@@ -135,6 +135,36 @@ def test_language_model_is_normalised_and_learns():
     assert (counts * np.log(p)).sum() > (counts * np.log(unigram)).sum()
 
 
+def test_language_model_grows_with_the_learning_corpus(spark, docs, corpus, monkeypatch):
+    small, large = lm.shape_for(10**6), lm.shape_for(10**9)
+    assert small.symbols == 64 and large.words > 2 * small.words and large.classes > small.classes
+    assert all(lm.shape_for(10**k).symbols > lm.shape_for(10 ** (k - 1)).symbols for k in range(8, 13))
+    trained = []
+    train = lm.LogBilinear.train
+    monkeypatch.setattr(lm.LogBilinear, "train", lambda self, counts, steps, **more: trained.append((len(self.bias), counts, steps)) or train(self, counts, 20, **more))
+    monkeypatch.setattr(lm, "LEAST_BYTES", 10)
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark, docs).collect()}
+    [(size, counts, steps)] = trained
+    held = {r[0] for r in corpus if zlib.crc32(str(r[0]).encode()) % 7 == 2}
+    learnt = [r for r in corpus if r[0] not in held]
+    assert size > 64 and len(counts) == size**3 and steps > lm.STEPS
+    assert counts.sum() == sum(len(re.findall(r"[^\x20\x09-\x0D]+", lower(r[1]))) + 1 for r in learnt)
+    assert len(got) == len(corpus) and all(x < 0 for x in got.values())
+
+
+def test_only_learning_documents_rank_words(spark):
+    rows = [(1, "common word common"), (2, "hidden " * 50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    heavy = []
+    ask = lm.frequent_words
+    lm.frequent_words = lambda *a, **b: heavy.append(ask(*a, **b)) or heavy[-1]
+    try:
+        lm.score_documents(spark, frame, held=F.col("doc_id") == 2, steps=5)
+    finally:
+        lm.frequent_words = ask
+    assert len(heavy[0]) == 2
+
+
 def test_language_model_repeated_rows_and_nothing(spark, docs, corpus, none):
     twice = lm.score_documents(spark, docs.union(docs), steps=50)
     assert twice.count() == 2 * len(corpus)

@@ -155,6 +155,18 @@ def bootstrap_accuracy(pred: DataFrame, draws: DataFrame, key: str = "event_id")
     return recall.groupBy("replicate").agg((F.sum("h") / F.sum("n")).alias("accuracy"), F.avg(F.col("h") / F.col("n")).alias("balanced_accuracy"))
 
 
+def bootstrap_classification(pred: DataFrame, draws: DataFrame, *keys: str, key: str = "event_id") -> DataFrame:
+    """(keys, replicate, accuracy, balanced_accuracy, macro_f1) of the drawn events, which serve all keys; strata are the true classes."""
+    by = [*keys, "replicate"]
+    own = draws.select("replicate", key).join(pred.select(*keys, key, "truth", "predicted"), key)
+    cells = own.groupBy(*by, "truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    hit = F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0))
+    true = cells.groupBy(*by, F.col("truth").alias("label")).agg(hit.alias("hit"), F.sum("n").alias("count"))
+    called = cells.groupBy(*by, F.col("predicted").alias("label")).agg(F.sum("n").alias("called"))
+    f1 = 2 * F.col("hit") / (F.col("count") + F.coalesce("called", F.lit(0)))
+    return true.join(called, [*by, "label"], "left").groupBy(*by).agg((F.sum("hit") / F.sum("count")).alias("accuracy"), F.avg(F.col("hit") / F.col("count")).alias("balanced_accuracy"), F.avg(f1).alias("macro_f1"))
+
+
 def paired_differences(a: DataFrame, b: DataFrame, value: str, confidence: float = 0.95) -> DataFrame:
     """One row: interval of the difference of a quantity over the same replicates."""
     both = a.select("replicate", F.col(value).alias("x")).join(b.select("replicate", F.col(value).alias("y")), "replicate").select((F.col("x") - F.col("y")).alias("difference"))

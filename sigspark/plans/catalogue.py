@@ -847,7 +847,15 @@ def synthetic_consensus(spark, sf):
 
 @query()
 def study_ablation(spark, sf):
-    return r6(studies.ablation(cohort(spark, sf), "construct", fixed=32, threshold=6.0, max_iter=2), "accuracy", "balanced_accuracy", "macro_f1")
+    rows, _ = studies.ablation(cohort(spark, sf), "construct", threshold=6.0, max_iter=2)
+    return r6(rows, *[f"{m}{end}" for m in studies.METRICS for end in ("", "_low", "_high")])
+
+
+@query()
+def study_ablation_differences(spark, sf):
+    """Paired differences between the conditions of the ablation."""
+    _, differences = studies.ablation(cohort(spark, sf), "construct", threshold=6.0, max_iter=2)
+    return r6(differences, "estimate", "low", "high")
 
 
 @query()

@@ -86,28 +86,66 @@ def compare_representations(train: DataFrame, held: DataFrame, group: str, fixed
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-def ablation(traces: DataFrame, group: str, fixed: int = 100, least: int = 10, threshold: float = 3.5, **options) -> DataFrame:
-    """One row per condition: trimmed (T), with outlier screening (O), length normalisation (N) and their combinations.
+METRICS = ("accuracy", "balanced_accuracy", "macro_f1")
 
-    Conditions are scored on the held-out traces that all of them retain.
+
+def contrasts(fixed: int) -> list[tuple[str, str]]:
+    """The pairs of conditions that an ablation compares."""
+    f = f"fixed_{fixed}"
+    return [("TO", "T"), ("TN_p95", "T"), (f"TN_{f}", "T"), ("TON_p95", "TO"), (f"TON_{f}", "TO"), ("TNO_p95", "TON_p95"), (f"TNO_{f}", f"TON_{f}")]
+
+
+def ablation(traces: DataFrame, group: str, fixed: int = 100, least: int = 10, threshold: float = 3.5, replicates: int = 1000, seed: int = 20260810, **options) -> tuple[DataFrame, DataFrame]:
+    """(one row per condition, one row per contrast and metric), with bootstrap intervals over shared draws.
+
+    Conditions are trimmed (T), with outlier screening (O), length normalisation (N) to a fixed length or to the 95th
+    percentile (p95) of training lengths, before or after screening. They are scored on the held-out traces that all retain.
     """
-    base = traces.where(F.size("mean") >= least)
-    base = cut(base)
-    normal = cut(resample.resample(base, fixed))
-    screened = base.join(cut(screen(base, group, threshold).where("retained").select("trace_id")), "trace_id", "left_semi")
-    late = normal.join(cut(screen(normal, group, threshold).where("retained").select("trace_id")), "trace_id", "left_semi")
-    cohorts = {"T": base, "TO": screened, "TN": normal, "TON": resample.resample(screened, fixed), "TNO": late}
+    spark = traces.sparkSession
+    base = cut(traces.where(F.size("mean") >= least))
+
+    def p95(rows: DataFrame) -> int:
+        return int(resample.target_length(rows.where("is_training").select(group, F.size("mean").alias("n")), group).first()["target"])
+
+    def screened(rows: DataFrame) -> DataFrame:
+        return rows.join(cut(screen(rows, group, threshold).where("retained").select("trace_id")), "trace_id", "left_semi")
+
+    native = screened(base)
+    before, after = p95(base), p95(native)
+    normal = {"p95": cut(resample.resample(base, before)), f"fixed_{fixed}": cut(resample.resample(base, fixed))}
+    targets = {"p95": after, f"fixed_{fixed}": fixed}
+    cohorts = {"T": (base, None), "TO": (native, None)}
+    cohorts |= {f"TN_{k}": (rows, before if k == "p95" else fixed) for k, rows in normal.items()}
+    cohorts |= {f"TON_{k}": (resample.resample(native, t), t) for k, t in targets.items()}
+    cohorts |= {f"TNO_{k}": (screened(rows), before if k == "p95" else fixed) for k, rows in normal.items()}
     keys = None
-    for name, c in cohorts.items():
+    for name, (c, _) in cohorts.items():
         own = c.where("NOT is_training").select("trace_id", F.lit(name).alias("condition"))
         keys = own if keys is None else keys.union(own)
     common = cut(regions.common_keys(keys, "trace_id", "condition"))
-    out = None
-    for name, c in cohorts.items():
+    rows, every = None, None
+    for name, (c, target) in cohorts.items():
         held = c.where("NOT is_training").join(common, "trace_id", "left_semi")
-        row = local(classify(c.where("is_training"), held, group, **options)[2].withColumn("condition", F.lit(name)))
-        out = row if out is None else out.unionByName(row)
-    return out
+        profiles, pred, _ = classify(c.where("is_training"), held, group, **options)
+        pred = cut(pred)
+        cells = metrics.confusion(pred, profiles.select(F.col(group).alias("label")))
+        row = local(metrics.summary(metrics.per_class(cells)).withColumn("condition", F.lit(name)).withColumn("target", F.lit(target).cast("long")))
+        rows = row if rows is None else rows.unionByName(row)
+        pred = pred.select("event_id", "truth", "predicted", F.lit(name).alias("condition"))
+        every = pred if every is None else every.unionByName(pred)
+    rows = local(rows)
+    draws = metrics.bootstrap_draws(common.join(base.select("trace_id", F.col(group).alias("truth")), "trace_id"), replicates, seed, "truth", "trace_id")
+    boot = metrics.bootstrap_classification(every, draws.withColumnRenamed("trace_id", "event_id"), "condition")
+    boot = cut(boot.select("condition", "replicate", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS])).alias("x")).select("condition", "replicate", "x.*"))
+    bounds = metrics.percentile_interval(boot, "v", 0.95, "condition", "metric")
+    wide = bounds.groupBy("condition").agg(*[F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in METRICS for c in ("low", "high")])
+    pairs_ = spark.createDataFrame(contrasts(fixed), "condition_a string, condition_b string")
+    side = lambda frame, x: frame.select(F.col("condition").alias(f"condition_{x}"), *[F.col(c).alias(c if c in ("metric", "replicate") else f"{c}_{x}") for c in frame.columns if c != "condition"])
+    differ = F.broadcast(pairs_).join(side(boot, "a"), "condition_a").join(side(boot, "b"), ["condition_b", "metric", "replicate"]).withColumn("difference", F.col("v_a") - F.col("v_b"))
+    differ = metrics.percentile_interval(differ, "difference", 0.95, "condition_a", "condition_b", "metric")
+    points = rows.select("condition", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS])).alias("x")).select("condition", "x.*")
+    points = side(points, "a").join(side(points, "b"), "metric").withColumn("estimate", F.col("v_a") - F.col("v_b"))
+    return rows.join(wide, "condition"), differ.join(points.select("condition_a", "condition_b", "metric", "estimate"), ["condition_a", "condition_b", "metric"])
 
 
 def medoid_robustness(train: DataFrame, held: DataFrame, group: str, top: int = 3, **options) -> DataFrame:

@@ -102,3 +102,24 @@ def test_streams(spark, small, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("scores").count() == 90
+
+
+def test_ablation_has_eight_conditions_and_paired_differences(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(48):
+        n, shape = 12 + i % 7, i % 3
+        level = np.sin(np.linspace(0, 2 + 2 * shape, n)) + rng.normal(0, 0.05, n)
+        rows.append((i, shape, i % 2 == 0 if i < 24 else i % 4 < 2, level.tolist(), [0.1] * n, [1.0] * n))
+    traces = spark.createDataFrame(rows, "trace_id long, construct long, is_training boolean, mean array<double>, std array<double>, dwell array<double>")
+    got, differences = studies.ablation(traces, "construct", fixed=20, replicates=40, max_iter=2)
+    got = {r["condition"]: r for r in got.collect()}
+    assert set(got) == {"T", "TO", "TN_p95", "TN_fixed_20", "TON_p95", "TON_fixed_20", "TNO_p95", "TNO_fixed_20"}
+    lengths = {k: [len(r[3]) for r in rows if r[1] == k and r[2]] for k in range(3)}
+    assert got["TN_p95"]["target"] == int(np.ceil(max(np.percentile(v, 95) for v in lengths.values())))
+    assert len({r["events"] for r in got.values()}) == 1
+    assert all(r[f"{m}_low"] <= r[f"{m}_high"] for r in got.values() for m in studies.METRICS)
+    differences = differences.collect()
+    assert {(r["condition_a"], r["condition_b"]) for r in differences} == set(studies.contrasts(20)) and len(differences) == 21
+    for r in differences:
+        assert r["estimate"] == pytest.approx(got[r["condition_a"]][r["metric"]] - got[r["condition_b"]][r["metric"]]) and r["replicates"] == 40

@@ -560,7 +560,7 @@ def cluster_choice(spark, sf):
 
 def fitted(spark, sf):
     train = fx.grid_traces(spark, sf).where("is_training")
-    return studies.local(consensus.fit_barycentres(train, "label", min_depth=None, max_iter=5))
+    return studies.local(consensus.fit_barycentres(train, "label", min_depth=None))
 
 
 @query()
@@ -777,7 +777,7 @@ def profile_hmm_fit(spark, sf):
 def hmm_profiles(spark, sf):
     """Profile HMMs of the training embeddings of each class."""
     train = fx.grid_traces(spark, sf).where("is_training")
-    return studies.local(alignment.fit_profile_hmms(train, "label", max_iter=2, min_std=0.05))
+    return studies.local(alignment.fit_profile_hmms(train, "label", min_std=0.05))
 
 
 @query()
@@ -814,6 +814,8 @@ def consensus_classification(spark, sf):
 
 # --- studies -----------------------------------------------------------------------------------------------------------
 
+STUDY_ROUNDS = 50  # at most, of the barycentres of studies
+
 
 def cohort(spark, sf):
     """Users as traces of three constructs with a stored split."""
@@ -834,7 +836,7 @@ def study_screen(spark, sf):
 @query()
 def study_representations(spark, sf):
     g = fx.grid_traces(spark, sf)
-    return r6(studies.compare_representations(g.where("is_training"), g.where("NOT is_training"), "label", fixed=32, max_iter=2), "accuracy", "balanced_accuracy", "macro_f1", "low", "high")
+    return r6(studies.compare_representations(g.where("is_training"), g.where("NOT is_training"), "label", fixed=32, max_iter=STUDY_ROUNDS), "accuracy", "balanced_accuracy", "macro_f1", "low", "high")
 
 
 @query()
@@ -847,21 +849,21 @@ def synthetic_consensus(spark, sf):
 
 @query()
 def study_ablation(spark, sf):
-    rows, _ = studies.ablation(cohort(spark, sf), "construct", threshold=6.0, max_iter=2)
+    rows, _ = studies.ablation(cohort(spark, sf), "construct", threshold=6.0, max_iter=STUDY_ROUNDS)
     return r6(rows, *[f"{m}{end}" for m in studies.METRICS for end in ("", "_low", "_high")])
 
 
 @query()
 def study_ablation_differences(spark, sf):
     """Paired differences between the conditions of the ablation."""
-    _, differences = studies.ablation(cohort(spark, sf), "construct", threshold=6.0, max_iter=2)
+    _, differences = studies.ablation(cohort(spark, sf), "construct", threshold=6.0, max_iter=STUDY_ROUNDS)
     return r6(differences, "estimate", "low", "high")
 
 
 @query()
 def study_medoid_robustness(spark, sf):
     g = fx.grid_traces(spark, sf)
-    return r6(studies.medoid_robustness(g.where("is_training"), g.where("NOT is_training"), "label", top=2, max_iter=2), "row_sum", "distance", "rmse", "accuracy")
+    return r6(studies.medoid_robustness(g.where("is_training"), g.where("NOT is_training"), "label", top=2, max_iter=STUDY_ROUNDS), "row_sum", "distance", "rmse", "accuracy")
 
 
 @query()

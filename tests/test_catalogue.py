@@ -51,3 +51,22 @@ def test_entry(spark):
     frame = __spark_entry__.entry(spark)
     assert {"label", "recall", "precision", "f1"} <= set(frame.columns)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_fits_have_the_rounds_of_their_operators(spark, small, monkeypatch):
+    """20 of profile HMMs, 10 of barycentres, 50 in studies: whatever is not converged has used them."""
+    from sigspark.functions import profile_hmm
+    from sigspark.operators import consensus
+
+    most = {f.__name__: f.__kwdefaults__["max_iter"] if f.__kwdefaults__ else f.__defaults__[f.__code__.co_varnames[: f.__code__.co_argcount].index("max_iter") - f.__code__.co_argcount] for f in (profile_hmm.fit, consensus.barycentre)}
+    assert most == {"fit": 20, "barycentre": 10} and catalogue.STUDY_ROUNDS == 50
+    hmm = catalogue.profile_hmm_fit(spark, small).collect()
+    assert all(r["converged"] or r["n_iter"] == 20 for r in hmm)
+    assert all(r["converged"] or r["iterations"] == 10 for r in catalogue.dba_consensus(spark, small).collect())
+    seen = []
+    for name in ("ablation", "compare_representations", "medoid_robustness"):
+        monkeypatch.setattr(catalogue.studies, name, lambda *a, **b: seen.append(b["max_iter"]) or (None, None))
+    monkeypatch.setattr(catalogue, "r6", lambda frame, *a, **b: frame)
+    for name in ("study_ablation", "study_ablation_differences", "study_representations", "study_medoid_robustness"):
+        getattr(catalogue, name)(spark, small)
+    assert seen == [50] * 4

@@ -863,7 +863,7 @@ def study_ablation_differences(spark, sf):
 @query()
 def study_medoid_robustness(spark, sf):
     g = fx.grid_traces(spark, sf)
-    return r6(studies.medoid_robustness(g.where("is_training"), g.where("NOT is_training"), "label", top=2, max_iter=STUDY_ROUNDS), "row_sum", "distance", "rmse", "accuracy")
+    return r6(studies.medoid_robustness(g.where("is_training"), g.where("NOT is_training"), "label", top=5, max_iter=STUDY_ROUNDS), "row_sum", "distance", "rmse", "accuracy")
 
 
 @query()

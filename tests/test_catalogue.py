@@ -70,3 +70,9 @@ def test_fits_have_the_rounds_of_their_operators(spark, small, monkeypatch):
     for name in ("study_ablation", "study_ablation_differences", "study_representations", "study_medoid_robustness"):
         getattr(catalogue, name)(spark, small)
     assert seen == [50] * 4
+
+
+def test_medoid_robustness_tries_five_candidates(spark, small):
+    got = catalogue.study_medoid_robustness(spark, small).toPandas()
+    assert set(got.groupby("label")["rank"].max()) == {5}
+    assert got[got["rank"] > 1]["accuracy"].notna().all()

@@ -730,10 +730,10 @@ def boundary_events(spark, sf):
 
 
 def boundary_anchor(spark, sf, trim: int = 4):
-    """One known profile: the last 40 states of the template of which most are known, on the events' scale."""
+    """One known profile: all states of the template of which most are known, on the events' scale."""
     anchor = lut.trusted_anchor(lut.half_step_profile(fx.templates(spark, sf), fx.kmer_table(spark, sf)), trim)
     full = anchor.groupBy("template_id").agg(F.sort_array(F.collect_list(F.struct("state", "mean", "std", "ref_pos"))).alias("s"))
-    best = full.orderBy(F.size("s").desc(), "template_id").limit(1).withColumn("s", F.slice("s", -F.least(F.size("s"), F.lit(40)), 40))
+    best = full.orderBy(F.size("s").desc(), "template_id").limit(1)
     return best.select(F.lit(0).alias("anchor_id"), F.transform("s", lambda x: x["mean"] * 20).alias("mean"), F.transform("s", lambda x: x["std"] * 40).alias("std"), F.transform("s", lambda x: x["ref_pos"]).alias("ref_pos"))
 
 
@@ -756,10 +756,13 @@ def _boundary_errors(spark, sf, trim):
     return decoded(spark, sf, trim).join(truth, "trace_id").select("trace_id", "status", (F.col("boundary_step") - F.col("truth")).cast("double").alias("error"), F.lit(trim).alias("trim"))
 
 
+TRIMS = range(10)
+
+
 @query()
 def trim_sweep(spark, sf):
-    """Boundary errors for trims of 0 to 3 states, and the choice."""
-    rows = io.union_rows([_boundary_errors(spark, sf, t) for t in range(4)])
+    """Boundary errors for trims of 0 to 9 states, and the choice."""
+    rows = io.union_rows([_boundary_errors(spark, sf, t) for t in TRIMS])
     return metrics.best_trim(metrics.boundary_summary(rows, "trim"))
 
 

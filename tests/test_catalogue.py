@@ -76,3 +76,9 @@ def test_medoid_robustness_tries_five_candidates(spark, small):
     got = catalogue.study_medoid_robustness(spark, small).toPandas()
     assert set(got.groupby("label")["rank"].max()) == {5}
     assert got[got["rank"] > 1]["accuracy"].notna().all()
+
+
+def test_trims_shorten_the_full_anchor(spark, small):
+    anchors = [catalogue.boundary_anchor(spark, small, t).first()["mean"] for t in (0, 4, 9)]
+    assert list(catalogue.TRIMS) == list(range(10)) and len(anchors[0]) > 49
+    assert anchors[1] == anchors[0][:-4] and anchors[2] == anchors[0][:-9]

@@ -399,7 +399,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75,
     doc_id reachable by links. A null, empty or blank text has no shingles, no node and links with nothing; a text under
     `width` words is one shingle. Repeated rows give repeated rows; rows without an id are left out; an empty table gives
     an empty result.
+
+    Size steps of pair signatures fit a percent of 75 or more; below that links would be lost, so it is an error.
     """
+    if not 75 <= percent <= 100:
+        raise ValueError(f"percent {percent} is not from 75 to 100")
     docs = texts(docs)
     _, volume = total_bytes(docs)
     stage = Stage(spark, "jaccard")

@@ -113,3 +113,8 @@ def test_a_repeated_line_without_stops_goes(spark):
     got = {r["doc_id"]: r["text"] for r in remove_repeated_spans(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for d, text in rows:
         assert got[d] == text if d < 100 else lines[d - 100] not in got[d] and not re.search(r"t\d+x", got[d])
+
+
+def test_percent_that_would_lose_links_is_an_error(spark, docs):
+    with pytest.raises(ValueError):
+        jaccard_components(spark, docs, percent=50)

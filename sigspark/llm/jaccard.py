@@ -7,20 +7,27 @@ the tokens beyond what the classes may share unnoticed reach n - ceil(t*n) + 1:
 share a single rare token or a pair of frequent tokens of one sub-class. These are the signatures. Nodes of one
 signature are candidates. The tokens that two nodes share among their single signatures are counted, too: with c of them and p
 tokens given singly, no more than c + max(n - p) tokens can be common, so pairs below the needed overlap go before any set is read. All
-others are verified on their whole sets.
+others are verified on their whole sets. A signature travels as 13 bytes whatever the number of parts: four of the signature, the
+node and the step of its size; sizes themselves are joined to the counted pairs.
 
 No list of all pairs is made. Signatures first part the nodes into clusters without candidates across. A cluster of
 bounded size is solved in one task that holds its sets: a node is counted against all nodes that are not yet in its component, at
 once, over the cluster's tokens. Larger clusters are solved in rounds over the whole cluster: the nodes of a signature are
 verified against one pivot, links are contracted to components, and only signatures that still span several components
 stay, until the pairs across components are few enough to verify all of them. Either way a pair is verified or already
-inside one component, and components are exact.
+inside one component, and components are exact. Each round takes twice the pivots of the one before, and a node that was
+a pivot leaves the signature's group, since all its pairs there are known.
+
+Document counts of tokens are lossy counts: each run of documents (FLUSH_TOKENS) sums its own and drops what occurs once in
+it, so a token's count is short by the number of runs at most, and a token of all documents costs one entry a run. They
+set the common order of tokens, nothing else.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,14 +36,18 @@ from ._shared import Stage, free_shuffles, parts_for, texts, total_bytes
 
 #: Most tokens of the frequent class, whose table every executor holds: 12 bytes each.
 FREQUENT_TOKENS = 400_000
-#: Least number of documents that makes a token frequent.
-FREQUENT_DF = 8
+#: Least count that makes a token frequent.
+FREQUENT_DF = 4
+#: Tokens whose repetitions are counted at once.
+FLUSH_TOKENS = 4_000_000
 #: Most nodes whose ids are sent to all executors; beyond it a join selects them.
 BROADCAST_NODES = 2_000_000
 #: Most tokens of a cluster that one task solves: 8 bytes each.
 CLUSTER_TOKENS = 4_000_000
 #: Largest group of a single token whose pairs are counted; of larger ones the nodes stay together uncounted.
-PAIRED = 24
+PAIRED = 32
+#: Steps of set size to an octave.
+STEPS = 12
 _SMALL, _SMALL_TOO = 8, 12  # sets under the first use single tokens only; up to the second, these too
 _FOUR_THIRDS = np.log(4 / 3)
 
@@ -64,10 +75,15 @@ def _split_parts(key: np.ndarray, bits: int) -> np.ndarray:
     return np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
 
 
-def frequent_tokens(docs: DataFrame, volume: int, width: int, limit: int = FREQUENT_TOKENS) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted token prefixes of bits+32 bits as uint64, document counts) of the most frequent tokens, `limit` at most.
+def size_steps(n: np.ndarray) -> np.ndarray:
+    """The size on a logarithmic scale, in one byte; the largest share the last step."""
+    return np.minimum(np.log2(np.maximum(n, 1)) * STEPS, 255).astype(np.uint8)
+
+
+def frequent_tokens(docs: DataFrame, volume: int, width: int, limit: int = FREQUENT_TOKENS) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted token prefixes of bits+32 bits as uint64, counts, bits) of the most frequent tokens, `limit` at most.
 
-    Counts cover all documents (copies within a chunk count once). They only set the common order of tokens: a mistaken
+    Lossy counts over all documents (copies within a run count once). They only set the common order of tokens: a mistaken
     count would cost time, never a link.
     """
     parts = parts_for(volume / 6, 4_000_000)
@@ -75,40 +91,43 @@ def frequent_tokens(docs: DataFrame, volume: int, width: int, limit: int = FREQU
     shift = np.uint64(32 - bits)
 
     def emit(batches):
-        held, n = [], 0
+        held, seen, n = [], np.zeros(0, np.int64), 0
 
         def flush():
-            key = np.sort(np.concatenate(held))
+            key, times = np.unique(np.concatenate(held), return_counts=True)
+            key, times = key[times > 1], times[times > 1].astype(np.uint32)
             at = _split_parts(key, bits)
             low = ((key >> shift) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             rows = [p for p in range(parts) if at[p] < at[p + 1]]
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([low[at[p] : at[p + 1]].tobytes() for p in rows], pa.binary())], ["part", "tokens"])
+            blobs = [[x[at[p] : at[p + 1]].tobytes() for p in rows] for x in (low, times)]
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["part", "tokens", "times"])
 
         for batch in batches:
             for _, _, data, offs in T.chunks(batch.column(1)):
                 doc, token, sizes, digest = _chunk_sets(data, offs, width)
-                _, once = np.unique(digest, return_index=True)
+                fresh, once = np.unique(digest, return_index=True)
                 keep = np.zeros(len(sizes), bool)
-                keep[once] = True
+                keep[once[~np.isin(fresh, seen)]] = True
+                seen = np.union1d(seen, fresh)
                 held.append(token[keep[doc]])
                 n += len(held[-1])
-                if n > 2_000_000:
+                if n > FLUSH_TOKENS:
                     yield flush()
-                    held, n = [], 0
+                    held, seen, n = [], seen[:0], 0
                     T.trim()
         if n:
             yield flush()
 
     def count(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        tokens = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("tokens")]))
-        begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        df = np.diff(np.append(begin, len(tokens)))
+        tokens, times = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column(c)]) for c in ("tokens", "times"))
+        token, inverse = np.unique(tokens, return_inverse=True)
+        df = np.bincount(inverse, times, len(token)).astype(np.int64)
         often = df >= FREQUENT_DF
-        token = (np.uint64(part) << np.uint64(32)) | tokens[begin[often]].astype(np.uint64)
-        return pa.table({"token": pa.array(token.view(np.int64)), "df": pa.array(df[often].astype(np.int64))})
+        token = (np.uint64(part) << np.uint64(32)) | token[often].astype(np.uint64)
+        return pa.table({"token": pa.array(token.view(np.int64)), "df": pa.array(df[often])})
 
-    counted = docs.mapInArrow(emit, "part int, tokens binary").groupBy("part").applyInArrow(count, "token long, df long")
+    counted = docs.mapInArrow(emit, "part int, tokens binary, times binary").groupBy("part").applyInArrow(count, "token long, df long")
     rows = counted.orderBy(F.desc("df"), "token").limit(limit).toPandas()
     token = rows["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
@@ -166,44 +185,39 @@ def _signatures(doc, token, sizes, df, percent):
 
 
 def _emit_signatures(frequent, width, percent, parts, batches):
-    """Rows of two kinds: a document with its node, and the signatures of a run of documents for one part."""
+    """(part, blob): the signatures of a run of documents for one part, singly or in pairs, and from part 2 * parts on, documents with
+    their nodes."""
     known, counts, known_bits = frequent.value
     bits = parts.bit_length() - 1
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())])
-    held, n = ([], []), 0
+    context = TaskContext.get()
+    facts_part = 2 * parts + (context.partitionId() if context else 0) % _fact_parts(parts)
+    schema = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
+    held, facts, n = ([], []), [], 0
 
     def flush():
-        rows, blobs = [], []
+        rows, blobs = [facts_part], [np.concatenate(facts, axis=1).tobytes()]
         for kind in (0, 1):
             if not held[kind]:
                 continue
-            sig, node, size, lead = (np.concatenate([x[k] for x in held[kind]]) for k in range(4))
-            names, local = np.unique(node, return_inverse=True)
-            facts = np.zeros((2, len(names)), np.int32)
-            facts[0, local], facts[1, local] = size, lead
-            order = np.lexsort((local, sig))
-            sig, local = sig[order], local[order]
+            sig, node, step = (np.concatenate([x[k] for x in held[kind]]) for k in range(3))
+            order = np.lexsort((node, sig))
+            sig, node = sig[order], node[order]
             keep = np.ones(len(sig), bool)
-            keep[1:] = (sig[1:] != sig[:-1]) | (local[1:] != local[:-1])
-            sig, local = sig[keep], local[keep]
+            keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            sig, node, step = sig[keep], node[keep], step[order][keep]
             at = _split_parts(sig, bits)
-            low = ((sig >> np.uint64(24 - bits)) & np.uint64(0xFFFFFFFFFF)).astype("<u8")
-            low = np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, :5])
+            low = ((sig >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             for p in range(parts):
                 a, b = at[p], at[p + 1]
                 if a < b:
-                    used, short = np.unique(local[a:b], return_inverse=True)
-                    head = np.array([b - a, len(used)], np.int64).tobytes()
-                    blobs.append(head + names[used].tobytes() + facts[:, used].tobytes() + short.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes() + low[a:b].tobytes())
+                    blobs.append(low[a:b].tobytes() + node[a:b].tobytes() + step[a:b].tobytes())
                     rows.append(p + kind * parts)
-        none = pa.nulls(len(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for a, b, data, offs in T.chunks(batch.column(1)):
             doc, token, sizes, digest = _chunk_sets(data, offs, width)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(sizes), pa.array(digest, mask=sizes == 0), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], schema=schema)
             _, once = np.unique(digest, return_index=True)
             keep = np.zeros(len(sizes), bool)
             keep[once] = True
@@ -215,51 +229,65 @@ def _emit_signatures(frequent, width, percent, parts, batches):
                 i = np.minimum(np.searchsorted(known, short), len(known) - 1)
                 df = np.where(known[i] == short, counts[i], 0)
             *both, lead = _signatures(doc, token, np.where(keep, sizes, 0), df, percent)
+            facts.append(np.array([ids[a:b], sizes, digest, lead], np.int64))
+            step = size_steps(sizes)
             for kind, (sdoc, sig) in enumerate(both):
                 if len(sig):
-                    held[kind].append((sig, digest[sdoc], sizes[sdoc], lead[sdoc]))
+                    held[kind].append((sig, digest[sdoc], step[sdoc]))
                     n += len(sig)
-            if n > 500_000:
+            if n > 1_000_000:
                 yield flush()
-                held, n = ([], []), 0
+                held, facts, n = ([], []), [], 0
                 T.trim()
-    if n:
+    if facts:
         yield flush()
 
 
+def _fact_parts(parts: int) -> int:
+    return max(1, parts // 16)
+
+
 def _read_blob(buffer) -> tuple[np.ndarray, ...]:
-    """(signature, node, set size, tokens given singly) of each entry."""
+    """(signature, node, size step) of each entry."""
     raw = np.frombuffer(buffer, np.uint8)
-    rows, names = raw[:16].view(np.int64)
-    a = 16 + 8 * names
-    node, facts = raw[16:a].view(np.int64), raw[a : a + 8 * names].copy().view(np.int32).reshape(2, -1)
-    a += 8 * names
-    wide = 4 if names > 65535 else 2
-    local = raw[a : a + wide * rows].copy().view(np.uint32 if wide == 4 else np.uint16).astype(np.int64)
-    sig = np.zeros((rows, 8), np.uint8)
-    sig[:, :5] = raw[a + wide * rows :].reshape(-1, 5)
-    return sig.view(np.uint64).ravel(), node[local], facts[0][local], facts[1][local]
+    n = len(raw) // 13
+    return raw[: 4 * n].view(np.uint32), raw[4 * n : 12 * n].copy().view(np.int64), raw[12 * n :]
+
+
+_TOLD = "kind byte, a long, b long, n long, lead long"
+_DOCUMENT, _PAIR, _GROUP = 0, 1, 2
+
+
+def _told(kind: int, *columns: np.ndarray) -> pa.Table:
+    n = len(columns[0])
+    rest = [pa.nulls(n, pa.int64())] * (4 - len(columns))
+    return pa.table([pa.array(np.full(n, kind, np.int8)), *(pa.array(c) for c in columns), *rest], names=["kind", "a", "b", "n", "lead"])
 
 
 def _candidates(percent: int, parts: int, table: pa.Table) -> pa.Table:
-    """What the signatures of a part tell: counted pairs (a, b, shared, slack, total) and groups (group, node, n).
+    """What a part tells: documents (doc_id, node, n, lead), counted pairs (a, b, shared) and groups (group, node).
 
     A group is parted where the sizes of its nodes leave a gap that no link can cross. Small groups of single tokens give
     their pairs; the others stay groups, one of each set of nodes.
     """
-    single = table.column("part")[0].as_py() < parts
+    part = table.column("part")[0].as_py()
+    if part >= 2 * parts:
+        doc_id, n, node, lead = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(4, -1) for x in table.column("blob")], axis=1)
+        return _told(_DOCUMENT, doc_id, node, n, lead)
+    single = part < parts
+    widest = int(np.ceil(np.log2(100 / percent) * STEPS))
     read = [_read_blob(x.as_buffer()) for x in table.column("blob")]
-    sig, node, n, lead = (np.concatenate([x[k] for x in read]) for k in range(4))
+    sig, node, step = (np.concatenate([x[k] for x in read]) for k in range(3))
     del read
-    order = np.lexsort((node, n, sig))
-    sig, node, n, lead = sig[order], node[order], n[order].astype(np.int64), lead[order].astype(np.int64)
+    order = np.lexsort((node, step, sig))
+    sig, node, step = sig[order], node[order], step[order].astype(np.int16)
     keep = np.ones(len(sig), bool)
     keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node, n, lead = sig[keep], node[keep], n[keep], lead[keep]
-    begin = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (100 * n[:-1] < percent * n[1:])]))
+    sig, node, step = sig[keep], node[keep], step[keep]
+    begin = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (step[1:] - step[:-1] > widest)]))
     length = np.diff(np.append(begin, len(sig)))
     none = np.zeros(0, np.int64)
-    found = [(none,) * 4]
+    found = [(none, none)]
     if single:
         for m in range(2, PAIRED + 1):
             at = begin[length == m]
@@ -267,18 +295,16 @@ def _candidates(percent: int, parts: int, table: pa.Table) -> pa.Table:
                 continue
             i, j = np.triu_indices(m, 1)
             x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-            near = 100 * n[x] >= percent * n[y]
-            x, y = x[near], y[near]
-            slack, total = np.maximum(n[x] - lead[x], n[y] - lead[y]), n[x] + n[y]
-            found.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), slack, total))
-    a, b, slack, total = (np.concatenate([f[k] for f in found]) for k in range(4))
+            near = step[y] - step[x] <= widest
+            x, y = node[x[near]], node[y[near]]
+            found.append((np.minimum(x, y), np.maximum(x, y)))
+    a, b = (np.concatenate([f[k] for f in found]) for k in range(2))
     order = np.lexsort((b, a))
-    a, b, slack, total = a[order], b[order], slack[order], total[order]
+    a, b = a[order], b[order]
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else none
     shared = np.diff(np.append(new, len(a)))
     several = length > (PAIRED if single else 1)
-    member = np.repeat(several, length)
-    node, n, length = node[member], n[member], length[several]
+    node, length = node[np.repeat(several, length)], length[several]
     begin = np.cumsum(length) - length
     mixed = np.zeros(len(node) + 1, np.uint64)
     np.cumsum(T.mix(node.view(np.uint64)), out=mixed[1:])
@@ -287,11 +313,7 @@ def _candidates(percent: int, parts: int, table: pa.Table) -> pa.Table:
     pick = np.zeros(len(group), bool)
     pick[once] = True
     member = np.repeat(pick, length)
-    group = np.repeat(group, length)[member]
-    columns = {"group": (none, group), "a": (a[new], node[member]), "b": (b[new], none), "shared": (shared, none), "slack": (slack[new], none), "total": (total[new], n[member])}
-    k, g = len(new), len(group)
-    fill = lambda x, y, i: pa.concat_arrays([pa.array(x) if len(x) == k and i else pa.nulls(k, pa.int64()), pa.array(y) if len(y) == g else pa.nulls(g, pa.int64())])
-    out = pa.table({c: fill(x, y, c != "group") for c, (x, y) in columns.items()})
+    out = pa.concat_tables([_told(_PAIR, a[new], b[new], shared), _told(_GROUP, np.repeat(group, length)[member], node[member])])
     T.trim()
     return out
 
@@ -410,23 +432,24 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75,
     known, counts, known_bits = frequent_tokens(docs, volume, width)
     frequent = spark.sparkContext.broadcast((known, counts, known_bits))
     free_shuffles(spark)
-    parts = parts_for(volume / 20, 500_000)
-    rows = stage.put(docs.mapInArrow(lambda it: _emit_signatures(frequent, width, percent, parts, it), "doc_id long, n long, node long, part int, blob binary"), "rows")
-    sets = stage.put(rows.where("part IS NULL").select("doc_id", "n", "node"), "sets")
-    told = stage.put(
-        rows.where("part IS NOT NULL").select("part", "blob").groupBy("part").applyInArrow(lambda t: _candidates(percent, parts, t), "group long, a long, b long, shared long, slack long, total long"), "told"
-    )
-    stage.drop("rows")
+    parts = parts_for(volume / 14, 500_000)
+    told = docs.mapInArrow(lambda it: _emit_signatures(frequent, width, percent, parts, it), "part int, blob binary").groupBy("part").applyInArrow(lambda t: _candidates(percent, parts, t), _TOLD)
+    told = stage.put(told, "told")
     free_shuffles(spark)
-    # a link needs an overlap of total * percent / (100 + percent)
-    pairs = told.where("group IS NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("slack").alias("slack"), F.first("total").alias("total"))
-    pairs = stage.put(pairs.where((F.col("shared") + F.col("slack")) * (100 + percent) >= percent * F.col("total")).select("a", "b"), "pairs")
-    groups = stage.put(told.where("group IS NOT NULL").select("group", F.col("a").alias("node"), F.col("total").alias("n")).distinct(), "groups")
+    sets = stage.put(told.where(F.col("kind") == _DOCUMENT).select(F.col("a").alias("doc_id"), "n", F.when(F.col("n") > 0, F.col("b")).alias("node"), "lead"), "sets")
+    nodes = stage.put(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("lead").alias("lead")), "nodes")
+    pairs = told.where(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    for side in "ab":
+        own = nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), (F.col("n") - F.col("lead")).alias(f"slack_{side}"))
+        pairs = pairs.join(own, side)
+    total = F.col("n_a") + F.col("n_b")
+    # a link needs an overlap of total * percent / (100 + percent), which no larger than the smaller set is
+    enough = (F.least(F.col("shared") + F.greatest("slack_a", "slack_b"), "n_a", "n_b")) * (100 + percent) >= percent * total
+    pairs = stage.put(pairs.where(enough).select("a", "b"), "pairs")
+    groups = stage.put(told.where(F.col("kind") == _GROUP).select(F.col("a").alias("group"), F.col("b").alias("node")).distinct(), "groups")
     stage.drop("told")
-    nodes = stage.put(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     edges = groups.join(groups.groupBy("group").agg(F.min("node").alias("b")), "group").select(F.col("node").alias("a"), "b").union(pairs)
-    sizes = sets.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"))
-    member = components(stage, edges, "cluster").withColumnRenamed("label", "cluster").join(sizes, "node").join(nodes, "node")
+    member = components(stage, edges, "cluster").withColumnRenamed("label", "cluster").join(nodes.drop("lead"), "node")
     member = stage.put(member, "member")
     member = stage.put(member.join(member.groupBy("cluster").agg(F.sum("n").alias("tokens")), "cluster"), "member")
     facts = member.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("tokens"), F.lit(0)).alias("most")).first()
@@ -444,8 +467,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75,
         big = member.where(F.col("tokens") > cluster_tokens).select("node")
         own = stage.put(tokens.join(big, "node"), "tokens")
         two = pairs.withColumn("group", F.xxhash64("a", "b"))
-        two = two.select("group", F.col("a").alias("node")).union(two.select("group", F.col("b").alias("node"))).join(member.select("node", "n"), "node").select("group", "node", "n")
-        label = label.union(_rounds(spark, stage, groups.union(two).join(big, "node", "left_semi"), own, percent))
+        two = two.select("group", F.col("a").alias("node")).union(two.select("group", F.col("b").alias("node")))
+        sized = stage.put(groups.union(two).join(member.where(F.col("tokens") > cluster_tokens).select("node", "n"), "node").select("group", "node", "n"), "sized")
+        label = label.union(_rounds(spark, stage, sized, own, percent))
     full = nodes.join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = full.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = stage.put(full.join(least, "label").select("node", "component_id"), "named")
@@ -470,19 +494,23 @@ def _rounds(spark: SparkSession, stage: Stage, groups: DataFrame, tokens: DataFr
         here = groups.withColumn("comp", F.col("node"))
         if label is not None:
             here = groups.join(label, "node", "left").select("group", "node", "n", F.coalesce("label", "node").alias("comp"))
-        several = here.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp", "n"), F.xxhash64("node", F.lit(round_))).alias("p")).where("lo <> hi")
-        open_ = stage.put(here.join(several.select("group", "p"), "group"), "open")
+        several = here.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("node", F.xxhash64("node", F.lit(round_))).alias("first"), F.count(F.lit(1)).alias("m"))
+        open_ = stage.put(here.join(several.where("lo <> hi").select("group", "first", "m"), "group"), "open")
         per = open_.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("k"))
         cost = per.groupBy("group").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("c"), F.sum("k").alias("m"))
         total = cost.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
         if not total["m"]:
             break
-        last = total["c"] <= 8 * total["m"] or round_ >= 5
-        if last:
-            other = open_.select("group", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
-            pairs = open_.join(other, "group").where("node < node2 AND comp <> comp2").select(F.col("node").alias("a"), F.col("node2").alias("b"), "n", "n2")
-        else:
-            pairs = open_.where("node <> p.node AND comp <> p.comp").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), "n", F.col("p.n").alias("n2"))
+        last = total["c"] <= 8 * total["m"]
+        other = open_
+        if not last:
+            # the first and about 2**round others
+            chosen = (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", F.lit(round_)), F.col("m")) < 1 << min(round_, 40))
+            other = stage.put(open_.where(chosen).select("group", "node", "comp", "n"), "pivots")
+            groups = stage.put(open_.join(other.select("group", "node"), ["group", "node"], "left_anti").select("group", "node", "n"), f"left{round_ % 2}")
+        other = other.select("group", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
+        pairs = open_.join(other, "group").where(("node < node2" if last else "node <> node2") + " AND comp <> comp2")
+        pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), "n", "n2")
         pairs = pairs.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")).select("a", "b").distinct()
         for key in done:
             pairs = pairs.join(spark.read.parquet(stage.paths[key]).select("a", "b"), ["a", "b"], "left_anti")

@@ -47,6 +47,27 @@ def test_components_equal_brute_force(spark, docs, corpus, monkeypatch, tight):
     assert got == want
 
 
+def test_nodes_beyond_a_broadcast(spark, docs, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_NODES", 0)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(spark, docs).collect()}
+    assert got == brute([(r[0], r[1]) for r in corpus])
+
+
+def test_a_line_that_all_documents_share(spark, monkeypatch):
+    """A large group of one signature without links but two: pivots are taken in rounds, no list of all pairs is made."""
+    monkeypatch.setattr(jaccard, "PAIRED", 2)
+    monkeypatch.setattr(jaccard, "FREQUENT_DF", 10**9)
+    rng, keys = random.Random(2), []
+    rows = [(d, "the same line of words here " + " ".join(f"o{rng.randrange(10**9)}" for _ in range(12))) for d in range(70)]
+    rows += [(70, rows[3][1] + " more"), (71, rows[3][1].upper() + " more words"), (72, rows[40][1])]
+    put = jaccard.Stage.put
+    monkeypatch.setattr(jaccard.Stage, "put", lambda self, df, key: keys.append(key) or put(self, df, key))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(spark, frame, cluster_tokens=50).collect()}
+    assert got == brute(rows)
+    assert sum(k == "pivots" for k in keys) > 2
+
+
 def test_repeated_rows_and_clashing_columns(spark, docs, corpus):
     frame = docs.union(docs).withColumn("node", F.lit("x")).withColumn("n", F.lit(1)).withColumn("component_id", F.lit(2))
     got = jaccard_components(spark, frame)

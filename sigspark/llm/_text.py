@@ -18,7 +18,6 @@ CHUNK_BYTES = 1 << 20
 
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,23 +36,27 @@ def byte_codes(lower: bool) -> np.ndarray:
     return codes
 
 
-_powers: list[np.ndarray] = []
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the hash base and of its inverse for n positions."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd base and of its inverse for n positions."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        size = max(n, CHUNK_BYTES + 1 if base == _BASE else 1 << 16)
         size += size // 4
         tables = []
-        for base in (_BASE, _BASE_INV):
-            t = np.full(size, base, np.uint64)
+        for b in (base, pow(base, -1, 1 << 64)):
+            t = np.full(size, b, np.uint64)
             t[0] = 1
             tables.append(np.multiply.accumulate(t))
         if size > 8 * CHUNK_BYTES:  # one very long text: don't keep its tables
             return tables[0], tables[1]
-        _powers[:] = tables
-    return _powers[0], _powers[1]
+        _powers[base] = tables[0], tables[1]
+    return _powers[base]
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return powers(n, _BASE)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:

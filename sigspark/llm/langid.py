@@ -23,13 +23,14 @@ from ._shared import free_shuffles, lowest_hashes
 COLUMNS = 1 << 15
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
+MARK = 1 << 31
 CHUNK = 1 << 18  # bytes of text whose n-grams are counted at once
 
 _fold: list[np.ndarray] = []
 
 
 def _fold_table() -> np.ndarray:
-    """For each code point: its lower case if it is a letter (or a mark), else a blank."""
+    """For each code point: its lower case if it is a letter, itself if a mark, else 0; marks have the top bit too."""
     if not _fold:
         table = np.zeros(0x110000, np.uint32)
         for c in range(0x110000):
@@ -40,15 +41,11 @@ def _fold_table() -> np.ndarray:
                 low = chr(c).lower()
                 table[c] = ord(low[0])
             elif kind[0] == "M":
-                table[c] = c
+                table[c] = c | MARK
         _fold.append(table)
     return _fold[0]
 
 
-def _is_letter(text: str) -> bool:
-    return any(unicodedata.category(c)[0] == "L" for c in text)
-
-
 def chunk_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row pointers, columns, counts, has letters) of a chunk of documents, columns ascending in each row."""
     rows = len(offs) - 1
@@ -57,7 +54,7 @@ def chunk_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.n
     first = np.searchsorted(place, offs)
     sign = _fold_table()[cp]
     letter = sign != 0
-    total = np.concatenate([[0], np.cumsum(letter)])
+    total = np.concatenate([[0], np.cumsum(letter & (sign < MARK))])
     letters = total[first[1:]] - total[first[:-1]] > 0
     # one blank for each run of other signs, one before and one after each document
     doc = np.repeat(np.arange(rows), np.diff(first))
@@ -178,10 +175,11 @@ def _document_frequencies(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], ["column", "n"])
 
 
-def fit(spark: SparkSession, learn: DataFrame, fit_rows: int = 3000, epochs: int = 3, **penalties) -> Model | None:
+def fit(spark: SparkSession, learn: DataFrame, fit_rows: int = 3000, epochs: int = 3, fit_bytes: int = 1 << 26, **penalties) -> Model | None:
     """A model of the learning rows (doc_id, text, lang); None if there are none with letters.
 
-    Rows without text, lang or letters teach nothing. The sample is of fit_rows rows at most.
+    Rows without text, lang or letters teach nothing. The sample is of fit_rows rows and fit_bytes
+    bytes of text at most, whole texts.
     """
     learn = learn.where("text IS NOT NULL AND lang IS NOT NULL")
     found = {int(r["column"]): int(r["n"]) for r in learn.select("text").mapInArrow(_document_frequencies, "column long, n long").groupBy("column").agg(F.sum("n").alias("n")).collect()}
@@ -190,7 +188,7 @@ def fit(spark: SparkSession, learn: DataFrame, fit_rows: int = 3000, epochs: int
     df = np.zeros(COLUMNS)
     df[list(found)] = list(found.values())
     idf = np.log((1 + n) / (1 + df)) + 1
-    sample = lowest_hashes(learn, fit_rows, "text", "lang").toArrow()
+    sample = lowest_hashes(learn, fit_rows, fit_bytes, "text", "lang").toArrow()
     langs = sample.column("lang").to_pylist()
     rows, targets = [], []
     labels = sorted(set(langs))
@@ -220,8 +218,9 @@ def fit(spark: SparkSession, learn: DataFrame, fit_rows: int = 3000, epochs: int
 def predict(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of docs, then lang_pred and score, from the text alone.
 
-    A text that is null or has no letters is `und` with score 0; so is every text without a model. Clashing column names
-    are replaced.
+    A text that is null or has no letters (of marks, digits or signs alone) is `und` with score 0; so is every text without a model. Of
+    equally likely languages the one first in order of names is given. Repeated rows give equal rows; rows without an id are
+    kept; a text of any length is read whole. Clashing column names are replaced. An empty table gives an empty result.
     """
     sent = spark.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]

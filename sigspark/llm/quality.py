@@ -1,9 +1,8 @@
 """Quality classifier by compression (operator 10).
 
-Zstandard dictionaries are built from good and from bad labelled text. A document's feature is the difference of its
-compressed sizes under the two, over its size without a dictionary; a logistic curve fitted on labelled documents that built neither
-dictionary turns it into a score. Repetition and odd characters, which both dictionaries leave as they are, show in the plain
-compression rate: it is the second feature.
+Zstandard dictionaries are built from good and from bad labelled text (raw content: the texts themselves, so that whatever a
+document shares with them costs little). A document's only feature is the difference of its compressed sizes under the two,
+a byte of its text; a logistic curve fitted on labelled documents that built neither dictionary turns it into a calibrated score.
 """
 
 from __future__ import annotations
@@ -20,48 +19,47 @@ from . import _text as T
 from .langid import held_out
 
 #: Dictionary size in bytes.
-DICTIONARY = 1 << 17
-LEVEL = 3
+DICTIONARY = 1 << 20
+LEVEL = 9
 
 
 @dataclass
 class Model:
+    """Two dictionaries and the curve: mean and scale of the feature, its weights (constant, slope)."""
+
     good: bytes
     bad: bytes
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    mean: float = 0.0
+    scale: float = 1.0
+    weights: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     level: int = LEVEL
     _made: list = field(default_factory=list, repr=False)
 
-    def compressors(self):
+    def compressors(self) -> list:
         if not self._made:
-            dicts = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT if not d.startswith(b"\x37\xa4\x30\xec") else zstandard.DICT_TYPE_AUTO) for d in (self.good, self.bad)]
+            dicts = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (self.good, self.bad)]
             for d in dicts:
                 d.precompute_compress(level=self.level)
-            self._made = [zstandard.ZstdCompressor(level=self.level, write_content_size=False), *(zstandard.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False) for d in dicts)]
+            self._made = [zstandard.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False) for d in dicts]
         return self._made
 
     def __getstate__(self):
         return self.__dict__ | {"_made": []}
 
-    def features(self, raw: bytes) -> tuple[float, float, float]:
-        """(normalised difference of the sizes, plain compression rate, log of the size)."""
+    def difference(self, raw: bytes) -> float:
+        """The normalised difference of the compressed sizes: above 0 where the good dictionary helps more."""
         if not raw:
-            return 0.0, 1.0, 0.0
-        plain, good, bad = (len(c.compress(raw)) for c in self.compressors())
-        return (bad - good) / plain, plain / len(raw), float(np.log(len(raw)))
+            return 0.0
+        good, bad = (len(c.compress(raw)) for c in self.compressors())
+        return (bad - good) / len(raw)
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        x = basis((features - self.mean) / self.scale)
+    def scores(self, differences: np.ndarray) -> np.ndarray:
+        x = curve((differences - self.mean) / self.scale)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def basis(x: np.ndarray) -> np.ndarray:
-    """The features, their squares and products, and one."""
-    x = np.clip(x, -6, 6)
-    n = x.shape[1]
-    return np.column_stack([np.ones(len(x)), x, *(x[:, i] * x[:, j] for i in range(n) for j in range(i, n))])
+def curve(x: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(x)), np.clip(x, -6, 6)])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -78,42 +76,45 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
     return w
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary; of text too scarce to train on, the text itself."""
-    pieces = [s[k : k + 2048] for s in samples for k in range(0, len(s), 2048)]
-    try:
-        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, pieces)) // 8)), pieces).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
-
-
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2400, level: int = LEVEL) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2400, level: int = LEVEL, fit_bytes: int = 1 << 25) -> Model | None:
     """A model of the labelled rows (see labelled); None unless both labels occur.
 
-    At most fit_rows documents of each label are used, whole texts, those with the lowest hashes of their ids: half of them for the
-    dictionaries, half for the curve. Ids are chosen before any text is moved; the chosen ones, twice fit_rows at most, go to
-    all tasks.
+    At most fit_rows documents and fit_bytes bytes of each label are used, whole texts, those with the lowest hashes of their ids: half
+    of them for the dictionaries, half for the curve. Ids are chosen before any text is moved; the chosen ones, twice
+    fit_rows at most, go to all tasks. Of rows with one doc_id the least text is used.
     """
     chosen = labelled(docs, labels)
     ids = [chosen.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for label in (0, 1)]
-    ids = spark_rows(docs, ids[0].union(ids[1]))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    kept, used = [], [0, 0]
+    for r in ids[0].union(ids[1]).collect():  # 2 * fit_rows at most
+        if used[r["quality"]] + r["size"] <= fit_bytes:
+            used[r["quality"]] += r["size"]
+            kept.append((r["doc_id"], r["quality"]))
+    own = docs.sparkSession.createDataFrame(kept, "doc_id long, quality int")
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(own), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     sample = [[], []]
     for label, text in zip(rows.column("quality").to_pylist(), rows.column("text").to_pylist()):
-        sample[label].append((text or "").encode())
+        sample[label].append(text.encode())
     if not all(sample):
         return None
     build, rest = zip(*((s[::2], s[1::2] or s) for s in sample))
-    model = Model(_dictionary(build[1], DICTIONARY), _dictionary(build[0], DICTIONARY), np.zeros(3), np.ones(3), np.zeros(0), level)
-    x = np.array([model.features(t) for label in (0, 1) for t in rest[label]])
+    bad, good = (b"".join(b)[-DICTIONARY:] for b in build)
+    model = Model(good, bad, level=level)
+    x = np.array([model.difference(t) for label in (0, 1) for t in rest[label]])
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
-    model.mean, model.scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-    model.weights = logistic(basis((x - model.mean) / model.scale), y)
+    model.mean, model.scale = float(x.mean()), float(x.std()) or 1.0
+    model.weights = logistic(curve((x - model.mean) / model.scale), y)
     return model
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) from the text alone; without a model every score is 0.5. A null text is empty."""
+    """(doc_id, held_out, score, predicted) from the text alone; without a model every score is 0.5.
+
+    A null text is empty, and every empty text gets one and the same score, that of no difference. A score of exactly 0.5 counts as
+    label 1. Equal texts get equal scores, in any row; repeated rows give repeated rows; rows without an id are left out.
+    A text of any length is compressed whole. Other columns, whatever their names, are not read. An empty table gives an
+    empty result.
+    """
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -124,7 +125,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFram
                     value = np.full(b - a, 0.5)
                 else:
                     raw = data.tobytes()
-                    value = model.scores(np.array([model.features(raw[x:y]) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())]).reshape(-1, 3))
+                    value = model.scores(np.array([model.difference(raw[x:y]) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -132,17 +133,12 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFram
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, quality) of the labelled documents to learn from: those with text that are not held out.
+    """(doc_id, size in bytes, quality) of the labelled documents to learn from: those with text that are not held out.
 
     Rows without a label of 0 or 1 or without an id teach nothing; of a document with several labels the least counts.
     """
     own = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    return docs.where("text IS NOT NULL").select("doc_id").distinct().join(own, "doc_id")
-
-
-def spark_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """A bounded set of ids as a local table, so that it is computed once."""
-    return docs.sparkSession.createDataFrame(ids.collect(), "doc_id long, quality int")
+    return docs.where("text IS NOT NULL").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size")).join(own, "doc_id")
 
 
 def op10_quality_by_compression(spark: SparkSession, sf_dir: str) -> DataFrame:

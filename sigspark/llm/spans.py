@@ -7,8 +7,8 @@ either end. Of the runs of at least `sentences` consecutive pieces and `words` w
 shortest to each piece are hashed over their lower-cased words. Runs are joined globally by hash; the first by (doc_id,
 place) stays, and every piece that another occurrence covers is removed from its document.
 
-By default every passage of 51 words that occurs again with the same line ends loses all but its first 13 and last 12 words:
-cuts agree between those, and 26 words hold a run.
+By default every passage of 51 words that occurs again with the same line ends loses all but its first 9 and last 8 words: cuts
+agree between those, and 34 words hold a run of three pieces of at most 9 words and 24 words together.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from . import _text as T
 from ._shared import Stage, texts
 
-SENTENCES, WORDS, LONG = 2, 10, 12
+SENTENCES, WORDS, LONG = 3, 24, 8
+_OTHER = 0xD6E8FEB86659FD93
 _STOP = T._class(b".!?")
 
 
@@ -40,12 +41,12 @@ def least_of_windows(hashes: np.ndarray, width: int, sentence: np.ndarray) -> np
 
 
 def chunk_spans(data: np.ndarray, offs: np.ndarray, sentences: int, words: int, long_words: int):
-    """Of a chunk: (document of each piece, its first byte, first and last piece of each run, the runs' hashes)."""
+    """Of a chunk: (document of each piece, its first byte, first and last piece of each run, 64 and 32 bits of the runs' hashes)."""
     starts, ends, doc = T.spans(T.NOT_SPACE[data], offs)
     n = len(starts)
     if not n:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     hashes = T.span_hashes(data, starts, ends)
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     last = np.ones(n, bool)
@@ -71,18 +72,23 @@ def chunk_spans(data: np.ndarray, offs: np.ndarray, sentences: int, words: int,
     np.cumsum(hashes * power[:n], out=total[1:])
     before, after = begin[one], stop[two] + 1
     run = T.mix((total[after] - total[before]) * inverse[before] + (after - before).astype(np.uint64))
-    return unit_doc, starts[begin], one, two, run
+    # 32 bits more, of another base
+    other, back_ = T.powers(n + 1, _OTHER)
+    np.cumsum(T.mix(hashes) * other[:n], out=total[1:])
+    more = (T.mix((total[after] - total[before]) * back_[before]) >> np.uint64(32)).astype(np.uint32)
+    return unit_doc, starts[begin], one, two, run, more
 
 
 def _emit(options, batches):
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
         for a, b, data, offs in T.chunks(batch.column(1)):
-            doc, _, one, two, run = chunk_spans(data, offs, *options)
+            doc, _, one, two, run, more = chunk_spans(data, offs, *options)
             first = np.searchsorted(doc, doc[one], "left")
             # a place orders runs by their first piece: that, then the last
             place = (one - first << 32) + two - first
-            yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), pa.array(ids[a:b][doc[one]]), pa.array(place)], ["run", "doc_id", "place"])
+            columns = [run.view(np.int64), more.view(np.int32), ids[a:b][doc[one]], keys[a:b][doc[one]], place]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["run", "more", "doc_id", "key", "place"])
 
 
 def _cut(options, schema, text_at, places_at, batches):
@@ -119,32 +125,38 @@ def _cut(options, schema, text_at, places_at, batches):
 
 
 def repeated_spans(stage: Stage, docs: DataFrame, options: tuple[int, int, int]) -> DataFrame:
-    """(doc_id, place): the runs that are not the first of their hash.
+    """(doc_id, key, place): the runs that are not the first of their hash, of rows (doc_id, text, key).
 
     The first occurrences are found with partial minima, so a run that a third of all documents hold costs one row for each
     task; the join back streams the occurrences past the repeated hashes.
     """
-    runs = stage.put(texts(docs).mapInArrow(lambda it: _emit(options, it), "run long, doc_id long, place long"), "runs")
-    least = F.min(F.struct("doc_id", "place")).alias("least")
+    runs = stage.put(docs.mapInArrow(lambda it: _emit(options, it), "run long, more int, doc_id long, key long, place long"), "runs")
+    least = F.min(F.struct("doc_id", "key", "place")).alias("least")
     # written, so that the join reads both sides as they are dealt and Spark can split a run that many documents hold
-    twice = stage.put(runs.groupBy("run").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "least"), "twice")
-    return runs.join(twice, "run").where(F.struct("doc_id", "place") != F.col("least")).select("doc_id", "place")
+    twice = stage.put(runs.groupBy("run", "more").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "more", "least"), "twice")
+    return runs.join(twice, ["run", "more"]).where(F.struct("doc_id", "key", "place") != F.col("least")).select("doc_id", "key", "place")
 
 
 def remove_repeated_spans(spark: SparkSession, docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, long_words: int = LONG) -> DataFrame:
     """All columns of docs with the repeated sentences taken out of text, then n_sentences and n_removed.
 
-    A null text stays null; a text of which nothing is left is empty. Of rows with one doc_id all are kept, and cut alike.
-    Rows without an id are kept as they are. Columns of docs named like the new ones are replaced.
+    A null text stays null; a text of which nothing is left is empty; one of any length is cut whole. Equal rows are all kept, and cut alike, as
+    one document. Rows of one doc_id with different texts are documents of their own, in the order of their texts' hashes.
+    Rows without an id are kept as they are. An empty table gives an empty result. Columns of docs named like the new ones are replaced.
     """
     options = (sentences, words, long_words)
     stage = Stage(spark, "spans")
-    others = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "places")]
+    new = ("n_sentences", "n_removed", "places", "marked_id", "marked_key")
+    others = [c for c in docs.columns if c not in new]
     docs = docs.select(*others)
-    marks = repeated_spans(stage, docs, options).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    marks = stage.put(marks, "marks").withColumnRenamed("doc_id", "marked_id")
+    hashed = F.xxhash64(F.col("text").cast("string"))
+    one_id = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(hashed).alias("lo"), F.max(hashed).alias("hi"))
+    # told apart by text only where ids don't do it
+    key = hashed if one_id.where("lo <> hi").limit(1).count() else F.lit(0).cast("long")
+    marks = repeated_spans(stage, texts(docs).withColumn("key", key), options).groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
+    marks = stage.put(marks, "marks").withColumnsRenamed({"doc_id": "marked_id", "key": "marked_key"})
     stage.drop("runs", "twice")
-    joined = docs.join(marks, F.col("doc_id") == F.col("marked_id"), "left").select(*others, "places")
+    joined = docs.join(marks, (F.col("doc_id") == F.col("marked_id")) & (key == F.col("marked_key")), "left").select(*others, "places")
     fields = [*docs.schema.fields, StructField("n_sentences", LongType()), StructField("n_removed", LongType())]
     out = StructType([StructField("text", StringType()) if f.name == "text" else f for f in fields])
     schema = to_arrow_schema(out)

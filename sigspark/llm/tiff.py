@@ -1,8 +1,10 @@
 """TIFF media columns (operator 6): whole files in a binary column, decoded by walking their image directories.
 
-Reads classic TIFF of either byte order: strips and tiles, 8-bit samples in chunky or planar layout, stored plain, as PackBits, LZW or
-deflate, with or without the horizontal predictor, any number of pages. One row is emitted per page. Writes single
-and multi-page files with the same codecs.
+Reads classic and big TIFF of either byte order: strips and tiles, samples of 1, 2, 4, 8, 16 or 32 bits or floating-point ones of 16, 32 or
+64, in chunky or planar layout, stored plain, as PackBits, LZW or deflate, with or without the horizontal or the floating-point
+predictor, any number of pages. One row is emitted per page. Sizes that a header claims are held against the data before
+memory is taken, and decoders stop at the size of their strip. Writes single and multi-page files of 8-bit samples with the
+same codecs.
 """
 
 from __future__ import annotations
@@ -22,16 +24,19 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Tags of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 284, 317, 322, 323, 324, 325
-_TYPES = {1: ("B", 1), 2: ("B", 1), 3: ("H", 2), 4: ("I", 4), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4)}
+SAMPLE_FORMAT = 339
+_TYPES = {1: ("B", 1), 2: ("B", 1), 3: ("H", 2), 4: ("I", 4), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4), 13: ("I", 4), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
+#: Most bytes that one stored byte can stand for.
+_MOST = {NONE: 1, PACKBITS: 64, LZW: 2560, DEFLATE: 1040, OLD_DEFLATE: 1040}
 
 
 class TiffError(ValueError):
     pass
 
 
-def unpack_bits(raw: bytes) -> bytes:
+def unpack_bits(raw: bytes, most: int = 1 << 62) -> bytes:
     out, i = bytearray(), 0
-    while i < len(raw):
+    while i < len(raw) and len(out) < most:
         n = raw[i]
         i += 1
         if n < 128:
@@ -79,8 +84,9 @@ def _lzw_width(entries: int) -> int:
     return 9 if entries < 511 else 10 if entries < 1023 else 11 if entries < 2047 else 12
 
 
-def lzw_decode(raw: bytes) -> bytes:
+def lzw_decode(raw: bytes, most: int = 1 << 62) -> bytes:
     out, table, width, hold, bits, last = [], [], 9, 0, 0, None
+    made = 0
     first = [bytes([i]) for i in range(256)] + [b"", b""]
     for byte in raw:
         hold, bits = (hold << 8) | byte, bits + 8
@@ -108,6 +114,9 @@ def lzw_decode(raw: bytes) -> bytes:
             table.append(last + entry[:1])
             width = _lzw_width(len(table))
         out.append(entry)
+        made += len(entry)
+        if made >= most:
+            break
         last = entry
     return b"".join(out)
 
@@ -149,16 +158,15 @@ def lzw_encode(raw: bytes) -> bytes:
     return bytes(out)
 
 
-def _decode(raw: bytes, codec: int) -> bytes:
+def _decode(raw: bytes, codec: int, most: int) -> bytes:
+    """At least the first `most` bytes of the decoded data, if there are so many."""
     if codec == NONE:
         return raw
     if codec in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(raw)
+        return zlib.decompressobj().decompress(raw, max(most, 1))
     if codec == PACKBITS:
-        return unpack_bits(raw)
-    if codec == LZW:
-        return lzw_decode(raw)
-    raise TiffError(f"compression {codec}")
+        return unpack_bits(raw, most)
+    return lzw_decode(raw, most)
 
 
 def _encode(raw: bytes, codec: int, level: int) -> bytes:
@@ -206,67 +214,108 @@ def write_tiff(pages: list[np.ndarray], codec: int = DEFLATE, predictor: bool =
 
 
 def _directories(raw: bytes):
+    """(byte order, tags) of each image directory."""
     if len(raw) < 8 or raw[:2] not in (b"II", b"MM"):
         raise TiffError("no TIFF header")
     order = "<" if raw[:2] == b"II" else ">"
-    magic, at = struct.unpack_from(order + "HI", raw, 2)
-    if magic != 42:
+    (magic,) = struct.unpack_from(order + "H", raw, 2)
+    if magic not in (42, 43) or magic == 43 and len(raw) < 16:
         raise TiffError("no TIFF header")
+    # number of entries, size of an entry, count and value of an entry
+    number, size, word = ("H", 12, "I") if magic == 42 else ("Q", 20, "Q")
+    wide = struct.calcsize(word)
+    (at,) = struct.unpack_from(order + word, raw, 4 if magic == 42 else 8)
     seen = set()
     while at:
-        if at in seen or at + 2 > len(raw):
+        if at in seen or at + struct.calcsize(number) > len(raw):
             raise TiffError("broken chain of directories")
         seen.add(at)
-        (n,) = struct.unpack_from(order + "H", raw, at)
+        (n,) = struct.unpack_from(order + number, raw, at)
+        first = at + struct.calcsize("=" + number)
+        if first + n * size + wide > len(raw):
+            raise TiffError("a directory reaches beyond the file")
         tags = {}
         for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", raw, at + 2 + 12 * k)
+            tag, kind, count = struct.unpack_from(order + "HH" + word, raw, first + size * k)
             if kind in _TYPES:
-                letter, size = _TYPES[kind]
-                where = at + 10 + 12 * k
-                if size * count > 4:
-                    (where,) = struct.unpack_from(order + "I", raw, where)
+                letter, each = _TYPES[kind]
+                where = first + size * k + 4 + wide
+                if each * count > wide:
+                    (where,) = struct.unpack_from(order + word, raw, where)
+                if where + each * count > len(raw):
+                    raise TiffError("a tag's values reach beyond the file")
                 tags[tag] = struct.unpack_from(f"{order}{count}{letter}", raw, where)
-        yield tags
-        (at,) = struct.unpack_from(order + "I", raw, at + 2 + 12 * n)
+        yield order, tags
+        (at,) = struct.unpack_from(order + word, raw, first + size * n)
+
+
+def _samples(raw: bytes, order: str, rows: int, width: int, depth: int, bits: int, real: bool, predictor: int) -> np.ndarray:
+    """The (rows, width, depth) samples of a decoded strip or tile."""
+    if bits < 8:
+        line = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, : width * depth * bits].reshape(rows, -1, bits)
+        return (line * (1 << np.arange(bits - 1, -1, -1))).sum(axis=2).astype(np.uint8).reshape(rows, width, depth)
+    kind, size = ("f" if real else "u"), bits // 8
+    if predictor == 3:
+        # differences of bytes over the row, the most significant bytes of all samples first
+        planes = np.frombuffer(raw, np.uint8).reshape(rows, size * width, depth).cumsum(axis=1, dtype=np.uint8)
+        return np.ascontiguousarray(planes.reshape(rows, size, width * depth).transpose(0, 2, 1)).view(f">{kind}{size}").astype(f"{kind}{size}").reshape(rows, width, depth)
+    out = np.frombuffer(raw, f"{order}{kind}{size}").reshape(rows, width, depth)
+    if predictor == 2:
+        out = out.view(f"{order}u{size}").astype(f"u{size}").cumsum(axis=1, dtype=f"u{size}").view(f"{kind}{size}")
+    return out
 
 
 def read_tiff(raw: bytes):
-    """Yields a uint8 array (height, width, samples) for each page."""
-    for tags in _directories(raw):
-        one = lambda tag, default=None: tags[tag][0] if tag in tags else default
-        w, h, s = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-        if w is None or h is None or any(b != 8 for b in tags.get(BITS, (1,))):
-            raise TiffError("only pages of 8-bit samples")
-        codec, planes = one(COMPRESSION, 1), s if one(PLANAR, 1) == 2 else 1
+    """Yields an array (height, width, samples) for each page; samples of fewer than 8 bits have a byte each."""
+    for order, tags in _directories(raw):
+        one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
+        w, h, s, codec, predictor = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
+        bits, real = set(tags.get(BITS, (1,))), one(SAMPLE_FORMAT, 1) == 3
+        if not w or not h or not s:
+            raise TiffError("a page without width, height or samples")
+        if len(bits) != 1 or not bits <= ({16, 32, 64} if real else {1, 2, 4, 8, 16, 32}):
+            raise TiffError(f"samples of {sorted(bits)} bits")
+        bits = bits.pop()
+        if codec not in _MOST:
+            raise TiffError(f"compression {codec}")
+        if predictor not in (1, 2, 3) or predictor == 2 and (bits < 8 or real and bits == 64) or predictor == 3 and not real:
+            raise TiffError(f"predictor {predictor} of {bits} bits")
+        planes = s if one(PLANAR, 1) == 2 else 1
         depth = s // planes
         tiled = TILE_OFFSETS in tags
         offsets, counts = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS)
-        if offsets is None or counts is None:
+        if not offsets or not counts:
             raise TiffError("a page without data")
         tw, th = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (w, min(h, one(ROWS_PER_STRIP, h)))
-        image, k = np.zeros((h, w, s), np.uint8), 0
+        if not tw or not th:
+            raise TiffError("tiles or strips without size")
+        needed = planes * -(-h // th) * -(-w // tw)
+        if min(len(offsets), len(counts)) < needed:
+            raise TiffError("fewer strips or tiles than the page has")
+        line = -(-tw * depth * bits // 8)
+        parts, k = [], 0
         for plane in range(planes):
             for y in range(0, h, th):
                 for x in range(0, w, tw):
                     rows = th if tiled else min(th, h - y)
-                    part = np.frombuffer(_decode(raw[offsets[k] : offsets[k] + counts[k]], codec), np.uint8)
-                    if len(part) < rows * tw * depth:
+                    if rows * line > _MOST[codec] * (counts[k] + 64):
+                        raise TiffError("a strip or tile larger than its data can hold")
+                    part = _decode(raw[offsets[k] : offsets[k] + counts[k]], codec, rows * line)[: rows * line]
+                    if len(part) < rows * line:
                         raise TiffError("a strip or tile is too short")
-                    part = part[: rows * tw * depth].reshape(rows, tw, depth)
-                    if one(PREDICTOR, 1) == 2:
-                        part = np.cumsum(part, axis=1, dtype=np.uint8)
-                    elif one(PREDICTOR, 1) != 1:
-                        raise TiffError("only the horizontal predictor")
-                    image[y : y + th, x : x + tw, plane * depth : (plane + 1) * depth] = part[: h - y, : w - x]
+                    parts.append((plane, y, x, _samples(part, order, rows, tw, depth, bits, real, predictor)))
                     k += 1
+        image = np.zeros((h, w, s), parts[0][3].dtype.newbyteorder("="))
+        for plane, y, x, part in parts:
+            image[y : y + th, x : x + tw, plane * depth : (plane + 1) * depth] = part[: h - y, : w - x]
         yield image
 
 
 def text_media(docs: DataFrame, codec: int = DEFLATE, predictor: bool = False) -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8 bytes, zero-padded to a positive multiple of 64, as a grey page of width 64.
 
-    A null text is an empty one: one row of zeros.
+    A null text is an empty one: one row of zeros. Equal texts give equal files, in any row; repeated rows are kept, rows without
+    an id left out; other columns, whatever their names, are not read. A text of any length is one page. An empty table gives an empty result.
     """
 
     def run(batches):
@@ -294,7 +343,8 @@ def feature_of(image: np.ndarray) -> str:
 
 def media_pages(media: DataFrame, with_samples: bool = True) -> DataFrame:
     """One row per page of the files in the columns (doc_id, n_bytes, media): doc_id, page, width, height, samples, pixels,
-    digests and feature, or one row with `error` where a file can't be read. A null file gives a row with an error too.
+    digests and feature, or one row with `error` where a file can't be read (after those of the pages before the fault). A null file gives a
+    row with an error too. Repeated rows give repeated pages; rows without an id are kept; other columns are not read.
     """
     kept = [("pixels", pa.binary())] if with_samples else []
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), *kept]
@@ -313,8 +363,8 @@ def media_pages(media: DataFrame, with_samples: bool = True) -> DataFrame:
                     "page": page, "width": image.shape[1], "height": image.shape[0], "samples": image.shape[2], "pixels": payload, "payload_bytes": len(payload),
                     "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "feature": feature_of(image),
                 }
-        except (TiffError, zlib.error, struct.error, ValueError) as e:
-            yield base | {"error": str(e)[:200]}
+        except (ValueError, IndexError, OverflowError, MemoryError, zlib.error, struct.error) as e:
+            yield base | {"error": (str(e) or type(e).__name__)[:200]}
 
     def run(batches):
         for batch in batches:

@@ -110,7 +110,9 @@ def write_token_files(spark: SparkSession, docs: DataFrame, folder: str, path: s
     """Encodes whole texts with the tokenizers library, appends end_id to each, and writes the files to folder.
 
     Returns the manifest, one row per file: file, start (ids in the files before it), n_docs, n_tokens. A null text is an
-    empty one. Every executor must reach the folder by its URI. A file is written under a name of its own and then
+    empty one, and has the end id alone. Rows of one doc_id follow each other in the order of their packed ids, so the files
+    are the same however often they are written; rows without an id are left out, and other columns, whatever their names. A text of
+    any length is one document of one block. An empty table gives no files. Every executor must reach the folder by its URI. A file is written under a name of its own and then
     moved, so a task that is run again leaves one whole file.
     """
     path = path or vocabulary_path()
@@ -158,7 +160,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, folder: str, path: s
             fs.delete_file(own)
 
     files = max(1, -(-volume // file_bytes))
-    ordered = encoded.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    ordered = encoded.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
     manifest = stage.put(ordered.mapInArrow(write, "file string, first long, n_docs long, n_tokens long"), "manifest")
     rows = sorted((r.asDict() for r in manifest.collect()), key=lambda r: r["file"])
     stage.drop()

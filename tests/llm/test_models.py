@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from sigspark.llm import langid, lm, quality, tiff
@@ -55,7 +57,7 @@ def test_contamination_in_blocks_and_repeated_items(spark, docs, items):
     more = items.union(items).unionByName(docs.where("length(text) > 300").select(F.lit(30).cast("long").alias("item_id"), "text").limit(2))
     whole = {r["doc_id"]: r for r in benchmark_matches(spark, docs, more).collect()}
     parts = {r["doc_id"]: r for r in benchmark_matches(spark, docs, more, most_terms=60).collect()}
-    assert whole == parts and any(30 in r["items"] for r in whole.values())
+    assert whole == parts and any("30" in r["items"] for r in whole.values())
 
 
 def test_contamination_of_nothing(spark, docs, none, items):
@@ -189,6 +191,20 @@ def test_quality(spark):
     held = [i for i in range(300) if got[i]["held_out"]]
     assert np.mean([got[i]["predicted"] == int(i % 3 != 0) for i in held]) > 0.95
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values()) and len(got) == 303
+    # plain version of the score, and of what was learnt from
+    model = quality.fit(d, labelled)
+    text = {i: (t or "").encode() for i, t in rows}
+    for i, r in got.items():
+        sizes = [len(zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False).compress(text[i])) for x in (model.bad, model.good)]
+        z = min(6, max(-6, ((sizes[0] - sizes[1]) / max(1, len(text[i])) - model.mean) / model.scale))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * z))))
+    hidden = [text[i].decode() for i in held if len(text[i]) > 100]
+    assert not any(t.encode() in model.good + model.bad for t in hidden)
+    lied = labelled.withColumn("quality", F.when(F.col("doc_id").isin(held), 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = quality.fit(d, lied)
+    assert (again.good, again.bad) == (model.good, model.bad) and again.weights == pytest.approx(model.weights)
+    small = quality.fit(d, labelled, fit_bytes=2000)
+    assert len(small.good) + len(small.bad) <= 4000
     assert quality.fit(d, labelled.where("quality = 1")) is None
     assert {r["score"] for r in quality.score(spark, d, None).collect()} == {0.5}
     assert quality.score(spark, d.limit(0), None).collect() == []
@@ -234,6 +250,74 @@ def test_broken_media(spark):
     assert all(any(r["doc_id"] == k and r["error"] for r in got) for k in (2, 3, 4, 5))
 
 
+def _file(tags, data=b"", order="<", big=False):
+    """A file of one page: tags are (tag, letter, values); values of tag 273 are moved behind the header."""
+    kinds, word = {"H": 3, "I": 4, "Q": 16}, "Q" if big else "I"
+    wide = 8 if big else 4
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + ("HHHQ" if big else "HI"), *((43, 8, 0, 16 + len(data)) if big else (42, 8 + len(data))))
+    out, more = b"", b""
+    at = len(head) + len(data) + struct.calcsize("=" + ("Q" if big else "H")) + len(tags) * (20 if big else 12) + wide
+    for tag, letter, values in sorted(tags):
+        raw = struct.pack(f"{order}{len(values)}{letter}", *((v + len(head) if tag == 273 else v) for v in values))
+        if len(raw) > wide:
+            more, raw = more + raw, struct.pack(order + word, at + len(more))
+        out += struct.pack(order + "HH" + word, tag, kinds[letter], len(values)) + raw.ljust(wide, b"\0")
+    return head + data + struct.pack(order + ("Q" if big else "H"), len(tags)) + out + struct.pack(order + word, 0) + more
+
+
+@pytest.mark.parametrize("big", [False, True])
+@pytest.mark.parametrize("order", "<>")
+def test_samples_of_other_sizes(order, big):
+    r = np.random.default_rng(3)
+    for kind, predictor in (("u2", 1), ("u2", 2), ("u4", 2), ("f4", 1), ("f4", 2), ("f4", 3), ("f8", 3), ("f2", 3)):
+        image = r.integers(0, 60000, (5, 7, 2)).astype(kind) if kind[0] == "u" else r.normal(size=(5, 7, 2)).astype(kind)
+        size, whole = image.dtype.itemsize, image.view(f"u{image.dtype.itemsize}")
+        if predictor == 2:
+            whole = np.concatenate([whole[:, :1], whole[:, 1:] - whole[:, :-1]], axis=1)
+        raw = whole.astype(f"{order}u{size}").tobytes()
+        if predictor == 3:
+            planes = image.astype(f">{kind}").view(np.uint8).reshape(5, 14, size).transpose(0, 2, 1).reshape(5, size * 7, 2)
+            raw = np.concatenate([planes[:, :1], planes[:, 1:] - planes[:, :-1]], axis=1).astype(np.uint8).tobytes()
+        raw = zlib.compress(raw)
+        tags = [(256, "H", [7]), (257, "H", [5]), (258, "H", [8 * size] * 2), (259, "H", [8]), (273, "I", [0]), (277, "H", [2]), (279, "I", [len(raw)]), (317, "H", [predictor]), (339, "H", [3 if kind[0] == "f" else 1] * 2)]
+        [page] = tiff.read_tiff(_file(tags, raw, order, big))
+        assert page.dtype.kind == kind[0] and (page == image).all(), (kind, predictor)
+    for bits in (1, 2, 4):
+        image = r.integers(0, 1 << bits, (5, 9, 1)).astype(np.uint8)
+        raw = b"".join(np.packbits(np.unpackbits(row.reshape(-1, 1), axis=1)[:, 8 - bits :].ravel()).tobytes() for row in image)
+        tags = [(256, "H", [9]), (257, "H", [5]), (258, "H", [bits]), (259, "H", [1]), (273, "I", [0]), (279, "I", [len(raw)])]
+        [page] = tiff.read_tiff(_file(tags, raw, order, big))
+        assert (page == image).all()
+
+
+def test_claims_beyond_the_data_are_errors(spark):
+    good = [(256, "I", [64]), (257, "I", [2]), (258, "H", [8]), (259, "H", [1]), (273, "I", [0]), (279, "I", [128])]
+    other = lambda **new: [(t, k, new.get(f"t{t}", v)) for t, k, v in good]
+    files = [
+        _file(other(t256=[4_000_000], t257=[4_000_000]), bytes(128)),
+        _file(other(t256=[4_000_000], t257=[4_000_000], t259=[8]), zlib.compress(bytes(10**6))),
+        _file([*good, (278, "I", [1])], bytes(128)),  # one strip of two
+        _file(other(t279=[64]), bytes(128)),
+        _file(other(t256=[0]), bytes(128)),
+        _file([*good, (317, "H", [9])], bytes(128)),
+        _file(good[:-2], bytes(128)),
+        b"II*\0\xff\xff\xff\x7f",
+        _file(good, bytes(128))[:-40],
+    ]
+    rows = [(k, f) for k, f in enumerate([_file(good, bytes(range(128))), *files])]
+    got = {r["doc_id"]: r for r in tiff.media_pages(spark.createDataFrame(rows, "doc_id long, media binary").withColumn("n_bytes", F.lit(0).cast("long"))).collect()}
+    assert got[0]["error"] is None and bytes(got[0]["pixels"]) == bytes(range(128))
+    assert len(got) == len(rows) and all(got[k]["error"] for k in range(1, len(rows)))
+
+
+def test_deflate_bombs_stop_at_the_strip():
+    raw = zlib.compress(bytes(200_000_000), 9)
+    tags = [(256, "I", [64]), (257, "I", [2]), (258, "H", [8]), (259, "H", [8]), (273, "I", [0]), (279, "I", [len(raw)])]
+    assert len(tiff._decode(raw, tiff.DEFLATE, 128)) == 128
+    [page] = tiff.read_tiff(_file(tags, raw))
+    assert page.shape == (2, 64, 1)
+
+
 def test_pipeline(spark, small):
     from sigspark.llm import pipeline
 

@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -108,9 +109,40 @@ def test_calibration_lowers_loss():
     assert langid.calibrate(z, y) > 2
 
 
+def split(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+
+
+def plain_score(model, words, count):
+    """The log10 probability of a text by loops over all alternatives, and the probabilities' sums."""
+    groups, r = model.ready.groups, model.ready
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    key, _ = lm.chunk_words(data, np.array([0, len(data)]))
+    known = {int(k): i for i, k in enumerate(model.heavy)}
+    end = len(known)
+    symbols = [known.get(int(k), end + 1 + int(k) % 64) for k in key] + [end]
+    total, sums, two, one = 0.0, [], end, end
+    for k, symbol in enumerate(symbols):
+        hat = r.near[groups.place[one]].astype(float) + r.far[groups.place[two]].astype(float)
+        chance = {}
+        top = [math.exp(sum(hat * q)) for q in r.of_groups.astype(float)]
+        for g in range(len(top)):
+            own = range(groups.start[g], groups.start[g + 1])
+            each = [math.exp(sum(hat * r.of_places[p].astype(float))) for p in own]
+            for p, x in zip(own, each):
+                chance[p] = top[g] / sum(top) * x / sum(each)
+        sums.append(sum(chance.values()))
+        total += math.log10(chance[groups.place[symbol]])
+        if symbol > end:
+            total += model.class_log[symbol - end - 1] + math.log10(count[words[k]] + 1)
+        two, one = one, symbol
+    return total, sums
+
+
 def test_language_model(spark, docs, corpus):
-    got = {r["doc_id"]: r for r in lm.score_documents(spark, docs, steps=300).collect()}
-    tokens = {r[0]: re.findall(r"[^\x20\x09-\x0D]+", lower(r[1])) + ["\n"] for r in corpus}
+    model = []
+    got = {r["doc_id"]: r for r in lm.score_documents(spark, docs, steps=30, details=model).collect()}
+    tokens = {r[0]: split(r[1]) + ["\n"] for r in corpus}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
     count = collections.Counter(w for d, ws in tokens.items() if not held[d] for w in ws)
     n, v = sum(count.values()), len(count)
@@ -119,59 +151,62 @@ def test_language_model(spark, docs, corpus):
         r = got[d]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[d], len(ws), sum(count[w] > 0 for w in ws), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), abs=1e-6)
-        assert r["score"] < 0
+    short = sorted((r for r in corpus if len(split(r[1])) < 60), key=lambda r: r[0])
+    assert {len(split(r[1])) for r in short} > {0, 1, 2}
+    for d, text, *_ in short:
+        want, sums = plain_score(model[0], split(text), count)
+        assert got[d]["score"] == pytest.approx(want, abs=1e-3) and sums == pytest.approx([1] * len(sums))
+    # the words of a class and one unseen share its probability
+    kinds = collections.Counter()
+    known = {int(k) for k in model[0].heavy}
+    for w, c in count.items():
+        key = int(lm.chunk_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0]) if w != "\n" else None
+        if key is not None and key not in known:
+            kinds[key % 64] += c + 1
+    assert kinds and all(10 ** -model[0].class_log[k] == pytest.approx(x + 1) for k, x in kinds.items())
+
+
+def test_language_model_learns_what_follows():
+    rng = np.random.default_rng(2)
+    groups = lm.Groups.of(np.full(40, 100))
+    one = rng.integers(0, 40, 60_000)
+    symbol = np.where(rng.random(60_000) < 0.7, (one + 3) % 40, rng.integers(0, 40, 60_000))
+    net = lm.LogBilinear(groups)
+    two = rng.integers(0, 40, 60_000)
+    before = net.ready().log10(two, one, symbol).mean()
+    net.train(*(groups.place[x] for x in (two, one, symbol)), rng)
+    after = net.ready().log10(two, one, symbol).mean()
+    assert before < -1.5 and after > -1.1
 
 
-def test_language_model_is_normalised_and_learns():
-    rng = np.random.default_rng(2)
-    counts = np.zeros((8, 8, 8), np.int64)
-    for u in range(8):
-        for v in range(8):
-            counts[u, v, (v + 3) % 8] = 500  # what follows depends on the symbol before, as a bilinear form can say
-            counts[u, v] += rng.integers(0, 20, 8)
-    net = lm.LogBilinear(8, width=12)
-    net.train(counts.ravel(), steps=1500)
-    p = 10 ** net.table().reshape(8, 8, 8)
-    assert p.sum(axis=2) == pytest.approx(np.ones((8, 8)))
-    unigram = counts.sum(axis=(0, 1)) / counts.sum()
-    assert (counts * np.log(p)).sum() > (counts * np.log(unigram)).sum()
-
-
-def test_language_model_grows_with_the_learning_corpus(spark, docs, corpus, monkeypatch):
-    small, large = lm.shape_for(10**6), lm.shape_for(10**9)
-    assert small.symbols == 64 and large.words > 2 * small.words and large.classes > small.classes
-    assert all(lm.shape_for(10**k).symbols > lm.shape_for(10 ** (k - 1)).symbols for k in range(8, 13))
-    trained = []
-    train = lm.LogBilinear.train
-    monkeypatch.setattr(lm.LogBilinear, "train", lambda self, counts, steps, **more: trained.append((len(self.bias), counts, steps)) or train(self, counts, 20, **more))
-    monkeypatch.setattr(lm, "LEAST_BYTES", 10)
-    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark, docs).collect()}
-    [(size, counts, steps)] = trained
-    held = {r[0] for r in corpus if zlib.crc32(str(r[0]).encode()) % 7 == 2}
-    learnt = [r for r in corpus if r[0] not in held]
-    assert size > 64 and len(counts) == size**3 and steps > lm.STEPS
-    assert counts.sum() == sum(len(re.findall(r"[^\x20\x09-\x0D]+", lower(r[1]))) + 1 for r in learnt)
-    assert len(got) == len(corpus) and all(x < 0 for x in got.values())
-
-
-def test_only_learning_documents_rank_words(spark):
-    rows = [(1, "common word common"), (2, "hidden " * 50)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    heavy = []
-    ask = lm.frequent_words
-    lm.frequent_words = lambda *a, **b: heavy.append(ask(*a, **b)) or heavy[-1]
-    try:
-        lm.score_documents(spark, frame, held=F.col("doc_id") == 2, steps=5)
-    finally:
-        lm.frequent_words = ask
-    assert len(heavy[0]) == 2
+def test_copies_are_averaged_by_their_changes():
+    pack = lambda task, rows, times, change: pa.scalar(np.int64(task).tobytes() + np.array(rows, np.int64).tobytes() + np.array(times, np.float32).tobytes() + np.array(change, np.float32).tobytes(), pa.binary())
+    got = np.frombuffer(lm._mean_change(1, [pack(1, [0, 5], [1, 2], [[1, 2], [3, 4]]), pack(0, [5], [6], [[7, 8]])]), np.float32).reshape(-1, 2)
+    assert got[0].tolist() == [1, 2] and got[5].tolist() == [6, 7] and not got[1:5].any()
+
+
+def test_language_model_grows_with_the_learning_corpus():
+    sizes = [lm.vocabulary_for(10**k) for k in range(6, 13)]
+    assert sizes == sorted(sizes) and len(set(sizes)) == len(sizes) and lm.vocabulary_for(10**9) > 10_000
+
+
+def test_held_out_documents_teach_nothing(spark, docs, corpus):
+    held = F.pmod("doc_id", F.lit(5)) == 2
+    other = docs.withColumn("text", F.when(held, F.concat(F.lit("hidden words " * 40), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    # one task, as what a task learns depends on its documents
+    a, b = ({r["doc_id"]: r for r in lm.score_documents(spark, d.coalesce(1), held=held, steps=20).collect()} for d in (docs, other))
+    for d in a:
+        if d % 5 != 2:
+            assert (a[d]["score"], a[d]["base_score"], a[d]["n_known"]) == (b[d]["score"], b[d]["base_score"], b[d]["n_known"])
+        else:
+            assert a[d]["train_tokens"] == b[d]["train_tokens"] and a[d]["score"] > b[d]["score"]
 
 
 def test_language_model_repeated_rows_and_nothing(spark, docs, corpus, none):
-    twice = lm.score_documents(spark, docs.union(docs), steps=50)
+    twice = lm.score_documents(spark, docs.union(docs), steps=20)
     assert twice.count() == 2 * len(corpus)
-    assert lm.score_documents(spark, none, steps=50).collect() == []
-    held = lm.score_documents(spark, docs, held=F.lit(True), steps=50).collect()
+    assert lm.score_documents(spark, none).collect() == []
+    held = lm.score_documents(spark, docs, held=F.lit(True)).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in held)
 
 

@@ -203,8 +203,9 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = Tru
     """One row per document: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded text, and digests.
 
     A null text is an empty one: no ids, and an empty decoded text. Bytes that don't form UTF-8 decode to U+FFFD, as the
-    library does. Repeated rows give repeated rows; rows without an id are left out. `with_ids` False leaves out ids
-    and the decoded text.
+    library does. Repeated rows give repeated rows, and equal texts equal ids; rows of one doc_id are each encoded by their own
+    text; rows without an id are left out. A text of any length is encoded whole. Other columns, whatever their names, are not
+    read. An empty table gives an empty result. `with_ids` False leaves out ids and the decoded text.
     """
     path = path or vocabulary_path()
     kept = [("ids", pa.binary()), ("decoded", pa.string())] if with_ids else []

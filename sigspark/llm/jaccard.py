@@ -127,7 +127,7 @@ def frequent_tokens(docs: DataFrame, volume: int, width: int, limit: int = FREQU
         token = (np.uint64(part) << np.uint64(32)) | token[often].astype(np.uint64)
         return pa.table({"token": pa.array(token.view(np.int64)), "df": pa.array(df[often])})
 
-    counted = docs.mapInArrow(emit, "part int, tokens binary, times binary").groupBy("part").applyInArrow(count, "token long, df long")
+    counted = docs.mapInArrow(emit, "part int, tokens binary, times binary").repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(count, "token long, df long")
     rows = counted.orderBy(F.desc("df"), "token").limit(limit).toPandas()
     token = rows["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
@@ -433,8 +433,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75,
     frequent = spark.sparkContext.broadcast((known, counts, known_bits))
     free_shuffles(spark)
     parts = parts_for(volume / 14, 500_000)
-    told = docs.mapInArrow(lambda it: _emit_signatures(frequent, width, percent, parts, it), "part int, blob binary").groupBy("part").applyInArrow(lambda t: _candidates(percent, parts, t), _TOLD)
-    told = stage.put(told, "told")
+    emitted = docs.mapInArrow(lambda it: _emit_signatures(frequent, width, percent, parts, it), "part int, blob binary")
+    # a task for each part, so that no two meet in one
+    dealt = emitted.repartitionById(2 * parts + _fact_parts(parts), F.col("part")).groupBy("part")
+    told = stage.put(dealt.applyInArrow(lambda t: _candidates(percent, parts, t), _TOLD), "told")
     free_shuffles(spark)
     sets = stage.put(told.where(F.col("kind") == _DOCUMENT).select(F.col("a").alias("doc_id"), "n", F.when(F.col("n") > 0, F.col("b")).alias("node"), "lead"), "sets")
     nodes = stage.put(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("lead").alias("lead")), "nodes")

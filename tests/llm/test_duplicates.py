@@ -1,11 +1,14 @@
 """Similarity join and substring dedup against plain versions."""
 
+import collections
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sigspark.llm import _text as T
 from sigspark.llm import jaccard
 from sigspark.llm.jaccard import jaccard_components
 from sigspark.llm.spans import remove_repeated_spans
@@ -101,11 +104,76 @@ def test_repeated_passages_go_and_first_stays(spark, docs, corpus):
 def test_spans_keep_rows_without_id_and_replace_clashing_columns(spark):
     text = "One two three four five six. Seven eight nine ten eleven twelve. "
     frame = spark.createDataFrame([(None, text, 5), (1, text, 5), (2, text + "More of it here.", 5), (2, text + "More of it here.", 5)], "doc_id long, text string, n_removed int")
-    got = sorted(((r["doc_id"] or 0, r["text"], r["n_removed"]) for r in remove_repeated_spans(spark, frame).collect()), key=str)
+    got = sorted(((r["doc_id"] or 0, r["text"], r["n_removed"]) for r in remove_repeated_spans(spark, frame, 2, 10, 12).collect()), key=str)
     assert got[0] == (0, text, 0) and got[1] == (1, text, 0)
     assert got[2] == got[3] and "One two" not in got[2][1]
 
 
+def plain_spans(rows, sentences, words, long_words):
+    """{(doc_id, text): text without its repeated pieces}, by loops over words; only the order of words is asked of the library."""
+
+    def pieces(text):
+        found = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        raw = np.frombuffer(text.encode(), np.uint8)
+        rank = T.word_hashes(raw, np.array([0, len(raw)]))[0].tolist() if found else []
+        last = [k + 1 == len(found) or w[-1] in ".!?" or "\n" in text[b : found[k + 1][1]] for k, (w, _, b) in enumerate(found)]
+        cut, start = set(), 0
+        for k, end in enumerate(last):
+            if end:
+                cut.add(k)
+                for a in range(start, k - long_words + 1):
+                    least = min(rank[a : a + long_words + 1])
+                    cut.add(max(i for i in range(a, a + long_words + 1) if rank[i] == least))
+                start = k + 1
+        out, a = [], 0
+        for k in sorted(cut):
+            out.append([lower(w) for w, _, _ in found[a : k + 1]])
+            a = k + 1
+        starts = [0]
+        for p in out:
+            starts.append(starts[-1] + len(p))
+        bounds = [0] + [found[i][1] for i in starts[1:-1]] + [len(text)] if found else [0, len(text)]
+        return out, bounds
+
+    docs = sorted({(d, t) for d, t in rows if t is not None})
+    parts = {doc: pieces(doc[1]) for doc in docs}
+    seen = collections.defaultdict(set)
+    for doc, (own, _) in parts.items():
+        n = len(own)
+        for i in range(n):
+            to = next((j for j in range(i + sentences - 1, n) if sum(map(len, own[i : j + 1])) >= words), None)
+            back = next((j for j in range(i - sentences + 1, -1, -1) if sum(map(len, own[j : i + 1])) >= words), None)
+            for a, b in ((i, to), (back, i)):
+                if a is not None and b is not None:
+                    seen[tuple(w for p in own[a : b + 1] for w in p)].add((doc, a, b))
+    gone = collections.defaultdict(set)
+    for places in seen.values():
+        for doc, a, b in sorted(places)[1:]:
+            gone[doc] |= set(range(a, b + 1))
+    return {doc: "".join(doc[1][x:y] for k, (x, y) in enumerate(zip(bounds, bounds[1:])) if k not in gone[doc]) for doc, (_, bounds) in parts.items()}
+
+
+@pytest.mark.parametrize("options", [(3, 24, 8), (2, 10, 12), (1, 5, 3)])
+def test_spans_equal_plain_version(spark, docs, corpus, options):
+    want = plain_spans([(r[0], r[1]) for r in corpus], *options)
+    got = {(r["doc_id"], r["old"]): r["text"] for r in remove_repeated_spans(spark, docs.withColumn("old", F.col("text")), *options).collect()}
+    assert {k: v for k, v in got.items() if k[1] is not None} == want
+    assert sum(want[d] != d[1] for d in want) > 5
+
+
+def test_one_id_with_different_texts(spark):
+    rng = random.Random(1)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "abc")
+    rows = [(5, a + ". " + b), (5, c), (5, c), (6, b), (6, None), (7, c + ". " + a)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"] is None, len((r["text"] or "").split())) for r in remove_repeated_spans(spark, frame).collect())
+    assert [x[0] for x in got] == [5, 5, 5, 6, 6, 7] and got[4][1]
+    assert [x[2] for x in got[:3]] == [60, 60, 120] and got[3][2] <= 17 and got[5][2] <= 34
+    # the similarity join takes each row's own set
+    linked = {(r["n_shingles"], r["component_id"]) for r in jaccard_components(spark, frame).collect()}
+    assert linked == {(116, 5), (56, 5), (56, 6), (0, 6), (116, 7)}
+
+
 @pytest.mark.parametrize("size, distinct, stops", [(51, 51, False), (51, 51, True), (60, 10, False), (51, 20, False)])
 def test_every_repeated_passage_of_51_words_goes(spark, size, distinct, stops):
     """Glued to other text, without punctuation or with it anywhere, and of few distinct words."""

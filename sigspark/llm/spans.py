@@ -127,14 +127,17 @@ def _cut(options, schema, text_at, places_at, batches):
 def repeated_spans(stage: Stage, docs: DataFrame, options: tuple[int, int, int]) -> DataFrame:
     """(doc_id, key, place): the runs that are not the first of their hash, of rows (doc_id, text, key).
 
-    The first occurrences are found with partial minima, so a run that a third of all documents hold costs one row for each
-    task; the join back streams the occurrences past the repeated hashes.
+    Hashes alone are counted first, 64 bits of them, with partial sums, so a run that a third of all documents hold costs one
+    row for each task. Only the occurrences of repeated ones are compared by all 96 bits.
     """
     runs = stage.put(docs.mapInArrow(lambda it: _emit(options, it), "run long, more int, doc_id long, key long, place long"), "runs")
+    # tables are written before joins, so that both sides are read as they are dealt and Spark can split a run that many documents hold
+    twice = stage.put(runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run"), "twice")
+    again = stage.put(runs.join(twice, "run", "left_semi"), "again")
+    stage.drop("runs", "twice")
     least = F.min(F.struct("doc_id", "key", "place")).alias("least")
-    # written, so that the join reads both sides as they are dealt and Spark can split a run that many documents hold
-    twice = stage.put(runs.groupBy("run", "more").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "more", "least"), "twice")
-    return runs.join(twice, ["run", "more"]).where(F.struct("doc_id", "key", "place") != F.col("least")).select("doc_id", "key", "place")
+    first = stage.put(again.groupBy("run", "more").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "more", "least"), "first")
+    return again.join(first, ["run", "more"]).where(F.struct("doc_id", "key", "place") != F.col("least")).select("doc_id", "key", "place")
 
 
 def remove_repeated_spans(spark: SparkSession, docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, long_words: int = LONG) -> DataFrame:
@@ -155,7 +158,7 @@ def remove_repeated_spans(spark: SparkSession, docs: DataFrame, sentences: int =
     key = hashed if one_id.where("lo <> hi").limit(1).count() else F.lit(0).cast("long")
     marks = repeated_spans(stage, texts(docs).withColumn("key", key), options).groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
     marks = stage.put(marks, "marks").withColumnsRenamed({"doc_id": "marked_id", "key": "marked_key"})
-    stage.drop("runs", "twice")
+    stage.drop("again", "first")
     joined = docs.join(marks, (F.col("doc_id") == F.col("marked_id")) & (key == F.col("marked_key")), "left").select(*others, "places")
     fields = [*docs.schema.fields, StructField("n_sentences", LongType()), StructField("n_removed", LongType())]
     out = StructType([StructField("text", StringType()) if f.name == "text" else f for f in fields])

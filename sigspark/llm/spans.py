@@ -16,13 +16,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import _text as T
-from ._shared import Stage, texts
+from ._shared import Stage, free_shuffles, parts_for, texts, total_bytes
 
 SENTENCES, WORDS, LONG = 3, 24, 8
 _OTHER = 0xD6E8FEB86659FD93
@@ -79,7 +80,36 @@ def chunk_spans(data: np.ndarray, offs: np.ndarray, sentences: int, words: int,
     return unit_doc, starts[begin], one, two, run, more
 
 
-def _emit(options, batches):
+def _repeated(run, more, doc, key, place):
+    """Sorted occurrences, which of them are the first of their run by (doc, key, place), and which are others, in other places."""
+    order = np.lexsort((place, key, doc, more, run))
+    run, more, doc, key, place = (x[order] for x in (run, more, doc, key, place))
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (more[1:] != more[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(run)), 0))
+    return (run, more, doc, key, place), new, (doc != doc[first]) | (key != key[first]) | (place != place[first])
+
+
+def _emit(options, parts, batches):
+    """(part, blob): the first occurrence of each run among some documents, by part of the hashes; in further parts, the others."""
+    context = TaskContext.get()
+    marks_part = parts + (context.partitionId() if context else 0) % _mark_parts(parts)
+    bits = parts.bit_length() - 1
+    held, n = [], 0
+
+    def flush():
+        (run, more, doc, key, place), new, other = _repeated(*(np.concatenate([h[k] for h in held]) for k in range(5)))
+        rows, blobs = [marks_part], [b"".join(x[other].tobytes() for x in (doc, key, place))]
+        run, more, doc, key, place = (x[new] for x in (run, more, doc, key, place))
+        begin, size = (place >> 32).astype(np.uint32), ((place & 0xFFFFFFFF) - (place >> 32)).astype(np.uint16)
+        at = np.searchsorted(run >> np.uint64(64 - bits), np.arange(parts + 1, dtype=np.uint64)) if bits else np.array([0, len(run)])
+        for p in range(parts):
+            x, y = at[p], at[p + 1]
+            if x < y:
+                rows.append(p)
+                blobs.append(b"".join(c[x:y].tobytes() for c in (run, doc, key, begin, more, size)))
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
     for batch in batches:
         ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
         for a, b, data, offs in T.chunks(batch.column(1)):
@@ -87,8 +117,37 @@ def _emit(options, batches):
             first = np.searchsorted(doc, doc[one], "left")
             # a place orders runs by their first piece: that, then the last
             place = (one - first << 32) + two - first
-            columns = [run.view(np.int64), more.view(np.int32), ids[a:b][doc[one]], keys[a:b][doc[one]], place]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["run", "more", "doc_id", "key", "place"])
+            held.append((run, more, ids[a:b][doc[one]], keys[a:b][doc[one]], place))
+            n += len(run)
+            if n > 1_000_000:
+                yield flush()
+                held, n = [], 0
+                T.trim()
+    if held:
+        yield flush()
+
+
+def _mark_parts(parts: int) -> int:
+    return max(1, parts // 4)
+
+
+def _marks(parts: int, table: pa.Table) -> pa.Table:
+    """(doc_id, key, place) of the runs of a part that are not the first of their hash."""
+    raw = [x.as_buffer() for x in table.column("blob")]
+    if table.column("part")[0].as_py() >= parts:
+        doc, key, place = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in raw], axis=1)
+        return pa.table({"doc_id": doc, "key": key, "place": place})
+    columns = [[] for _ in range(6)]
+    for x in raw:
+        n, at = x.size // 34, 0
+        for c, kind in zip(columns, (np.uint64, np.int64, np.int64, np.uint32, np.uint32, np.uint16)):
+            c.append(np.frombuffer(x, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    run, doc, key, begin, more, size = (np.concatenate(c) for c in columns)
+    begin = begin.astype(np.int64)
+    (_, _, doc, key, place), _, other = _repeated(run, more, doc, key, (begin << 32) + begin + size)
+    T.trim()
+    return pa.table({"doc_id": doc[other], "key": key[other], "place": place[other]})
 
 
 def _cut(options, schema, text_at, places_at, batches):
@@ -124,20 +183,17 @@ def _cut(options, schema, text_at, places_at, batches):
         yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], schema=schema)
 
 
-def repeated_spans(stage: Stage, docs: DataFrame, options: tuple[int, int, int]) -> DataFrame:
-    """(doc_id, key, place): the runs that are not the first of their hash, of rows (doc_id, text, key).
+def repeated_spans(docs: DataFrame, options: tuple[int, int, int], volume: int) -> DataFrame:
+    """(doc_id, key, place): the runs that are not the first of their hash, of rows (doc_id, text, key) of so many bytes.
 
-    Hashes alone are counted first, 64 bits of them, with partial sums, so a run that a third of all documents hold costs one
-    row for each task. Only the occurrences of repeated ones are compared by all 96 bits.
+    Of some documents of a task only the first occurrence of a run is dealt by its hash; the others are known not to be
+    first. So a run that a third of all documents hold costs a few entries for each task, and no task gets them all.
     """
-    runs = stage.put(docs.mapInArrow(lambda it: _emit(options, it), "run long, more int, doc_id long, key long, place long"), "runs")
-    # tables are written before joins, so that both sides are read as they are dealt and Spark can split a run that many documents hold
-    twice = stage.put(runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run"), "twice")
-    again = stage.put(runs.join(twice, "run", "left_semi"), "again")
-    stage.drop("runs", "twice")
-    least = F.min(F.struct("doc_id", "key", "place")).alias("least")
-    first = stage.put(again.groupBy("run", "more").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "more", "least"), "first")
-    return again.join(first, ["run", "more"]).where(F.struct("doc_id", "key", "place") != F.col("least")).select("doc_id", "key", "place")
+    if options[1] >= 1 << 16 or options[0] >= 1 << 16:
+        raise ValueError("runs of fewer than 65536 pieces and words")
+    parts = parts_for(volume / 25, 1_000_000, 8)
+    emitted = docs.mapInArrow(lambda it: _emit(options, parts, it), "part int, blob binary")
+    return emitted.repartitionById(parts + _mark_parts(parts), F.col("part")).groupBy("part").applyInArrow(lambda t: _marks(parts, t), "doc_id long, key long, place long")
 
 
 def remove_repeated_spans(spark: SparkSession, docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, long_words: int = LONG) -> DataFrame:
@@ -156,9 +212,12 @@ def remove_repeated_spans(spark: SparkSession, docs: DataFrame, sentences: int =
     one_id = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(hashed).alias("lo"), F.max(hashed).alias("hi"))
     # told apart by text only where ids don't do it
     key = hashed if one_id.where("lo <> hi").limit(1).count() else F.lit(0).cast("long")
-    marks = repeated_spans(stage, texts(docs).withColumn("key", key), options).groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
+    found = stage.put(repeated_spans(texts(docs).withColumn("key", key), options, total_bytes(texts(docs))[1]), "found")
+    free_shuffles(spark)
+    marks = found.groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
     marks = stage.put(marks, "marks").withColumnsRenamed({"doc_id": "marked_id", "key": "marked_key"})
-    stage.drop("again", "first")
+    stage.drop("found")
+    free_shuffles(spark)
     joined = docs.join(marks, (F.col("doc_id") == F.col("marked_id")) & (key == F.col("marked_key")), "left").select(*others, "places")
     fields = [*docs.schema.fields, StructField("n_sentences", LongType()), StructField("n_removed", LongType())]
     out = StructType([StructField("text", StringType()) if f.name == "text" else f for f in fields])

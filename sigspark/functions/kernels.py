@@ -257,13 +257,16 @@ def jump_pmf(pstep=0.9, phold=0.05, pmiss=0.1, kmax=10, tol=1e-12) -> np.ndarray
     """P(net jump = k), k from -kmax to kmax: one observed step and a geometric number of missed ones, each forward
     with pstep or else backward, mixed with a hold; a jump of nothing takes two steps at least. Scaled to one."""
     p = np.zeros(2 * kmax + 1)
+    # the chance of n steps falls by pmiss with each: those of tol and more
+    most = 1
+    while pmiss > 0 and pmiss**most >= tol:
+        most += 1
+        if pmiss >= 1:
+            raise ValueError("pmiss is under one")
     for k in range(-kmax, kmax + 1):
-        for n in range(abs(k) or 2, 4 * kmax + 51, 2):
-            miss = pmiss ** (n - 1)
-            if miss < tol:
-                break
+        for n in range(abs(k) or 2, most + 1, 2):
             f = (n + k) // 2
-            p[k + kmax] += miss * (1 - pmiss) * comb(n, f) * pstep**f * (1 - pstep) ** (n - f)
+            p[k + kmax] += pmiss ** (n - 1) * (1 - pmiss) * comb(n, f) * pstep**f * (1 - pstep) ** (n - f)
     p *= 1 - phold
     p[kmax] += phold
     return p / p.sum()

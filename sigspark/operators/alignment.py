@@ -15,7 +15,7 @@ from .spread import spread
 
 PROFILE_HMM = (
     "mean array<double>, std array<double>, dwell array<double>, stderr array<double>, depth array<double>, supported array<boolean>, offsets array<long>, weights array<double>, "
-    "medoid_id long, n_iter long, converged boolean, stop_reason string, log_likelihood array<double>, "
+    "medoid_id long, n_iter long, converged boolean, cap_hit boolean, stop_reason string, log_likelihood array<double>, final_log_likelihood double, min_std double, tol double, max_iter long, "
     "history array<struct<mean_delta:double,std_delta:double,transition_delta:double,delta:double,transition_before:double,transition_after:double,gradient:double,emission_before:double,emission_after:double>>"
 )
 BOUNDARY = (
@@ -98,17 +98,20 @@ def decode_boundaries(events: DataFrame, anchors: DataFrame, models: DataFrame,
     return spread(joined.select(*keys, "mean", "std", "start_sample", "end_sample", "am", "asd", "ref_pos", "models")).mapInPandas(run, ddl)
 
 
-def fit_profile_hmms(traces: DataFrame, group: str, *, normalise: bool = True, min_std: float = 1e-3, **options) -> DataFrame:
-    """One profile HMM for each group, from the medoid of Gaussian warping distances on."""
+def fit_profile_hmms(traces: DataFrame, group: str, *, normalise: bool = True, min_std: float = 1e-3, tol: float = 1e-4, max_iter: int = 20, **options) -> DataFrame:
+    """One profile HMM for each group, from the medoid of Gaussian warping distances on, with the settings of the fit."""
+    for name, value in (("max_iter", max_iter), *((k, options[k]) for k in ("min_depth",) if k in options)):
+        if isinstance(value, bool) or not isinstance(value, int) or value < 1:
+            raise ValueError(f"{name} is a positive whole number")
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("trace_id")
         ready = [(*prepare(m, s, normalise, min_std), np.asarray(d, float)) for m, s, d in zip(frame["mean"], frame["std"], frame["dwell"])]
         medoid = int(np.argmin(pair_matrix([r[0] for r in ready], [r[1] for r in ready]).sum(axis=1)))
-        p = H.fit(ready, medoid, min_std=min_std, **options)
+        p = H.fit(ready, medoid, min_std=min_std, tol=tol, max_iter=max_iter, **options)
         keep = ("mean_delta", "std_delta", "transition_delta", "delta", "transition_before", "transition_after", "gradient", "emission_before", "emission_after")
         row = {group: frame[group].iloc[0], **{c: getattr(p, c).tolist() for c in ("mean", "std", "dwell", "stderr", "depth", "supported", "offsets", "weights")}}
-        row |= {"medoid_id": int(frame["trace_id"].iloc[medoid]), "n_iter": p.n_iter, "converged": p.converged, "stop_reason": p.stop_reason, "log_likelihood": p.log_likelihood, "history": [{k: h[k] for k in keep} for h in p.history]}
+        row |= {"medoid_id": int(frame["trace_id"].iloc[medoid]), "n_iter": p.n_iter, "converged": p.converged, "cap_hit": not p.converged, "stop_reason": p.stop_reason, "log_likelihood": p.log_likelihood, "final_log_likelihood": p.log_likelihood[-1], "min_std": min_std, "tol": tol, "max_iter": max_iter, "history": [{k: h[k] for k in keep} for h in p.history]}
         return pd.DataFrame([row])
 
     return spread(traces.select(group, "trace_id", "mean", "std", "dwell"), group).groupBy(group).applyInPandas(fit, f"{group} {dict(traces.dtypes)[group]}, {PROFILE_HMM}")
@@ -188,8 +191,9 @@ def align_profiles(pairs: DataFrame, profiles: DataFrame, label: str) -> DataFra
 
 
 def hmm_gates(profiles: DataFrame, group: str, n_reads: DataFrame) -> DataFrame:
-    """(group, accepted, reasons): a fit is accepted if it converged, its likelihood hardly ever fell, its weights are within
-    bounds and sum to one, enough positions are supported without long gaps, and its stds and dwells are sane."""
+    """(group, accepted, reasons): a fit is accepted if it converged to its tolerance, its trace is whole and hardly ever fell, all is finite,
+    its weights are within bounds and sum to one and every state has a move, enough positions are supported without long gaps,
+    and the stds (against the floor of the fit) and dwells of supported positions are sane."""
     p = profiles.join(n_reads, group)
     depth_needed = F.greatest(F.lit(2), F.ceil(F.col("n_reads") / 2))
     n = F.size("mean")
@@ -199,10 +203,22 @@ def hmm_gates(profiles: DataFrame, group: str, n_reads: DataFrame) -> DataFrame:
     inner = F.coalesce(F.array_max(F.transform(F.slice(gaps, 2, F.greatest(F.size(gaps) - 2, F.lit(0))), F.length)), F.lit(0))
     terminal = F.greatest(F.length(F.element_at(gaps, 1)), F.length(F.element_at(gaps, -1)))
     fell = F.exists(F.sequence(F.lit(1), F.size("log_likelihood") - 1), lambda k: (F.get("log_likelihood", k - 1) - F.get("log_likelihood", k)) / F.greatest(F.lit(1.0), F.abs(F.get("log_likelihood", k - 1))) > 1e-3)
-    floor = F.size(F.filter("std", lambda s: s <= 1e-3 * (1 + 1e-9))) / n
+    floor = F.size(F.filter("std", lambda s: s <= F.col("min_std") * (1 + 1e-9))) / n
+    wild = lambda c: F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    last = F.element_at("history", -1)
+    dwells = F.transform(F.filter(F.arrays_zip("dwell", supported.alias("ok")), lambda x: x["ok"]), lambda x: x["dwell"])
+    legal = lambda i: F.exists(F.arrays_zip("offsets", "weights"), lambda m: (i + m["offsets"] >= 0) & (i + m["offsets"] < n) & (m["weights"] > 0))
     total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
     checks = {
         "not converged": ~F.col("converged"),
+        "the last change is above the tolerance": F.col("converged") & (last["delta"] > F.col("tol")),
+        "the trace has not a likelihood for each update": (F.size("log_likelihood") != F.col("n_iter") + 1) | (F.size("history") != F.col("n_iter")),
+        "a parameter is not finite": wild("mean") | wild("std") | wild("dwell") | wild("weights"),
+        "a likelihood is not finite": wild("log_likelihood"),
+        "a change is not finite": F.exists("history", lambda h: h["delta"].isNull() | F.isnan(h["delta"]) | (h["delta"] == float("inf"))),
+        "an objective fell": F.exists("history", lambda h: (h["emission_after"] < h["emission_before"] - 1e-6 * F.abs(h["emission_before"])) | (h["gradient"] > 1e-8)),
+        "channels of different lengths": (F.size("std") != n) | (F.size("dwell") != n) | (F.size("depth") != n) | (F.size("supported") != n),
+        "a state without a move": ~F.forall(F.sequence(F.lit(0), n - 1), legal),
         "likelihood fell": fell,
         "a weight is out of bounds": F.exists("weights", lambda w: (w < 1e-3) | (w > 0.995)),
         "weights don't sum to one": F.abs(total - 1) > 1e-10,
@@ -210,7 +226,7 @@ def hmm_gates(profiles: DataFrame, group: str, n_reads: DataFrame) -> DataFrame:
         "a gap inside": inner > 3,
         "a gap at an end": terminal > F.ceil(0.1 * n),
         "stds at their floor": floor > 0.25,
-        "dwells too uneven": F.array_max("dwell") > 100 * F.array_min("dwell"),
+        "dwells too uneven": F.coalesce(F.array_max(dwells) > 100 * F.array_min(dwells), F.lit(False)),
     }
     reasons = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]), lambda x: x.isNotNull())
     return p.select(group, (F.size(reasons) == 0).alias("accepted"), reasons.alias("reasons"))

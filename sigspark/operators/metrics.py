@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INF = float("inf")
+#: Ranges of scores that are ranked apart.
+RANGES = 1024
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -53,16 +55,24 @@ def summary(classes: DataFrame) -> DataFrame:
 def rank_metrics(rows: DataFrame, truth: str, score: str, order: str) -> DataFrame:
     """One row: AUROC by average ranks, and average precision with ties in the order of `order`.
 
-    Positions of equal scores come from counts of each score; only the sums over ranks meet in one window per score order.
+    Scores are parted into RANGES equal ranges of their values; totals of the ranges are summed in order, and rows are ranked
+    inside their range, so that no task orders all of them.
     """
     y = F.col(truth).cast("double")
-    per = rows.groupBy(score).agg(F.count(F.lit(1)).alias("k"), F.sum(y).alias("pos"))
-    up = Window.orderBy(score)
-    ranked = per.withColumn("before", F.coalesce(F.sum("k").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ends = rows.agg(F.min(score).cast("double").alias("_lo"), F.max(score).cast("double").alias("_hi"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0))
+    rows = rows.crossJoin(F.broadcast(ends)).withColumn("_part", part).drop("_lo", "_hi")  # one row
+    totals = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_k"), F.sum(y).alias("_pos"))  # RANGES rows at most
+    below, above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    base = F.broadcast(totals.select("_part", zero("_k", below).alias("_below"), zero("_k", above).alias("_above"), zero("_pos", above).alias("_found")))
+    per = rows.groupBy("_part", score).agg(F.count(F.lit(1)).alias("k"), F.sum(y).alias("pos")).join(base, "_part")
+    up = Window.partitionBy("_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = per.withColumn("before", F.col("_below") + zero("k", up))
     u = ranked.agg(F.sum(F.col("pos") * (F.col("before") + (F.col("k") + 1) / 2)).alias("ranks"), F.sum("pos").alias("p"), F.sum("k").alias("n"))
     auroc = F.try_divide(F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p")))
-    down = Window.orderBy(F.col(score).desc(), order).rowsBetween(Window.unboundedPreceding, 0)
-    listed = rows.withColumn("_tp", F.sum(y).over(down)).withColumn("_i", F.count(F.lit(1)).over(down))
+    down = Window.partitionBy("_part").orderBy(F.col(score).desc(), order).rowsBetween(Window.unboundedPreceding, 0)
+    listed = rows.join(base, "_part").withColumn("_tp", F.col("_found") + F.sum(y).over(down)).withColumn("_i", F.col("_above") + F.count(F.lit(1)).over(down))
     ap = listed.agg(F.try_divide(F.sum(y * F.col("_tp") / F.col("_i")), F.sum(y)).alias("average_precision"))
     return u.select(auroc.alias("auroc")).crossJoin(F.broadcast(ap))  # one row each
 

@@ -24,8 +24,9 @@ def unordered_pairs(traces: DataFrame, *group: str) -> DataFrame:
 
 
 def mirrored(edges: DataFrame, *group: str) -> DataFrame:
-    """Both directions of an edge list (a, b, d)."""
-    return edges.select(*group, "a", "b", "d").union(edges.select(*group, F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    """Both directions of an edge list (a, b, d), from one reading of it."""
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")
+    return edges.select(*group, both, "d").select(*group, "x.a", "x.b", "d")
 
 
 def _znorm(x):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAD = 1.4826
@@ -66,13 +66,12 @@ def prepare_reads(long: DataFrame, *keys: str, normalise: bool = True, min_std:
 
 def robust_z(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """Adds z: (x - median) / scale by MAD; the population std where the MAD is about zero; zeros where that is, too."""
-    over = Window.partitionBy(*keys)
     eps = 2.220446049250313e-16
-    med = rows.withColumn("_m", F.median(value).over(over))
-    dev = med.withColumn("_s", MAD * F.median(F.abs(F.col(value) - F.col("_m"))).over(over)).withColumn("_p", F.stddev_pop(value).over(over))
-    tiny = eps * F.greatest(F.lit(1.0), F.abs("_m"))
-    scale = F.when(F.col("_s") > tiny, F.col("_s")).when(F.col("_p") > tiny, F.col("_p"))
-    return dev.withColumn("z", F.coalesce((F.col(value) - F.col("_m")) / scale, F.lit(0.0))).drop("_m", "_s", "_p")
+    own = robust_params(rows, *keys, value=value).join(rows.groupBy(*keys).agg(F.stddev_pop(value).alias("_p")), list(keys))
+    tiny = eps * F.greatest(F.lit(1.0), F.abs("shift"))
+    scale = F.when(F.col("scale") > tiny, F.col("scale")).when(F.col("_p") > tiny, F.col("_p"))
+    params = own.select(*keys, F.col("shift").alias("_m"), scale.alias("_s"))
+    return rows.join(params, list(keys)).withColumn("z", F.coalesce((F.col(value) - F.col("_m")) / F.col("_s"), F.lit(0.0))).drop("_m", "_s")
 
 
 def valid_trace(mean: str = "mean", std: str = "std", dwell: str = "dwell") -> Column:

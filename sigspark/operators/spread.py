@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 
 
 def spread(frame: DataFrame, *keys: str) -> DataFrame:
-    """The rows dealt over twice as many tasks as there are cores, by the keys if any.
+    """The rows dealt, by the keys if any, over as many tasks as the session's shuffles have (spark.sql.shuffle.partitions, which is set
+    for the data), but twice as many as there are cores at least.
 
     Kernels cost far more than the bytes that they read, by which adaptive plans would size their tasks.
     """
-    n = 2 * frame.sparkSession.sparkContext.defaultParallelism
+    spark = frame.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return frame.repartition(n, *keys)

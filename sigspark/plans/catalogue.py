@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.boundary import BoundaryOptions
 from ..operators import alignment, clusters, consensus, lut, metrics, pairs, regions, resample, robust
+from ..operators import evaluation as evaluation_ops
 from ..sources import fixtures as fx
 from ..sources import io
 from . import studies
@@ -63,10 +64,14 @@ def r6(frame: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
+    from . import evaluation  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import evaluation  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -86,9 +91,9 @@ def trace_validity(spark, sf):
 
 @query("SELECT event_type, count(*) AS n, round(sum((value + 4.0) * 1400.0 / 8192.0), 6) AS total_pa FROM events GROUP BY event_type")
 def adc_calibrate(spark, sf):
-    raw = fx.table(spark, sf, "events").groupBy("event_type").agg(F.collect_list("value").alias("samples"))
-    pa = io.calibrate(raw.withColumns({"offset": F.lit(4.0), "range": F.lit(1400.0), "digitisation": F.lit(8192.0)}))
-    return pa.select("event_type", F.size("pa").cast("long").alias("n"), F.round(F.aggregate(F.array_sort("pa"), F.lit(0.0), lambda a, x: a + x), 6).alias("total_pa"))
+    raw = fx.table(spark, sf, "events").select("event_type", F.array("value").alias("samples"))
+    pa = io.calibrate(raw.withColumns({"offset": F.lit(4.0), "range": F.lit(1400.0), "digitisation": F.lit(8192.0)})).select("event_type", F.explode("pa").alias("pa"))
+    return pa.groupBy("event_type").agg(F.count("pa").alias("n"), F.round(F.sum("pa"), 6).alias("total_pa"))
 
 
 @query(f"WITH {STEPS}, {LEVELS} SELECT trace_id, round(shift, 6) AS shift, round(scale, 6) AS scale FROM p")
@@ -108,7 +113,7 @@ def lut_pool_params(spark, sf):
 
 @query(
     f"WITH {STEPS}, {LEVELS}, {KMERS}, v AS (SELECT pre_mean AS x FROM k UNION ALL SELECT post_mean FROM k), q AS (SELECT median(x) AS a, 1.4826 * mad(x) AS b FROM v) "
-    "SELECT trace_id, pos, round((mean - shift) * b / scale + a, 6) AS unit_mean, round(std * b / scale, 6) AS unit_std FROM t JOIN p USING (trace_id) CROSS JOIN q"
+    "SELECT trace_id, pos, round((mean - shift) * (b / scale) + a, 6) AS unit_mean, round(std * (b / scale), 6) AS unit_std FROM t JOIN p USING (trace_id) CROSS JOIN q"
 )
 def to_lut_units(spark, sf):
     return r6(robust.to_table_units(fx.steps(spark, sf), fx.kmer_table(spark, sf), "trace_id").select("trace_id", "pos", "unit_mean", "unit_std"), "unit_mean", "unit_std")
@@ -220,12 +225,19 @@ def trusted_anchor(spark, sf):
     return r6(lut.trusted_anchor(lut.half_step_profile(fx.templates(spark, sf), fx.kmer_table(spark, sf))), "mean")
 
 
-@query()
+_JUMPS = (
+    "ks AS (SELECT unnest(range(-10, 11)) AS k), ns AS (SELECT unnest(range(1, 14)) AS n), te AS (SELECT k, n, (n + k) // 2 AS f FROM ks JOIN ns ON n >= CASE WHEN k = 0 THEN 2 ELSE abs(k) END AND (n - k) % 2 = 0), "
+    "pr AS (SELECT k, 0.95::DOUBLE * sum(pow(0.1::DOUBLE, n - 1) * 0.9::DOUBLE * (factorial(CAST(n AS INTEGER))::DOUBLE / (factorial(CAST(f AS INTEGER))::DOUBLE * factorial(CAST(n - f AS INTEGER))::DOUBLE)) * pow(0.9::DOUBLE, f) * pow(0.1::DOUBLE, n - f)) + CASE WHEN k = 0 THEN 0.05::DOUBLE ELSE 0 END AS p FROM te GROUP BY k), "
+    "jp AS (SELECT k, p / (SELECT sum(p) FROM pr) AS p FROM pr)"
+)
+
+
+@query(f"WITH {_JUMPS} SELECT k, round(p, 9) AS p, round(ln(p), 9) AS log_p FROM jp")
 def jump_pmf_table(spark, sf):
     return r6(lut.jump_table(spark), "p", "log_p", digits=9)
 
 
-@query()
+@query(f"WITH {_JUMPS}, st AS (SELECT unnest(range(40)) AS i) SELECT i, i + k AS j, round(ln(p), 9) AS log_p FROM st JOIN jp ON i + k >= 0 AND i + k < 40")
 def transition_band(spark, sf):
     return r6(lut.transition_band(spark, 40), "log_p", digits=9)
 
@@ -378,7 +390,7 @@ def group_size_text(spark, sf):
     return sizes.agg(F.count(F.lit(1)).alias("groups"), F.array_join(F.transform(F.sort_array(F.collect_list("c"), asc=False), lambda x: x.cast("string")), "/").alias("sizes"))
 
 
-@query("SELECT sha256(string_agg(CAST(doc_id AS VARCHAR) || ' ' || sha256(text), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS fingerprint FROM documents")
+@query("WITH k AS (SELECT CAST(doc_id AS VARCHAR) AS key, sha256(text) AS digest FROM documents), b AS (SELECT substr(sha256(key), 1, 3) AS bucket, sha256(string_agg(key || ' ' || digest, chr(10) ORDER BY key)) AS d FROM k GROUP BY ALL) SELECT sha256(string_agg(bucket || ' ' || d, chr(10) ORDER BY bucket)) AS fingerprint FROM b")
 def combined_fingerprint(spark, sf):
     rows = fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("key"), F.sha2("text", 256).alias("digest"))
     return io.combined_fingerprint(rows, "key", "digest")
@@ -576,8 +588,10 @@ def dba_scores(spark, sf):
 
 @query()
 def warp_average(spark, sf):
-    """Held-out traces averaged onto their class profile's axis by their warps."""
-    return io.positions(fitted(spark, sf).select("label", "mean", "depth"), "label").select("label", "pos", F.round("mean", 6).alias("mean"), "depth")
+    """Held-out traces, each averaged along its warp onto its class profile's axis: means over traces and the number that reach a position."""
+    held = fx.grid_traces(spark, sf).where("NOT is_training")
+    rows = evaluation_ops.warp_to_axis(held, fitted(spark, sf), "label")
+    return r6(rows.groupBy("label", "pos").agg(F.avg("value").alias("mean"), F.count("value").alias("depth")), "mean")
 
 
 @query()
@@ -587,13 +601,13 @@ def profile_alignment(spark, sf):
     return r6(alignment.align_profiles(pairs.unordered_pairs(ids, "all").select("a", "b"), p, "label"), "distance", "rmse", "mae", "r", "warp_deviation")
 
 
-def score_grid(spark, sf):
-    """Squared distances of held-out embeddings to the class means of the training ones."""
+def score_grid(spark, sf, cost=lambda d: d**2):
+    """Squared (or other) distances of held-out embeddings to the class means of the training ones."""
     g = fx.grid_traces(spark, sf)
     u = g.select("trace_id", "label", "is_training", F.posexplode("mean").alias("i", "v"))
     centre = u.where("is_training").groupBy("label", "i").agg(F.avg("v").alias("c"))
     held = u.where("NOT is_training").select(F.col("trace_id").alias("event_id"), F.col("label").alias("truth"), "i", "v")
-    return r6(held.join(centre, "i").groupBy("event_id", "truth", "label").agg(F.sum((F.col("v") - F.col("c")) ** 2).alias("score")), "score", digits=9)
+    return r6(held.join(centre, "i").groupBy("event_id", "truth", "label").agg(F.sum(cost(F.col("v") - F.col("c"))).alias("score")), "score", digits=9)
 
 
 def label_table(spark, sf):
@@ -673,10 +687,21 @@ def bootstrap_ci(spark, sf):
     return r6(metrics.percentile_interval(replicates(spark, sf), "balanced_accuracy", 0.95), "low", "high")
 
 
-@query(f"WITH {_DRAWS}, x AS (SELECT accuracy - balanced_accuracy AS d FROM bs) SELECT round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, count(*) AS replicates FROM x")
+_TWO = (
+    f"{_DRAWS}, s2 AS (SELECT u.trace_id AS event_id, u.label AS truth, c.label, round(sum(abs(u.v - c.v)), 9) AS score FROM u JOIN c USING (i) WHERE NOT u.is_training GROUP BY ALL), "
+    "p2 AS (SELECT event_id, truth, arg_min(label, (score, label)) AS predicted FROM s2 GROUP BY ALL), "
+    "a2 AS (SELECT replicate, truth, avg(CAST(p2.truth = p2.predicted AS DOUBLE)) AS r FROM dr JOIN e USING (truth, i) JOIN p2 USING (event_id, truth) GROUP BY ALL), b2 AS (SELECT replicate, avg(r) AS v FROM a2 GROUP BY replicate)"
+)
+
+
+@query(f"WITH {_TWO}, x AS (SELECT b2.v - balanced_accuracy AS d FROM bs JOIN b2 USING (replicate)) SELECT round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, count(*) AS replicates FROM x")
 def paired_bootstrap(spark, sf):
-    r = replicates(spark, sf)
-    return r6(metrics.paired_differences(r.select("replicate", F.col("accuracy").alias("v")), r.select("replicate", F.col("balanced_accuracy").alias("v")), "v"), "low", "high")
+    """Balanced accuracy under absolute distances less that under squared ones, over the same draws."""
+    squared = metrics.predictions(score_grid(spark, sf))
+    absolute = metrics.predictions(score_grid(spark, sf, F.abs))
+    draws = metrics.bootstrap_draws(squared, 50, 11, "truth", "event_id").select("replicate", "event_id")
+    a, b = (metrics.bootstrap_accuracy(p, draws).select("replicate", F.col("balanced_accuracy").alias("v")) for p in (absolute, squared))
+    return r6(metrics.paired_differences(a, b, "v"), "low", "high")
 
 
 @query(f"WITH {SCORES}, v AS (SELECT event_id, min(CASE WHEN label = truth THEN score END) AS w, min(CASE WHEN label <> truth THEN score END) AS b FROM s GROUP BY event_id) SELECT round(CASE WHEN avg(w) > 0 THEN avg(b) / avg(w) END, 6) AS separation FROM v")
@@ -696,14 +721,18 @@ def curve_metrics(spark, sf):
     return r6(metrics.curve_metrics(c, "x", "y", "label"), "rmse", "mae", "max_abs", "r")
 
 
-@query(f"WITH {_RANKED}, k AS (SELECT label, trace_id, rank FROM ranks WHERE rank <= 4), s1 AS (SELECT label, trace_id, label AS t FROM g) SELECT k.label, k.rank, k.trace_id, round(r.row_sum, 6) AS row_sum, round(list_avg(g.mean), 6) AS level FROM k JOIN ranks r USING (label, trace_id) JOIN g ON g.trace_id = k.trace_id")
+@query(
+    f"WITH {_RANKED}, kn AS (SELECT label, a AS trace_id, avg(d) AS knn FROM (SELECT *, row_number() OVER (PARTITION BY label, a ORDER BY d, b) AS r FROM m) WHERE r <= 5 GROUP BY ALL), fa AS (SELECT label, a AS trace_id, max(d) AS farthest FROM m GROUP BY ALL) "
+    "SELECT r.label, r.rank, r.trace_id, round(r.row_sum, 6) AS row_sum, round(kn.knn, 6) AS knn, round(fa.farthest, 6) AS farthest, round(list_avg(g.mean), 6) AS level FROM ranks r JOIN kn USING (label, trace_id) JOIN fa USING (label, trace_id) JOIN g USING (label, trace_id) WHERE r.rank <= 4"
+)
 def evidence_join_4way(spark, sf):
-    """Evidence of candidates from three tables by (class, rank), every candidate once in each."""
-    ranks = clusters.medoid_ranking(edges(spark, sf), "label", top=4)
-    level = fx.grid_traces(spark, sf).select("trace_id", (F.aggregate("mean", F.lit(0.0), lambda a, x: a + x) / F.size("mean")).alias("level"))
-    keys = ranks.select("label", "rank", "trace_id")
-    sums = ranks.select("label", "rank", "row_sum")
-    return r6(keys.join(sums, ["label", "rank"]).join(level, "trace_id").select("label", "rank", "trace_id", "row_sum", "level"), "row_sum", "level")
+    """Evidence of four tables for every trace, each of which must hold it once; the best four candidates of a class."""
+    e = edges(spark, sf)
+    keys = ["label", "trace_id"]
+    level = fx.grid_traces(spark, sf).select(*keys, (F.aggregate("mean", F.lit(0.0), lambda a, x: a + x) / F.size("mean")).alias("level"))
+    far = pairs.mirrored(e, "label").groupBy("label", F.col("a").alias("trace_id")).agg(F.max("d").alias("farthest"))
+    out = evaluation_ops.checked_join([clusters.medoid_ranking(e, "label"), clusters.knn_distance(e, 5, "label"), far, level], keys)
+    return r6(out.where("rank <= 4").select("label", "rank", "trace_id", "row_sum", "knn", "farthest", "level"), "row_sum", "knn", "farthest", "level")
 
 
 # --- alignment, boundaries, change points ------------------------------------------------------------------------------
@@ -825,7 +854,11 @@ def cohort(spark, sf):
     return fx.traces(spark, sf).withColumn("construct", F.col("construct") % 3).withColumn("is_training", F.pmod(F.xxhash64("trace_id"), F.lit(2)) == 0)
 
 
-@query()
+@query(
+    f"WITH {_ANNOTATED}, mid AS (SELECT *, (start_sample + end_sample) // 2 AS m FROM s), dna AS (SELECT trace_id, median(mean) AS shift, 1.4826 * mad(mean) AS scale, least(count(*), 10) AS win FROM mid WHERE m >= d_start AND m < d_end GROUP BY trace_id), "
+    "cal AS (SELECT trace_id, construct, pos, (mean - shift) * (0.2 / CASE WHEN scale > 0 THEN scale ELSE 1.0 END) + 0.5 AS v, row_number() OVER (PARTITION BY trace_id ORDER BY pos) AS i FROM mid JOIN dna USING (trace_id) WHERE m >= d_end AND m < n * 10), "
+    "kp AS (SELECT trace_id, construct, count(*) AS size, coalesce(max(CASE WHEN v <= 0.6 THEN i END), 0) AS keep FROM cal GROUP BY ALL) SELECT trace_id, construct, CAST(keep AS BIGINT) AS n, CAST(win AS BIGINT) AS window, CAST(CASE WHEN keep + 5 <= size THEN 5 END AS BIGINT) AS tail FROM kp JOIN dna USING (trace_id) WHERE keep >= 5"
+)
 def study_preprocess(spark, sf):
     prepared, _ = studies.preprocess(sized_steps(spark, sf), annotations(spark, sf), 0.5, 0.2, tail_threshold=0.6)
     return prepared.select("trace_id", "construct", F.size("mean").cast("long").alias("n"), F.size("dna_window").cast("long").alias("window"), F.size("tail_mean").cast("long").alias("tail"))

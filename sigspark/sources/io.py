@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import hashlib
 import os
+import re
+import subprocess
 import tempfile
 from functools import reduce
 
@@ -107,16 +110,26 @@ def json_rows(frame: DataFrame, name: str = "json") -> DataFrame:
     return frame.select(F.to_json(F.struct(*frame.columns)).alias(name))
 
 
-def write_summary(values: dict, path: str) -> None:
-    """A small summary as JSON; numpy scalars, arrays and paths are converted."""
+def write_summary(values: dict, path: str, spark: SparkSession | None = None) -> None:
+    """A small summary as JSON; numpy scalars, arrays and paths are converted. With a session, path is one of its file systems."""
 
     def plain(x):
         if hasattr(x, "tolist"):
             return x.tolist()
         return str(x)
 
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(values, f, indent=2, default=plain)
+    text = json.dumps(values, indent=2, default=plain)
+    if spark is None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def write_profiles(profiles: DataFrame, path: str, by: str = "model_id") -> None:
@@ -129,15 +142,51 @@ def missing_fits(wanted: DataFrame, cached: DataFrame) -> DataFrame:
     return wanted.join(cached.select("model_id", "fingerprint"), ["model_id", "fingerprint"], "left_anti")
 
 
+def file_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of one file, read in pieces through the session's file systems."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    digest, piece = hashlib.sha256(), 1 << 20
+    try:
+        while data := bytes(stream.readNBytes(piece)):
+            digest.update(data)
+    finally:
+        stream.close()
+    return digest.hexdigest()
+
+
+def code_state(folder: str) -> dict:
+    """The commit of the code in a folder and whether files differ from it; None for both outside a repository."""
+    ask = lambda *a: subprocess.run(["git", "-C", folder, *a], capture_output=True, text=True)
+    head = ask("rev-parse", "HEAD")
+    if head.returncode:
+        return {"commit": None, "dirty": None}
+    return {"commit": head.stdout.strip(), "dirty": bool(ask("status", "--porcelain").stdout.strip())}
+
+
+def verify_digests(spark: SparkSession, recorded: dict[str, str]) -> None:
+    """Fails unless every file (path: digest) is what was recorded."""
+    wrong = [p for p, d in recorded.items() if file_digest(spark, p) != d]
+    if wrong:
+        raise ValueError(f"files differ from what was recorded: {', '.join(sorted(wrong))}")
+
+
 def fingerprint_of(*arrays):
     """SHA-256 over the elements of arrays of doubles, in order."""
     return F.sha2(F.concat_ws("|", *[F.concat_ws(",", F.transform(a, lambda x: x.cast("string"))) for a in arrays]), 256)
 
 
-def combined_fingerprint(rows: DataFrame, key: str, digest: str) -> DataFrame:
-    """One digest over all (key, digest) rows, by key."""
-    pairs = F.sort_array(F.collect_list(F.struct(key, digest)))
-    return rows.agg(F.sha2(F.concat_ws("\n", F.transform(pairs, lambda x: F.concat_ws(" ", x[key], x[digest]))), 256).alias("fingerprint"))
+def combined_fingerprint(rows: DataFrame, key: str, digest: str, digits: int = 3) -> DataFrame:
+    """One digest over all (key, digest) rows, in two levels: rows by key within the buckets that the first hexadecimal digits of the
+    key's digest name, then the buckets' digests by bucket."""
+
+    def joined(frame, a, b, *by):
+        pairs = F.sort_array(F.collect_list(F.struct(a, b)))
+        return frame.groupBy(*by).agg(F.sha2(F.concat_ws("\n", F.transform(pairs, lambda x: F.concat_ws(" ", x[a], x[b]))), 256).alias("fingerprint"))
+
+    buckets = joined(rows.withColumn("bucket", F.substring(F.sha2(F.col(key).cast("string"), 256), 1, digits)), key, digest, "bucket")
+    return joined(buckets, "bucket", "fingerprint")
 
 
 def positions(profiles: DataFrame, *keys: str) -> DataFrame:
@@ -151,9 +200,12 @@ def positions(profiles: DataFrame, *keys: str) -> DataFrame:
 def cut(frame: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the shared folder of spark.checkpoint.dir, so that plans over it stay short.
 
-    Only where no folder is set, as in tests, is a temporary one.
+    Only where no folder is set and all runs in one process, as in tests, is a temporary one; else that is an error.
     """
     sc = frame.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="sigspark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="sigspark-"))
     return frame.checkpoint()

@@ -15,20 +15,25 @@ _QUERIES = {
     "op8_log_bilinear_scores": "lm",
     "op9_bpe_automaton": "bpe",
     "op10_quality_by_compression": "quality",
+    "op12_ownership_frequency": "ownership",
 }
 
 
-def _call(module: str, name: str):
+def _module(name: str):
+    return importlib.import_module(f"{__package__}.{_QUERIES[name]}")
+
+
+def _call(name: str):
     def query(spark, sf_dir):
-        return getattr(importlib.import_module(f"{__package__}.{module}"), name)(spark, sf_dir)
+        return getattr(_module(name), name)(spark, sf_dir)
 
     query.__name__ = name
     return query
 
 
 def queries() -> dict:
-    return {name: _call(module, name) for name, module in _QUERIES.items()}
+    return {name: _call(name) for name in _QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: _module(name).ORACLE_SQL for name in _QUERIES if hasattr(_module(name), "ORACLE_SQL")}

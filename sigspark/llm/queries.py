@@ -15,6 +15,7 @@ _QUERIES = {
     "op8_log_bilinear_scores": "lm",
     "op9_bpe_automaton": "bpe",
     "op10_quality_by_compression": "quality",
+    "op11_sketched_divergence": "divergence",
     "op12_ownership_frequency": "ownership",
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -11,13 +11,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_steps(table(spark, sf_dir, "events"))
+
+
+def event_steps(events: DataFrame) -> DataFrame:
     """Long table of steps: trace_id, pos, mean, std, dwell, start_sample, end_sample, construct, stored_is_consensus.
 
     A user's events by time are a trace; dwell is the time to the next event in seconds (1 for the last).
     """
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("trace_id"),
         (F.row_number().over(order) - 1).cast("long").alias("pos"),
         F.col("value").alias("mean"),
@@ -58,16 +62,24 @@ def grid_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmer_levels(table(spark, sf_dir, "part"))
+
+
+def kmer_levels(part: DataFrame) -> DataFrame:
     """k-mer levels from part: the six base-4 digits of the key, first occurrence; incomplete below 4,096 parts."""
     key = F.col("p_partkey") % 4096
     digits = [F.substring(F.lit("ACGT"), ((F.floor(key / 4**k) % 4) + 1).cast("int"), F.lit(1)) for k in range(5, -1, -1)]
-    rows = table(spark, sf_dir, "part").select(F.concat(*digits).alias("kmer"), "p_partkey", (F.col("p_retailprice") / 1000).alias("pre_mean"), (F.col("p_size") / 50).alias("post_mean"))
+    rows = part.select(F.concat(*digits).alias("kmer"), "p_partkey", (F.col("p_retailprice") / 1000).alias("pre_mean"), (F.col("p_size") / 50).alias("post_mean"))
     first = rows.groupBy("kmer").agg(F.min_by(F.struct("pre_mean", "post_mean"), "p_partkey").alias("x"))
     return first.select("kmer", "x.pre_mean", F.lit(0.1).alias("pre_std"), "x.post_mean", F.lit(0.1).alias("post_std"))
 
 
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """template_id, template: the letters of each whole benchmark text, mapped to ACGT."""
-    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    mapped = F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGT" * 6 + "AC")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("template_id"), mapped.alias("template"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("template_id"), bases("text").alias("template"))
+
+
+def bases(text: str) -> Column:
+    """The letters A-Z of a text, in either case, mapped to ACGT."""
+    letters = F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
+    return F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGT" * 6 + "AC")

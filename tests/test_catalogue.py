@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import jobs
 from sigspark.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,6 +46,11 @@ def test_query(spark, small, duck, name):
         assert rows(got) == rows(duck.execute(sql).df())
 
 
+@pytest.mark.parametrize("name", sorted(jobs.queries()))
+def test_job(spark, small, duck, name):
+    assert rows(jobs.queries()[name](spark, small).toPandas()) == rows(duck.execute(jobs.oracle_sql()[name]).df())
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -6,16 +6,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import kernels as K
 from ..functions import profile_hmm as H
 from ..functions.boundary import BoundaryOptions, segment
+from . import em
 from .consensus import pair_matrix, prepare
 from .spread import spread
 
 PROFILE_HMM = (
     "mean array<double>, std array<double>, dwell array<double>, stderr array<double>, depth array<double>, supported array<boolean>, offsets array<long>, weights array<double>, "
-    "medoid_id long, n_iter long, converged boolean, cap_hit boolean, stop_reason string, log_likelihood array<double>, final_log_likelihood double, min_std double, tol double, max_iter long, "
+    "medoid_id long, n_iter long, converged boolean, cap_hit boolean, stop_reason string, log_likelihood array<double>, final_log_likelihood double, min_std double, tol double, max_iter long, min_depth long, pseudocount double, normalise boolean, "
     "history array<struct<mean_delta:double,std_delta:double,transition_delta:double,delta:double,transition_before:double,transition_after:double,gradient:double,emission_before:double,emission_after:double>>"
 )
 BOUNDARY = (
@@ -98,23 +100,48 @@ def decode_boundaries(events: DataFrame, anchors: DataFrame, models: DataFrame,
     return spread(joined.select(*keys, "mean", "std", "start_sample", "end_sample", "am", "asd", "ref_pos", "models")).mapInPandas(run, ddl)
 
 
-def fit_profile_hmms(traces: DataFrame, group: str, *, normalise: bool = True, min_std: float = 1e-3, tol: float = 1e-4, max_iter: int = 20, **options) -> DataFrame:
-    """One profile HMM for each group, from the medoid of Gaussian warping distances on, with the settings of the fit."""
+#: Cells (steps of all traces times states) from which the fit of a group is dealt over tasks.
+GROUP_CELLS = 1 << 18
+
+
+def fit_profile_hmms(traces: DataFrame, group: str, *, normalise: bool = True, min_std: float = 1e-3, tol: float = 1e-4, max_iter: int = 20, group_cells: int = GROUP_CELLS, **options) -> DataFrame:
+    """One profile HMM for each group, from the medoid of Gaussian warping distances on, with the settings of the fit.
+
+    A task fits a group of up to `group_cells` cells; larger groups are fitted together, each round over all their traces (`em`), with the
+    same result but for rounding.
+    """
     for name, value in (("max_iter", max_iter), *((k, options[k]) for k in ("min_depth",) if k in options)):
         if isinstance(value, bool) or not isinstance(value, int) or value < 1:
             raise ValueError(f"{name} is a positive whole number")
+    kind = dict(traces.dtypes)[group]
+    settings = {"min_std": min_std, "tol": tol, "max_iter": max_iter, "min_depth": options.get("min_depth", 2), "pseudocount": float(options.get("pseudocount", 1.0)), "normalise": normalise}
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("trace_id")
         ready = [(*prepare(m, s, normalise, min_std), np.asarray(d, float)) for m, s, d in zip(frame["mean"], frame["std"], frame["dwell"])]
         medoid = int(np.argmin(pair_matrix([r[0] for r in ready], [r[1] for r in ready]).sum(axis=1)))
         p = H.fit(ready, medoid, min_std=min_std, tol=tol, max_iter=max_iter, **options)
-        keep = ("mean_delta", "std_delta", "transition_delta", "delta", "transition_before", "transition_after", "gradient", "emission_before", "emission_after")
-        row = {group: frame[group].iloc[0], **{c: getattr(p, c).tolist() for c in ("mean", "std", "dwell", "stderr", "depth", "supported", "offsets", "weights")}}
-        row |= {"medoid_id": int(frame["trace_id"].iloc[medoid]), "n_iter": p.n_iter, "converged": p.converged, "cap_hit": not p.converged, "stop_reason": p.stop_reason, "log_likelihood": p.log_likelihood, "final_log_likelihood": p.log_likelihood[-1], "min_std": min_std, "tol": tol, "max_iter": max_iter, "history": [{k: h[k] for k in keep} for h in p.history]}
-        return pd.DataFrame([row])
-
-    return spread(traces.select(group, "trace_id", "mean", "std", "dwell"), group).groupBy(group).applyInPandas(fit, f"{group} {dict(traces.dtypes)[group]}, {PROFILE_HMM}")
+        return pd.DataFrame([{group: frame[group].iloc[0], **_hmm_row(p, int(frame["trace_id"].iloc[medoid]), settings)}])
+
+    rows = traces.select(group, "trace_id", "mean", "std", "dwell")
+    size = F.size("mean").cast("double")
+    large = rows.groupBy(group).agg((F.sum(size) * F.max(size)).alias("cells")).where(F.col("cells") > group_cells).select(group)
+    named = [r[0] for r in large.limit(em.MOST_GROUPS + 1).collect()]
+    ddl = f"{group} {kind}, {PROFILE_HMM}"
+    if not named or len(named) > em.MOST_GROUPS:  # so many groups keep all tasks busy by themselves
+        return spread(rows, group).groupBy(group).applyInPandas(fit, ddl)
+    names = F.broadcast(traces.sparkSession.createDataFrame([(g,) for g in named], f"{group} {kind}"))
+    found = em.fit_large(em.prepared(rows.join(names, group, "left_semi"), group, normalise, min_std), group, min_std=min_std, tol=tol, max_iter=max_iter, **options)
+    schema = StructType.fromDDL(ddl)
+    fits = [{group: g, **_hmm_row(p, int(m), settings)} for g, (m, p) in found.items()]
+    fitted = traces.sparkSession.createDataFrame([tuple(row[c] for c in schema.names) for row in fits], schema)
+    return fitted.unionByName(spread(rows.join(names, group, "left_anti"), group).groupBy(group).applyInPandas(fit, ddl))
+
+
+def _hmm_row(p: H.Profile, medoid_id: int, settings: dict) -> dict:
+    keep = ("mean_delta", "std_delta", "transition_delta", "delta", "transition_before", "transition_after", "gradient", "emission_before", "emission_after")
+    row = {c: getattr(p, c).tolist() for c in ("mean", "std", "dwell", "stderr", "depth", "supported", "offsets", "weights")}
+    return row | settings | {"medoid_id": medoid_id, "n_iter": p.n_iter, "converged": p.converged, "cap_hit": not p.converged, "stop_reason": p.stop_reason, "log_likelihood": p.log_likelihood, "final_log_likelihood": p.log_likelihood[-1], "history": [{k: h[k] for k in keep} for h in p.history]}
 
 
 def hmm_iterations(profiles: DataFrame, group: str) -> DataFrame:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from .spread import spread
+from .spread import spread, tasks_for
 
 #: Cells of cost and state that one batch may hold.
 BATCH_CELLS = 2_000_000
+#: Cells of cost of two blocks of traces, a task's unit of work: some seconds.
+TILE_CELLS = 50_000_000
 
 
 def unordered_pairs(traces: DataFrame, *group: str) -> DataFrame:
@@ -80,10 +85,54 @@ def warp(pairs: DataFrame, left: DataFrame, right: DataFrame, *keys: str, cost:
     return ready.mapInArrow(run, ddl)
 
 
-def pairwise(traces: DataFrame, *group: str, cost: str = "gaussian", normalise: bool = True, **options) -> DataFrame:
-    """Edge list (group, a, b, d) of normalised warping distances inside groups."""
-    pairs = unordered_pairs(traces, *group)
-    return warp(pairs, traces, traces, *group, cost=cost, normalise=normalise, **options).select(*group, "a", "b", F.col("norm_dist").alias("d"))
+def pairwise(traces: DataFrame, *group: str, cost: str = "gaussian", normalise: bool = True, cells: int = TILE_CELLS, **options) -> DataFrame:
+    """Edge list (group, a, b, d) of normalised warping distances inside groups, of any size.
+
+    The traces of a group are dealt to blocks by a hash of their ids, so that two blocks have about `cells` cells of cost at most. A
+    tile, two blocks of one group, is the unit of work: a trace moves once for each block, not for each pair, and is
+    scaled once in a tile. There are as many tasks as all cells need, `cells` each.
+    """
+    if not group:
+        raise ValueError("name the group within which traces are paired")
+    side = math.sqrt(cells)
+    sizes = traces.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.max(F.size("mean")).alias("_longest"))
+    sizes = sizes.select(*group, F.greatest(F.lit(1), F.ceil(F.col("_n") * F.col("_longest") / side)).cast("long").alias("_blocks"), (F.col("_n") * F.col("_longest").cast("double")).alias("_points"))
+    own = traces.join(sizes, list(group)).withColumn("_block", F.pmod(F.xxhash64("trace_id"), F.col("_blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    dealt = own.select(*group, "trace_id", "mean", "std", "_block", other.alias("_other"))
+    dealt = dealt.select(*group, "trace_id", "mean", "std", "_block", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
+    volume = sizes.agg(F.sum(F.col("_points") * F.col("_points")) / 2).first()[0] or 0.0
+    kinds = dict(traces.dtypes)
+    named = [*group, "_i", "_j"]
+
+    def tile(key, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("trace_id", kind="stable")
+        ids, block = frame["trace_id"].to_numpy(), frame["_block"].to_numpy()
+        means, stds = ([np.asarray(x, float) for x in frame[c]] for c in ("mean", "std"))
+        if normalise:
+            for k, m in enumerate(means):
+                means[k], scale = _znorm(m)
+                stds[k] = stds[k] / scale
+        a, b = np.triu_indices(len(ids), 1)
+        wanted = ids[a] < ids[b]
+        if key[-2] != key[-1]:
+            wanted &= block[a] != block[b]
+        a, b = a[wanted], b[wanted]
+        d = np.empty(len(a))
+        size = np.array([len(m) for m in means], np.int64)
+        order = np.argsort(size[a] * size[b], kind="stable") if len(a) else np.zeros(0, np.int64)
+        k = 0
+        while k < len(order):
+            step = max(1, BATCH_CELLS // int(max(1, size[a[order[k]]] * size[b[order[k]]])))
+            part = order[k : k + step]
+            while len(part) > 1 and len(part) * int(size[a[part]].max()) * int(size[b[part]].max()) > BATCH_CELLS:
+                part = part[: (len(part) + 1) // 2]
+            d[part] = K.warp_pairs(cost, [means[x] for x in a[part]], [stds[x] for x in a[part]], [means[x] for x in b[part]], [stds[x] for x in b[part]], **options).norm
+            k += len(part)
+        return pd.DataFrame({**{g: [v] * len(a) for g, v in zip(group, key)}, "a": ids[a], "b": ids[b], "d": d})
+
+    ddl = ", ".join(f"{g} {kinds[g]}" for g in group) + f", a {kinds['trace_id']}, b {kinds['trace_id']}, d double"
+    return dealt.repartition(tasks_for(traces.sparkSession, volume, cells), *named).groupBy(*named).applyInPandas(tile, ddl)
 
 
 # --- closed forms ------------------------------------------------------------------------------------------------------

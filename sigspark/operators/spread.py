@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(frame: DataFrame, *keys: str) -> DataFrame:
@@ -14,3 +14,8 @@ def spread(frame: DataFrame, *keys: str) -> DataFrame:
     spark = frame.sparkSession
     n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return frame.repartition(n, *keys)
+
+
+def tasks_for(spark: SparkSession, volume: float, each: float, most: int = 100_000) -> int:
+    """Tasks for a volume of work, `each` a task: twice as many as cores at least, `most` at most."""
+    return int(min(most, max(2 * spark.sparkContext.defaultParallelism, volume / each)))

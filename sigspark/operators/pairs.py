@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -86,11 +87,45 @@ def warp(pairs: DataFrame, left: DataFrame, right: DataFrame, *keys: str, cost:
 
 
 def pairwise(traces: DataFrame, *group: str, cost: str = "gaussian", normalise: bool = True, cells: int = TILE_CELLS, **options) -> DataFrame:
-    """Edge list (group, a, b, d) of normalised warping distances inside groups, of any size.
+    """Edge list (group, a, b, d) of normalised warping distances inside groups, of any size (`tiled`)."""
+
+    def distances(means, stds, a, b):
+        size = np.array([len(m) for m in means], np.int64)
+        d = np.empty(len(a))
+        order = np.argsort(size[a] * size[b], kind="stable")
+        k = 0
+        while k < len(order):
+            part = order[k : k + max(1, BATCH_CELLS // int(max(1, size[a[order[k]]] * size[b[order[k]]])))]
+            while len(part) > 1 and len(part) * int(size[a[part]].max()) * int(size[b[part]].max()) > BATCH_CELLS:
+                part = part[: (len(part) + 1) // 2]
+            d[part] = K.warp_pairs(cost, [means[x] for x in a[part]], [stds[x] for x in a[part]], [means[x] for x in b[part]], [stds[x] for x in b[part]], **options).norm
+            k += len(part)
+        return d
+
+    def scaled(mean, std):
+        m, scale = _znorm(mean)
+        return m, std / scale
+
+    return tiled(traces, distances, *group, ready=scaled if normalise else None, cells=cells)
+
+
+def squared_distances(traces: DataFrame, *group: str, cells: int = TILE_CELLS) -> DataFrame:
+    """Edge list (group, a, b, d) of the squared distances of traces of one length inside groups, of any size (`tiled`)."""
+
+    def distances(means, stds, a, b):
+        x = np.stack(means)
+        return np.concatenate([((x[a[k : k + 4096]] - x[b[k : k + 4096]]) ** 2).sum(axis=1) for k in range(0, len(a), 4096)])
+
+    return tiled(traces, distances, *group, cells=cells)
+
+
+def tiled(traces: DataFrame, distances: Callable, *group: str, ready: Callable | None = None, cells: int = TILE_CELLS) -> DataFrame:
+    """Edge list (group, a, b, d), a < b, of all pairs inside groups, of any size.
 
     The traces of a group are dealt to blocks by a hash of their ids, so that two blocks have about `cells` cells of cost at most. A
-    tile, two blocks of one group, is the unit of work: a trace moves once for each block, not for each pair, and is
-    scaled once in a tile. There are as many tasks as all cells need, `cells` each.
+    tile, two blocks of one group, is the unit of work: a trace moves once for each block, not for each pair, and is made
+    `ready` (mean, std) once in a tile. distances(means, stds, a, b) gives those of index pairs. There are as many
+    tasks as all cells need, `cells` each.
     """
     if not group:
         raise ValueError("name the group within which traces are paired")
@@ -109,26 +144,14 @@ def pairwise(traces: DataFrame, *group: str, cost: str = "gaussian", normalise:
         frame = frame.sort_values("trace_id", kind="stable")
         ids, block = frame["trace_id"].to_numpy(), frame["_block"].to_numpy()
         means, stds = ([np.asarray(x, float) for x in frame[c]] for c in ("mean", "std"))
-        if normalise:
-            for k, m in enumerate(means):
-                means[k], scale = _znorm(m)
-                stds[k] = stds[k] / scale
+        if ready is not None:
+            means, stds = map(list, zip(*map(ready, means, stds)))
         a, b = np.triu_indices(len(ids), 1)
         wanted = ids[a] < ids[b]
         if key[-2] != key[-1]:
             wanted &= block[a] != block[b]
         a, b = a[wanted], b[wanted]
-        d = np.empty(len(a))
-        size = np.array([len(m) for m in means], np.int64)
-        order = np.argsort(size[a] * size[b], kind="stable") if len(a) else np.zeros(0, np.int64)
-        k = 0
-        while k < len(order):
-            step = max(1, BATCH_CELLS // int(max(1, size[a[order[k]]] * size[b[order[k]]])))
-            part = order[k : k + step]
-            while len(part) > 1 and len(part) * int(size[a[part]].max()) * int(size[b[part]].max()) > BATCH_CELLS:
-                part = part[: (len(part) + 1) // 2]
-            d[part] = K.warp_pairs(cost, [means[x] for x in a[part]], [stds[x] for x in a[part]], [means[x] for x in b[part]], [stds[x] for x in b[part]], **options).norm
-            k += len(part)
+        d = distances(means, stds, a, b) if len(a) else np.zeros(0)
         return pd.DataFrame({**{g: [v] * len(a) for g, v in zip(group, key)}, "a": ids[a], "b": ids[b], "d": d})
 
     ddl = ", ".join(f"{g} {kinds[g]}" for g in group) + f", a {kinds['trace_id']}, b {kinds['trace_id']}, d double"

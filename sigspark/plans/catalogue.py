@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.boundary import BoundaryOptions
-from ..operators import alignment, clusters, consensus, lut, metrics, pairs, regions, resample, robust
+from ..operators import alignment, clusters, consensus, linkage, lut, metrics, pairs, regions, resample, robust
 from ..operators import evaluation as evaluation_ops
 from ..sources import fixtures as fx
 from ..sources import io
@@ -484,11 +484,7 @@ def dtw_norm_dist_pairs(spark, sf):
 
 def edges(spark, sf):
     """Squared distances inside classes of embeddings."""
-    g = fx.grid_traces(spark, sf)
-    p = pairs.unordered_pairs(g, "label")
-    both = p.join(g.select(F.col("trace_id").alias("a"), F.col("mean").alias("x")), "a").join(g.select(F.col("trace_id").alias("b"), F.col("mean").alias("y")), "b")
-    d = F.aggregate(F.zip_with("x", "y", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
-    return both.select("label", "a", "b", d.alias("d"))
+    return pairs.squared_distances(fx.grid_traces(spark, sf), "label")
 
 
 _RANKED = f"{BOTH}, sums AS (SELECT label, a AS trace_id, sum(d) AS row_sum FROM m GROUP BY ALL), ranks AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_sum, trace_id) AS rank FROM sums)"
@@ -557,6 +553,20 @@ for _m in ("average", "single", "complete", "weighted"):
     _cluster(_m)
 
 
+#: Heights under which a few traces of a class are linked.
+NEAR = 1.5
+
+
+@query(
+    f"WITH RECURSIVE {BOTH}, near AS (SELECT label, a, b FROM m WHERE d <= {NEAR}), reach AS (SELECT label, trace_id, trace_id AS other FROM g UNION SELECT r.label, r.trace_id, n.b FROM reach r JOIN near n ON n.label = r.label AND n.a = r.other), "
+    "roots AS (SELECT label, trace_id, min(other) AS root FROM reach GROUP BY ALL) SELECT label AS grp, trace_id, dense_rank() OVER (PARTITION BY label ORDER BY root) - 1 AS label FROM roots"
+)
+def cluster_threshold_single(spark, sf):
+    """Single linkage up to a height, in rounds over edge rows."""
+    e = edges(spark, sf).withColumnRenamed("label", "grp")
+    return linkage.cluster_rounds(e, "grp", method="single", threshold=NEAR)
+
+
 @query()
 def cluster_merges(spark, sf):
     return r6(clusters.merges(edges(spark, sf), "label"), "height")

@@ -8,6 +8,7 @@ import os
 import re
 import subprocess
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -197,15 +198,34 @@ def positions(profiles: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "pos", relative.alias("relative_position"), *[F.col(f"x.{c}").alias(c) for c in columns])
 
 
+class Tables:
+    """Tables in the shared folder of spark.checkpoint.dir that an operator's rounds write and read again: they carry no lineage, and
+    none of what the planner has found out about their columns, which grows from round to round."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/sigspark-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def put(self, frame: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only where it is unset and all runs in one process, as in tests, a temporary one; else
+    that is an error."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder.rstrip("/") if folder else "file://" + tempfile.mkdtemp(prefix="sigspark-")
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame, computed once and kept in the shared folder of spark.checkpoint.dir, so that plans over it stay short.
-
-    Only where no folder is set and all runs in one process, as in tests, is a temporary one; else that is an error.
-    """
-    sc = frame.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="sigspark-"))
+    """The frame, computed once and kept in the shared folder of spark.checkpoint.dir, so that plans over it stay short."""
+    spark = frame.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return frame.checkpoint()

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sigspark.functions import kernels as K
 from sigspark.functions import profile_hmm as H
-from sigspark.operators import alignment, em, pairs
+from sigspark.operators import alignment, clusters, em, linkage, pairs
 from sigspark.operators.consensus import pair_matrix, prepare
 from sigspark.sources import fixtures as fx
 
@@ -97,3 +98,39 @@ def test_blocks_of_a_large_group_are_bounded(spark):
     blocks = -(-100_000 * 64 // int(cells**0.5))
     size = rows.groupBy(F.pmod(F.xxhash64("trace_id"), F.lit(blocks))).agg((F.sum("n") * F.sum("n")).alias("cells"))
     assert size.agg(F.max("cells")).first()[0] < 3 * cells
+
+
+@pytest.mark.parametrize("method", ["single", "complete", "average", "weighted"])
+def test_rounds_of_neighbours_equal_the_matrix_form(spark, method):
+    """Labels and heights, with negative distances, for two groups of different sizes; pairs in either direction, repeated."""
+    rng = np.random.default_rng(11)
+    rows, truth = [], {}
+    for grp, n in ((0, 15), (1, 2)):
+        d = rng.normal(3, 2, (n, n))
+        truth[grp] = d + d.T - np.diag(2 * d.diagonal())
+        rows += [(grp, 10 * i, 10 * j, float(truth[grp][i, j])) for i in range(n) for j in range(n) if i < j or i == j + 1]
+    edges = spark.createDataFrame(rows, "grp long, a long, b long, d double")
+    height = "d" if method == "single" else "height"
+    merges = linkage.least_forest(edges, "grp")[0] if method == "single" else linkage.merge_rounds(edges, "grp", method=method)
+    got = sorted(r[height] for r in merges.where("grp = 0").collect())
+    moved = truth[0] - truth[0].min()
+    np.fill_diagonal(moved, 0)
+    assert got == pytest.approx(sorted(K.linkage(moved, method)[:, 2] + truth[0].min()))
+    for options in ({"n_clusters": 2}, {"threshold": 2.0, "min_size": 3}):
+        labels = {(r["grp"], r["trace_id"]): r["label"] for r in linkage.cluster_rounds(edges, "grp", method=method, **options).collect()}
+        for grp, d in truth.items():
+            want = K.cluster(d - np.diag(d.diagonal()), method, **{"n_clusters": None, "threshold": None} | options)
+            assert [labels[grp, 10 * i] for i in range(len(d))] == want.tolist(), (grp, options)
+
+
+def test_clusters_of_large_and_small_groups(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, i, j, float(rng.uniform())) for g, n in ((0, 9), (1, 5)) for i in range(n) for j in range(i + 1, n)]
+    edges = spark.createDataFrame(rows, "grp long, a long, b long, d double")
+    one, two = (sorted(map(tuple, clusters.cluster(edges, "grp", "average", n_clusters=3, group_edges=k).collect())) for k in (1000, 12))
+    assert one == two and len(one) == 14
+    assert linkage.cluster_rounds(edges.limit(0), "grp", method="single", threshold=1.0).count() == 0
+    # equal distances: what is linked doesn't depend on the order; missing pairs are infinitely far
+    same = spark.createDataFrame([(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 4, 5, 1.0), (0, 3, 6, 5.0)], "grp long, a long, b long, d double")
+    got = {r["trace_id"]: r["label"] for r in linkage.cluster_rounds(same, "grp", method="single", threshold=1.0).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 2}

@@ -193,8 +193,7 @@ def test_language_model_grows_with_the_learning_corpus():
 def test_held_out_documents_teach_nothing(spark, docs, corpus):
     held = F.pmod("doc_id", F.lit(5)) == 2
     other = docs.withColumn("text", F.when(held, F.concat(F.lit("hidden words " * 40), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
-    # one task, as what a task learns depends on its documents
-    a, b = ({r["doc_id"]: r for r in lm.score_documents(spark, d.coalesce(1), held=held, steps=20).collect()} for d in (docs, other))
+    a, b = ({r["doc_id"]: r for r in lm.score_documents(spark, d, held=held, steps=20).collect()} for d in (docs, other.coalesce(1)))
     for d in a:
         if d % 5 != 2:
             assert (a[d]["score"], a[d]["base_score"], a[d]["n_known"]) == (b[d]["score"], b[d]["base_score"], b[d]["n_known"])
@@ -202,6 +201,21 @@ def test_held_out_documents_teach_nothing(spark, docs, corpus):
             assert a[d]["train_tokens"] == b[d]["train_tokens"] and a[d]["score"] > b[d]["score"]
 
 
+def test_language_model_depends_on_the_table_alone(spark, small):
+    """Over 4 MiB of text, of which the first model reads a part: in 1, 8 and 32 partitions and in another order, the same scores."""
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    big = rows
+    for k in range(1, 12):
+        big = big.unionByName(rows.select((F.col("doc_id") + 10_000 * k).alias("doc_id"), F.concat("text", F.lit(f" w{k} x{k}")).alias("text")))
+    big = big.unionByName(rows.select((F.col("doc_id") + 900_000).alias("doc_id"), "text")).cache()
+    assert big.agg(F.sum(F.octet_length("text"))).first()[0] > 1 << 22
+    seen = []
+    for frame in (big.coalesce(1), big.repartition(8), big.repartition(32).sort(F.col("doc_id").desc())):
+        seen.append({r["doc_id"]: (r["score"], round(r["base_score"], 6)) for r in lm.score_documents(spark, frame, fit_rows=50).collect()})
+    assert seen[0] == seen[1] == seen[2]
+    assert all(seen[0][r["doc_id"]] == seen[0][r["doc_id"] + 900_000] for r in rows.collect())  # equal texts
+
+
 def test_language_model_repeated_rows_and_nothing(spark, docs, corpus, none):
     twice = lm.score_documents(spark, docs.union(docs), steps=20)
     assert twice.count() == 2 * len(corpus)

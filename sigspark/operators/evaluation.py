@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import profile_hmm as H
+from ..sources.io import cut
 from . import metrics
 from .consensus import prepare
 from .spread import spread
@@ -61,29 +62,41 @@ def task_classification(grid: DataFrame, tasks: DataFrame, lower: bool = True) -
     return each.groupBy("task").agg(F.sum("count").alias("events"), (F.sum("hit") / F.sum("count")).alias("accuracy"), F.avg(F.col("hit") / F.col("count")).alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"))
 
 
-def pair_table(grid: DataFrame) -> DataFrame:
-    """(a, b, events, balanced_accuracy, auroc, separation) of all pairs of labels a < b, over the events of either.
-
-    The score is that of a less that of b; AUROC takes b as positive, ties by half; separation is the mean score under the
-    other label over that under the own one.
-    """
+def pair_events(grid: DataFrame) -> DataFrame:
+    """(a, b, event_id, truth, own, other, margin, positive, hit) of all pairs of labels a < b, over the events of either: the scores under
+    the event's own and the other label, that of a less that of b, whether the event is of b, and whether the margin says so."""
     x = grid.select("event_id", "truth", F.col("label").alias("a"), F.col("score").alias("sa"))
     y = grid.select("event_id", F.col("label").alias("b"), F.col("score").alias("sb"))
-    both = x.join(y, "event_id").where("a < b AND (truth = a OR truth = b)").withColumn("m", F.col("sa") - F.col("sb"))
-    positive = (F.col("truth") == F.col("b")).cast("double")
-    hit = F.when(F.col("truth") == F.col("a"), F.col("m") <= 0).otherwise(F.col("m") > 0).cast("double")
-    own, other = (F.when(F.col("truth") == F.col("a"), F.col(p)).otherwise(F.col(q)) for p, q in (("sa", "sb"), ("sb", "sa")))
+    both = x.join(y, "event_id").where("a < b AND (truth = a OR truth = b)").withColumn("margin", F.col("sa") - F.col("sb"))
+    first = F.col("truth") == F.col("a")
+    own, other = (F.when(first, F.col(p)).otherwise(F.col(q)) for p, q in (("sa", "sb"), ("sb", "sa")))
+    hit = F.when(first, F.col("margin") <= 0).otherwise(F.col("margin") > 0).cast("double")
+    return both.select("a", "b", "event_id", "truth", own.alias("own"), other.alias("other"), "margin", (~first).cast("double").alias("positive"), hit.alias("hit"))
+
+
+def pair_table(grid: DataFrame, draws: DataFrame | None = None, confidence: float = 0.95) -> DataFrame:
+    """(a, b, events, accuracy, balanced_accuracy, auroc, average_precision, median_margin, separation) of all pairs of labels a < b, over the
+    events of either; with draws (replicate, event_id) of a stratified bootstrap also low and high of the balanced accuracy.
+
+    The score is that of a less that of b; AUROC and average precision take b as positive, ties by half and by event; the median is
+    of the margin by which the chosen label wins; separation is the mean score under the other label over that under the own one.
+    """
+    both = cut(pair_events(grid))
+    sides = (F.avg(F.when(F.col("positive") == k, F.col("hit"))) for k in (0, 1))
     facts = both.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("events"),
-        ((F.avg(F.when(positive == 1, hit)) + F.avg(F.when(positive == 0, hit))) / 2).alias("balanced_accuracy"),
-        metrics.separation_ratio(F.avg(other), F.avg(own)).alias("separation"),
+        F.avg("hit").alias("accuracy"),
+        (sum(sides, F.lit(0.0)) / 2).alias("balanced_accuracy"),
+        F.median(F.abs("margin")).alias("median_margin"),
+        metrics.separation_ratio(F.avg("other"), F.avg("own")).alias("separation"),
     )
-    per = both.groupBy("a", "b", "m").agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("q"))
-    from pyspark.sql import Window
-
-    below = F.coalesce(F.sum("q").over(Window.partitionBy("a", "b").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    auroc = per.withColumn("u", F.col("p") * (below + F.col("q") / 2)).groupBy("a", "b").agg(F.try_divide(F.sum("u"), F.sum("p") * F.sum("q")).alias("auroc"))
-    return facts.join(auroc, ["a", "b"]).select("a", "b", "events", "balanced_accuracy", "auroc", "separation")
+    out = facts.join(metrics.rank_metrics(both, "positive", "margin", "event_id", "a", "b"), ["a", "b"], "left")
+    columns = ["a", "b", "events", "accuracy", "balanced_accuracy", "auroc", "average_precision", "median_margin", "separation"]
+    if draws is None:
+        return out.select(*columns)
+    recall = draws.select("replicate", "event_id").join(both, "event_id").groupBy("a", "b", "replicate", "truth").agg(F.avg("hit").alias("r"))
+    replicates = recall.groupBy("a", "b", "replicate").agg(F.avg("r").alias("v"))
+    return out.join(metrics.percentile_interval(replicates, "v", confidence, "a", "b"), ["a", "b"], "left").select(*columns, "low", "high")
 
 
 # --- grids and gates ---------------------------------------------------------------------------------------------------

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import Tables
+
 INF = float("inf")
-#: Ranges of scores that are ranked apart.
-RANGES = 1024
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -52,29 +52,40 @@ def summary(classes: DataFrame) -> DataFrame:
     )
 
 
-def rank_metrics(rows: DataFrame, truth: str, score: str, order: str) -> DataFrame:
-    """One row: AUROC by average ranks, and average precision with ties in the order of `order`.
+def running(rows: DataFrame, order: list[tuple[str, bool]], sums: dict[str, Column], *keys: str) -> DataFrame:
+    """Adds the sums over all rows before each one, within keys, in an order of columns (name, descending).
 
-    Scores are parted into RANGES equal ranges of their values; totals of the ranges are summed in order, and rows are ranked
-    inside their range, so that no task orders all of them.
+    Rows are dealt to ranges of keys and order, whose ends Spark samples, so that ranges hold about as many rows each however the values
+    are spread; equal values may part at a range's end by the columns that follow. The ranges' totals are added up in order, and
+    each row adds what is before it in its range. The ranged rows are written once, as samples may differ between runs.
+    """
+    by = [F.col(c).desc() if down else F.col(c) for c, down in order]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = Tables(rows.sparkSession).put(rows.repartitionByRange(n, *keys, *by).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy(*keys, "_part").agg(*(F.sum(c).alias(f"_{name}") for name, c in sums.items()))  # the ranges, and one more for each key
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*keys, "_part", *(F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}") for name in sums))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(base, [*keys, "_part"])
+    return joined.select(*rows.columns, *((F.col(f"_{name}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(name) for name, c in sums.items()))
+
+
+def rank_metrics(rows: DataFrame, truth: str, score: str, order: str, *keys: str) -> DataFrame:
+    """One row (for each of keys): AUROC by average ranks, and average precision with ties in the order of `order`.
+
+    Rows without a truth or a score (null or NaN) are left out; both are null where one of the truths is missing. Ranks come from
+    `running`: of distinct scores for AUROC, so that a frequent one is a single row, and of rows for average precision.
     """
-    y = F.col(truth).cast("double")
-    ends = rows.agg(F.min(score).cast("double").alias("_lo"), F.max(score).cast("double").alias("_hi"))
-    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0))
-    rows = rows.crossJoin(F.broadcast(ends)).withColumn("_part", part).drop("_lo", "_hi")  # one row
-    totals = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_k"), F.sum(y).alias("_pos"))  # RANGES rows at most
-    below, above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    zero = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
-    base = F.broadcast(totals.select("_part", zero("_k", below).alias("_below"), zero("_k", above).alias("_above"), zero("_pos", above).alias("_found")))
-    per = rows.groupBy("_part", score).agg(F.count(F.lit(1)).alias("k"), F.sum(y).alias("pos")).join(base, "_part")
-    up = Window.partitionBy("_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("before", F.col("_below") + zero("k", up))
-    u = ranked.agg(F.sum(F.col("pos") * (F.col("before") + (F.col("k") + 1) / 2)).alias("ranks"), F.sum("pos").alias("p"), F.sum("k").alias("n"))
+    own = rows.select(*keys, F.col(truth).cast("double").alias("_y"), F.col(score).alias("_s"), F.col(order).alias("_o")).where("_y IS NOT NULL AND _s IS NOT NULL AND NOT isnan(double(_s))")
+    per = own.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("k"), F.sum("_y").alias("pos"))
+    ranked = running(per, [("_s", False)], {"before": F.col("k")}, *keys)
+    u = ranked.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("before") + (F.col("k") + 1) / 2)).alias("ranks"), F.sum("pos").alias("p"), F.sum("k").alias("n"))
     auroc = F.try_divide(F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p")))
-    down = Window.partitionBy("_part").orderBy(F.col(score).desc(), order).rowsBetween(Window.unboundedPreceding, 0)
-    listed = rows.join(base, "_part").withColumn("_tp", F.col("_found") + F.sum(y).over(down)).withColumn("_i", F.col("_above") + F.count(F.lit(1)).over(down))
-    ap = listed.agg(F.try_divide(F.sum(y * F.col("_tp") / F.col("_i")), F.sum(y)).alias("average_precision"))
-    return u.select(auroc.alias("auroc")).crossJoin(F.broadcast(ap))  # one row each
+    listed = running(own, [("_s", True), ("_o", False)], {"found": F.col("_y"), "place": F.lit(1)}, *keys)
+    precision = (F.col("found") + F.col("_y")) / (F.col("place") + 1)
+    ap = listed.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_y") * precision), F.sum("_y")).alias("average_precision"))
+    u = u.select(*keys, auroc.alias("auroc"))
+    return u.join(ap, list(keys)) if keys else u.crossJoin(F.broadcast(ap))  # one row each
 
 
 def correlation(x: str, y: str) -> Column:

@@ -659,15 +659,27 @@ def substitute_column(spark, sf):
     return r6(regions.substitute_column(grid, grid.withColumn("score", F.col("score") * 2), 3), "score")
 
 
-@query(
-    "WITH q AS (SELECT CAST(quality AS DOUBLE) AS y, n_chars AS s, doc_id FROM labels JOIN documents USING (doc_id)), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM q), "
-    "u AS (SELECT (sum(y * rk) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auroc FROM r), l AS (SELECT y, sum(y) OVER w AS tp, count(*) OVER w AS i FROM q WINDOW w AS (ORDER BY s DESC, doc_id ROWS UNBOUNDED PRECEDING)), a AS (SELECT sum(y * tp / i) / sum(y) AS ap FROM l) SELECT round(auroc, 6) AS auroc, round(ap, 6) AS average_precision FROM u CROSS JOIN a"
-)
+def _ranks_sql(score: str) -> str:
+    return (
+        f"WITH q AS (SELECT CAST(quality AS DOUBLE) AS y, {score} AS s, doc_id FROM labels JOIN documents USING (doc_id) WHERE {score} IS NOT NULL), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM q), "
+        "u AS (SELECT (sum(y * rk) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auroc FROM r), l AS (SELECT y, sum(y) OVER w AS tp, count(*) OVER w AS i FROM q WINDOW w AS (ORDER BY s DESC, doc_id ROWS UNBOUNDED PRECEDING)), a AS (SELECT sum(y * tp / i) / sum(y) AS ap FROM l) SELECT round(auroc, 6) AS auroc, round(ap, 6) AS average_precision FROM u CROSS JOIN a"
+    )
+
+
+@query(_ranks_sql("n_chars"))
 def auroc_ap(spark, sf):
     rows = fx.table(spark, sf, "labels").join(fx.table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
     return r6(metrics.rank_metrics(rows, "quality", "n_chars", "doc_id"), "auroc", "average_precision")
 
 
+@query(_ranks_sql("CASE WHEN doc_id % 11 <> 0 THEN exp(n_chars / 2000.0) END"))
+def auroc_ap_skewed(spark, sf):
+    """Ranks of scores with a long tail, some of them null."""
+    score = F.when(F.col("doc_id") % 11 != 0, F.exp(F.col("n_chars") / 2000.0))
+    rows = fx.table(spark, sf, "labels").join(fx.table(spark, sf, "documents").select("doc_id", score.alias("s")), "doc_id")
+    return r6(metrics.rank_metrics(rows, "quality", "s", "doc_id"), "auroc", "average_precision")
+
+
 @query(
     f"WITH {STEPS}, f AS (SELECT trace_id, construct, avg(mean) AS level, avg(std) AS noise, CAST(count(*) AS DOUBLE) AS len FROM t GROUP BY ALL), l AS (UNPIVOT f ON level, noise, len INTO NAME feature VALUE v), tr AS (SELECT * FROM l WHERE trace_id % 2 = 0), "
     "p AS (SELECT feature, median(v) AS m, CASE WHEN mad(v) > 0 THEN 1.4826 * mad(v) ELSE 1.0 END AS s FROM tr GROUP BY feature), z AS (SELECT l.*, (v - m) / s AS z FROM l JOIN p USING (feature)), c AS (SELECT construct, feature, avg(z) AS c FROM z WHERE trace_id % 2 = 0 GROUP BY ALL) "

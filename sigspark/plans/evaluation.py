@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clusters, evaluation, pairs, resample
+from ..operators import clusters, evaluation, metrics, pairs, resample
 from ..sources import fixtures as fx
 from ..sources import io
 from . import catalogue as c
@@ -80,14 +80,18 @@ def control_classification(spark, sf):
 
 
 @query(
-    f"WITH {SCORES}, b AS (SELECT x.event_id, x.truth, x.label AS a, y.label AS b, x.score AS sa, y.score AS sb, x.score - y.score AS m FROM s x JOIN s y ON x.event_id = y.event_id AND x.label < y.label AND (x.truth = x.label OR x.truth = y.label)), "
-    "f AS (SELECT a, b, count(*) AS events, (avg(CAST(m > 0 AS DOUBLE)) FILTER (truth = b) + avg(CAST(m <= 0 AS DOUBLE)) FILTER (truth = a)) / 2 AS bal, avg(CASE WHEN truth = a THEN sb ELSE sa END) AS other, avg(CASE WHEN truth = a THEN sa ELSE sb END) AS own FROM b GROUP BY ALL), "
-    "rk AS (SELECT a, b, truth, rank() OVER (PARTITION BY a, b ORDER BY m) + (count(*) OVER (PARTITION BY a, b, m) - 1) / 2.0 AS r FROM b), "
-    "au AS (SELECT a, b, (sum(r) FILTER (truth = b) - count(*) FILTER (truth = b) * (count(*) FILTER (truth = b) + 1) / 2.0) / (count(*) FILTER (truth = b) * count(*) FILTER (truth = a)) AS auroc FROM rk GROUP BY ALL) "
-    "SELECT a, b, events, round(bal, 6) AS balanced_accuracy, round(auroc, 6) AS auroc, round(CASE WHEN own > 0 THEN other / own END, 6) AS separation FROM f JOIN au USING (a, b)"
+    f"WITH {c._DRAWS}, b AS (SELECT x.event_id, x.truth, x.label AS a, y.label AS b, x.score AS sa, y.score AS sb, x.score - y.score AS m, CAST(x.truth = y.label AS DOUBLE) AS pos, CAST((x.truth = y.label) = (x.score - y.score > 0) AS DOUBLE) AS ok "
+    "FROM s x JOIN s y ON x.event_id = y.event_id AND x.label < y.label AND (x.truth = x.label OR x.truth = y.label)), "
+    "f AS (SELECT a, b, count(*) AS events, avg(ok) AS acc, (avg(ok) FILTER (pos = 1) + avg(ok) FILTER (pos = 0)) / 2 AS bal, median(abs(m)) AS mid, avg(CASE WHEN truth = a THEN sb ELSE sa END) AS other, avg(CASE WHEN truth = a THEN sa ELSE sb END) AS own FROM b GROUP BY ALL), "
+    "rk AS (SELECT a, b, pos, rank() OVER (PARTITION BY a, b ORDER BY m) + (count(*) OVER (PARTITION BY a, b, m) - 1) / 2.0 AS r, sum(pos) OVER w AS tp, count(*) OVER w AS i FROM b WINDOW w AS (PARTITION BY a, b ORDER BY m DESC, event_id ROWS UNBOUNDED PRECEDING)), "
+    "au AS (SELECT a, b, (sum(r * pos) - sum(pos) * (sum(pos) + 1) / 2) / (sum(pos) * (count(*) - sum(pos))) AS auroc, sum(pos * tp / i) / sum(pos) AS ap FROM rk GROUP BY ALL), "
+    "rec AS (SELECT a, b, replicate, b.truth, avg(ok) AS r FROM dr JOIN e USING (truth, i) JOIN b ON b.event_id = e.event_id GROUP BY ALL), reps AS (SELECT a, b, replicate, avg(r) AS v FROM rec GROUP BY ALL), ci AS (SELECT a, b, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM reps GROUP BY ALL) "
+    "SELECT a, b, events, round(acc, 6) AS accuracy, round(bal, 6) AS balanced_accuracy, round(auroc, 6) AS auroc, round(ap, 6) AS average_precision, round(mid, 6) AS median_margin, round(CASE WHEN own > 0 THEN other / own END, 6) AS separation, round(low, 6) AS low, round(high, 6) AS high FROM f JOIN au USING (a, b) JOIN ci USING (a, b)"
 )
 def pair_table(spark, sf):
-    return r6(evaluation.pair_table(c.score_grid(spark, sf)), "balanced_accuracy", "auroc", "separation")
+    grid = c.score_grid(spark, sf)
+    draws = metrics.bootstrap_draws(grid.select("event_id", "truth").distinct(), 50, 11, "truth", "event_id")
+    return r6(evaluation.pair_table(grid, draws), "accuracy", "balanced_accuracy", "auroc", "average_precision", "median_margin", "separation", "low", "high")
 
 
 @query(

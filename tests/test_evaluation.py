@@ -129,21 +129,48 @@ def test_reads_to_clusters_to_medoids(spark):
     assert all(r["n_reads"] == 3 and r["members"][r["medoid_position"]] == r["medoid"] for r in got.values())
 
 
-def test_rank_metrics_do_not_depend_on_ranges(spark, monkeypatch):
-    rng = np.random.default_rng(4)
-    rows = [(i, int(rng.random() < 0.3), float(round(rng.normal(), 1))) for i in range(400)]
-    frame = spark.createDataFrame(rows, "id long, y int, s double")
-    got = []
-    for ranges in (1, 7, 1024):
-        monkeypatch.setattr(metrics, "RANGES", ranges)
-        r = metrics.rank_metrics(frame, "y", "s", "id").first()
-        got.append((r["auroc"], r["average_precision"]))
+def plain_ranks(rows):
+    rows = [r for r in rows if r[1] is not None and r[2] is not None and r[2] == r[2]]
     pos, neg = [s for _, y, s in rows if y], [s for _, y, s in rows if not y]
-    auroc = np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg])
+    if not pos:
+        return None, None
+    auroc = np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg]) if neg else None
     order = sorted(rows, key=lambda r: (-r[2], r[0]))
     hits = np.cumsum([y for _, y, _ in order])
-    ap = sum(hits[k] / (k + 1) for k, (_, y, _) in enumerate(order) if y) / len(pos)
-    assert all(g == pytest.approx((auroc, ap)) for g in got)
+    return auroc, sum(hits[k] / (k + 1) for k, (_, y, _) in enumerate(order) if y) / len(pos)
+
+
+def test_rank_metrics_do_not_depend_on_ranges(spark):
+    """With ties, a third of all rows of one score, a long tail, infinities, and missing truths and scores."""
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.random() < 0.3), float(round(rng.normal(), 1)) if i % 3 else 1.0) for i in range(400)]
+    rows += [(400 + i, i % 2, float(np.exp(rng.normal(0, 5)))) for i in range(50)] + [(500, 1, float("inf")), (501, 0, float("-inf")), (502, 1, None), (503, None, 3.0), (504, 0, float("nan"))]
+    frame = spark.createDataFrame(rows, "id long, y int, s double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for ranges in ("1", "7", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            assert tuple(metrics.rank_metrics(frame, "y", "s", "id").first()) == pytest.approx(plain_ranks(rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    by = {r["g"]: (r["auroc"], r["average_precision"]) for r in metrics.rank_metrics(frame.withColumn("g", F.when(F.col("id") < 300, 0).when(F.col("id") < 450, 1).otherwise(F.col("id"))), "y", "s", "id", "g").collect()}
+    assert by[0] == pytest.approx(plain_ranks(rows[:300])) and by[1] == pytest.approx(plain_ranks(rows[300:450]))
+    assert by[500] == (None, 1.0) and by[501] == (None, None) and 502 not in by
+    assert tuple(metrics.rank_metrics(frame.limit(0), "y", "s", "id").first()) == (None, None)
+
+
+def test_ranges_hold_like_numbers_of_rows(spark):
+    """Log-normal scores with outliers, a fifth of them equal: no range has more than twice the mean."""
+    frame = spark.range(40_000).select("id", F.when(F.col("id") % 5 == 0, 1.0).when(F.col("id") % 1000 == 1, F.exp(F.col("id") / 100.0)).otherwise(F.exp(3 * F.randn(7))).alias("s"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        ranged = frame.repartitionByRange(16, F.col("s").desc(), "id").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        assert ranged.max() < 2 * ranged.mean() and len(ranged) == 16
+        got = metrics.running(frame, [("s", True), ("id", False)], {"place": F.lit(1)})
+        assert got.agg(F.min("place"), F.max("place"), F.count_distinct("place")).first() == (0, 39_999, 40_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_provenance(spark, tmp_path):

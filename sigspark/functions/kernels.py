@@ -19,7 +19,16 @@ def emission(xm, xs, em, es):
     return -0.5 * (LOG_2PI + np.log(v) + (xm[..., :, None] - em[..., None, :]) ** 2 / v)
 
 
-def cost_grid(kind: str, am, as_, bm, bs):
+def cost_grid(kind, am, as_, bm, bs):
+    """Costs [..., N, M] of a named kind, or of a function of batches of levels and stds (am, as, bm, bs) that gives them."""
+    if callable(kind):
+        grid = np.asarray(kind(am, as_, bm, bs), float)
+        shape = (*am.shape, bm.shape[-1])
+        if grid.shape != shape:
+            raise ValueError(f"a cost has shape {grid.shape}, not {shape}")
+        if not np.isfinite(grid).all():
+            raise ValueError("a cost is not finite")
+        return grid
     if kind == "gaussian":
         return -emission(am, as_, bm, bs)
     d = am[..., :, None] - bm[..., None, :]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,7 +18,7 @@ from .spread import spread
 PROFILE_HMM = (
     "mean array<double>, std array<double>, dwell array<double>, stderr array<double>, depth array<double>, supported array<boolean>, offsets array<long>, weights array<double>, "
     "medoid_id long, n_iter long, converged boolean, cap_hit boolean, stop_reason string, log_likelihood array<double>, final_log_likelihood double, min_std double, tol double, max_iter long, min_depth long, pseudocount double, normalise boolean, "
-    "history array<struct<mean_delta:double,std_delta:double,transition_delta:double,delta:double,transition_before:double,transition_after:double,gradient:double,emission_before:double,emission_after:double>>"
+    "history array<struct<mean_delta:double,std_delta:double,transition_delta:double,delta:double,transition_before:double,transition_after:double,gradient:double,emission_before:double,emission_after:double,mean:array<double>,std:array<double>,dwell:array<double>,weights:array<double>>>"
 )
 BOUNDARY = (
     "status string, boundary_step long, boundary_sample long, dna_start_step long, dna_end_step long, ref_start long, ref_end long, coverage double, observed double, total double, `null` double, "
@@ -132,20 +132,63 @@ def fit_profile_hmms(traces: DataFrame, group: str, *, normalise: bool = True, m
         return spread(rows, group).groupBy(group).applyInPandas(fit, ddl)
     names = F.broadcast(traces.sparkSession.createDataFrame([(g,) for g in named], f"{group} {kind}"))
     found = em.fit_large(em.prepared(rows.join(names, group, "left_semi"), group, normalise, min_std), group, min_std=min_std, tol=tol, max_iter=max_iter, **options)
-    schema = StructType.fromDDL(ddl)
-    fits = [{group: g, **_hmm_row(p, int(m), settings)} for g, (m, p) in found.items()]
-    fitted = traces.sparkSession.createDataFrame([tuple(row[c] for c in schema.names) for row in fits], schema)
+    fitted = profile_rows(traces.sparkSession, found, group, kind, settings)
     return fitted.unionByName(spread(rows.join(names, group, "left_anti"), group).groupBy(group).applyInPandas(fit, ddl))
 
 
 def _hmm_row(p: H.Profile, medoid_id: int, settings: dict) -> dict:
-    keep = ("mean_delta", "std_delta", "transition_delta", "delta", "transition_before", "transition_after", "gradient", "emission_before", "emission_after")
     row = {c: getattr(p, c).tolist() for c in ("mean", "std", "dwell", "stderr", "depth", "supported", "offsets", "weights")}
-    return row | settings | {"medoid_id": medoid_id, "n_iter": p.n_iter, "converged": p.converged, "cap_hit": not p.converged, "stop_reason": p.stop_reason, "log_likelihood": p.log_likelihood, "final_log_likelihood": p.log_likelihood[-1], "history": [{k: h[k] for k in keep} for h in p.history]}
+    return row | settings | {"medoid_id": medoid_id, "n_iter": p.n_iter, "converged": p.converged, "cap_hit": not p.converged, "stop_reason": p.stop_reason, "log_likelihood": p.log_likelihood, "final_log_likelihood": p.log_likelihood[-1], "history": p.history}
+
+
+def fits_of(profiles: DataFrame, group: str, most: int = em.MOST_GROUPS) -> dict:
+    """{group: (medoid's id, Profile)} of a table of fits, as `em` takes them to go on or to go back; `most` groups at most."""
+    rows = profiles.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("too many fits for one table: take them in parts")
+    out = {}
+    for r in rows:
+        arrays = {c: np.array(r[c]) for c in ("mean", "std", "dwell", "offsets", "weights", "stderr", "depth", "supported")}
+        history = [{k: list(v) if isinstance(v, (list, tuple)) else v for k, v in h.asDict().items()} for h in r["history"]]
+        out[r[group]] = r["medoid_id"], H.Profile(**arrays, medoid=-1, n_iter=r["n_iter"], converged=r["converged"], log_likelihood=list(r["log_likelihood"]), history=history)
+    return out
+
+
+def profile_rows(spark: SparkSession, fits: dict, group: str, kind: str, settings: dict) -> DataFrame:
+    """A table of fits: the group and the columns of PROFILE_HMM."""
+    schema = StructType.fromDDL(f"{group} {kind}, {PROFILE_HMM}")
+    rows = [{group: g, **_hmm_row(p, int(m), settings)} for g, (m, p) in fits.items()]
+    return spark.createDataFrame([tuple(row[c] for c in schema.names) for row in rows], schema)
+
+
+def _settings(profiles: DataFrame) -> dict:
+    names = ("min_std", "tol", "max_iter", "min_depth", "pseudocount", "normalise")
+    found = profiles.select(*names).distinct().limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("fits of one table have the same settings")
+    return found[0].asDict()
+
+
+def resume_profile_hmms(traces: DataFrame, profiles: DataFrame, group: str, max_iter: int) -> DataFrame:
+    """Fits that go on from where they stopped, until max_iter rounds in all: the same as if they had not stopped."""
+    settings = _settings(profiles) | {"max_iter": max_iter}
+    fits = fits_of(profiles, group)
+    ready = em.prepared(traces, group, settings["normalise"], settings["min_std"])
+    offsets = next((p.offsets for _, p in fits.values()), H.OFFSETS)
+    more = em.fit_large(ready, group, fits=fits, offsets=offsets, **{k: settings[k] for k in ("min_std", "tol", "max_iter", "min_depth", "pseudocount")})
+    return profile_rows(traces.sparkSession, more, group, dict(traces.dtypes)[group], settings)
+
+
+def snapshot_profile_hmms(traces: DataFrame, profiles: DataFrame, group: str, k: int) -> DataFrame:
+    """Fits as they were after exactly k updates; their likelihoods are found again from the traces, and must be those of the fits."""
+    settings = _settings(profiles)
+    ready = em.prepared(traces, group, settings["normalise"], settings["min_std"])
+    back = em.snapshots(ready, group, fits_of(profiles, group), k, settings["min_depth"], settings["min_std"])
+    return profile_rows(traces.sparkSession, back, group, dict(traces.dtypes)[group], settings)
 
 
 def hmm_iterations(profiles: DataFrame, group: str) -> DataFrame:
-    """(group, iter, log_likelihood, deltas and objectives): the history of fits as rows."""
+    """(group, iter, log_likelihood, deltas, objectives and parameters): the history of fits as rows."""
     rows = profiles.select(group, F.posexplode("history").alias("k", "h"), "log_likelihood")
     return rows.select(group, (F.col("k") + 1).cast("long").alias("iter"), F.get("log_likelihood", F.col("k") + 1).alias("log_likelihood"), "h.*")
 

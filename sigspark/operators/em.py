@@ -119,7 +119,7 @@ def _maximise(models: dict, offsets: np.ndarray, floor: float, group: str):
     """Of the rows of one state: its sums, its new level and variance, and the objective before and after; of state -1 the likelihood and
     the number of steps, as the first two sums."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key, frame):
         name, state = key
         at = frame["key"].to_numpy()
         v = frame[list(_SUMS)].to_numpy()
@@ -187,28 +187,39 @@ def medoids(ready: DataFrame, group: str, most: int = 1000) -> DataFrame:
     return sums.unionByName(alone).groupBy(group, "trace_id").agg(F.sum("d").alias("d")).groupBy(group).agg(F.min_by("trace_id", F.struct("d", "trace_id")).alias("trace_id"))
 
 
-def fit_large(ready: DataFrame, group: str, *, max_iter: int = 20, tol: float = 1e-4, min_depth: int = 2, min_std: float = 1e-3, offsets=H.OFFSETS, weights=None, pseudocount: float = 1.0, start: DataFrame | None = None, most: int = MOST_GROUPS) -> dict:
+def fit_large(ready: DataFrame, group: str, *, max_iter: int = 20, tol: float = 1e-4, min_depth: int = 2, min_std: float = 1e-3, offsets=H.OFFSETS, weights=None, pseudocount: float = 1.0, start: DataFrame | None = None, fits: dict | None = None, most: int = MOST_GROUPS) -> dict:
     """{group: (medoid's id, Profile)} of a table of `prepared` traces, the same as `profile_hmm.fit` of each group.
 
-    start (group, trace_id) names the traces to begin from, else the medoids. The groups' profiles (at most `most` of them) are all that
+    start (group, trace_id) names the traces to begin from, else the medoids; fits, a result of this function, goes on where that stopped
+    (with its moves and offsets), until max_iter rounds in all. The groups' profiles (at most `most` of them) are all that
     is held on the driver and sent to tasks. A group that has converged takes no part in later rounds.
     """
     H.check_options(max_iter, min_depth, tol, min_std, pseudocount)
     offsets = H.check_offsets(offsets)
-    chosen = (medoids(ready, group) if start is None else start).select(group, "trace_id")
-    rows = ready.join(chosen, [group, "trace_id"]).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many groups for fits of large groups: fit them a group a task")
-    now, out, medoid = {}, {}, {}
-    for r in rows:
-        mean, std, dwell = (np.array(r[c], float) for c in ("mean", "std", "dwell"))
-        w = H.start_weights(len(mean), offsets, pseudocount) if weights is None else np.asarray(weights, float) / np.sum(weights)
-        H.legal(len(mean), offsets)
-        now[r[group]], medoid[r[group]] = (mean, np.maximum(std, min_std), dwell, w), r["trace_id"]
+    now, out, medoid, trace, history = {}, {}, {}, {}, {}
+    if fits is None:
+        chosen = (medoids(ready, group) if start is None else start).select(group, "trace_id")
+        rows = ready.join(chosen, [group, "trace_id"]).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError("too many groups for fits of large groups: fit them a group a task")
+        for r in rows:
+            mean, std, dwell = (np.array(r[c], float) for c in ("mean", "std", "dwell"))
+            w = H.start_weights(len(mean), offsets, pseudocount) if weights is None else np.asarray(weights, float) / np.sum(weights)
+            H.legal(len(mean), offsets)
+            g = r[group]
+            now[g], medoid[g], trace[g], history[g] = (mean, np.maximum(std, min_std), dwell, w), r["trace_id"], [], []
+    else:
+        for g, (trace_id, p) in fits.items():
+            if p.converged or p.n_iter >= max_iter:
+                out[g] = trace_id, p
+                continue
+            if not np.array_equal(p.offsets, offsets):
+                raise ValueError("a fit goes on with its own offsets")
+            # the last likelihood is found again in the next round
+            now[g], medoid[g], trace[g], history[g] = (p.mean, p.std, p.dwell, p.weights), trace_id, list(p.log_likelihood[:-1]), list(p.history)
     longest = max((len(p[0]) for p in now.values()), default=1)
     cells = (ready.agg(F.sum("n")).first()[0] or 0) * longest
     dealt = cut(ready.repartition(tasks_for(ready.sparkSession, cells, TASK_CELLS)))
-    trace, history = {g: [] for g in now}, {g: [] for g in now}
     while now:
         models = {g: (p[0], p[1], p[3]) for g, p in now.items()}
         found = expect_and_maximise(dealt, models, offsets, min_std * min_std, group)
@@ -249,6 +260,27 @@ def fit_large(ready: DataFrame, group: str, *, max_iter: int = 20, tol: float =
     return out
 
 
+def snapshots(ready: DataFrame, group: str, fits: dict, k: int, min_depth: int = 2, min_std: float = 1e-3) -> dict:
+    """{group: (medoid's id, Profile)}: each fit as it was after exactly k updates, with its own depth, errors and support, from one round
+    over the traces. A fit of fewer updates, or a likelihood that isn't the one the fit has noted, is an error."""
+    models, offsets = {}, None
+    for g, (_, p) in fits.items():
+        if not 1 <= k <= len(p.history):
+            raise ValueError(f"group {g} has no update {k}")
+        models[g] = tuple(np.array(p.history[k - 1][c]) for c in ("mean", "std", "weights"))
+        offsets = p.offsets
+    found, out = expect_and_maximise(ready, models, offsets, min_std * min_std, group), {}
+    for g, (trace_id, p) in fits.items():
+        e, r = found[g], p.history[k - 1]
+        if not np.isclose(e["log_likelihood"], p.log_likelihood[k], rtol=1e-10, atol=1e-8):
+            raise FloatingPointError(f"the likelihood of group {g} is not that of its fit")
+        with np.errstate(divide="ignore"):
+            stderr = np.where(e["precision"] > 0, 1 / np.sqrt(e["precision"]), np.inf)
+        mean, std, weights = models[g]
+        out[g] = trace_id, H.Profile(mean, std, np.array(r["dwell"]), p.offsets, weights, stderr, e["depth"], e["depth"] >= min_depth, -1, k, p.converged and k == p.n_iter, p.log_likelihood[: k + 1], p.history[:k])
+    return out
+
+
 def expect_and_maximise(dealt: DataFrame, models: dict, offsets: np.ndarray, floor: float, group: str) -> dict:
     """One round over the traces of the groups that models (group: level, std, weights) names: the likelihood, the sums of each state and
     what they make of it. A row for each state comes back."""

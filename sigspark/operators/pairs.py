@@ -140,7 +140,7 @@ def tiled(traces: DataFrame, distances: Callable, *group: str, ready: Callable |
     kinds = dict(traces.dtypes)
     named = [*group, "_i", "_j"]
 
-    def tile(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def tile(key, frame):
         frame = frame.sort_values("trace_id", kind="stable")
         ids, block = frame["trace_id"].to_numpy(), frame["_block"].to_numpy()
         means, stds = ([np.asarray(x, float) for x in frame[c]] for c in ("mean", "std"))

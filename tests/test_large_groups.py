@@ -134,3 +134,32 @@ def test_clusters_of_large_and_small_groups(spark):
     same = spark.createDataFrame([(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 4, 5, 1.0), (0, 3, 6, 5.0)], "grp long, a long, b long, d double")
     got = {r["trace_id"]: r["label"] for r in linkage.cluster_rounds(same, "grp", method="single", threshold=1.0).collect()}
     assert got == {1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 2}
+
+
+def test_a_stopped_fit_goes_on_to_the_same_end(spark, wobbly):
+    whole = alignment.fit_profile_hmms(wobbly, "label", max_iter=5, group_cells=100)
+    part = alignment.fit_profile_hmms(wobbly, "label", max_iter=2)  # small groups, a group a task
+    more = alignment.resume_profile_hmms(wobbly, part, "label", 5)
+    back = alignment.snapshot_profile_hmms(wobbly, whole, "label", 2)
+    for a, b, n in ((whole, more, 5), (part, back, 2)):
+        a, b = (x.toPandas().set_index("label").sort_index() for x in (a, b))
+        for label in a.index:
+            for c in ("n_iter", "converged", "medoid_id"):
+                assert a.loc[label, c] == b.loc[label, c] or n == 2 and c == "converged"
+            for c in ("mean", "std", "dwell", "weights", "depth", "stderr", "log_likelihood"):
+                assert list(a.loc[label, c]) == pytest.approx(list(b.loc[label, c]), rel=1e-8, abs=1e-8), (label, c)
+    with pytest.raises(ValueError, match="no update"):
+        alignment.snapshot_profile_hmms(wobbly, part, "label", 4)
+    spoilt = part.withColumn("log_likelihood", F.transform("log_likelihood", lambda x: x + 1e-3))
+    with pytest.raises(FloatingPointError):
+        alignment.snapshot_profile_hmms(wobbly, spoilt, "label", 1)
+
+
+def test_a_cost_of_ones_own(spark, wobbly):
+    few = wobbly.where("trace_id < 6")
+    own = lambda am, as_, bm, bs: np.abs(am[..., :, None] - bm[..., None, :])
+    one, two = (sorted(map(tuple, pairs.pairwise(few, "label", cost=cost).collect())) for cost in ("abs", own))
+    assert one == two and len(one) == 15
+    for bad, name in ((lambda am, as_, bm, bs: am, "shape"), (lambda am, as_, bm, bs: own(am, as_, bm, bs) * np.nan, "not finite")):
+        with pytest.raises(Exception, match=name):
+            pairs.pairwise(few, "label", cost=bad).collect()

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import kernels as K
 from .spread import spread
@@ -36,11 +37,12 @@ def pair_matrix(means, stds, **options) -> np.ndarray:
     return d
 
 
-def barycentre(means, stds, dwells, *, medoid: int | None = None, distances=None, max_iter=10, tol=1e-4, min_depth=2, min_std=1e-3, **options) -> dict:
+def barycentre(means, stds, dwells, *, medoid: int | None = None, distances=None, max_iter=10, tol=1e-4, min_depth=2, min_std=1e-3, counts=None, **options) -> dict:
     """Iterated weighted averages of the reads along their warps onto the profile, from the medoid on.
 
     The cost is the squared difference times the read's precision 1 / max(std^2, min_std^2); a position's mean and dwell are
-    precision-weighted, its std adds the spread of the reads to the error of the mean. Positions without a read stay.
+    precision-weighted, its std adds the spread of the reads to the error of the mean. Positions without a read stay. A read
+    counts as if it stood `counts` times among the reads.
     """
     if medoid is None:
         d = pair_matrix(means, stds) if distances is None else distances
@@ -50,6 +52,7 @@ def barycentre(means, stds, dwells, *, medoid: int | None = None, distances=None
     mean, std, dwell = means[medoid].copy(), np.maximum(stds[medoid], min_std), dwells[medoid].copy()
     size, n = len(mean), len(means)
     weight = [1 / np.maximum(s * s, min_std * min_std) for s in stds]
+    times = np.ones(n, np.int64) if counts is None else np.asarray(counts)
     objective, converged, depth = [], False, np.zeros(size, np.int64)
     lengths = np.array([len(m) for m in means])
     wide = K.pad(means, 0.0)
@@ -59,18 +62,18 @@ def barycentre(means, stds, dwells, *, medoid: int | None = None, distances=None
         warp = K.Warp(grid, lengths, path=True, **options)
         if not np.isfinite(warp.dist).all():
             raise ValueError("a read has no admissible warp onto the profile")
-        objective.append(float(warp.norm.sum()))
+        objective.append(float(warp.norm @ times))
         sw, sx, sxx, sd = (np.zeros(size) for _ in range(4))
         depth = np.zeros(size, np.int64)
         for k in range(n):
             p = warp.path(k)
             i, j = p[:, 0], p[:, 1]
-            w, x = weight[k][i], means[k][i]
+            w, x = weight[k][i] * times[k], means[k][i]
             sw += np.bincount(j, w, size)
             sx += np.bincount(j, w * x, size)
             sxx += np.bincount(j, w * x * x, size)
             sd += np.bincount(j, w * dwells[k][i], size)
-            depth += np.bincount(j, minlength=size) > 0
+            depth += times[k] * (np.bincount(j, minlength=size) > 0)
         seen = sw > 0
         new = np.where(seen, sx / np.where(seen, sw, 1), mean)
         spread = np.maximum(sxx / np.where(seen, sw, 1) - new * new, 0) + 1 / np.where(seen, sw, 1)
@@ -84,8 +87,17 @@ def barycentre(means, stds, dwells, *, medoid: int | None = None, distances=None
     return {"mean": mean, "std": std, "dwell": dwell, "depth": depth, "supported": depth >= min_depth, "iterations": len(objective), "converged": converged, "objective": objective, "medoid": medoid}
 
 
-def fit_barycentres(traces: DataFrame, group: str, *, normalise: bool = True, min_std: float = 1e-3, min_depth: int | None = 2, **options) -> DataFrame:
-    """One profile per group: group and the PROFILE columns; a task fits a group. min_depth None asks for half of the reads."""
+#: Cells (steps of all traces times positions) from which the fit of a group is dealt over tasks.
+GROUP_CELLS = 1 << 18
+
+
+def fit_barycentres(traces: DataFrame, group: str, *, normalise: bool = True, min_std: float = 1e-3, min_depth: int | None = 2, group_cells: int = GROUP_CELLS, **options) -> DataFrame:
+    """One profile per group: group and the PROFILE columns. min_depth None asks for half of the reads.
+
+    A task fits a group of up to `group_cells` cells; larger groups are fitted together, each round over all their traces (`refits`), with
+    the same result but for rounding.
+    """
+    from . import em, refits
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("trace_id")
@@ -95,50 +107,16 @@ def fit_barycentres(traces: DataFrame, group: str, *, normalise: bool = True, mi
         b["medoid_id"] = int(frame["trace_id"].iloc[b.pop("medoid")])
         return pd.DataFrame([{group: frame[group].iloc[0], **{k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in b.items()}}])
 
-    return spread(traces.select(group, "trace_id", "mean", "std", "dwell"), group).groupBy(group).applyInPandas(fit, f"{group} {dict(traces.dtypes)[group]}, {PROFILE}")
-
-
-def barycentre_step(traces: DataFrame, profile: tuple, min_std: float = 1e-3, **options) -> DataFrame:
-    """One round for a group of any size: warps run where the traces are, weighted sums are grouped by position.
-
-    profile is (mean array,); returns (pos, mean, std, dwell, depth) of the positions that reads reach. Only the profile's own
-    length comes back.
-    """
-    target = np.asarray(profile[0], float)
-
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for m, s, d in zip(frame["mean"], frame["std"], frame["dwell"]):
-                m, s, d = (np.asarray(x, float) for x in (m, s, d))
-                w = 1 / np.maximum(s * s, min_std * min_std)
-                warp = K.Warp(((m[:, None] - target[None, :]) ** 2 * w[:, None])[None], path=True, **options)
-                p = warp.path(0)
-                i, j = p[:, 0], p[:, 1]
-                sums = [np.bincount(j, v, len(target)) for v in (w[i], w[i] * m[i], w[i] * m[i] ** 2, w[i] * d[i])]
-                seen = np.flatnonzero(np.bincount(j, minlength=len(target)))
-                rows.append(pd.DataFrame({"pos": seen, "sw": sums[0][seen], "sx": sums[1][seen], "sxx": sums[2][seen], "sd": sums[3][seen]}))
-            yield pd.concat(rows) if rows else pd.DataFrame({"pos": [], "sw": [], "sx": [], "sxx": [], "sd": []})
-
-    sums = traces.select("mean", "std", "dwell").mapInPandas(run, "pos long, sw double, sx double, sxx double, sd double").groupBy("pos").agg(
-        F.sum("sw").alias("sw"), F.sum("sx").alias("sx"), F.sum("sxx").alias("sxx"), F.sum("sd").alias("sd"), F.count(F.lit(1)).alias("depth")
-    )
-    mean = F.col("sx") / F.col("sw")
-    spread = F.greatest(F.col("sxx") / F.col("sw") - mean * mean, F.lit(0.0)) + 1 / F.col("sw")
-    return sums.select("pos", mean.alias("mean"), F.greatest(F.sqrt(spread), F.lit(min_std)).alias("std"), (F.col("sd") / F.col("sw")).alias("dwell"), "depth")
-
-
-def fit_large(traces: DataFrame, start: dict, max_iter: int = 10, tol: float = 1e-4, min_std: float = 1e-3, **options) -> dict:
-    """The barycentre of one large group of prepared traces by rounds of barycentre_step."""
-    mean, std, dwell = (np.asarray(start[k], float).copy() for k in ("mean", "std", "dwell"))
-    depth, rounds, converged = np.zeros(len(mean), np.int64), 0, False
-    while rounds < max_iter and not converged:
-        got = barycentre_step(traces, (mean,), min_std, **options).toPandas()
-        pos = got["pos"].to_numpy()
-        new = mean.copy()
-        new[pos], std[pos], dwell[pos] = got["mean"], got["std"], got["dwell"]
-        depth = np.zeros(len(mean), np.int64)
-        depth[pos] = got["depth"]
-        converged = float(np.abs(new - mean).max()) <= tol
-        mean, rounds = new, rounds + 1
-    return {"mean": mean, "std": std, "dwell": dwell, "depth": depth, "iterations": rounds, "converged": converged}
+    kind = dict(traces.dtypes)[group]
+    rows, ddl = traces.select(group, "trace_id", "mean", "std", "dwell"), f"{group} {kind}, {PROFILE}"
+    size = F.size("mean").cast("double")
+    large = rows.groupBy(group).agg((F.sum(size) * F.max(size)).alias("cells")).where(F.col("cells") > group_cells).select(group)
+    named = [r[0] for r in large.limit(em.MOST_GROUPS + 1).collect()] if "medoid" not in options else []
+    if not named or len(named) > em.MOST_GROUPS:  # so many groups keep all tasks busy by themselves
+        return spread(rows, group).groupBy(group).applyInPandas(fit, ddl)
+    names = F.broadcast(traces.sparkSession.createDataFrame([(g,) for g in named], f"{group} {kind}"))
+    found = refits.fit_rounds(em.prepared(rows.join(names, group, "left_semi"), group, normalise, min_std), group, min_std=min_std, min_depth=min_depth, **options)
+    schema = StructType.fromDDL(ddl)
+    plain = lambda v: v.tolist() if isinstance(v, np.ndarray) else v
+    fitted = traces.sparkSession.createDataFrame([(g, *(plain(m[c]) for c in schema.names[1:])) for (g, _), m in found.items()], schema)
+    return fitted.unionByName(spread(rows.join(names, group, "left_anti"), group).groupBy(group).applyInPandas(fit, ddl))

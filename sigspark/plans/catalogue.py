@@ -541,16 +541,29 @@ def outlier_scores(spark, sf):
     return r6(out, "medoid_distance", "knn", "z_medoid", "z_knn", "score")
 
 
-def _cluster(method: str):
+#: Single linkage in SQL: the least over all paths of the greatest edge, by repeated squaring; a trace joins a lesser one at `h`.
+_PATHS = (
+    f"{BOTH}, u0 AS (SELECT label, a, b, d FROM m), "
+    + ", ".join(f"u{k + 1} AS (SELECT label, a, b, least(min(v), min(d)) AS d FROM (SELECT x.label, x.a, y.b, greatest(x.d, y.d) AS v, NULL AS d FROM u{k} x JOIN u{k} y ON x.label = y.label AND x.b = y.a WHERE x.a <> y.b UNION ALL SELECT label, a, b, NULL, d FROM u{k}) GROUP BY ALL)" for k in range(8))
+    + ", joins AS (SELECT label, a, min(d) AS h FROM u8 WHERE b < a GROUP BY ALL), cuts AS (SELECT label, a, row_number() OVER (PARTITION BY label ORDER BY h DESC, a DESC) AS k, h FROM joins)"
+)
+_SINGLE = (
+    f"WITH {_PATHS}, top AS (SELECT label, max(h) AS h FROM cuts WHERE k > 2 GROUP BY label), roots AS (SELECT g.label, g.trace_id, least(g.trace_id, coalesce(min(u8.b), g.trace_id)) AS root FROM g JOIN top ON top.label = g.label LEFT JOIN u8 ON u8.label = g.label AND u8.a = g.trace_id AND u8.d <= top.h GROUP BY g.label, g.trace_id) "
+    "SELECT label AS grp, trace_id, dense_rank() OVER (PARTITION BY label ORDER BY root) - 1 AS label FROM roots"
+)
+
+
+def _cluster(method: str, sql: str | None = None):
     def run(spark, sf):
         return clusters.cluster(edges(spark, sf).withColumnRenamed("label", "grp"), "grp", method, n_clusters=3)
 
     run.__name__ = f"cluster_labels_{method}"
-    query()(run)
+    query(sql)(run)
 
 
-for _m in ("average", "single", "complete", "weighted"):
+for _m in ("average", "complete", "weighted"):
     _cluster(_m)
+_cluster("single", _SINGLE)
 
 
 #: Heights under which a few traces of a class are linked.
@@ -590,6 +603,12 @@ def dba_consensus(spark, sf):
     return fitted(spark, sf).select("label", "medoid_id", "iterations", "converged", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
 
 
+@query()
+def dba_refits(spark, sf):
+    """How far the profile of each class moves when its training traces are drawn anew, five times."""
+    return r6(studies.refit_stability(fx.grid_traces(spark, sf).where("is_training"), "label", replicates=5, seed=17), "rmse", "r", "objective")
+
+
 @query()
 def dba_scores(spark, sf):
     held = fx.grid_traces(spark, sf).where("NOT is_training")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..operators import alignment, clusters, consensus, metrics, pairs, regions, resample, robust
+from ..operators import alignment, clusters, consensus, em, metrics, pairs, refits, regions, resample, robust
 from ..operators.spread import spread
 from ..sources.fixtures import nest
 from ..sources.io import cut
@@ -233,3 +233,15 @@ def aligned_rmse(a: np.ndarray, b: np.ndarray) -> float:
     w = K.Warp(K.cost_grid("l2", a, a, b, b)[None], path=True)
     p = w.path(0)
     return float(np.sqrt(((a[p[:, 0]] - b[p[:, 1]]) ** 2).mean()))
+
+
+def refit_stability(traces: DataFrame, group: str, replicates: int = 10, seed: int = 0, min_std: float = 1e-3, **options) -> DataFrame:
+    """(group, replicate, traces, iterations, converged, objective, rmse, r): refits of each group's barycentre under resampling of its
+    traces, against the plain fit (replicate 0), position by position: all begin from the same trace, so they have one axis."""
+    found = refits.fit_rounds(em.prepared(traces, group, True, min_std), group, replicates=replicates, seed=seed, min_std=min_std, **options)
+    rows = []
+    for (g, k), m in sorted(found.items()):
+        x, y = m["mean"], found[g, 0]["mean"]
+        r = float(np.corrcoef(x, y)[0, 1]) if x.std() > 0 and y.std() > 0 else None
+        rows.append((g, k, m["reads"], m["iterations"], m["converged"], m["objective"][-1], float(np.sqrt(((x - y) ** 2).mean())), r))
+    return traces.sparkSession.createDataFrame(rows, f"{group} {dict(traces.dtypes)[group]}, replicate long, traces long, iterations long, converged boolean, objective double, rmse double, r double")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sigspark.functions import kernels as K
 from sigspark.functions import profile_hmm as H
-from sigspark.operators import alignment, clusters, em, linkage, pairs
+from sigspark.operators import alignment, clusters, consensus, em, linkage, pairs, refits
 from sigspark.operators.consensus import pair_matrix, prepare
 from sigspark.sources import fixtures as fx
 
@@ -163,3 +163,40 @@ def test_a_cost_of_ones_own(spark, wobbly):
     for bad, name in ((lambda am, as_, bm, bs: am, "shape"), (lambda am, as_, bm, bs: own(am, as_, bm, bs) * np.nan, "not finite")):
         with pytest.raises(Exception, match=name):
             pairs.pairwise(few, "label", cost=bad).collect()
+
+
+def test_barycentres_in_rounds_equal_those_of_a_group(spark, wobbly):
+    one, two = (consensus.fit_barycentres(wobbly, "label", min_depth=None, group_cells=k).toPandas().set_index("label").sort_index() for k in (1 << 40, 100))
+    assert list(one.index) == list(two.index) == [0, 1, 7]
+    for label in one.index:
+        for c in ("mean", "std", "dwell", "depth", "supported", "objective"):
+            assert list(one.loc[label, c]) == pytest.approx(list(two.loc[label, c]), rel=1e-9, abs=1e-9), (label, c)
+        assert all(one.loc[label, c] == two.loc[label, c] for c in ("iterations", "converged", "medoid_id"))
+
+
+def test_refits_equal_fits_of_copied_traces(spark, wobbly):
+    start = spark.createDataFrame([(0, 3), (1, 14), (7, 99)], "label long, trace_id long")
+    table = em.prepared(wobbly, "label", True, 1e-3)
+    got = refits.fit_rounds(table, "label", replicates=4, seed=9, start=start, min_depth=None)
+    counts = {r["trace_id"]: r["c"] for r in table.select("trace_id", refits.draw_counts(4, 9).alias("c")).collect()}
+    assert len(got) == 15 and len({tuple(c) for c in counts.values()}) > 5
+    for (label, k), m in got.items():
+        ids, reads = ready(wobbly, label, normalise=True, floor=1e-3)
+        times = [1 if k == 0 else counts[i][k - 1] for i in ids]
+        first = {0: 3, 1: 14, 7: 99}[label]
+        if not sum(times):
+            assert not m["converged"] and m["reads"] == 0 and m["mean"].tolist() == reads[0][0].tolist()
+            continue
+        copied = [reads[ids.index(first)]] + [r for r, n in zip(reads, times) for _ in range(n)]
+        # the first stands before the copies to begin from, and counts for nothing
+        want = consensus.barycentre(*([r[c] for r in copied] for c in range(3)), medoid=0, min_depth=max(2, -(-sum(times) // 2)), counts=[0] + [1] * sum(times))
+        for c in ("mean", "std", "dwell", "objective"):
+            assert m[c] == pytest.approx(want[c], rel=1e-9, abs=1e-9), (label, k, c)
+        assert m["depth"].tolist() == want["depth"].tolist() and m["supported"].tolist() == want["supported"].tolist() and (m["iterations"], m["converged"]) == (want["iterations"], want["converged"])
+
+
+def test_draws_have_a_mean_of_one(spark):
+    rows = spark.range(4000).select(F.col("id").alias("trace_id")).select(refits.draw_counts(3, 1).alias("c")).collect()
+    drawn = np.array([r["c"] for r in rows])
+    assert np.abs(drawn.mean(axis=0) - 1).max() < 0.06 and np.abs(drawn.var(axis=0) - 1).max() < 0.12
+    assert abs(np.corrcoef(drawn.T)[0, 1]) < 0.06

@@ -94,7 +94,8 @@ def chunks(column, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndar
 
 
 def trim() -> None:
-    """Gives freed memory back to the system: workers live on between tasks, beside those of other stages."""
+    """Gives freed memory, Arrow's included, back to the system: workers live on between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not this C library

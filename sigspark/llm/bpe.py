@@ -229,6 +229,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = Tru
                 columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(at))]
                 columns += [pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.string())] if with_ids else []
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string())], schema=schema)
+        T.trim()
 
     ddl = "doc_id long, n_tokens long, " + ("ids binary, decoded string, " if with_ids else "") + "ids_sha256 string, decoded_sha256 string"
     return texts(docs).mapInArrow(run, ddl)

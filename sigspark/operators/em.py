@@ -57,8 +57,9 @@ def _variance_keys(v: np.ndarray) -> np.ndarray:
 def _added(parts: list[np.ndarray]) -> np.ndarray:
     """Rows (state, key, four sums) with those of one state and key added up."""
     rows = np.concatenate(parts)
-    where, at = np.unique(rows[:, :2], axis=0, return_inverse=True)
-    return np.column_stack([where, *(np.bincount(at.ravel(), rows[:, 2 + k], len(where)) for k in range(4))])
+    bits = 12 + KEY_BITS  # of a key
+    where, at = np.unique(rows[:, 0].astype(np.int64) << bits | rows[:, 1].astype(np.int64), return_inverse=True)
+    return np.column_stack([where >> bits, where & ((1 << bits) - 1), *(np.bincount(at, rows[:, 2 + k], len(where)) for k in range(4))])
 
 
 class _Sums:
@@ -290,7 +291,7 @@ def expect_and_maximise(dealt: DataFrame, models: dict, offsets: np.ndarray, flo
     added = rows.groupBy(group, "state", "key").agg(*(F.sum(c).alias(c) for c in _SUMS))
     states = added.groupBy(group, "state").applyInPandas(_maximise(models, offsets, floor, group), f"{group} {kind}, state long, sums array<double>, moves array<double>, new array<double>")
     found: dict = {}
-    for r in states.orderBy(group, "state").collect():
+    for r in sorted(states.collect(), key=lambda r: r["state"]):
         found.setdefault(r[group], []).append(r)
     out = {}
     for g, (head, *rest) in found.items():

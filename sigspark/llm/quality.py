@@ -1,8 +1,9 @@
 """Quality classifier by compression (operator 10).
 
-Zstandard dictionaries are built from good and from bad labelled text (raw content: the texts themselves, so that whatever a
-document shares with them costs little). A document's only feature is the difference of its compressed sizes under the two,
-a byte of its text; a logistic curve fitted on labelled documents that built neither dictionary turns it into a calibrated score.
+Zstandard dictionaries are built from good and from bad labelled text (raw content: whole texts, so that whatever a
+document shares with them costs little). A document is compressed in blocks, each from the dictionary alone, so that a long text
+does not become its own dictionary. Its only feature is the difference of its compressed sizes under the two, a byte of its text;
+a logistic curve fitted on labelled documents that built neither dictionary turns it into a calibrated score.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .langid import held_out
 #: Dictionary size in bytes.
 DICTIONARY = 1 << 20
 LEVEL = 9
+#: Bytes of a text that are compressed together.
+BLOCK = 256
 
 
 @dataclass
@@ -37,8 +40,8 @@ class Model:
 
     def compressors(self) -> list:
         if not self._made:
-            dicts = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (self.good, self.bad)]
-            for d in dicts:
+            dicts = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None for d in (self.good, self.bad)]
+            for d in filter(None, dicts):
                 d.precompute_compress(level=self.level)
             self._made = [zstandard.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False) for d in dicts]
         return self._made
@@ -47,11 +50,12 @@ class Model:
         return self.__dict__ | {"_made": []}
 
     def difference(self, raw: bytes) -> float:
-        """The normalised difference of the compressed sizes: above 0 where the good dictionary helps more."""
+        """The normalised difference of the compressed sizes of the blocks: above 0 where the good dictionary helps more."""
         if not raw:
             return 0.0
-        good, bad = (len(c.compress(raw)) for c in self.compressors())
-        return (bad - good) / len(raw)
+        good, bad = self.compressors()
+        blocks = [raw[k : k + BLOCK] for k in range(0, len(raw), BLOCK)]
+        return sum(len(bad.compress(b)) - len(good.compress(b)) for b in blocks) / len(raw)
 
     def scores(self, differences: np.ndarray) -> np.ndarray:
         x = curve((differences - self.mean) / self.scale)
@@ -76,11 +80,24 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
     return w
 
 
+def divide(texts: list[bytes], room: int = DICTIONARY) -> tuple[list[bytes], list[bytes]]:
+    """Texts for a dictionary and texts for the curve: every second one goes into the dictionary, whole, as long as there is room for
+    it; all others go to the curve, which has those of the dictionary only where there are no others."""
+    build, rest = [], []
+    for k, text in enumerate(texts):
+        if k % 2 == 0 and len(text) <= room:
+            build.append(text)
+            room -= len(text)
+        else:
+            rest.append(text)
+    return build, rest or build
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2400, level: int = LEVEL, fit_bytes: int = 1 << 25) -> Model | None:
     """A model of the labelled rows (see labelled); None unless both labels occur.
 
-    At most fit_rows documents and fit_bytes bytes of each label are used, whole texts, those with the lowest hashes of their ids: half
-    of them for the dictionaries, half for the curve. Ids are chosen before any text is moved; the chosen ones, twice
+    At most fit_rows documents and fit_bytes bytes of each label are used, those with the lowest hashes of their ids; each of them,
+    whole, is in a dictionary or fits the curve (see divide). Ids are chosen before any text is moved; the chosen ones, twice
     fit_rows at most, go to all tasks. Of rows with one doc_id the least text is used.
     """
     chosen = labelled(docs, labels)
@@ -97,8 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2400, level: int = L
         sample[label].append(text.encode())
     if not all(sample):
         return None
-    build, rest = zip(*((s[::2], s[1::2] or s) for s in sample))
-    bad, good = (b"".join(b)[-DICTIONARY:] for b in build)
+    build, rest = zip(*map(divide, sample))
+    bad, good = map(b"".join, build)
     model = Model(good, bad, level=level)
     x = np.array([model.difference(t) for label in (0, 1) for t in rest[label]])
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
@@ -112,7 +129,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFram
 
     A null text is empty, and every empty text gets one and the same score, that of no difference. A score of exactly 0.5 counts as
     label 1. Equal texts get equal scores, in any row; repeated rows give repeated rows; rows without an id are left out.
-    A text of any length is compressed whole. Other columns, whatever their names, are not read. An empty table gives an
+    All blocks of a text of any length count. Other columns, whatever their names, are not read. An empty table gives an
     empty result.
     """
     sent = spark.sparkContext.broadcast(model)

@@ -244,7 +244,8 @@ def test_quality(spark):
     model = quality.fit(d, labelled)
     text = {i: (t or "").encode() for i, t in rows}
     for i, r in got.items():
-        sizes = [len(zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False).compress(text[i])) for x in (model.bad, model.good)]
+        blocks = [text[i][k : k + 256] for k in range(0, len(text[i]), 256)]
+        sizes = [sum(len(zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False).compress(b)) for b in blocks) for x in (model.bad, model.good)]
         z = min(6, max(-6, ((sizes[0] - sizes[1]) / max(1, len(text[i])) - model.mean) / model.scale))
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * z))))
     hidden = [text[i].decode() for i in held if len(text[i]) > 100]
@@ -259,6 +260,31 @@ def test_quality(spark):
     assert quality.score(spark, d.limit(0), None).collect() == []
 
 
+def test_quality_dictionaries_hold_whole_texts():
+    texts = [bytes([65 + k]) * n for k, n in enumerate((10, 20, 30, 40, 500, 60, 5))]
+    assert quality.divide(texts, 50) == ([texts[0], texts[2], texts[6]], [texts[1], texts[3], texts[4], texts[5]])
+    assert quality.divide(texts[:1], 50) == ([texts[0]], [texts[0]]) and quality.divide(texts[4:5], 50) == ([], [texts[4]])
+    for size in (10, 10**6):
+        build, rest = quality.divide(texts, size)
+        assert sorted(build + rest) == sorted(texts) and sum(map(len, build)) <= size
+    model = quality.Model(b"", b"some words of a dictionary")
+    assert model.difference(b"some words of a dictionary") > model.difference(b"") - 1
+
+
+def test_quality_of_long_texts_keeps_its_evidence():
+    rnd = random.Random(8)
+    good, bad = ([" ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(60)) for _ in range(80)] for letters in ("abcdef", "ghijkl"))
+    model = quality.Model(*("\n".join(t[:40]).encode() for t in (good, bad)))
+    x = np.array([model.difference(t.encode()) for t in bad[40:] + good[40:]])
+    model.mean, model.scale = x.mean(), x.std()
+    model.weights = quality.logistic(quality.curve((x - model.mean) / model.scale), np.repeat([0.0, 1.0], 40))
+    for text, label in (("\n".join(good[40:48]), 1), ("\n".join(bad[40:48]), 0)):  # some blocks
+        once, often = (model.scores(np.array([model.difference(text.encode() * n)]))[0] for n in (1, 500))
+        assert abs(once - label) < 0.1 and abs(once - often) < 0.05
+    joined = model.scores(np.array([model.difference("\n".join(good[40:] * 50).encode())]))[0]
+    assert joined > 0.9
+
+
 def test_tiff_round_trips():
     r = np.random.default_rng(1)
     for shape in ((5, 7), (70, 64), (33, 20, 3), (1, 64)):

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clusters, evaluation, metrics, pairs, resample
+from ..operators import clusters, evaluation, metrics, pairs, resample, versions
+from ..sources import containers, io
 from ..sources import fixtures as fx
-from ..sources import io
 from . import catalogue as c
 from .catalogue import BOTH, EDGES, GRID, SCORES, STEPS, query, r6
 
@@ -315,3 +315,39 @@ def _search(name: str, sql: dict, **options):
 _search("warp_search_closed", {})
 _search("warp_search_open", {"open_begin": True, "open_end": True}, open_begin=True, open_end=True)
 _search("warp_search_symmetric2", {"weight": 2}, step="symmetric2")
+
+
+def _new_path(spark, name):
+    import uuid
+
+    return f"{io.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {STEPS} SELECT trace_id, construct, count(*) AS n_steps, round(avg(mean), 6) AS level, round(sum(std), 6) AS std_sum, round(sum(dwell), 6) AS time FROM t GROUP BY ALL")
+def trace_cache_round_trip(spark, sf):
+    """All traces written to containers of arrays and read back beside their table, which they are checked against."""
+    path = _new_path(spark, "traces")
+    traces = fx.traces(spark, sf)
+    containers.write_trace_cache(traces.withColumn("index", F.col("trace_id")), path)
+    table = traces.select(F.col("trace_id").alias("index"), "construct", F.size("mean").cast("long").alias("n_steps"))
+    back = containers.read_trace_cache(spark, path, table)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    return r6(back.select(F.col("index").alias("trace_id"), "construct", "n_steps", (total("mean") / F.col("n_steps")).alias("level"), total("std").alias("std_sum"), total("dwell").alias("time")), "level", "std_sum", "time")
+
+
+@query(
+    "WITH o AS (SELECT doc_id, text, lang FROM documents), n AS (SELECT doc_id, CASE WHEN doc_id % 89 = 5 THEN NULL WHEN doc_id % 89 = 6 THEN concat(coalesce(text, ''), ' added') ELSE text END AS text, lang FROM documents WHERE doc_id % 97 <> 3 "
+    "UNION ALL SELECT -1 - doc_id, text, lang FROM documents WHERE doc_id % 101 = 7) "
+    "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change, CAST(o.doc_id IS NOT NULL AS BIGINT) AS old_rows, CAST(n.doc_id IS NOT NULL AS BIGINT) AS new_rows "
+    "FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR o.text IS DISTINCT FROM n.text"
+)
+def table_changes(spark, sf):
+    """Ids whose rows differ between documents and a version of it with rows removed, changed and added, found by their digests."""
+    old = fx.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    edited = F.when(F.col("doc_id") % 89 == 5, F.lit(None)).when(F.col("doc_id") % 89 == 6, F.concat(F.coalesce("text", F.lit("")), F.lit(" added"))).otherwise(F.col("text"))
+    new = old.where("doc_id % 97 <> 3").withColumn("text", edited)
+    new = new.unionByName(old.where("doc_id % 101 = 7").withColumn("doc_id", -1 - F.col("doc_id")))
+    paths = [_new_path(spark, f"version-{k}") for k in ("old", "new")]
+    for rows, path in zip((old, new), paths):
+        versions.write_version(rows, path, "doc_id")
+    return versions.changed_rows(spark, *paths, "doc_id")

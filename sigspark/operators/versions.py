@@ -43,11 +43,13 @@ def write_version(rows: DataFrame, path: str, *keys: str, folder: int = FOLDER,
     """The rows under path/rows, partitioned by range, their columns under path/columns and their digests under path/digests. Written again it gives the same rows."""
     if not keys:
         raise ValueError("name the key of the table")
-    if clash := {"_folder", "_range"} & set(rows.columns):
+    if clash := {"_folder", "_range", "_from"} & set(rows.columns):
         raise ValueError(f"the table has columns named {sorted(clash)}")
     h = key_hash(*keys)
     named = rows.withColumn("_range", F.substring(h, 1, leaf)).withColumn("_folder", F.concat(F.lit("r"), F.substring(h, 1, folder)))
-    named.repartition("_folder").sortWithinPartitions("_folder", "_range").write.mode("overwrite").partitionBy("_folder").parquet(f"{path}/rows")
+    # contiguous ranges for each task, so few files; the rows of one key, however many, are dealt by where they come from
+    dealt = named.withColumn("_from", F.spark_partition_id()).repartitionByRange("_range", "_from").drop("_from")
+    dealt.sortWithinPartitions("_folder", "_range").write.mode("overwrite").partitionBy("_folder").parquet(f"{path}/rows")
     rows.limit(0).write.mode("overwrite").parquet(f"{path}/columns")
     digests(read_version(rows.sparkSession, path).drop("_folder", "_range"), *keys, leaf=leaf).coalesce(1).write.mode("overwrite").parquet(f"{path}/digests")
 

@@ -88,8 +88,8 @@ def _differing(old: DataFrame, new: DataFrame) -> DataFrame:
 def changed_rows(spark: SparkSession, old: str, new: str, *keys: str, folder: int = FOLDER) -> DataFrame:
     """(keys, change, old_rows, new_rows) of the keys whose rows differ between two written versions: added, removed or changed.
 
-    The digests are compared first, folders, then leaves within those that differ; of the tables only differing folders are listed and only
-    differing ranges leave the scan. Rows of one key are compared as a bag; a null key is a key. Columns that only one version has make
+    The digests are compared first, folders, then leaves within those that differ; of the tables only differing folders are read,
+    and keys and digests alone leave the scan. Rows of one key are compared as a bag; a null key is a key. Columns that only one version has make
     all of its rows differ. There are 16**folder folders at most, so their names fit a filter.
     """
     leaves = [spark.read.parquet(f"{p}/digests") for p in (old, new)]
@@ -99,8 +99,8 @@ def changed_rows(spark: SparkSession, old: str, new: str, *keys: str, folder: in
     def bags(path, side):
         rows = read_version(spark, path)
         own = [c for c in rows.columns if c not in ("_folder", "_range")]
-        rows = rows.where(F.col("_folder").isin(folders)).join(ranges, "_range", "left_semi")
-        rows = rows.select(*[F.col(f"`{k}`") for k in keys], row_digest(own).alias("_d"))
+        rows = rows.where(F.col("_folder").isin(folders)).select(*[F.col(f"`{k}`") for k in keys], "_range", row_digest(own).alias("_d"))
+        rows = rows.join(ranges, "_range", "left_semi")  # digests move, not rows
         part = lambda at: F.sum(F.conv(F.substring("_d", at, 15), 16, 10).cast("decimal(38,0)"))
         return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_{side}"), F.struct(part(1).alias("h"), part(16).alias("l")).alias(f"_{side}_d"))
 

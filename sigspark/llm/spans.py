@@ -28,6 +28,8 @@ from ._shared import Stage, free_shuffles, parts_for, texts, total_bytes
 SENTENCES, WORDS, LONG = 3, 24, 8
 _OTHER = 0xD6E8FEB86659FD93
 _STOP = T._class(b".!?")
+#: Runs that a task holds before it deals them, and those of a part: workers stand beside a heap and other stages' workers.
+HELD_RUNS, PART_RUNS = 300_000, 400_000
 
 
 def least_of_windows(hashes: np.ndarray, width: int, sentence: np.ndarray) -> np.ndarray:
@@ -98,7 +100,10 @@ def _emit(options, parts, batches):
     held, n = [], 0
 
     def flush():
-        (run, more, doc, key, place), new, other = _repeated(*(np.concatenate([h[k] for h in held]) for k in range(5)))
+        columns = [np.concatenate(x) for x in zip(*held)]
+        held.clear()
+        (run, more, doc, key, place), new, other = _repeated(*columns)
+        del columns
         rows, blobs = [marks_part], [b"".join(x[other].tobytes() for x in (doc, key, place))]
         run, more, doc, key, place = (x[new] for x in (run, more, doc, key, place))
         begin, size = (place >> 32).astype(np.uint32), ((place & 0xFFFFFFFF) - (place >> 32)).astype(np.uint16)
@@ -119,12 +124,13 @@ def _emit(options, parts, batches):
             place = (one - first << 32) + two - first
             held.append((run, more, ids[a:b][doc[one]], keys[a:b][doc[one]], place))
             n += len(run)
-            if n > 1_000_000:
+            if n > HELD_RUNS:
                 yield flush()
-                held, n = [], 0
+                n = 0
                 T.trim()
     if held:
         yield flush()
+    T.trim()
 
 
 def _mark_parts(parts: int) -> int:
@@ -191,7 +197,7 @@ def repeated_spans(docs: DataFrame, options: tuple[int, int, int], volume: int)
     """
     if options[1] >= 1 << 16 or options[0] >= 1 << 16:
         raise ValueError("runs of fewer than 65536 pieces and words")
-    parts = parts_for(volume / 25, 1_000_000, 8)
+    parts = parts_for(volume / 25, PART_RUNS, 8)
     emitted = docs.mapInArrow(lambda it: _emit(options, parts, it), "part int, blob binary")
     return emitted.repartitionById(parts + _mark_parts(parts), F.col("part")).groupBy("part").applyInArrow(lambda t: _marks(parts, t), "doc_id long, key long, place long")
 

@@ -5,11 +5,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sigspark.llm import _text as T
-from sigspark.llm import jaccard
+from sigspark.llm import jaccard, spans
 from sigspark.llm.jaccard import jaccard_components
 from sigspark.llm.spans import remove_repeated_spans
 
@@ -207,3 +208,12 @@ def test_a_repeated_line_without_stops_goes(spark):
 def test_percent_that_would_lose_links_is_an_error(spark, docs):
     with pytest.raises(ValueError):
         jaccard_components(spark, docs, percent=50)
+
+
+def test_span_tasks_deal_their_runs_in_small_blobs():
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{k}" for k in range(5000)])
+    rows = [". ".join(" ".join(words[rng.integers(0, 5000, 8)]) for _ in range(400)) + "." for _ in range(1100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1100), pa.int64()), pa.array(rows), pa.array([0] * 1100, pa.int64())], ["doc_id", "text", "key"])
+    sizes = [sum(len(x.as_buffer()) for x in out.column("blob")) for out in spans._emit((3, 24, 8), 8, iter([batch]))]
+    assert sum(sizes) > 34 * 380_000 and max(sizes) < 34 * 360_000

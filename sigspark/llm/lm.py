@@ -12,7 +12,7 @@ the group and then the symbol in it, each normalised by batched matrix products
 
 It is trained in numpy by noise-contrastive estimation of both predictions, with noise drawn anew for each example. A first
 model comes from a bounded sample (`fit_rows`, `fit_bytes`). Every task then trains a copy of it on its learning documents (every
-`STRIDE`th position of each, beginning at a place of its own) in the same pass that counts words, and the copies' changes are averaged
+position of each, or every `stride`th) in the same pass that counts words, and the copies' changes are averaged
 row by row, weighted by how often a copy has changed the row. So counts cover all learning documents, and what is gathered
 from them grows with them. Documents are dealt to copies by a hash of their rows, and stand in its order; each copy trains in batches of
 one size, whatever rows or chunks they come from, and held-out documents take no part. So a score depends on the tables alone, not on
@@ -42,7 +42,7 @@ KINDS = 64  # classes that a key has bits for
 CLASSES = 63
 LEAST_WORDS, LEAST_BYTES = 4096, 10_000_000  # so many words of the vocabulary at so many bytes to learn from
 WIDTH, NOISE, BATCH, RATE = 24, 4, 2048, 0.2
-STRIDE = 8
+STRIDE = 1
 #: Text that a copy of the model learns from, at least this and so many times the model's own bytes; examples that are shuffled at once.
 COPY_BYTES, COPY_MODELS, BUFFER = 32 << 20, 16, 32 * BATCH
 #: Words that a task adds up at once.
@@ -196,6 +196,9 @@ class LogBilinear:
         mass, ends = groups.mass, np.cumsum(groups.share)
         wide, begins = np.cumsum(mass), ends - groups.share
         size = np.diff(groups.start)
+        log_mass = np.log(mass * NOISE).astype(np.float32)
+        log_share = np.log(groups.share / mass[groups.group] * NOISE).astype(np.float32)
+        place, held = np.empty(at[2], np.int64), np.zeros((d + 1, NOISE + 3, min(BATCH, len(w))))
         for a in range(0, len(w), BATCH):
             x, y, z = u[a : a + BATCH], v[a : a + BATCH], w[a : a + BATCH]
             n = len(z)
@@ -205,37 +208,47 @@ class LogBilinear:
             bad_w = np.searchsorted(ends, low + rng.random((n, NOISE)) * mass[own][:, None], "right")
             bad_w = np.clip(bad_w, groups.start[own][:, None], groups.start[own + 1][:, None] - 1)
             g, p = np.column_stack([own, bad_g]), np.column_stack([z, bad_w])
-            chance = np.column_stack([mass[g], groups.share[p] / mass[own][:, None]]) * NOISE
             near, far = self.table[at[3] : at[4], :d], self.table[at[4] :, :d]
             rv, ru = self.table[y, :d], self.table[x, :d]
             hat = rv @ near + ru @ far
-            rows = np.column_stack([at[2] + g, at[1] + p])
-            q = self.table[rows]
-            score = np.einsum("nd,nkd->nk", hat, q[:, :, :d]) + q[:, :, d] - np.log(chance)
+            # groups are few: products with all of them, of which the drawn ones count
+            of_groups, cell = self.table[at[2] : at[3]], np.arange(0, n * len(mass), len(mass))[:, None] + g
+            score = (hat @ of_groups[:, :d].T + of_groups[:, d]).ravel()[cell] - log_mass[g]
+            q = self.table[at[1] + p]
+            score = np.hstack([score, (q[:, :, :d] @ hat[:, :, None])[:, :, 0] + q[:, :, d] - log_share[p]])
             grad = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
             grad[:, [0, NOISE + 1]] -= 1
             grad[:, NOISE + 1 :] *= (size[own] > 1)[:, None]
-            grad = grad.astype(np.float32)
-            d_hat = np.einsum("nk,nkd->nd", grad, q[:, :, :d])
-            part = np.empty((n, 2 * NOISE + 4, d + 1), np.float32)
-            part[:, 0, :d], part[:, 1, :d], part[:, :2, d] = d_hat @ near.T, d_hat @ far.T, 0
-            part[:, 2:, :d] = grad[:, :, None] * hat[:, None, :]
-            part[:, 2:, d] = grad
-            row = np.column_stack([y, x, rows]).ravel()
-            order = np.argsort(row, kind="stable")
-            row = row[order]
-            new = np.flatnonzero(np.diff(row, prepend=-1))
-            total = np.add.reduceat(part.reshape(-1, d + 1)[order], new)
-            times = np.diff(np.append(new, len(row)))
-            self._step(row[new], total, times, rate)
+            grad_w = grad[:, NOISE + 1 :]
+            grad_g = np.bincount(cell.ravel(), grad[:, : NOISE + 1].ravel(), n * len(mass)).reshape(n, -1).astype(np.float32)
+            d_hat = grad_g @ of_groups[:, :d] + np.einsum("nk,nkd->nd", grad_w, q[:, :, :d])
+            total = np.column_stack([grad_g.T @ hat, grad_g.sum(axis=0)])
+            times = np.bincount(g.ravel(), minlength=len(mass))
+            drawn = np.flatnonzero(times)
+            # of both context places and of the words: summed by row, a column at a time
+            part = held if n == held.shape[2] else np.zeros((d + 1, NOISE + 3, n))
+            part[:d, 0], part[:d, 1] = near @ d_hat.T, far @ d_hat.T
+            np.multiply(hat.T[:, None, :], grad_w.T, out=part[:d, 2:])
+            part[d, 2:] = grad_w.T
+            row = np.concatenate([y, x, (at[1] + p).T.ravel()])
+            seen = np.zeros(at[2], bool)
+            seen[row] = True
+            rows = np.flatnonzero(seen)
+            place[rows] = np.arange(len(rows))
+            row = place[row]
+            summed = np.empty((len(rows), d + 1), np.float32)
+            for k in range(d + 1):
+                summed[:, k] = np.bincount(row, part[k].ravel(), len(rows))
+            self._step(rows, summed, np.bincount(row, minlength=len(rows)), rate)
+            self._step(at[2] + drawn, total[drawn], times[drawn], rate)
             for k, r in ((3, rv), (4, ru)):
                 square = np.zeros((d, d + 1), np.float32)
                 square[:, :d] = r.T @ d_hat
                 self._step(np.arange(at[k], at[k + 1]), square, np.full(d, n), rate / 4)
 
     def _step(self, rows, total, times, rate):
-        mean = total / np.sqrt(times)[:, None]
-        self.memory[rows] += (mean * mean).mean(axis=1)
+        mean = total / np.sqrt(times, dtype=np.float32)[:, None]
+        self.memory[rows] += np.einsum("nd,nd->n", mean, mean) / mean.shape[1]
         self.table[rows] -= rate * mean / np.sqrt(self.memory[rows])[:, None]
         self.changes[rows] += times
 
@@ -562,7 +575,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, held=None, steps: int
     without an id are left out. A text of any length is read whole. Columns of other names, clashing ones too, are not read. An
     empty table gives an empty result. With nothing to learn from, all counts are zero and the symbols are equally likely. The
     first model is trained on fit_rows documents and fit_bytes bytes at most (lowest hashes of the ids), in `steps` batches or two
-    readings; the copies train on every `stride`th position of every learning document (1: on all). Equal texts have equal
+    readings; the copies train on every position of every learning document (`stride`: on every so many). Equal texts have equal
     scores, to six digits, whatever partitions the rows come in. The model is appended to `details`.
     """
     docs = texts(docs).withColumn("held_out", held if held is not None else held_out(modulus=7, remainder=2))

@@ -405,3 +405,17 @@ def test_pipeline(spark, small):
     left = docs.count()
     out = pipeline.STAGES[-1][1](spark, docs, small)
     assert 0.5 * n < left < n and out.count() == left
+
+
+def test_language_model_copies_train_on_every_position(monkeypatch):
+    texts = [" ".join(f"w{(3 * k + i) % 17}" for i in range(5 * k)) for k in range(40)]
+    held = [k % 5 == 0 for k in range(40)]
+    heavy = np.unique(np.concatenate([lm.chunk_words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in texts if t]))
+    net = lm.LogBilinear(lm.Groups.of(np.ones(len(heavy) + 1 + lm.CLASSES)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts), pa.array(held)], ["doc_id", "text", "held_out"])
+    seen = []
+    train = lm.LogBilinear.train
+    monkeypatch.setattr(lm.LogBilinear, "train", lambda self, u, v, w, *rest: (seen.append(len(w)), train(self, u, v, w, *rest)))
+    sent = type("Sent", (), {"value": (heavy, net, lm.STRIDE, 1)})
+    list(lm._emit_counts(sent, 8, iter([batch])))
+    assert sum(seen) == sum(5 * k + 1 for k in range(40) if not held[k])

@@ -5,7 +5,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sigspark.functions import kernels as K
-from sigspark.operators import clusters, linkage, pairs, refits, squares
+from sigspark.functions import profile_hmm as H
+from sigspark.operators import clusters, em, linkage, pairs, refits, squares
 from sigspark.sources import fixtures as fx
 
 
@@ -79,3 +80,22 @@ def test_warps_of_all_pairs_move_traces_and_not_pairs(spark, small):
         want = pairs.warp(pairs.unordered_pairs(g, "label"), g, g, "label", cost="abs", normalise=False, **options).select("label", "a", "b", "dist", "norm_dist")
         got = pairs.warped(g, "label", cost="abs", normalise=False, cells=(4 * 64) ** 2, **options)
         assert rows(got) == rows(want)
+
+
+def _models(size: int, groups: int):
+    offsets, rng = H.check_offsets(H.OFFSETS), np.random.default_rng(3)
+    return {g: (rng.normal(0, 1, size), np.full(size, 0.3), H.start_weights(size, offsets, 1.0)) for g in range(groups)}, offsets
+
+
+def test_rounds_hand_on_sums_of_many_variances(monkeypatch):
+    models, offsets = _models(24, 3)
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"label": np.arange(300) % 3, "mean": list(rng.normal(0, 1, (300, 24))), "std": list(rng.uniform(0.1, 0.5, (300, 24))), "dwell": list(np.ones((300, 24)))})
+    found = []
+    for held in (10_000, 10_000_000):
+        monkeypatch.setattr(em, "HELD_ROWS", held)
+        monkeypatch.setattr(em, "BATCH_CELLS", 5_000)
+        parts = list(em._expect(models, offsets, "label")(iter([frame])))
+        found.append((max(map(len, parts)), pd.concat(parts).groupby(["label", "state", "key"])[["v0", "v1", "v2", "v3"]].sum()))
+    assert found[0][0] < 20_000 < found[1][0]
+    pd.testing.assert_frame_equal(found[0][1], found[1][1], rtol=1e-9)

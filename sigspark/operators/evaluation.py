@@ -254,21 +254,32 @@ def aligned_rmse(pairs: DataFrame, profiles: DataFrame, label: str) -> DataFrame
     return align_profiles(pairs, profiles, label).select("a", "b", "rmse")
 
 
+#: Cells of posteriors (steps times states) that a task holds before it hands them on: a cell is a Python float, some 32 bytes.
+POSTERIOR_CELLS = 200_000
+
+
+def posterior_frames(frames, label: str, normalise: bool, min_std: float, most: int = POSTERIOR_CELLS):
+    """Frames of (trace_id, label, log_likelihood, posterior), none with many more cells than `most`."""
+    names = ["trace_id", label, "log_likelihood", "posterior"]
+    for frame in frames:
+        rows, cells = [], 0
+        for r in frame.to_dict("records"):
+            m, s = prepare(r["mean"], r["std"], normalise, min_std)
+            like, gamma = H.score_read(m, s, np.asarray(r["pm"], float), np.asarray(r["ps"], float), r["offsets"], r["weights"], posterior=True)
+            rows.append((r["trace_id"], r[label], like, gamma.tolist()))
+            cells += gamma.size
+            if cells > most:
+                yield pd.DataFrame(rows, columns=names)
+                rows, cells = [], 0
+        yield pd.DataFrame(rows, columns=names)
+
+
 def hmm_posteriors(traces: DataFrame, profiles: DataFrame, label: str, *, normalise: bool = True, min_std: float = 1e-3) -> DataFrame:
     """(trace_id, label, log_likelihood, posterior): traces under their label's frozen profile HMM; a row of the posterior for each step."""
     kind = dict(traces.dtypes)[label]
     own = profiles.select(label, F.col("mean").alias("pm"), F.col("std").alias("ps"), "offsets", "weights")
     ready = traces.select("trace_id", label, "mean", "std").join(own, label)
-
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for r in frame.to_dict("records"):
-                m, s = prepare(r["mean"], r["std"], normalise, min_std)
-                like, gamma = H.score_read(m, s, np.asarray(r["pm"], float), np.asarray(r["ps"], float), r["offsets"], r["weights"], posterior=True)
-                rows.append((r["trace_id"], r[label], like, gamma.tolist()))
-            yield pd.DataFrame(rows, columns=["trace_id", label, "log_likelihood", "posterior"])
-
+    run = lambda frames: posterior_frames(frames, label, normalise, min_std)
     return spread(ready.select("trace_id", label, "mean", "std", "pm", "ps", "offsets", "weights")).mapInPandas(run, f"trace_id long, {label} {kind}, log_likelihood double, posterior array<array<double>>")
 
 

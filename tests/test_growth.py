@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sigspark.functions import kernels as K
 from sigspark.functions import profile_hmm as H
-from sigspark.operators import clusters, em, linkage, pairs, refits, squares
+from sigspark.operators import clusters, em, evaluation, linkage, pairs, refits, squares
 from sigspark.sources import fixtures as fx
 
 
@@ -99,3 +99,11 @@ def test_rounds_hand_on_sums_of_many_variances(monkeypatch):
         found.append((max(map(len, parts)), pd.concat(parts).groupby(["label", "state", "key"])[["v0", "v1", "v2", "v3"]].sum()))
     assert found[0][0] < 20_000 < found[1][0]
     pd.testing.assert_frame_equal(found[0][1], found[1][1], rtol=1e-9)
+
+
+def test_posteriors_come_in_small_frames():
+    models, offsets = _models(40, 1)
+    (mean, std, weights), rng = models[0], np.random.default_rng(6)
+    rows = [{"trace_id": k, "label": 0, "mean": rng.normal(0, 1, 40), "std": np.full(40, 0.1), "pm": mean, "ps": std, "offsets": offsets, "weights": weights} for k in range(300)]
+    parts = list(evaluation.posterior_frames(iter([pd.DataFrame(rows)]), "label", True, 0.05))
+    assert pd.concat(parts)["trace_id"].tolist() == list(range(300)) and max(map(len, parts)) < 150

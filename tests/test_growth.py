@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sigspark.functions import kernels as K
 from sigspark.functions import profile_hmm as H
 from sigspark.operators import clusters, em, evaluation, linkage, pairs, refits, squares
+from sigspark.plans import catalogue
 from sigspark.sources import fixtures as fx
 
 
@@ -107,3 +108,8 @@ def test_posteriors_come_in_small_frames():
     rows = [{"trace_id": k, "label": 0, "mean": rng.normal(0, 1, 40), "std": np.full(40, 0.1), "pm": mean, "ps": std, "offsets": offsets, "weights": weights} for k in range(300)]
     parts = list(evaluation.posterior_frames(iter([pd.DataFrame(rows)]), "label", True, 0.05))
     assert pd.concat(parts)["trace_id"].tolist() == list(range(300)) and max(map(len, parts)) < 150
+
+
+def test_trims_are_decoded_in_one_pass(spark, small):
+    plan = catalogue.trim_sweep(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1

@@ -53,20 +53,28 @@ def step_statistics(steps: DataFrame, channels: DataFrame, *keys: str, statistic
     return out.withColumn("dwell", (F.col("end_sample") - F.col("start_sample")) / F.lit(sample_rate))
 
 
+#: Cells (steps times states) of the traces that are aligned at once.
+ALIGNED_CELLS = 200_000
+
+
 def align_to_profile(traces: DataFrame, profile_mean, profile_std, **params) -> DataFrame:
     """(trace_id, path, total_score, log_likelihood, posterior_peak): Viterbi and forward-backward against one known profile."""
     em, es = np.asarray(profile_mean, float), np.asarray(profile_std, float)
 
     def run(frames):
-        log_t = K.log_transition(len(em), **params)
+        with np.errstate(divide="ignore"):
+            jump = np.log(K.jump_pmf(**params))
         for frame in frames:
-            rows = []
-            for i, m, s in zip(frame["trace_id"], frame["mean"], frame["std"]):
-                score = K.emission(np.asarray(m, float), np.asarray(s, float), em, es)
-                path, total = K.viterbi(score, log_t)
-                like, w = K.forward_backward(score, log_t)
-                rows.append((i, path.tolist(), total, like, w.max(axis=1).tolist()))
-            yield pd.DataFrame(rows, columns=["trace_id", "path", "total_score", "log_likelihood", "posterior_peak"])
+            reads = [(np.asarray(m, float), np.asarray(s, float)) for m, s in zip(frame["mean"], frame["std"])]
+            ids = frame["trace_id"].to_numpy()
+            for own in H.by_length(reads):
+                step = max(1, ALIGNED_CELLS // max(1, len(reads[own[0]][0]) * len(em)))
+                for k in range(0, len(own), step):
+                    part = own[k : k + step]
+                    score = K.emission(*(np.stack([reads[i][c] for i in part]) for c in range(2)), em, es)
+                    path, total = K.viterbi_band(score, jump)
+                    like, w = K.forward_backward_band(score, jump)
+                    yield pd.DataFrame({"trace_id": ids[part], "path": list(path), "total_score": total, "log_likelihood": like, "posterior_peak": list(w.max(axis=2))})
 
     return spread(traces.select("trace_id", "mean", "std")).mapInPandas(run, "trace_id long, path array<long>, total_score double, log_likelihood double, posterior_peak array<double>")
 

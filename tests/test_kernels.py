@@ -213,3 +213,19 @@ def test_planted_boundary():
     assert bad["status"] == "rejected" and bad["boundary_step"] == -1
     with pytest.raises(ValueError):
         segment(mean, np.full(47, 0.05), start, start, anchor, np.full(30, 0.1), np.arange(30), models)
+
+
+@pytest.mark.parametrize("n, size, kmax", [(12, 30, 4), (5, 3, 10), (1, 4, 10)])
+def test_alignments_of_many_reads_equal_those_of_each(n, size, kmax):
+    rng = np.random.default_rng(n)
+    score = K.emission(rng.normal(0, 1, (6, n)), np.full((6, n), 0.05), rng.normal(0, 1, size), np.full(size, 0.1))
+    with np.errstate(divide="ignore"):
+        jump = np.log(K.jump_pmf(kmax=kmax))
+    log_t = K.log_transition(size, kmax=kmax)
+    paths, totals = K.viterbi_band(score, jump)
+    likes, posteriors = K.forward_backward_band(score, jump)
+    for k in range(6):
+        path, total = K.viterbi(score[k], log_t)
+        like, w = K.forward_backward(score[k], log_t)
+        assert paths[k].tolist() == path.tolist() and totals[k] == pytest.approx(total, rel=1e-12)
+        assert likes[k] == pytest.approx(like, rel=1e-12) and posteriors[k] == pytest.approx(w, abs=1e-9)

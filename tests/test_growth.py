@@ -113,3 +113,13 @@ def test_posteriors_come_in_small_frames():
 def test_trims_are_decoded_in_one_pass(spark, small):
     plan = catalogue.trim_sweep(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 1
+
+
+def test_pairs_of_many_lengths_share_batches_of_like_shapes():
+    rng = np.random.default_rng(4)
+    rows, columns = rng.integers(1, 120, (2, 5000))
+    got = list(pairs.batches_of(rows, columns, 200_000))
+    assert np.array_equal(np.sort(np.concatenate(got)), np.arange(5000))
+    padded = [len(k) * int(rows[k].max()) * int(columns[k].max()) for k in got]
+    assert max(padded) <= 200_000 and sum(padded) < 1.5 * int((rows * columns).sum()) and len(got) < 4 * int((rows * columns).sum()) / 200_000
+    assert [k.tolist() for k in pairs.batches_of(np.array([50, 1]), np.array([50, 1]), 100)] == [[1], [0]] and not list(pairs.batches_of(np.zeros(0, int), np.zeros(0, int)))

@@ -67,6 +67,42 @@ def test_warp_of_padded_pairs_and_bad_options():
         K.cost_grid("x", *[np.ones(2)] * 4)
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "l2", "abs", "weighted"])
+def test_warp_rows_make_their_costs_and_keep_to_what_paths_can_reach(kind):
+    rng = np.random.default_rng(6)
+    na, nb = rng.integers(1, 15, 40), rng.integers(1, 15, 40)
+    draw = lambda sizes, of: [of(k) for k in sizes]
+    level, std = (lambda k: rng.integers(0, 4, k) / 2.0), (lambda k: rng.integers(1, 4, k) / 4.0)
+    am, as_, bm, bs = draw(na, level), draw(na, std), draw(nb, level), draw(nb, std)
+    wide = [K.pad(x, fill) for x, fill in ((am, 0.0), (as_, 1.0), (bm, 0.0), (bs, 1.0))]
+    grid = (wide[0][:, :, None] - wide[2][:, None, :]) ** 2 * wide[1][:, :, None] if kind == "weighted" else K.cost_grid(kind, *wide)
+    for runs, begin, end in itertools.product((None, 1, 2, 3), (False, True), (False, True)):
+        options = {"max_run": runs, "open_begin": begin, "open_end": end}
+        many = K.Warp(K.CostRows(kind, *wide), na, nb, **options)
+        traced = K.Warp(K.CostRows(kind, *wide), na, nb, path=True, **options)
+        for k in range(40):
+            # a pair by itself, and with all columns within reach
+            one = K.Warp(grid[k : k + 1, : na[k], : nb[k]], path=True, **options)
+            assert one.dist[0] == many.dist[k] == traced.dist[k]
+            if np.isfinite(one.dist[0]):
+                for x in ("norm", "length", "j_start", "j_end"):
+                    assert getattr(one, x)[0] == getattr(many, x)[k] == getattr(traced, x)[k]
+                assert one.path(0).tolist() == traced.path(k).tolist()
+
+
+def test_a_capped_warp_takes_a_fraction_of_its_grid():
+    """Columns that capped runs can't reach cost nothing: some 0.6 of a square, and little of a row of a wide one."""
+    asked = []
+
+    class Counted(K.CostRows):
+        def row(self, i, lo, hi):
+            asked.append(hi - lo)
+            return super().row(i, lo, hi)
+
+    x = np.random.default_rng(7).random((3, 64))
+    assert np.isfinite(K.Warp(Counted("abs", x, None, x)).dist).all() and sum(asked) < 0.65 * 64 * 64
+
+
 def test_warp_to_leaves_gaps():
     got = K.warp_to(np.array([[0, 0], [1, 0], [2, 2]]), np.array([1.0, 3.0, 5.0]), 4)
     assert got[0] == 2 and got[2] == 5 and np.isnan(got[[1, 3]]).all()

@@ -123,3 +123,33 @@ def test_pairs_of_many_lengths_share_batches_of_like_shapes():
     padded = [len(k) * int(rows[k].max()) * int(columns[k].max()) for k in got]
     assert max(padded) <= 200_000 and sum(padded) < 1.5 * int((rows * columns).sum()) and len(got) < 4 * int((rows * columns).sum()) / 200_000
     assert [k.tolist() for k in pairs.batches_of(np.array([50, 1]), np.array([50, 1]), 100)] == [[1], [0]] and not list(pairs.batches_of(np.zeros(0, int), np.zeros(0, int)))
+
+
+def test_complete_linkage_needs_no_pairs(monkeypatch):
+    rng = np.random.default_rng(8)
+    for n, most in ((1, 9), (2, 9), (90, 200), (90, 30), (90, 1)):
+        x = rng.normal(size=(n, 5)) + rng.integers(0, 3, (n, 1)) * 3
+        want = K.linkage(((x[:, None] - x[None]) ** 2).sum(axis=2), "complete")
+        got = squares._complete(x, most)
+        assert np.array_equal(got[:, [0, 1, 3]], want[:, [0, 1, 3]]) and np.allclose(got[:, 2], want[:, 2], rtol=1e-12)
+    # copies and a lattice: many equal heights
+    x = np.concatenate([np.zeros((20, 2)), np.ones((20, 2)) * 9, np.stack(np.meshgrid(range(6), range(6)), -1).reshape(-1, 2) + 50.0])
+    for most in (200, 10):
+        assert K.cut_tree(squares._complete(x, most), len(x), 3).tolist() == [0] * 20 + [1] * 20 + [2] * 36
+
+
+def test_members_and_labels_without_edges(spark, small, monkeypatch):
+    g = fx.grid_traces(spark, small).withColumnRenamed("label", "grp").cache()
+    labels = g.select("grp", "trace_id", (F.col("trace_id") % 2).alias("label"))
+    edges = pairs.squared_distances(g, "grp").cache()
+    columns = ["grp", "label", "n_reads", "members", "medoid", "medoid_position"]
+    plain = lambda frame: sorted(map(repr, frame.select(*columns).collect()))
+    want, complete = plain(evaluation.cluster_members(edges, labels, "grp")), rows(clusters.cluster(edges, "grp", "complete", n_clusters=3))
+
+    def none(*args, **options):
+        raise AssertionError("edges of all pairs")
+
+    monkeypatch.setattr(pairs, "squared_distances", none)
+    assert plain(evaluation.grid_cluster_members(g, labels, "grp")) == plain(evaluation.grid_cluster_members(g, labels, "grp", cells=(5 * 64) ** 2)) == want
+    queries = catalogue.queries()
+    assert queries["cluster_members"](spark, small).count() == len(want) and rows(queries["cluster_labels_complete"](spark, small)) == complete

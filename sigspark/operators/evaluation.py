@@ -208,7 +208,20 @@ def cluster_members(edges: DataFrame, labels: DataFrame, group: str) -> DataFram
     la = labels.select(group, F.col("trace_id").alias("a"), "label")
     lb = labels.select(group, F.col("trace_id").alias("b"), F.col("label").alias("lb"))
     inside = edges.join(la, [group, "a"]).join(lb, [group, "b"]).where("label = lb").select(group, "label", "a", "b", "d")
-    first = medoid_ranking(inside, group, "label", top=1).select(group, "label", F.col("trace_id").alias("medoid"))
+    return _members(labels, medoid_ranking(inside, group, "label", top=1), group)
+
+
+def grid_cluster_members(traces: DataFrame, labels: DataFrame, group: str, **options) -> DataFrame:
+    """What `cluster_members` gives of the squared distances of traces of one length, never kept as pairs (`squares`)."""
+    from . import squares
+
+    inside = traces.select(group, "trace_id", "mean").join(labels.select(group, "trace_id", "label"), [group, "trace_id"])
+    ranks = squares.ranked(squares.neighbours(inside, group, "label", k=1, **options), group, "label")
+    return _members(labels, ranks.where("rank = 1"), group)
+
+
+def _members(labels: DataFrame, medoids: DataFrame, group: str) -> DataFrame:
+    first = medoids.select(group, "label", F.col("trace_id").alias("medoid"))
     own = labels.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n_reads"), F.sort_array(F.collect_list("trace_id")).alias("members"))
     out = own.join(first, [group, "label"], "left").withColumn("medoid", F.coalesce("medoid", F.get("members", F.lit(0))))
     return out.withColumn("medoid_position", F.array_position("members", F.col("medoid")) - 1)

@@ -153,3 +153,18 @@ def test_members_and_labels_without_edges(spark, small, monkeypatch):
     assert plain(evaluation.grid_cluster_members(g, labels, "grp")) == plain(evaluation.grid_cluster_members(g, labels, "grp", cells=(5 * 64) ** 2)) == want
     queries = catalogue.queries()
     assert queries["cluster_members"](spark, small).count() == len(want) and rows(queries["cluster_labels_complete"](spark, small)) == complete
+
+
+def test_searches_move_blocks_not_pairs(spark, small, monkeypatch):
+    """The same as of joined pairs, with tiles of one block and of many; the queries join no pairs."""
+    g = fx.grid_traces(spark, small).where("label < 4").cache()
+    asked = g.where("trace_id % 7 = 0")
+    every = asked.select("label", F.col("trace_id").alias("a")).join(g.select("label", F.col("trace_id").alias("b")), "label").where("a <> b").select("a", "b")
+    for normalise in (False, True):
+        want = rows(pairs.warp(every, g, g, normalise=normalise, open_end=True).select("a", "b", "dist", "norm_dist"))
+        for cells in (pairs.TILE_CELLS, (5 * 64) ** 2, 64 * 64):
+            got = pairs.searched(asked, g, "label", normalise=normalise, cells=cells, open_end=True)
+            assert rows(got.select("a", "b", "dist", "norm_dist")) == want and len(want) > 50
+    monkeypatch.setattr(pairs, "warp", None)
+    for name in ("warp_search_closed", "warp_search_open", "warp_search_symmetric2"):
+        assert catalogue.queries()[name](spark, small).columns == ["a", "b", "dist", "norm_dist"]

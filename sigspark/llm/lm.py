@@ -270,13 +270,18 @@ class Ready(NamedTuple):
     of_places: np.ndarray
 
     def log10(self, two: np.ndarray, one: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each symbol after the two before it."""
-        groups, place = self.groups, self.groups.place
-        hat, w = self.near[place[one]] + self.far[place[two]], place[symbol]
+        """log10 of the probability of each symbol after the two before it; those that occur more than once are computed once, and so are
+        the sums over all groups of a context."""
+        groups, place, size = self.groups, self.groups.place, len(self.groups.place)
+        context, of_context = np.unique(two.astype(np.int64) * size + one, return_inverse=True)
+        found, back = np.unique(of_context * size + symbol, return_inverse=True)
+        at, w = found // size, place[found % size]
+        hat = self.near[place[context % size]] + self.far[place[context // size]]
+        of_all = np.empty(len(context))
+        for a in range(0, len(context), 8192):
+            of_all[a : a + 8192] = _log_sum(hat[a : a + 8192] @ self.of_groups.T)
         own = groups.group[w]
-        out = np.einsum("nd,nd->n", hat, self.of_groups[own]).astype(np.float64)
-        for a in range(0, len(w), 8192):
-            out[a : a + 8192] -= _log_sum(hat[a : a + 8192] @ self.of_groups.T)
+        out = np.einsum("nd,nd->n", hat[at], self.of_groups[own]).astype(np.float64) - of_all[at]
         order = np.argsort(own.astype(np.uint16), kind="stable")
         edge = np.searchsorted(own[order], np.arange(len(groups.start)))
         for g in range(len(groups.start) - 1):
@@ -286,10 +291,10 @@ class Ready(NamedTuple):
             target = np.ascontiguousarray(self.of_places[a:b].T)
             for c in range(edge[g], edge[g + 1], 16384):
                 rows = order[c : min(c + 16384, edge[g + 1])]
-                score = hat[rows] @ target
+                score = hat[at[rows]] @ target
                 out[rows] += score[np.arange(len(rows)), w[rows] - a]
                 out[rows] -= _log_sum(score)
-        return out / _LN10
+        return out[back] / _LN10
 
 
 def _log_sum(score: np.ndarray) -> np.ndarray:

@@ -419,3 +419,22 @@ def test_language_model_copies_train_on_every_position(monkeypatch):
     sent = type("Sent", (), {"value": (heavy, net, lm.STRIDE, 1)})
     list(lm._emit_counts(sent, 8, iter([batch])))
     assert sum(seen) == sum(5 * k + 1 for k in range(40) if not held[k])
+
+
+def test_repeated_contexts_are_scored_once(monkeypatch):
+    rng = np.random.default_rng(9)
+    counts = rng.integers(1, 400, 120)
+    model = lm.LogBilinear(lm.Groups.of(counts)).ready()
+    some = rng.integers(0, 120, (3, 40))
+    two, one, symbol = some[:, rng.integers(0, 40, 5000)]
+    groups, place = model.groups, model.groups.place
+    hat, w = model.near[place[one]] + model.far[place[two]], place[symbol]
+    log_sum = lambda x: np.log(np.exp(x).sum(axis=1))
+    want = (hat * model.of_groups[groups.group[w]]).sum(axis=1) - log_sum(hat @ model.of_groups.T)
+    for i, k in enumerate(w):
+        a, b = groups.start[groups.group[k]], groups.start[groups.group[k] + 1]
+        if b - a > 1:
+            want[i] += hat[i] @ model.of_places[k] - log_sum(hat[i : i + 1] @ model.of_places[a:b].T)[0]
+    seen, plain = [], lm._log_sum
+    monkeypatch.setattr(lm, "_log_sum", lambda score: seen.append(len(score)) or plain(score))
+    assert np.allclose(model.log10(two, one, symbol), want / np.log(10), rtol=0, atol=1e-12) and sum(seen) <= 80

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from sigspark.functions import kernels as K
 from sigspark.functions import kernels as K
 from sigspark.functions import profile_hmm as H
 from sigspark.operators import clusters, em, evaluation, linkage, pairs, refits, squares
@@ -168,3 +169,39 @@ def test_searches_move_blocks_not_pairs(spark, small, monkeypatch):
     monkeypatch.setattr(pairs, "warp", None)
     for name in ("warp_search_closed", "warp_search_open", "warp_search_symmetric2"):
         assert catalogue.queries()[name](spark, small).columns == ["a", "b", "dist", "norm_dist"]
+
+
+def test_expectation_by_scaled_probabilities_is_that_by_logarithms():
+    """Reads that fit, and reads so far off that products of probabilities would vanish, in one batch."""
+    rng, offsets = np.random.default_rng(8), H.check_offsets(H.OFFSETS)
+    mean, std = rng.normal(0, 1, 30), np.full(30, 0.05)
+    x = mean + rng.normal(0, 0.05, (12, 30))
+    x[::3] = rng.normal(0, 3, (4, 30))
+    moves = H.band(30, offsets, H.start_weights(30, offsets, 1.0))
+    for xs in (np.full_like(x, 0.05), rng.uniform(0.05, 0.1, x.shape)):
+        score = K.emission(x, xs, mean, std)
+        share = H._ahead(np.moveaxis(score, 1, 0), moves, offsets)[0][0]
+        assert 0 < (share > H.LEAST_SHARE).sum() < 12
+        got, want = H.expectation(x, xs, mean, std, moves, offsets), H._by_logarithms(score, moves, offsets)
+        for name, value in zip(("log_likelihood", "gamma", "counts"), want):
+            np.testing.assert_allclose(got[name], value, rtol=1e-10, atol=1e-10)
+
+
+def test_rows_of_a_round_do_not_grow_with_the_traces():
+    """Each trace has a variance of its own; levels and variances are those of all single steps."""
+    models, offsets = _models(16, 1)
+    (mean, std, weights), rng, rows = models[0], np.random.default_rng(9), []
+    moves = H.band(16, offsets, weights)
+    for n in (200, 2000):
+        x, xs = rng.normal(0, 1, (n, 16)), np.repeat(rng.uniform(0.1, 0.5, (n, 1)), 16, axis=1)
+        if n == 200:
+            xs *= rng.uniform(0.9, 1.1, xs.shape)
+        frame = pd.DataFrame({"label": 0, "mean": list(x), "std": list(xs), "dwell": list(np.ones_like(x))})
+        found = pd.concat(em._expect(models, offsets, "label", True)(iter([frame]))).groupby(["label", "state", "key"], as_index=False).sum()
+        rows.append(len(found))
+        got = np.stack(em._maximise(models, offsets, 1e-4, "label", True)((0, 0), found)["new"].iloc[1:])
+        gamma = H.expectation(x, xs, mean, std, moves, offsets)["gamma"].reshape(-1, 16)
+        level, var = H.fit_emissions(x.ravel(), xs.ravel() ** 2, gamma, mean, std**2, 1e-4)
+        np.testing.assert_allclose(got[:, 0], level, atol=1e-10)
+        np.testing.assert_allclose(got[:, 1], var, rtol=1e-10)
+    assert rows[1] < 1.2 * rows[0] < 5000

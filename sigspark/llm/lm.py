@@ -170,6 +170,24 @@ class Groups(NamedTuple):
         return np.add.reduceat(self.share, self.start[:-1])
 
 
+class Draws:
+    """np.searchsorted(ends, x, "right") for many x from 0 to about one: a table says where to begin."""
+
+    def __init__(self, ends: np.ndarray):
+        self.cells = 1 << max(10, int(4 * len(ends)).bit_length())
+        self.ends = np.append(ends, np.inf)
+        self.begin = np.searchsorted(ends, np.arange(self.cells + 2) / self.cells, "right")
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        flat = x.ravel()
+        found = self.begin[(flat * self.cells).astype(np.int64)]
+        short = np.flatnonzero(self.ends[found] <= flat)
+        while len(short):
+            found[short] += 1
+            short = short[self.ends[found[short]] <= flat[short]]
+        return found.reshape(x.shape)
+
+
 class LogBilinear:
     """Scores (A r_v + B r_u) . q + b of the groups and, within a group, of its places, for the places v and u before.
 
@@ -189,6 +207,7 @@ class LogBilinear:
         table[2 * s : self.at[3], width] = np.log(mass)
         self.table, self.memory = table, np.full(len(table), 1e-4, np.float32)
         self.changes = np.zeros(len(table), np.float32)
+        self.draws = None  # made where the model is trained
 
     def train(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, rng: np.random.Generator, rate: float = RATE) -> None:
         """Steps of noise-contrastive estimation over the examples, each with noise of its own."""
@@ -198,23 +217,25 @@ class LogBilinear:
         size = np.diff(groups.start)
         log_mass = np.log(mass * NOISE).astype(np.float32)
         log_share = np.log(groups.share / mass[groups.group] * NOISE).astype(np.float32)
-        place, held = np.empty(at[2], np.int64), np.zeros((d + 1, NOISE + 3, min(BATCH, len(w))))
+        self.draws = self.draws or (Draws(wide), Draws(ends))
+        of_mass, of_share = self.draws
+        place, held = np.empty(at[2], np.int64), np.zeros((d + 1, NOISE + 3, min(BATCH, len(w))), np.float32)
         for a in range(0, len(w), BATCH):
             x, y, z = u[a : a + BATCH], v[a : a + BATCH], w[a : a + BATCH]
             n = len(z)
             own = groups.group[z]
-            bad_g = np.minimum(np.searchsorted(wide, rng.random((n, NOISE)) * wide[-1], "right"), len(mass) - 1)
+            bad_g = np.minimum(of_mass(rng.random((n, NOISE)) * wide[-1]), len(mass) - 1)
             low = begins[groups.start[own]][:, None]
-            bad_w = np.searchsorted(ends, low + rng.random((n, NOISE)) * mass[own][:, None], "right")
+            bad_w = of_share(low + rng.random((n, NOISE)) * mass[own][:, None])
             bad_w = np.clip(bad_w, groups.start[own][:, None], groups.start[own + 1][:, None] - 1)
             g, p = np.column_stack([own, bad_g]), np.column_stack([z, bad_w])
             near, far = self.table[at[3] : at[4], :d], self.table[at[4] :, :d]
-            rv, ru = self.table[y, :d], self.table[x, :d]
+            rv, ru = (self.table.take(k, axis=0)[:, :d] for k in (y, x))
             hat = rv @ near + ru @ far
             # groups are few: products with all of them, of which the drawn ones count
             of_groups, cell = self.table[at[2] : at[3]], np.arange(0, n * len(mass), len(mass))[:, None] + g
             score = (hat @ of_groups[:, :d].T + of_groups[:, d]).ravel()[cell] - log_mass[g]
-            q = self.table[at[1] + p]
+            q = self.table.take(at[1] + p, axis=0)
             score = np.hstack([score, (q[:, :, :d] @ hat[:, :, None])[:, :, 0] + q[:, :, d] - log_share[p]])
             grad = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
             grad[:, [0, NOISE + 1]] -= 1
@@ -226,10 +247,10 @@ class LogBilinear:
             times = np.bincount(g.ravel(), minlength=len(mass))
             drawn = np.flatnonzero(times)
             # of both context places and of the words: summed by row, a column at a time
-            part = held if n == held.shape[2] else np.zeros((d + 1, NOISE + 3, n))
+            part = held if n == held.shape[2] else np.zeros((d + 1, NOISE + 3, n), np.float32)
             part[:d, 0], part[:d, 1] = near @ d_hat.T, far @ d_hat.T
-            np.multiply(hat.T[:, None, :], grad_w.T, out=part[:d, 2:])
             part[d, 2:] = grad_w.T
+            np.multiply(np.ascontiguousarray(hat.T)[:, None, :], part[d, 2:], out=part[:d, 2:])
             row = np.concatenate([y, x, (at[1] + p).T.ravel()])
             seen = np.zeros(at[2], bool)
             seen[row] = True
@@ -249,7 +270,9 @@ class LogBilinear:
     def _step(self, rows, total, times, rate):
         mean = total / np.sqrt(times, dtype=np.float32)[:, None]
         self.memory[rows] += np.einsum("nd,nd->n", mean, mean) / mean.shape[1]
-        self.table[rows] -= rate * mean / np.sqrt(self.memory[rows])[:, None]
+        mean *= rate
+        mean /= np.sqrt(self.memory[rows])[:, None]
+        self.table[rows] = self.table.take(rows, axis=0) - mean
         self.changes[rows] += times
 
     def ready(self) -> Ready:
@@ -324,6 +347,7 @@ def first_model(symbols: Symbols, groups: Groups, column, steps: int | None = No
         for epoch in range(2):
             order = rng.permutation(len(w))[: None if steps is None else max(1, steps // 2) * BATCH]
             net.train(u[order], v[order], w[order], rng, RATE / (1 + epoch))
+    net.draws = None
     return net
 
 

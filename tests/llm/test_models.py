@@ -438,3 +438,12 @@ def test_repeated_contexts_are_scored_once(monkeypatch):
     seen, plain = [], lm._log_sum
     monkeypatch.setattr(lm, "_log_sum", lambda score: seen.append(len(score)) or plain(score))
     assert np.allclose(model.log10(two, one, symbol), want / np.log(10), rtol=0, atol=1e-12) and sum(seen) <= 80
+
+
+def test_noise_drawn_by_a_table_is_that_of_a_search():
+    rng = np.random.default_rng(4)
+    for share in (rng.dirichlet(np.full(5000, 0.1)), np.array([0.5, 0.0, 0.0, 0.5]), np.ones(1), np.append(1 - 1e-9, np.full(3000, 1e-9 / 3000))):
+        ends = np.cumsum(share)
+        x = np.concatenate([rng.random(20_000) * ends[-1], ends, [0.0], np.nextafter(ends, 0)])
+        x = x[: len(x) // 3 * 3].reshape(-1, 3)
+        assert np.array_equal(lm.Draws(ends)(x), np.searchsorted(ends, x, "right"))

@@ -200,3 +200,22 @@ def test_draws_have_a_mean_of_one(spark):
     drawn = np.array([r["c"] for r in rows])
     assert np.abs(drawn.mean(axis=0) - 1).max() < 0.06 and np.abs(drawn.var(axis=0) - 1).max() < 0.12
     assert abs(np.corrcoef(drawn.T)[0, 1]) < 0.06
+
+
+def test_the_medoid_is_of_all_traces_of_a_group(spark):
+    """1300 traces, of which some are copies: tiles of one block and of many, and the form that holds a group in a task."""
+    rng = np.random.default_rng(7)
+    levels = rng.normal(size=(1300, 3))
+    levels[1290:] = levels[1000]
+    rows = [(k, int(k >= 1298), x.tolist(), [0.3] * 3, [1.0] * 3) for k, x in enumerate(levels)]
+    rows += [(2000, 2, [1.0, 2.0], [0.1, 0.1], [1.0, 1.0]), (2001, 3, [1.0, 5.0], [0.1, 0.1], [1.0, 1.0]), (2002, 3, [3.0, 1.0], [0.1, 0.1], [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, TRACES)
+    table = em.prepared(frame, "label", False, 1e-3)
+    first = consensus.medoid_of(pair_matrix(list(levels[:1298]), [np.full(3, 0.3)] * 1298))
+    assert {r["label"]: r["trace_id"] for r in em.medoids(table, "label").collect()} == {0: first, 1: 1298, 2: 2000, 3: 2001}
+    sums = pair_matrix(list(levels[:1298]), [np.full(3, 0.3)] * 1298).sum(axis=1)
+    for cells in (pairs.SUM_CELLS, (200 * 3) ** 2):
+        got = {r["trace_id"]: r["row_sum"] for r in pairs.row_sums(table.where("label = 0"), "label", normalise=False, cells=cells).collect()}
+        assert sorted(got) == list(range(1290)) and [got[k] for k in range(1290)] == pytest.approx(list(sums[:1290]), rel=1e-12)
+    one, two = (consensus.fit_barycentres(frame, "label", normalise=False, max_iter=2, group_cells=k).toPandas().set_index("label").sort_index() for k in (1 << 40, 100))
+    assert one["medoid_id"].tolist() == two["medoid_id"].tolist() == [first, 1298, 2000, 2001]

@@ -205,3 +205,35 @@ def test_rows_of_a_round_do_not_grow_with_the_traces():
         np.testing.assert_allclose(got[:, 0], level, atol=1e-10)
         np.testing.assert_allclose(got[:, 1], var, rtol=1e-10)
     assert rows[1] < 1.2 * rows[0] < 5000
+
+
+def _uncapped(cost, weight: int, open_begin: bool, open_end: bool):
+    """(distance, length, first column, last column) of one pair, cell by cell."""
+    n, m = cost.shape
+    best = {(0, j): (weight * cost[0, j], 1, j) for j in (range(m) if open_begin else (0,))}
+    for i in range(n):
+        for j in range(m):
+            if (i, j) not in best:
+                sources = (((i - 1, j - 1), weight), ((i - 1, j), 1), ((i, j - 1), 1))
+                best[i, j] = min(((best[s][0] + w * cost[i, j], best[s][1] + 1, best[s][2]) for s, w in sources if s in best), key=lambda x: x[0])
+    j = min(range(m), key=lambda j: best[n - 1, j][0]) if open_end else m - 1
+    return *best[n - 1, j], j
+
+
+def test_uncapped_warps_go_by_diagonals(monkeypatch):
+    """Costs are made a diagonal at a time, not column by column of a row; distances, lengths, ends and paths are those of single cells."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(K.CostRows, "row", None)
+    na, nb = rng.integers(1, 9, 30), rng.integers(1, 12, 30)
+    x, y = rng.normal(size=(30, 8)), np.round(rng.normal(size=(30, 11)), 1)
+    xs, ys = rng.uniform(0.1, 1, x.shape), rng.uniform(0.1, 1, y.shape)
+    for kind in ("abs", "gaussian"):
+        grid = K.cost_grid(kind, x, xs, y, ys)
+        for step, ends in (("symmetric1", {}), ("symmetric2", {}), ("symmetric1", {"open_begin": True, "open_end": True})):
+            w = K.Warp(K.CostRows(kind, x, xs, y, ys), na, nb, step=step, max_run=None, path=True, **ends)
+            for k in range(30):
+                dist, length, first, last = _uncapped(grid[k, : na[k], : nb[k]], 1 if step == "symmetric1" else 2, *(bool(ends),) * 2)
+                path = w.path(k)
+                assert np.isclose(w.dist[k], dist, rtol=1e-14) and (w.length[k], w.j_start[k], w.j_end[k]) == (length, first, last)
+                assert len(path) == length and path[0].tolist() == [0, first] and path[-1].tolist() == [na[k] - 1, last]
+                assert np.isin(np.diff(path, axis=0) @ [2, 1], (1, 2, 3)).all()

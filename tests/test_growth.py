@@ -9,6 +9,7 @@ from sigspark.functions import kernels as K
 from sigspark.functions import profile_hmm as H
 from sigspark.operators import clusters, em, evaluation, linkage, pairs, refits, squares
 from sigspark.plans import catalogue
+from sigspark.plans import evaluation as evaluation_plans
 from sigspark.sources import fixtures as fx
 
 
@@ -237,3 +238,26 @@ def test_uncapped_warps_go_by_diagonals(monkeypatch):
                 assert np.isclose(w.dist[k], dist, rtol=1e-14) and (w.length[k], w.j_start[k], w.j_end[k]) == (length, first, last)
                 assert len(path) == length and path[0].tolist() == [0, first] and path[-1].tolist() == [na[k] - 1, last]
                 assert np.isin(np.diff(path, axis=0) @ [2, 1], (1, 2, 3)).all()
+
+
+def test_silhouettes_and_candidates_without_edges(spark, small, monkeypatch):
+    """The same as from an edge list, with tiles of one block and of many, copies, a group of one and a cluster of one among them."""
+    g = fx.grid_traces(spark, small).where("label < 4").select(F.col("label").alias("grp"), "trace_id", "mean", "std", (F.col("trace_id") % 3).alias("label"))
+    first = g.orderBy("trace_id").limit(1).drop("label")
+    copies = first.drop("grp", "trace_id").select(F.lit(5).cast("long").alias("grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7))).alias("trace_id"), "mean", "std")
+    g = g.unionByName(copies.withColumn("label", F.col("trace_id") % 2)).unionByName(first.withColumns({"grp": F.lit(6).cast("long"), "label": F.lit(0).cast("long")}))
+    alone = g.where("grp = 1").agg(F.min("trace_id")).first()[0]
+    g = g.withColumn("label", F.when(F.col("trace_id") == alone, 9).otherwise(F.col("label"))).cache()
+    edges = pairs.squared_distances(g, "grp").cache()
+    want = rows(clusters.silhouette(edges, g.select("grp", "trace_id", "label"), "grp"))
+    assert len(want) == 5 and want[-1] == (5, 0.0)
+    for cells in (squares.TILE_CELLS, (5 * 64) ** 2):
+        assert rows(squares.silhouette(g, "grp", cells=cells)) == want
+    ranks = clusters.medoid_ranking(catalogue.edges(spark, small), "label", top=5).where("rank > 1").count()
+
+    def none(*args, **options):
+        raise AssertionError("edges of all pairs")
+
+    monkeypatch.setattr(pairs, "squared_distances", none)
+    queries = catalogue.queries()
+    assert queries["silhouette"](spark, small).count() == 10 and sum(r["n"] for r in evaluation_plans.perturbation_summary(spark, small).collect()) == ranks

@@ -261,3 +261,37 @@ def test_silhouettes_and_candidates_without_edges(spark, small, monkeypatch):
     monkeypatch.setattr(pairs, "squared_distances", none)
     queries = catalogue.queries()
     assert queries["silhouette"](spark, small).count() == 10 and sum(r["n"] for r in evaluation_plans.perturbation_summary(spark, small).collect()) == ranks
+
+
+def test_linkage_reads_few_rows_of_its_matrix(monkeypatch):
+    """Merges are those of a search over all pairs, equal heights among them, and a step doesn't look at the whole matrix again."""
+    rng, argmin, looked = np.random.default_rng(5), np.argmin, []
+    monkeypatch.setattr(K.np, "argmin", lambda x, *a, **b: looked.append(np.size(x)) or argmin(x, *a, **b))
+    for n in (2, 3, 40, 150):
+        for method in ("single", "complete", "average", "weighted"):
+            for x in (rng.normal(size=(n, n)) + 9, rng.integers(1, 4, (n, n)).astype(float)):
+                d = np.triu(x, 1) + np.triu(x, 1).T
+                looked.clear()
+                got = K.linkage(d, method)
+                assert sum(looked) <= 4 * n * n
+                open_, size, name, want = np.where(np.eye(n) > 0, np.inf, d), np.ones(n), list(range(n)), []
+                for step in range(n - 1):
+                    i, j = divmod(int(open_.argmin()), n)
+                    want.append((*sorted((name[i], name[j])), open_[i, j], size[i] + size[j]))
+                    new = {"single": np.minimum(open_[i], open_[j]), "complete": np.maximum(open_[i], open_[j]), "average": (size[i] * open_[i] + size[j] * open_[j]) / (size[i] + size[j]), "weighted": (open_[i] + open_[j]) / 2}[method]
+                    open_[i] = open_[:, i] = new
+                    open_[j] = open_[:, j] = open_[i, i] = np.inf
+                    name[i], size[i] = n + step, size[i] + size[j]
+                assert np.array_equal(got, np.array(want))
+
+
+def test_candidates_for_a_number_of_clusters_share_one_linkage(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    edges = spark.createDataFrame([(0, i, j, float(abs(i % 2 - j % 2) + rng.uniform(0, 0.2))) for i in range(20) for j in range(i + 1, 20)], "grp long, a long, b long, d double")
+    fits = []
+    monkeypatch.setattr(clusters, "spread", lambda frame, *keys: type("Rows", (), {"groupBy": lambda self, *k: type("Groups", (), {"applyInPandas": lambda self, fit, ddl: fits.append(fit)})()})())
+    clusters.choose_clusters(edges, "grp")
+    trees, linkage_ = [], K.linkage
+    monkeypatch.setattr(K, "linkage", lambda *a: trees.append(1) or linkage_(*a))
+    out = fits[0](edges.toPandas())
+    assert len(trees) == 1 and out["k"].unique().tolist() == [2] and out["label"].tolist() == [k % 2 for k in range(20)]

@@ -295,3 +295,22 @@ def test_candidates_for_a_number_of_clusters_share_one_linkage(spark, monkeypatc
     monkeypatch.setattr(K, "linkage", lambda *a: trees.append(1) or linkage_(*a))
     out = fits[0](edges.toPandas())
     assert len(trees) == 1 and out["k"].unique().tolist() == [2] and out["label"].tolist() == [k % 2 for k in range(20)]
+
+
+def test_pairs_of_one_variance_each_share_their_logarithm(monkeypatch):
+    """The same costs to the last bit, from one logarithm a pair."""
+    rng, log, counted = np.random.default_rng(9), np.log, []
+    x, y = rng.normal(size=(2, 20, 12))
+    xs, ys = (np.repeat(rng.uniform(0.1, 1, (20, 1)), 12, axis=1) for _ in range(2))
+    grid = K.cost_grid("gaussian", x, xs, y, ys)
+    monkeypatch.setattr(K.np, "log", lambda v, *a, **b: counted.append(np.size(v)) or log(v, *a, **b))
+    for stds, most in ((ys, 20), (ys * rng.uniform(0.9, 1.1, ys.shape), None)):
+        counted.clear()
+        costs = K.CostRows("gaussian", x, xs, y, stds)
+        got = np.stack([costs.row(i, 0, 12).T for i in range(12)], axis=1)
+        slanted = [costs.diagonal(k, max(0, k - 11), min(12, k + 1)) for k in range(23)]
+        assert sum(counted) == (20 if most else 2 * 20 * 144)
+        for k, d in enumerate(slanted):
+            assert np.array_equal(d, np.stack([got[:, i, k - i] for i in range(max(0, k - 11), min(12, k + 1))]))
+        if most:
+            assert np.allclose(got, grid, rtol=1e-14, atol=1e-14)

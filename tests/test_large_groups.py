@@ -8,6 +8,7 @@ from sigspark.functions import kernels as K
 from sigspark.functions import profile_hmm as H
 from sigspark.operators import alignment, clusters, consensus, em, linkage, pairs, refits
 from sigspark.operators.consensus import pair_matrix, prepare
+from sigspark.plans import studies
 from sigspark.sources import fixtures as fx
 
 TRACES = "trace_id long, label long, mean array<double>, std array<double>, dwell array<double>"
@@ -219,3 +220,15 @@ def test_the_medoid_is_of_all_traces_of_a_group(spark):
         assert sorted(got) == list(range(1290)) and [got[k] for k in range(1290)] == pytest.approx(list(sums[:1290]), rel=1e-12)
     one, two = (consensus.fit_barycentres(frame, "label", normalise=False, max_iter=2, group_cells=k).toPandas().set_index("label").sort_index() for k in (1 << 40, 100))
     assert one["medoid_id"].tolist() == two["medoid_id"].tolist() == [first, 1298, 2000, 2001]
+
+
+def test_ranks_without_edges(spark, wobbly, monkeypatch):
+    """Those of an edge list, copies among the traces, with tiles of one block and of many; the study keeps no pairs."""
+    copies = wobbly.unionByName(wobbly.where("trace_id % 5 = 0").withColumn("trace_id", F.col("trace_id") + 1000)).cache()
+    want = sorted(map(tuple, clusters.medoid_ranking(pairs.pairwise(copies, "label"), "label", top=7).select("label", "trace_id", "rank", F.round("row_sum", 9)).collect()))
+    for cells in (pairs.SUM_CELLS, 400):
+        got = sorted(map(tuple, pairs.central(copies, "label", top=7, cells=cells).select("label", "trace_id", "rank", F.round("row_sum", 9)).collect()))
+        assert got == want and len(got) == 14
+    monkeypatch.setattr(pairs, "tiled", None)
+    out = studies.medoid_robustness(copies, wobbly, "label", top=2, max_iter=2)
+    assert sorted((r["label"], r["trace_id"]) for r in out.collect()) == sorted(w[:2] for w in want if w[2] < 3)
